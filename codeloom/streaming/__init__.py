@@ -1,0 +1 @@
+"""No operator of this library is a streaming one: snapshots are loaded in batches, build by build."""
