@@ -7,9 +7,9 @@ exactly when it shares a half-key in both collections; at the threshold of 0.85
 minhashes each that fails with a probability of 1.5e-4, and much less for closer pairs.
 
 Candidates are verified on the full shingle sets. The members of a table are first compared with its smallest
-member only. Jaccard distance is a metric, so the distances to that common centre rule out most remaining pairs:
-two members can be linked only if their distances to the centre differ by at most the allowed distance. What
-that leaves between different components is compared directly, so no link of the tables is lost.
+member only, which joins most groups at once. Members that stay apart meet a few landmarks of their table's largest
+component, and what is even then in different components is joined exactly by the prefixes of the shingle sets, so no
+link of the tables is lost and no table is opened into its pairs.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import chunks, cut, mix64, word_hashes
@@ -27,6 +27,7 @@ from .common import chunks, cut, mix64, word_hashes
 SHINGLE = 5
 HALF_KEYS = 10
 ROWS = 3
+LANDMARKS = 8
 _FACTORS = mix64(np.arange(1, SHINGLE + 1, dtype=np.uint64)) | np.uint64(1)
 _SEEDS = mix64(np.arange(1000, 1000 + 2 * HALF_KEYS * ROWS, dtype=np.uint64)) | np.uint64(1)
 
@@ -136,6 +137,45 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
+def _placed(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """key, uid, label and the most frequent label (main) for the tables whose members lie in several components."""
+    found = members.join(labels.select(F.col("node").alias("uid"), "label"), "uid", "left").select("key", "uid", F.coalesce("label", "uid").alias("label"))
+    found = cut(found)
+    counts = found.groupBy("key", "label").agg(F.count("*").alias("n"))
+    mains = counts.groupBy("key").agg(F.max(F.struct("n", "label")).alias("m"), F.count("*").alias("labels")).where("labels > 1")
+    return cut(found.join(cut(mains.select("key", F.col("m.label").alias("main"))), "key"))
+
+
+def _explode_sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        for first, texts in chunks(batch["text"].tolist()):
+            with np.errstate(over="ignore"):
+                sets = shingle_sets(texts)
+            part = batch.iloc[first : first + len(texts)]
+            sizes = np.array([len(s) for s in sets])
+            yield pd.DataFrame({"uid": np.repeat(part["uid"].to_numpy(), sizes), "label": np.repeat(part["label"].to_numpy(), sizes), "size": np.repeat(sizes, sizes), "token": np.concatenate(sets).view(np.int64)})
+
+
+def _prefix_pairs(apart: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of different components among ``apart`` (uid, label) that can be linked: with shingles in one order,
+    here the rarest first, two sets that are similar enough share one of the first ``n - ceil(n * percent / 100) + 1``.
+    Of each shingle only those outside its most frequent component are paired."""
+    one = texts.join(apart, "uid").dropDuplicates(["uid"])
+    tokens = cut(one.mapInPandas(_explode_sets, "uid long, label long, size long, token long"))
+    seen = tokens.groupBy("token").agg(F.count("*").alias("df"), F.min("label").alias("low"), F.max("label").alias("high"))
+    ranked = tokens.join(cut(seen), "token").withColumn("n", F.row_number().over(Window.partitionBy("uid").orderBy("df", "token")))
+    first = ranked.where(f"n <= size - ceil(size * {percent} / 100.0) + 1 AND low < high").select("uid", "label", "size", "token")
+    first = cut(first)
+    counts = first.groupBy("token", "label").agg(F.count("*").alias("n"))
+    mains = counts.groupBy("token").agg(F.max(F.struct("n", "label")).alias("m"), F.count("*").alias("labels")).where("labels > 1")
+    mains = cut(mains.select("token", F.col("m.label").alias("main")))
+    within = cut(first.join(mains, "token"))
+    left = within.where("label <> main").select("token", F.col("uid").alias("a"), F.col("label").alias("label_a"), F.col("size").alias("size_a"))
+    right = within.select("token", F.col("uid").alias("b"), F.col("label").alias("label_b"), F.col("size").alias("size_b"), (F.col("label") == F.col("main")).alias("inner"))
+    pairs = left.join(right, "token").where("label_a <> label_b AND (inner OR a < b)")
+    return pairs.where(f"100 * least(size_a, size_b) >= {percent} * greatest(size_a, size_b)").select("a", "b").distinct()
+
+
 def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     """One row for each row of ``docs`` (doc_id, text): doc_id, uid, n_shingles, component_id, kept.
 
@@ -159,24 +199,24 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     links = done.where("linked").select("a", "b")
     labels = components(links)
 
-    # what may still be linked: members of one table in different components, by distances to its centre
-    slack = 1 - percent / 100 + 1e-9
-    placed = members.join(done.select(F.col("a").alias("uid"), F.col("b").alias("centre"), "distance"), ["uid", "centre"], "left")
-    placed = placed.join(labels.select(F.col("node").alias("uid"), "label"), "uid", "left")
-    placed = cut(placed.select("key", "uid", "n_shingles", F.coalesce("distance", F.lit(0.0)).alias("distance"), F.coalesce("label", "uid").alias("label")))
-    open_keys = placed.groupBy("key").agg(F.max("distance").alias("far"), F.min("label").alias("x"), F.max("label").alias("y"), F.count("*").alias("n")).where(f"x < y AND n > 2 AND far > {slack}").select("key")
-    left = cut(placed.join(open_keys, "key", "left_semi"))
-    outer = left.where(f"distance > {slack}").select("key", *(F.col(c).alias(f"{c}_a") for c in ("uid", "n_shingles", "distance", "label")))
-    inner = left.select("key", *(F.col(c).alias(f"{c}_b") for c in ("uid", "n_shingles", "distance", "label")))
-    more = outer.join(inner, "key").where("label_a <> label_b AND distance_b > 0 AND (uid_a < uid_b OR distance_b <= " + str(slack) + ")")
-    more = more.where(f"abs(distance_a - distance_b) <= {slack} AND distance_a + distance_b >= 0")
-    more = more.where(f"100 * least(n_shingles_a, n_shingles_b) >= {percent} * greatest(n_shingles_a, n_shingles_b)")
-    more = cut(more.select(F.col("uid_a").alias("a"), F.col("uid_b").alias("b")).distinct())
-    if more.limit(1).count():
-        extra = cut(verified(more, texts, percent).where("linked").select("a", "b"))
+    # tables whose members are not all in one component: their outer members meet some landmarks of the largest
+    placed = _placed(members, labels)
+    marks = Window.partitionBy("key").orderBy("hash", "uid")
+    landmarks = placed.where("label = main").withColumn("hash", F.xxhash64("uid")).withColumn("n", F.row_number().over(marks)).where(f"n <= {LANDMARKS}")
+    more = placed.where("label <> main").select("key", F.col("uid").alias("a")).join(landmarks.select("key", F.col("uid").alias("b")), "key").select("a", "b").distinct()
+    more = cut(more.join(stars, ["a", "b"], "left_anti"))
+    extra = cut(verified(more, texts, percent).where("linked").select("a", "b"))
+    if extra.limit(1).count():
+        links = cut(links.union(extra))
+        labels = components(links)
+    # what is then still apart is joined exactly by prefixes of the sets
+    placed = _placed(members, labels)
+    apart = cut(placed.select("uid", "label").distinct())
+    if apart.limit(1).count():
+        rest = cut(_prefix_pairs(apart, texts, percent))
+        extra = cut(verified(rest, texts, percent).where("linked").select("a", "b"))
         if extra.limit(1).count():
-            links = links.union(extra)
-            labels = components(links)
+            labels = components(links.union(extra))
 
     ids = classes.select(F.col("uid").alias("node"), "doc_id", "fp").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     ids = cut(ids)
