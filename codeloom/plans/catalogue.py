@@ -2,10 +2,367 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
+from codeloom.functions import text as fn
+from codeloom.operators import checks, graph, lineage, scene, source
+from codeloom.sources.tables import Graph, with_clause
+
+QUERY = "Part1"
+PART = "Catalog.Brand11.Part17"
+CUTOFF = "2024-01-15 00:00:00"
+_ENTRIES: dict = {}
+
+
+def _query(sql: str | None, tables: str | None = None):
+    """Register a function of a graph, with the SQL for the same rows; ``tables`` names the model's tables it uses."""
+
+    def add(f):
+        text = None
+        if sql is not None:
+            text = (with_clause("sha256", tables.split()) + " " + sql) if tables else sql
+        _ENTRIES[f.__name__] = (lambda spark, sf_dir: f(Graph(spark, sf_dir)), text)
+        return f
+
+    return add
+
+
+_LOW = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_N, _S = _LOW.format("qualified_name"), _LOW.format("signature")
+_RANK = f"CASE WHEN {_N} = 'part1' OR {_S} = 'part1' THEN 0 WHEN ends_with({_N}, '.part1') THEN 1 WHEN starts_with({_N}, 'part1') THEN 2 WHEN contains({_N}, 'part1') THEN 3 WHEN contains({_S}, 'part1') THEN 4 END"
+_SYM = "symbols index_runs code_snapshots"
+_DONE = "snapshot_id IN (SELECT snapshot_id FROM index_runs WHERE status = 'Completed')"
+_FOUND = f"(SELECT *, {_RANK} AS rank FROM symbols WHERE {_DONE}) WHERE rank IS NOT NULL"
+
+
+@_query(f"SELECT symbol_id, qualified_name, kind, CAST(rank AS INTEGER) AS rank FROM {_FOUND} ORDER BY rank, qualified_name, signature, symbol_id LIMIT 20", _SYM)
+def search_ranked(g):
+    return graph.search(graph.completed(g.symbols, g.index_runs), QUERY, 20).select("symbol_id", "qualified_name", "kind", "rank")
+
+
+@_query(f"SELECT count(*) AS total FROM {_FOUND}", _SYM)
+def search_total(g):
+    return graph.search(graph.completed(g.symbols, g.index_runs), QUERY).agg(F.count("*").alias("total"))
+
+
+@_query(f"SELECT symbol_id, CAST(rank AS INTEGER) AS rank FROM {_FOUND} AND kind = 'Type' ORDER BY rank, qualified_name, signature, symbol_id LIMIT 15", _SYM)
+def search_kind_filtered(g):
+    return graph.search(graph.completed(g.symbols, g.index_runs), QUERY, 15, "Type").select("symbol_id", "rank")
+
+
+@_query("SELECT canonical_key, CAST((SELECT count(*) FROM symbols WHERE k = 0) AS BIGINT) AS total, true AS has_more FROM symbols WHERE k = 0 ORDER BY canonical_key LIMIT 25 OFFSET 50", "symbols")
+def symbol_page(g):
+    return graph.page(g.symbols.where("k = 0").select("canonical_key"), [F.col("canonical_key")], 50, 25)
+
+
+@_query(f"SELECT symbol_id, canonical_key FROM symbols WHERE canonical_key = 'game:installed:Type:{PART}' ORDER BY symbol_id LIMIT 2", "symbols")
+def symbol_by_key(g):
+    return g.symbols.where(F.col("canonical_key") == f"game:installed:Type:{PART}").orderBy("symbol_id").limit(2).select("symbol_id", "canonical_key")
+
+
+@_query("SELECT symbol_id, qualified_name FROM symbols WHERE symbol_id IN (SELECT symbol_id FROM method_of WHERE o_orderkey % 100 = 3)", "symbols method_of")
+def symbols_by_ids(g):
+    ids = g.method_of.where("o_orderkey % 100 = 3").select("symbol_id")
+    return g.symbols.join(ids, "symbol_id", "left_semi").select("symbol_id", "qualified_name")
+
+
+@_query("SELECT DISTINCT regexp_replace(split_part(qualified_name, '::', 1), '\\.[^.]*$', '') AS namespace FROM symbols WHERE contains(split_part(qualified_name, '::', 1), '.')", "symbols")
+def namespaces(g):
+    return g.symbols.select(fn.namespace(F.col("canonical_key")).alias("namespace")).where("namespace <> ''").distinct()
+
+
+_SELECTORS = "SELECT concat('Catalog.', replace(p_brand, '#', ''), '.Part', p_partkey) AS selector FROM part WHERE p_partkey % 10 = 1 UNION ALL SELECT concat('game:installed:Type:Catalog.Part', p_partkey) FROM part WHERE p_partkey % 50 = 2"
+
+
+@_query(f"""SELECT selector, CASE WHEN count(DISTINCT s.symbol_id) = 0 THEN 'NotFound' WHEN count(DISTINCT s.symbol_id) > 1 THEN 'Ambiguous' ELSE 'Resolved' END AS status,
+ CASE WHEN count(DISTINCT s.symbol_id) = 1 THEN min(s.symbol_id) END AS symbol_id FROM ({_SELECTORS}) q LEFT JOIN symbols s ON s.k = 0 AND (s.qualified_name = selector OR s.canonical_key = selector) GROUP BY selector""", "symbols")
+def resolve_status(g):
+    parts = g.base("part")
+    a = parts.where("p_partkey % 10 = 1").selectExpr("concat('Catalog.', replace(p_brand, '#', ''), '.Part', p_partkey) AS selector")
+    b = parts.where("p_partkey % 50 = 2").selectExpr("concat('game:installed:Type:Catalog.Part', p_partkey) AS selector")
+    return graph.resolve(g.symbols.where("k = 0"), a.union(b))
+
+
+_TARGET = "(SELECT min(target_symbol_id) FROM relationships WHERE k = 0 AND target_symbol_id IS NOT NULL)"
+
+
+def _busiest(g) -> str:
+    return g.relationships.where("k = 0 AND target_symbol_id IS NOT NULL").agg(F.min("target_symbol_id")).first()[0]
+
+
+def _edges(g, direction):
+    rel = g.relationships.where("k = 0")
+    found = graph.edges(rel, _busiest(g), direction)
+    return graph.with_endpoints(found, g.symbols).select("relationship_id", "relationship_kind", "direction", "source_name", "target_name")
+
+
+_EDGE_SQL = """SELECT relationship_id, relationship_kind, direction, s.qualified_name AS source_name, coalesce(t.qualified_name, target_text) AS target_name FROM ({}) e
+ LEFT JOIN symbols s ON s.symbol_id = source_symbol_id LEFT JOIN symbols t ON t.symbol_id = target_symbol_id"""
+_IN = f"SELECT *, 'Incoming' AS direction FROM relationships WHERE k = 0 AND target_symbol_id = {_TARGET}"
+_OUT = f"SELECT *, 'Outgoing' AS direction FROM relationships WHERE k = 0 AND source_symbol_id = {_TARGET}"
+
+
+@_query(_EDGE_SQL.format(f"{_OUT} UNION ALL {_IN} AND source_symbol_id <> target_symbol_id"), "relationships symbols")
+def refs(g):
+    return _edges(g, "refs")
+
+
+@_query(_EDGE_SQL.format(f"{_IN} AND relationship_kind IN ('Calls', 'Constructs')"), "relationships symbols")
+def callers(g):
+    return _edges(g, "callers")
+
+
+_SOURCE = "(SELECT min(source_symbol_id) FROM relationships WHERE k = 0 AND target_symbol_id IS NULL)"
+
+
+@_query(_EDGE_SQL.format(f"SELECT *, 'Outgoing' AS direction FROM relationships WHERE k = 0 AND source_symbol_id = {_SOURCE} AND relationship_kind IN ('Calls', 'Constructs')"), "relationships symbols")
+def callees(g):
+    rel = g.relationships.where("k = 0")
+    source_id = rel.where("target_symbol_id IS NULL").agg(F.min("source_symbol_id")).first()[0]
+    return graph.with_endpoints(graph.edges(rel, source_id, "callees"), g.symbols).select("relationship_id", "relationship_kind", "direction", "source_name", "target_name")
+
+
+@_query(f"SELECT relationship_id, relationship_kind FROM (SELECT * FROM ({_IN}) ORDER BY relationship_id LIMIT 500) WHERE relationship_kind = 'Calls' ORDER BY relationship_id LIMIT 10", "relationships")
+def related_types(g):
+    return graph.related_types(g.relationships.where("k = 0"), _busiest(g), ["Calls"], 10).select("relationship_id", "relationship_kind")
+
+
+@_query("""SELECT s.symbol_id, coalesce(o.n, 0) + coalesce(i.n, 0) AS refs, coalesce(i.c, 0) AS callers, coalesce(o.c, 0) AS callees FROM (SELECT symbol_id FROM symbols WHERE k = 0) s
+ LEFT JOIN (SELECT source_symbol_id AS id, count(*) AS n, count(CASE WHEN relationship_kind IN ('Calls', 'Constructs') THEN 1 END) AS c FROM relationships WHERE k = 0 GROUP BY 1) o ON o.id = s.symbol_id
+ LEFT JOIN (SELECT target_symbol_id AS id, count(CASE WHEN source_symbol_id <> target_symbol_id THEN 1 END) AS n, count(CASE WHEN relationship_kind IN ('Calls', 'Constructs') THEN 1 END) AS c FROM relationships WHERE k = 0 AND target_symbol_id IS NOT NULL GROUP BY 1) i ON i.id = s.symbol_id""", "relationships symbols")
+def relationship_evidence_totals(g):
+    return graph.evidence_totals(g.relationships.where("k = 0"), g.symbols.where("k = 0"))
+
+
+_LINE = "concat(relationship_kind, chr(10), target_text)"
+_HASH = f"SELECT source_symbol_id AS symbol_id, sha256(string_agg({_LINE}, chr(10) || chr(10) ORDER BY {_LINE})) AS edge_hash FROM relationships WHERE k = {{}} GROUP BY 1"
+
+
+@_query(_HASH.format(0), "relationships")
+def edge_multiset_hash(g):
+    return graph.edge_hash(g.relationships.where("k = 0"))
+
+
+@_query("""SELECT symbol_id, max(CASE WHEN fingerprint_kind = 'declaration' THEN fingerprint END) AS declaration, max(CASE WHEN fingerprint_kind = 'method-body' THEN fingerprint END) AS "method-body" FROM fingerprints GROUP BY symbol_id""", "fingerprints")
+def fingerprint_pivot(g):
+    return graph.fingerprint_pivot(g.fingerprints, ["declaration", "method-body"])
+
+
+def _diff(g, where: str = "true"):
+    side = lambda name, k: getattr(g, name).where(f"k = {k}")
+    return graph.diff(side("symbols", 0), side("symbols", 1), side("fingerprints", 0), side("fingerprints", 1), side("relationships", 0), side("relationships", 1)).where(where)
+
+
+def _side_sql(k: int) -> str:
+    return f"""(SELECT s.*, f.fingerprint AS body, coalesce(e.edge_hash, '') AS edge_hash FROM symbols s LEFT JOIN fingerprints f ON f.symbol_id = s.symbol_id AND f.fingerprint_kind = 'method-body'
+ LEFT JOIN ({_HASH.format(k)}) e ON e.symbol_id = s.symbol_id WHERE s.k = {k})"""
+
+
+_DIFF = f"""(SELECT coalesce(a.canonical_key, b.canonical_key) AS canonical_key, coalesce(b.qualified_name, a.qualified_name) AS name, coalesce(b.kind, a.kind) AS kind,
+ CASE WHEN a.canonical_key IS NULL THEN 'Added' WHEN b.canonical_key IS NULL THEN 'Removed'
+  WHEN CASE WHEN a.body IS NOT NULL AND b.body IS NOT NULL THEN a.body <> b.body WHEN a.body IS NULL AND b.body IS NULL THEN false
+            WHEN a.body IS NULL THEN coalesce(a.body_recovery_status = 'Recovered', false) ELSE coalesce(b.body_recovery_status = 'Recovered', false) END THEN 'MethodBodyChanged'
+  WHEN a.edge_hash <> b.edge_hash THEN 'RelationshipsChanged' ELSE 'Unchanged' END AS classification, a.signature AS sa, b.signature AS sb
+ FROM {_side_sql(0)} a FULL JOIN {_side_sql(1)} b ON a.canonical_key = b.canonical_key)"""
+_SHOWN = "CASE WHEN classification IN ('Added', 'Removed') THEN {} END"
+_DIFF_T = "symbols fingerprints relationships"
+
+
+@_query(f"SELECT canonical_key, name, kind, classification, {_SHOWN.format('sa')} AS before, {_SHOWN.format('sb')} AS after FROM {_DIFF}", _DIFF_T)
+def build_diff(g):
+    return _diff(g)
+
+
+@_query(f"SELECT c AS classification, CAST(count(canonical_key) AS BIGINT) AS n FROM (SELECT unnest(['Added', 'Removed', 'MethodBodyChanged', 'RelationshipsChanged', 'Unchanged']) AS c) LEFT JOIN {_DIFF} ON c = classification GROUP BY c", _DIFF_T)
+def build_diff_counts(g):
+    return graph.diff_counts(_diff(g))
+
+
+@_query(f"SELECT canonical_key, classification FROM {_DIFF} WHERE kind = 'Constructor' AND classification <> 'Unchanged'", _DIFF_T)
+def build_diff_kind(g):
+    return _diff(g, "kind = 'Constructor' AND classification <> 'Unchanged'").select("canonical_key", "classification")
+
+
+_LATEST = "(SELECT *, row_number() OVER (PARTITION BY {} ORDER BY completed_at DESC, index_id DESC) AS n FROM index_runs JOIN code_snapshots USING (snapshot_id) WHERE status = 'Completed')"
+
+
+@_query(f"SELECT codebase, channel, index_id FROM {_LATEST.format('codebase, channel')} WHERE n = 1", "index_runs code_snapshots")
+def latest_index_per_channel(g):
+    return lineage.latest_completed(g.index_runs, g.code_snapshots, ["codebase", "channel"]).select("codebase", "channel", "index_id")
+
+
+@_query(f"SELECT build_id, index_id, completed_at FROM {_LATEST.format('build_id')} WHERE n = 1", "index_runs code_snapshots")
+def build_lineage(g):
+    return lineage.latest_completed(g.index_runs, g.code_snapshots, ["build_id"]).select("build_id", "index_id", "completed_at")
+
+
+@_query("SELECT build_id, next_build_id FROM (SELECT build_id, lead(build_id) OVER (ORDER BY first_seen, build_id) AS next_build_id FROM builds) WHERE next_build_id IS NOT NULL", "builds")
+def adjacent_builds(g):
+    return lineage.adjacent(g.builds)
+
+
+@_query("SELECT q.canonical_key, b.k, s.symbol_id IS NOT NULL AS present FROM (SELECT DISTINCT canonical_key FROM symbols) q CROSS JOIN (SELECT k FROM builds WHERE k < 2) b LEFT JOIN symbols s ON s.canonical_key = q.canonical_key AND s.k = b.k", "symbols builds")
+def symbol_presence(g):
+    return lineage.presence(g.symbols, g.builds.where("k < 2"))
+
+
+@_query(f"""SELECT build_id, status, CASE WHEN status = 'Available' THEN index_id END AS index_id FROM (SELECT b.build_id, i.index_id, CASE WHEN e.extraction_id IS NULL THEN 'NoPreferredExtraction' WHEN NOT e.verified THEN 'VerificationFailed'
+ WHEN i.index_id IS NULL THEN 'NoCompletedIndex' WHEN i.build_id <> b.build_id THEN 'BuildMismatch' ELSE 'Available' END AS status
+ FROM builds b LEFT JOIN extractions e ON e.build_id = b.build_id AND e.preferred LEFT JOIN {_LATEST.format('source_identity')} i ON i.source_identity = e.extraction_id AND i.n = 1)""", "builds extractions index_runs code_snapshots")
+def authority_status(g):
+    return lineage.authority(g.builds, g.extractions, g.code_snapshots, g.index_runs)
+
+
+_STATS = "SELECT {} AS assembly, count(*) AS files, CAST(sum(size) AS BIGINT) AS bytes, CAST(sum(type_count) AS BIGINT) AS types, CAST(sum(coalesce(method_count, 0)) AS BIGINT) AS methods, count(DISTINCT sha256) AS distinct_hashes FROM artifacts WHERE k = {} GROUP BY 1"
+
+
+@_query(_STATS.format("assembly_name", 0), "artifacts")
+def assembly_stats(g):
+    return checks.assembly_statistics(g.artifacts.where("k = 0"), False)
+
+
+@_query(_STATS.format("lower(assembly_name)", 0), "artifacts")
+def assembly_stats_ignore_case(g):
+    return checks.assembly_statistics(g.artifacts.where("k = 0"), True)
+
+
+@_query("SELECT sha256, count(*) AS n FROM artifacts GROUP BY sha256 HAVING count(*) > 1", "artifacts")
+def duplicate_identities(g):
+    return checks.duplicates(g.artifacts, ["sha256"])
+
+
+@_query("SELECT unnest(CASE WHEN n < 1000000 THEN ['TooFewArtifacts'] ELSE [] END) AS code FROM (SELECT count(*) AS n FROM artifacts WHERE k = 0)", "artifacts")
+def absolute_checks(g):
+    return checks.absolute(g.artifacts.where("k = 0"), 1_000_000, 0)
+
+
+_LONG = "(SELECT assembly, metric, value FROM ({}) UNPIVOT (value FOR metric IN (files, bytes, types, methods)))"
+_BOTH = f"""(SELECT coalesce(x.assembly, y.assembly) AS assembly, coalesce(x.metric, y.metric) AS metric, coalesce(x.value, 0) AS a, coalesce(y.value, 0) AS b
+ FROM {_LONG.format(_STATS.format('lower(assembly_name)', 0))} x FULL JOIN {_LONG.format(_STATS.format('lower(assembly_name)', 1))} y ON x.assembly = y.assembly AND x.metric = y.metric)"""
+
+
+@_query(f"SELECT assembly, metric, a, b, CASE WHEN a = 0 AND b > 0 THEN 'NewFromZero' WHEN a = 0 THEN 'None' WHEN b < a AND abs(b - a) / a > 0.80 THEN 'CatastrophicDecrease' WHEN abs(b - a) / a > 0.25 THEN 'Deviation' ELSE 'None' END AS grade FROM {_BOTH}", "artifacts")
+def comparative_checks(g):
+    return checks.comparative(g.artifacts.where("k = 0"), g.artifacts.where("k = 1"))
+
+
+@_query("SELECT recipe_id, count(*) AS runs, count(DISTINCT manifest_digest) AS digests, CASE WHEN count(*) < 2 THEN 'NotTested' WHEN count(DISTINCT manifest_digest) = 1 THEN 'Reproducible' ELSE 'Divergent' END AS outcome FROM extractions GROUP BY recipe_id", "extractions")
+def reproducibility(g):
+    return checks.reproducibility(g.extractions)
+
+
+_LEGAL = ", ".join(f"('{a}', '{b}')" for a, b in lineage.LEGAL)
+
+
+@_query(f"SELECT attempt_id, before, status FROM (SELECT attempt_id, status, lag(status) OVER (PARTITION BY user_id ORDER BY completed_at, attempt_id) AS before FROM attempts) WHERE before <> status AND (before, status) NOT IN ({_LEGAL})", "attempts")
+def lifecycle_violations(g):
+    return lineage.violations(g.attempts).select("attempt_id", "before", "status")
+
+
+@_query(f"SELECT attempt_id, status, CASE WHEN status NOT IN ('Failed', 'Succeeded', 'Canceled', 'Abandoned') THEN 'NotTerminal' WHEN status = 'Succeeded' THEN 'HasResult' WHEN completed_at >= TIMESTAMP '{CUTOFF}' THEN 'TooRecent' ELSE 'Eligible' END AS reason FROM attempts", "attempts")
+def cleanup_plan(g):
+    return lineage.cleanup_plan(g.attempts, F.lit(CUTOFF).cast(g.base("events").schema["ts"].dataType))
+
+
+@_query("SELECT 'Extraction' AS entry, extraction_id AS id, CAST(NULL AS VARCHAR) AS status FROM extractions UNION ALL SELECT 'Attempt', CAST(attempt_id AS VARCHAR), status FROM attempts WHERE status IN ('Failed', 'Canceled')", "extractions attempts")
+def extraction_history(g):
+    return lineage.history(g.extractions, g.attempts)
+
+
+@_query("SELECT scene_id, name, (SELECT count(*) FROM scenes) AS total, (SELECT count(*) FROM scenes) > 10 AS has_more FROM scenes ORDER BY name, scene_id LIMIT 10", "scenes")
+def scene_list(g):
+    return graph.page(g.scenes, [F.col("name"), F.col("scene_id")], 0, 10).select("scene_id", "name", "total", "has_more")
+
+
+@_query("SELECT game_object_id, name FROM game_objects WHERE scene_id = 'region-1' ORDER BY name, game_object_id LIMIT 50", "game_objects")
+def scene_objects(g):
+    return g.game_objects.where("scene_id = 'region-1'").orderBy("name", "game_object_id").limit(50).select("game_object_id", "name")
+
+
+@_query("""SELECT o.game_object_id, coalesce(c.n, 0) AS n_children, CAST(CASE WHEN parent_id IS NOT NULL THEN row_number() OVER (PARTITION BY parent_id ORDER BY local_file_id) - 1 END AS INTEGER) AS sibling_index
+ FROM game_objects o LEFT JOIN (SELECT parent_id AS id, count(*) AS n FROM game_objects WHERE parent_id IS NOT NULL GROUP BY 1) c ON c.id = o.game_object_id""", "game_objects")
+def object_children(g):
+    return scene.children(g.game_objects)
+
+
+@_query("SELECT component_id, game_object_id FROM components WHERE kind = 'Catalog.Part17' OR concat(script_namespace, '.', script_class) = 'Catalog.Part17'", "components")
+def component_by_type(g):
+    return scene.by_exact_type(g.components, "Catalog.Part17").select("component_id", "game_object_id")
+
+
+_LOCATED = """(SELECT reference_id, field_path, resolution_status, coalesce(c.game_object_id, CASE WHEN source_component_id IS NULL THEN o.game_object_id END) AS game_object_id FROM serialized_refs
+ LEFT JOIN components c ON c.component_id = source_component_id LEFT JOIN game_objects o ON o.container_id = source_container_id AND o.local_file_id = source_local_file_id)"""
+_REF_T = "serialized_refs components game_objects"
+
+
+@_query(f"SELECT reference_id, game_object_id FROM {_LOCATED} WHERE resolution_status <> 'Resolved'", _REF_T)
+def unresolved_references(g):
+    return scene.reference_sources(g.serialized_refs, g.components, g.game_objects).where("resolution_status <> 'Resolved'").select("reference_id", "game_object_id")
+
+
+@_query(f"SELECT reference_id, field_path, game_object_id FROM {_LOCATED} ORDER BY field_path NULLS FIRST, reference_id LIMIT 40", _REF_T)
+def reference_page(g):
+    found = scene.reference_sources(g.serialized_refs, g.components, g.game_objects)
+    return found.orderBy(F.asc_nulls_first("field_path"), "reference_id").limit(40).select("reference_id", "field_path", "game_object_id")
+
+
+@_query("SELECT (SELECT count(*) FROM scenes WHERE kind = 'Scene') AS scene_count, (SELECT count(*) FROM scenes WHERE kind = 'Prefab') AS prefab_count, (SELECT count(*) FROM game_objects) AS object_count, (SELECT count(*) FROM components) AS component_count, (SELECT count(*) FROM serialized_refs) AS reference_count", "scenes " + _REF_T)
+def scene_stats(g):
+    return scene.statistics(g.scenes, g.game_objects, g.components, g.serialized_refs)
+
+
+@_query("SELECT recovery_status, count(*) AS n FROM game_objects GROUP BY 1", "game_objects")
+def recovery_histogram(g):
+    return scene.recovery_histogram(g.game_objects)
+
+
+_WORST = "CASE max(CASE recovery_status WHEN 'StubOnly' THEN 5 WHEN 'PartialRecovery' THEN 4 WHEN 'GraphOnly' THEN 3 WHEN 'Unknown' THEN 2 WHEN 'FullyRecovered' THEN 1 END) WHEN 5 THEN 'StubOnly' WHEN 4 THEN 'PartialRecovery' WHEN 3 THEN 'GraphOnly' WHEN 1 THEN 'FullyRecovered' ELSE 'Unknown' END"
+
+
+@_query(f"SELECT s.scene_id, s.kind, s.name, count(o.game_object_id) AS object_count, count(CASE WHEN o.game_object_id IS NOT NULL AND parent_id IS NULL THEN 1 END) AS root_count, {_WORST} AS recovery FROM scenes s LEFT JOIN game_objects o ON o.scene_id = s.scene_id GROUP BY 1, 2, 3", "scenes game_objects")
+def document_rollup(g):
+    return scene.rollup(g.scenes, g.game_objects)
+
+
+@_query(f"""SELECT p.scene_id, coalesce(u.n, 0) AS unresolved, CASE WHEN p.partial = 1 THEN 'Partial' WHEN coalesce(u.n, 0) > 0 THEN 'UnresolvedSceneReference' ELSE 'Resolved' END AS outcome
+ FROM (SELECT scene_id, max(CASE WHEN recovery_status <> 'FullyRecovered' THEN 1 ELSE 0 END) AS partial FROM game_objects GROUP BY 1) p
+ LEFT JOIN (SELECT scene_id, count(CASE WHEN resolution_status <> 'Resolved' THEN 1 END) AS n FROM {_LOCATED} l JOIN game_objects o ON o.game_object_id = l.game_object_id GROUP BY 1) u ON u.scene_id = p.scene_id""", _REF_T)
+def scene_outcome(g):
+    return scene.outcome(scene.reference_sources(g.serialized_refs, g.components, g.game_objects), g.game_objects)
+
+
+@_query("""SELECT o.game_object_id, CASE WHEN o.parent_id IS NULL THEN o.game_object_id WHEN p.parent_id IS NULL THEN o.parent_id ELSE p.parent_id END AS root_id,
+ CAST(CASE WHEN o.parent_id IS NULL THEN 0 WHEN p.parent_id IS NULL THEN 1 ELSE 2 END AS BIGINT) AS depth, false AS in_cycle FROM game_objects o LEFT JOIN game_objects p ON p.game_object_id = o.parent_id""", "game_objects")
+def hierarchy_roots(g):
+    return scene.roots(g.game_objects)
+
+
+@_query("SELECT component_id, count(DISTINCT game_object_id) AS owners FROM (SELECT component_id, game_object_id FROM components UNION ALL SELECT component_id, 'other' FROM components WHERE length(component_id) % 7 = 0) GROUP BY 1 HAVING count(DISTINCT game_object_id) > 1", "components")
+def component_owner_conflicts(g):
+    claims = g.components.select("component_id", "game_object_id")
+    other = g.components.where("length(component_id) % 7 = 0").select("component_id", F.lit("other").alias("game_object_id"))
+    return scene.owner_conflicts(claims.union(other))
+
+
+@_query("SELECT symbol_id, CASE WHEN kind IN ('Method', 'Constructor') THEN coalesce(body_recovery_status, 'Unknown') END AS status FROM symbols", "symbols")
+def body_recovery(g):
+    return g.symbols.select("symbol_id", fn.body_status(F.col("kind"), F.col("body_recovery_status")).alias("status"))
+
+
+@_query("SELECT doc_id, array_to_string(list_slice(string_split(text, chr(10)), 1, 2), chr(10)) AS snippet FROM documents WHERE len(string_split(text, chr(10))) >= 1")
+def source_snippet(g):
+    return g.base("documents").select("doc_id", source.snippet(F.col("text"), F.lit(1), F.lit(1), 1).alias("snippet"))
+
+
+@_query(None)
+def search_index_json(g):
+    rows = g.symbols.where("k = 0").select("kind", "qualified_name", "signature", "canonical_key", "symbol_id")
+    return rows.orderBy("qualified_name", "kind", "canonical_key").select(F.to_json(F.struct("*")).alias("line"))
+
 
 def queries() -> dict:
-    return {}
+    return {name: f for name, (f, _) in _ENTRIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: text for name, (_, text) in _ENTRIES.items() if text}
