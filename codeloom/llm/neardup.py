@@ -6,10 +6,12 @@ only ``2 * half * rows`` minhashes, about the square root of the work. A pair of
 exactly when it shares a half-key in both collections; at the threshold of 0.85 with 10 + 10 half-keys of three
 minhashes each that fails with a probability of 1.5e-4, and much less for closer pairs.
 
-Candidates are verified on the full shingle sets. The members of a table are first compared with its smallest
-member only, which joins most groups at once. Members that stay apart meet a few landmarks of their table's largest
-component, and what is even then in different components is joined exactly by the prefixes of the shingle sets, so no
-link of the tables is lost and no table is opened into its pairs.
+Candidates must agree in a number of minhashes that is six standard deviations below what the threshold predicts,
+which a pair at the threshold misses with a probability below 1e-7, and are then verified on the full shingle sets.
+The members of a table are first compared with its smallest member only, which joins most groups at once. Members that
+stay apart meet a few landmarks of their table's largest component. What is even then in different components, among
+members of like size, is joined by the prefixes of the shingle sets where it shares a table, so no link of the tables
+is lost and no table is opened into its pairs.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import chunks, cut, mix64, word_hashes
+from .common import chunks, cut, mix64, stored, word_hashes
 
 SHINGLE = 5
 HALF_KEYS = 10
@@ -55,20 +57,24 @@ def shingle_sets(texts: list[bytes]) -> list[np.ndarray]:
     return out
 
 
-def half_keys(sets: list[np.ndarray]) -> np.ndarray:
+def half_keys(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """Half-keys of non-empty sets, one row each, first those of collection A and then of B: ``ROWS`` minhashes, hashed
-    with their place. The minhashes are minima of random linear permutations of 32-bit codes."""
+    with their place; and the low 16 bits of each minhash. The minhashes are minima of random linear permutations of
+    32-bit codes."""
     codes = (np.concatenate(sets) >> np.uint64(32)).astype(np.uint32)
     begin = np.cumsum([0] + [len(s) for s in sets])[:-1]
     step = np.empty_like(codes)
     keys = np.tile(np.arange(2 * HALF_KEYS, dtype=np.uint64), (len(sets), 1))
+    low = np.empty((len(sets), 2 * HALF_KEYS * ROWS), np.uint16)
     for place in range(2 * HALF_KEYS):
         for row in range(ROWS):
             seed = _SEEDS[place * ROWS + row]
             np.multiply(codes, np.uint32(seed & np.uint64(0xFFFFFFFF)) | np.uint32(1), out=step)
             np.bitwise_xor(step, np.uint32(seed >> np.uint64(32)), out=step)
-            keys[:, place] = mix64(keys[:, place] * np.uint64(0x9E3779B97F4A7C15) + np.minimum.reduceat(step, begin))
-    return keys.view(np.int64)
+            least = np.minimum.reduceat(step, begin)
+            low[:, place * ROWS + row] = least & np.uint32(0xFFFF)
+            keys[:, place] = mix64(keys[:, place] * np.uint64(0x9E3779B97F4A7C15) + least)
+    return keys.view(np.int64), low
 
 
 def _sketch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -77,18 +83,37 @@ def _sketch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             with np.errstate(over="ignore"):
                 sets = shingle_sets(texts)
                 full = [s for s in sets if len(s)]
-                keys = iter(half_keys(full) if full else ())
+                keys = iter(zip(*half_keys(full), strict=True) if full else ())
             rows = []
             for s in sets:
-                k = next(keys) if len(s) else np.empty(0, np.int64)
-                rows.append((len(s), hashlib.blake2b(s.tobytes(), digest_size=16).digest(), k[:HALF_KEYS], k[HALF_KEYS:]))
-            out = pd.DataFrame(rows, columns=["n_shingles", "fp", "half_a", "half_b"])
+                k, low = next(keys) if len(s) else (np.empty(0, np.int64), np.empty(0, np.uint16))
+                rows.append((len(s), hashlib.blake2b(s.tobytes(), digest_size=16).digest(), k[:HALF_KEYS], k[HALF_KEYS:], low.tobytes()))
+            out = pd.DataFrame(rows, columns=["n_shingles", "fp", "half_a", "half_b", "low"])
             part = batch.iloc[first : first + len(texts)]
             out.insert(0, "uid", part["uid"].to_numpy())
             out.insert(0, "doc_id", part["doc_id"].astype("Int64").array)
             yield out
 
 
+def _agreeing(percent: int):
+    n, p = 2 * HALF_KEYS * ROWS, percent / 100
+    least = max(0, int(n * p - 6 * (n * p * (1 - p)) ** 0.5))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            a, b = (np.frombuffer(b"".join(batch[c]), np.uint16).reshape(-1, n) for c in ("low_a", "low_b"))
+            yield batch.loc[(a == b).sum(axis=1) >= least, ["a", "b"]]
+
+    return run
+
+
+def agreeing(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose minhashes, ``low`` of ``sketches`` (uid, low), agree often enough for the threshold."""
+    one = pairs.join(sketches.select(F.col("uid").alias("a"), F.col("low").alias("low_a")), "a")
+    two = one.join(sketches.select(F.col("uid").alias("b"), F.col("low").alias("low_b")), "b")
+    return two.mapInPandas(_agreeing(percent), "a long, b long")
+
+
 def _verify(percent: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         last, kept = None, None
@@ -137,8 +162,12 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def _placed(members: DataFrame, labels: DataFrame) -> DataFrame:
-    """key, uid, label and the most frequent label (main) for the tables whose members lie in several components."""
+def _placed(members: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+    """key, uid, label and the most frequent label (main) for the tables whose members lie in several components. The
+    tables are divided by size: each member goes to two neighbouring classes of sizes, so that any two whose sizes
+    allow a link meet in one."""
+    like = F.floor(F.log("n_shingles") / (np.log(100 / percent) * 1.000001)) if percent < 100 else F.col("n_shingles")
+    members = members.withColumn("size", F.explode(F.array(like, like + 1))).withColumn("key", F.xxhash64("key", "size"))
     found = members.join(labels.select(F.col("node").alias("uid"), "label"), "uid", "left").select("key", "uid", F.coalesce("label", "uid").alias("label"))
     found = cut(found)
     counts = found.groupBy("key", "label").agg(F.count("*").alias("n"))
@@ -156,24 +185,28 @@ def _explode_sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield pd.DataFrame({"uid": np.repeat(part["uid"].to_numpy(), sizes), "label": np.repeat(part["label"].to_numpy(), sizes), "size": np.repeat(sizes, sizes), "token": np.concatenate(sets).view(np.int64)})
 
 
-def _prefix_pairs(apart: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of different components among ``apart`` (uid, label) that can be linked: with shingles in one order,
-    here the rarest first, two sets that are similar enough share one of the first ``n - ceil(n * percent / 100) + 1``.
-    Of each shingle only those outside its most frequent component are paired."""
-    one = texts.join(apart, "uid").dropDuplicates(["uid"])
-    tokens = cut(one.mapInPandas(_explode_sets, "uid long, label long, size long, token long"))
+def _prefix_pairs(apart: DataFrame, texts: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of different components among ``apart`` (uid, label) that share a table and can be linked: with
+    shingles in one order, here the rarest first, two sets that are similar enough share one of the first
+    ``n - ceil(n * percent / 100) + 1``, at places after which enough shingles are left. Of each shingle only those
+    outside its most frequent component are paired."""
+    tokens = cut(texts.join(apart, "uid").mapInPandas(_explode_sets, "uid long, label long, size long, token long"))
     seen = tokens.groupBy("token").agg(F.count("*").alias("df"), F.min("label").alias("low"), F.max("label").alias("high"))
-    ranked = tokens.join(cut(seen), "token").withColumn("n", F.row_number().over(Window.partitionBy("uid").orderBy("df", "token")))
-    first = ranked.where(f"n <= size - ceil(size * {percent} / 100.0) + 1 AND low < high").select("uid", "label", "size", "token")
+    ranked = tokens.join(seen, "token").withColumn("n", F.row_number().over(Window.partitionBy("uid").orderBy("df", "token")))
+    first = ranked.where(f"n <= size - ceil(size * {percent} / 100.0) + 1 AND low < high").select("uid", "label", "size", "token", "n")
     first = cut(first)
-    counts = first.groupBy("token", "label").agg(F.count("*").alias("n"))
-    mains = counts.groupBy("token").agg(F.max(F.struct("n", "label")).alias("m"), F.count("*").alias("labels")).where("labels > 1")
-    mains = cut(mains.select("token", F.col("m.label").alias("main")))
-    within = cut(first.join(mains, "token"))
-    left = within.where("label <> main").select("token", F.col("uid").alias("a"), F.col("label").alias("label_a"), F.col("size").alias("size_a"))
-    right = within.select("token", F.col("uid").alias("b"), F.col("label").alias("label_b"), F.col("size").alias("size_b"), (F.col("label") == F.col("main")).alias("inner"))
-    pairs = left.join(right, "token").where("label_a <> label_b AND (inner OR a < b)")
-    return pairs.where(f"100 * least(size_a, size_b) >= {percent} * greatest(size_a, size_b)").select("a", "b").distinct()
+    counts = first.groupBy("token", "label").agg(F.count("*").alias("m"))
+    mains = counts.groupBy("token").agg(F.max(F.struct("m", "label")).alias("m"), F.count("*").alias("labels")).where("labels > 1")
+    within = first.join(mains.select("token", F.col("m.label").alias("main")), "token").join(sketches.select("uid", "half_a", "half_b"), "uid")
+    within = cut(within)
+    left = within.where("label <> main").select("token", *(F.col(c).alias(f"{c}_l") for c in ("uid", "label", "size", "n", "half_a", "half_b")))
+    right = within.select("token", *(F.col(c).alias(f"{c}_r") for c in ("uid", "label", "size", "n", "half_a", "half_b")), (F.col("label") == F.col("main")).alias("inner"))
+    can = (
+        f"label_l <> label_r AND (inner OR uid_l < uid_r) AND 100 * least(size_l, size_r) >= {percent} * greatest(size_l, size_r)"
+        f" AND {100 + percent} * (least(n_l, n_r) + least(size_l - n_l, size_r - n_r)) >= {percent} * (size_l + size_r)"
+        " AND arrays_overlap(half_a_l, half_a_r) AND arrays_overlap(half_b_l, half_b_r)"
+    )
+    return left.join(right, "token").where(can).select(F.col("uid_l").alias("a"), F.col("uid_r").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
@@ -184,36 +217,37 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     kept; it links no others' ids. Other columns are ignored.
     """
     docs = _with_uid(docs.select("doc_id", "text"))
-    rows = cut(docs.mapInPandas(_sketch, "doc_id long, uid long, n_shingles long, fp binary, half_a array<long>, half_b array<long>"))
+    rows = cut(docs.mapInPandas(_sketch, "doc_id long, uid long, n_shingles long, fp binary, half_a array<long>, half_b array<long>, low binary"))
     full = rows.where("n_shingles > 0 AND doc_id IS NOT NULL")
-    classes = cut(full.groupBy("fp").agg(F.min(F.struct("doc_id", "uid", "n_shingles", "half_a", "half_b")).alias("c")).select("fp", "c.*"))
+    classes = cut(full.groupBy("fp").agg(F.min(F.struct("doc_id", "uid", "n_shingles", "half_a", "half_b", "low")).alias("c")).select("fp", "c.*"))
     pair_keys = F.expr("flatten(transform(half_a, a -> transform(half_b, b -> xxhash64(a, b))))")
     keyed = classes.select("uid", "n_shingles", F.explode(pair_keys).alias("key"))
     centres = cut(keyed.groupBy("key").agg(F.min("uid").alias("centre"), F.max("uid").alias("last")).where("centre < last").select("key", "centre"))
     members = keyed.join(centres, "key").select("key", "uid", "n_shingles", "centre")
     members = cut(members)
     stars = cut(members.where("uid <> centre").select(F.col("uid").alias("a"), F.col("centre").alias("b")).distinct())
-    ends = cut(stars.select(F.col("a").alias("uid")).union(stars.select(F.col("b").alias("uid"))).distinct())
-    texts = docs.join(ends, "uid", "left_semi").select("uid", "text")
-    done = cut(verified(stars, texts, percent))
-    links = done.where("linked").select("a", "b")
+    sketches = classes.select("uid", "half_a", "half_b", "low")
+    close = cut(agreeing(stars, sketches, percent))
+    ends = cut(members.select("uid").distinct())
+    texts = stored(docs.join(ends, "uid", "left_semi").groupBy("uid").agg(F.first("text").alias("text")), "candidates")
+    links = cut(verified(close, texts, percent).where("linked").select("a", "b"))
     labels = components(links)
 
     # tables whose members are not all in one component: their outer members meet some landmarks of the largest
-    placed = _placed(members, labels)
+    placed = _placed(members, labels, percent)
     marks = Window.partitionBy("key").orderBy("hash", "uid")
     landmarks = placed.where("label = main").withColumn("hash", F.xxhash64("uid")).withColumn("n", F.row_number().over(marks)).where(f"n <= {LANDMARKS}")
     more = placed.where("label <> main").select("key", F.col("uid").alias("a")).join(landmarks.select("key", F.col("uid").alias("b")), "key").select("a", "b").distinct()
-    more = cut(more.join(stars, ["a", "b"], "left_anti"))
+    more = cut(agreeing(more.join(stars, ["a", "b"], "left_anti"), sketches, percent))
     extra = cut(verified(more, texts, percent).where("linked").select("a", "b"))
     if extra.limit(1).count():
         links = cut(links.union(extra))
         labels = components(links)
-    # what is then still apart is joined exactly by prefixes of the sets
-    placed = _placed(members, labels)
+        placed = _placed(members, labels, percent)
+    # what is then still apart is joined by prefixes of the sets
     apart = cut(placed.select("uid", "label").distinct())
     if apart.limit(1).count():
-        rest = cut(_prefix_pairs(apart, texts, percent))
+        rest = cut(agreeing(_prefix_pairs(apart, texts, sketches, percent), sketches, percent))
         extra = cut(verified(rest, texts, percent).where("linked").select("a", "b"))
         if extra.limit(1).count():
             labels = components(links.union(extra))
