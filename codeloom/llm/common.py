@@ -28,9 +28,12 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint; Spark removes its files once nothing refers to them."""
+    """Cut the lineage with a reliable checkpoint. Spark removes the files of shuffles and checkpoints that nothing refers
+    to, but only when the driver collects garbage, so that is asked for here: jobs of many rounds need no more disk."""
     shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    out = df.checkpoint(eager=True)
+    df.sparkSession._jvm.System.gc()
+    return out
 
 
 def stored(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
