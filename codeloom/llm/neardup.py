@@ -186,24 +186,35 @@ def _explode_sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _prefix_pairs(apart: DataFrame, texts: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of different components among ``apart`` (uid, label) that share a table and can be linked: with
-    shingles in one order, here the rarest first, two sets that are similar enough share one of the first
-    ``n - ceil(n * percent / 100) + 1``, at places after which enough shingles are left. Of each shingle only those
-    outside its most frequent component are paired."""
+    """Pairs (a, b) of different components among ``apart`` (uid, label) that share a table and can be linked.
+
+    A shingle that lies in one component only cannot be in two sets that are still apart; ``own`` counts those of a set.
+    With shingles in one order, here these first and then the rarest, two sets that are similar enough share one of the
+    first ``n - ceil(n * percent / 100) + 1``, at places after which enough shingles are left. A set whose own shingles
+    fill that prefix is linked with nothing, and without it more shingles lie in one component, so that is done twice.
+    Of each shingle only those outside its most frequent component are paired."""
     tokens = cut(texts.join(apart, "uid").mapInPandas(_explode_sets, "uid long, label long, size long, token long"))
-    seen = tokens.groupBy("token").agg(F.count("*").alias("df"), F.min("label").alias("low"), F.max("label").alias("high"))
-    ranked = tokens.join(seen, "token").withColumn("n", F.row_number().over(Window.partitionBy("uid").orderBy("df", "token")))
-    first = ranked.where(f"n <= size - ceil(size * {percent} / 100.0) + 1 AND low < high").select("uid", "label", "size", "token", "n")
+    prefix = f"size - ceil(size * {percent} / 100.0) + 1"
+    for _ in range(2):
+        seen = tokens.groupBy("token").agg(F.count("*").alias("df"), (F.min("label") < F.max("label")).alias("shared"))
+        marked = cut(tokens.join(seen, "token"))
+        own = marked.groupBy("uid", "size").agg(F.count_if(~F.col("shared")).alias("own")).where(f"own < {prefix}").select("uid", "own")
+        tokens = cut(marked.join(own, "uid"))
+        kept, tokens = tokens, tokens.select("uid", "label", "size", "token")
+    # what the second round left out cannot be linked, so its counts stay good for the rest
+    order = Window.partitionBy("uid").orderBy("df", "token")
+    first = kept.where("shared").withColumn("n", F.row_number().over(order) + F.col("own")).where(f"n <= {prefix}").select("uid", "label", "size", "own", "token", "n")
     first = cut(first)
     counts = first.groupBy("token", "label").agg(F.count("*").alias("m"))
     mains = counts.groupBy("token").agg(F.max(F.struct("m", "label")).alias("m"), F.count("*").alias("labels")).where("labels > 1")
     within = first.join(mains.select("token", F.col("m.label").alias("main")), "token").join(sketches.select("uid", "half_a", "half_b"), "uid")
     within = cut(within)
-    left = within.where("label <> main").select("token", *(F.col(c).alias(f"{c}_l") for c in ("uid", "label", "size", "n", "half_a", "half_b")))
-    right = within.select("token", *(F.col(c).alias(f"{c}_r") for c in ("uid", "label", "size", "n", "half_a", "half_b")), (F.col("label") == F.col("main")).alias("inner"))
+    columns = ("uid", "label", "size", "own", "n", "half_a", "half_b")
+    left = within.where("label <> main").select("token", *(F.col(c).alias(f"{c}_l") for c in columns))
+    right = within.select("token", *(F.col(c).alias(f"{c}_r") for c in columns), (F.col("label") == F.col("main")).alias("inner"))
     can = (
         f"label_l <> label_r AND (inner OR uid_l < uid_r) AND 100 * least(size_l, size_r) >= {percent} * greatest(size_l, size_r)"
-        f" AND {100 + percent} * (least(n_l, n_r) + least(size_l - n_l, size_r - n_r)) >= {percent} * (size_l + size_r)"
+        f" AND {100 + percent} * (least(n_l - own_l, n_r - own_r) + least(size_l - n_l, size_r - n_r)) >= {percent} * (size_l + size_r)"
         " AND arrays_overlap(half_a_l, half_a_r) AND arrays_overlap(half_b_l, half_b_r)"
     )
     return left.join(right, "token").where(can).select(F.col("uid_l").alias("a"), F.col("uid_r").alias("b")).distinct()
