@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from codeloom.functions import text as fn
-from codeloom.operators import checks, graph, lineage, scene, source
+from codeloom.operators import checks, graph, ingest, lineage, scene, source
 from codeloom.sources.tables import Graph, with_clause
 
 QUERY = "Part1"
@@ -354,6 +354,35 @@ def source_snippet(g):
     return g.base("documents").select("doc_id", source.snippet(F.col("text"), F.lit(1), F.lit(1), 1).alias("snippet"))
 
 
+_FACTS = """(SELECT concat('Game.Customer', c_custkey) AS owner, concat('Game.Customer', c_custkey, '::Order', o_orderkey) AS member, o_orderkey, c_nationkey FROM customer JOIN orders ON o_custkey = c_custkey)"""
+_KEY = "concat('game:installed:', {}, ':', {})"
+
+
+@_query(f"""SELECT {_KEY.format("'Type'", 'owner')} AS source_key, 'Inherits' AS relationship_kind, concat('Game.Nation', c_nationkey) AS target_text, CAST(NULL AS VARCHAR) AS target_key, 'Metadata' AS evidence FROM {_FACTS} WHERE c_nationkey % 2 = 0 GROUP BY owner, c_nationkey
+ UNION ALL SELECT {_KEY.format("'Method'", 'member')}, 'ParameterType', owner, {_KEY.format("'Type'", 'owner')}, 'Metadata' FROM {_FACTS}
+ UNION ALL SELECT {_KEY.format("'Method'", 'member')}, 'ReturnType', 'System.Int32', NULL, 'Metadata' FROM {_FACTS} WHERE o_orderkey % 3 = 0
+ UNION ALL SELECT {_KEY.format("'Method'", 'f.member')}, 'Calls', concat('Game.Part', l_partkey, '::Make'), NULL, 'RecoveredIL' FROM {_FACTS} f JOIN lineitem ON l_orderkey = f.o_orderkey""")
+def edge_extraction(g):
+    calls = g.base("lineitem").groupBy("l_orderkey").agg(F.expr("collect_list(struct('Calls' AS kind, concat('Game.Part', l_partkey, '::Make') AS target)) AS references"))
+    facts = g.base("customer").join(g.base("orders"), F.col("o_custkey") == F.col("c_custkey")).join(calls, F.col("l_orderkey") == F.col("o_orderkey"), "left")
+    member = F.expr("""struct(concat('Game.Customer', c_custkey, '::Order', o_orderkey) AS name, 'Method' AS kind, CAST(NULL AS STRING) AS value_type, array(concat('Game.Customer', c_custkey)) AS parameter_types,
+     CASE WHEN o_orderkey % 3 = 0 THEN 'System.Int32' ELSE 'System.Void' END AS return_type, references)""")
+    types = facts.groupBy("c_custkey", "c_nationkey").agg(F.collect_list(member).alias("members")).selectExpr(
+        "concat('Game.Customer', c_custkey) AS full_name", "CASE WHEN c_nationkey % 2 = 0 THEN concat('Game.Nation', c_nationkey) ELSE 'System.Object' END AS base_type", "CAST(array() AS array<string>) AS interfaces", "members")
+    return ingest.extract_edges(types, "game:installed")
+
+
+@_query("""SELECT p_partkey, CASE WHEN p_size % 7 = 0 THEN 'ExactBinary' WHEN p_size <= 10 THEN 'ExactReviewedTag' WHEN p_partkey % 4 = 0 THEN 'ExactSourceCommit' WHEN p_size <= 30 THEN 'SemanticVersion' ELSE 'Unmatched' END AS match,
+ CASE WHEN p_size % 7 = 0 THEN concat('b', p_partkey) WHEN p_size <= 10 THEN concat('t', p_size) WHEN p_partkey % 4 = 0 THEN concat('e', p_partkey) WHEN p_size <= 30 THEN concat('v', p_size) END AS commit FROM part""")
+def upstream_match(g):
+    part = g.base("part")
+    installed = part.selectExpr("p_partkey", "sha2(CAST(p_partkey AS STRING), 256) AS binary_sha256", "CAST(p_size AS STRING) AS version", "CASE WHEN p_partkey % 4 = 0 THEN concat('e', p_partkey) ELSE ' ' END AS embedded_commit")
+    hashes = part.where("p_size % 7 = 0").selectExpr("sha2(CAST(p_partkey AS STRING), 256) AS name", "concat('b', p_partkey) AS commit")
+    sizes = part.select("p_size").distinct()
+    tags, versions = (sizes.where(f"p_size <= {n}").selectExpr("CAST(p_size AS STRING) AS name", f"concat('{c}', p_size) AS commit") for c, n in (("t", 10), ("v", 30)))
+    return ingest.upstream_match(installed, hashes, tags, versions).select("p_partkey", "match", "commit")
+
+
 @_query(None)
 def search_index_json(g):
     rows = g.symbols.where("k = 0").select("kind", "qualified_name", "signature", "canonical_key", "symbol_id")
