@@ -3,8 +3,9 @@
 Classic banding needs ``tables * rows`` minhashes a document. Here two small collections of half-keys are
 sketched, and every pair of one half-key from each collection names a table: ``half * half`` tables come from
 only ``2 * half * rows`` minhashes, about the square root of the work. A pair of documents meets in some table
-exactly when it shares a half-key in both collections; at the threshold of 0.85 with 10 + 10 half-keys of three
-minhashes each that fails with a probability of 1.5e-4, and much less for closer pairs.
+exactly when it shares a half-key in both collections. There are as many half-keys of three minhashes each as make that
+fail with a probability of at most 1.5e-4 at the threshold, and much less for closer pairs: 10 + 10 at 0.85, 14 + 14 at
+0.80.
 
 Candidates must agree in a number of minhashes that is six standard deviations below what the threshold predicts,
 which a pair at the threshold misses with a probability below 1e-7, and are then verified on the full shingle sets.
@@ -27,11 +28,19 @@ from pyspark.sql import functions as F
 from .common import chunks, cut, mix64, stored, word_hashes
 
 SHINGLE = 5
-HALF_KEYS = 10
+HALF_KEYS = 10  # of each collection, at least; a pass opens the tables of as many
+MISS = 1.5e-4  # probability that a pair at the threshold shares no table, at most
 ROWS = 3
 LANDMARKS = 8
 _FACTORS = mix64(np.arange(1, SHINGLE + 1, dtype=np.uint64)) | np.uint64(1)
-_SEEDS = mix64(np.arange(1000, 1000 + 2 * HALF_KEYS * ROWS, dtype=np.uint64)) | np.uint64(1)
+
+
+def half_keys_at(percent: int) -> int:
+    """Half-keys of a collection that miss a pair at the threshold with a probability of at most ``MISS``."""
+    count = HALF_KEYS
+    while 2 * (1 - (percent / 100) ** ROWS) ** count > MISS:
+        count += 1
+    return count
 
 
 def shingle_sets(texts: list[bytes]) -> list[np.ndarray]:
@@ -57,18 +66,19 @@ def shingle_sets(texts: list[bytes]) -> list[np.ndarray]:
     return out
 
 
-def half_keys(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+def half_keys(sets: list[np.ndarray], count: int = HALF_KEYS) -> tuple[np.ndarray, np.ndarray]:
     """Half-keys of non-empty sets, one row each, first those of collection A and then of B: ``ROWS`` minhashes, hashed
     with their place; and the low 16 bits of each minhash. The minhashes are minima of random linear permutations of
     32-bit codes."""
     codes = (np.concatenate(sets) >> np.uint64(32)).astype(np.uint32)
     begin = np.cumsum([0] + [len(s) for s in sets])[:-1]
     step = np.empty_like(codes)
-    keys = np.tile(np.arange(2 * HALF_KEYS, dtype=np.uint64), (len(sets), 1))
-    low = np.empty((len(sets), 2 * HALF_KEYS * ROWS), np.uint16)
-    for place in range(2 * HALF_KEYS):
+    seeds = mix64(np.arange(1000, 1000 + 2 * count * ROWS, dtype=np.uint64)) | np.uint64(1)
+    keys = np.tile(np.arange(2 * count, dtype=np.uint64), (len(sets), 1))
+    low = np.empty((len(sets), 2 * count * ROWS), np.uint16)
+    for place in range(2 * count):
         for row in range(ROWS):
-            seed = _SEEDS[place * ROWS + row]
+            seed = seeds[place * ROWS + row]
             np.multiply(codes, np.uint32(seed & np.uint64(0xFFFFFFFF)) | np.uint32(1), out=step)
             np.bitwise_xor(step, np.uint32(seed >> np.uint64(32)), out=step)
             least = np.minimum.reduceat(step, begin)
@@ -77,26 +87,29 @@ def half_keys(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return keys.view(np.int64), low
 
 
-def _sketch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        for first, texts in chunks(batch["text"].tolist()):
-            with np.errstate(over="ignore"):
-                sets = shingle_sets(texts)
-                full = [s for s in sets if len(s)]
-                keys = iter(zip(*half_keys(full), strict=True) if full else ())
-            rows = []
-            for s in sets:
-                k, low = next(keys) if len(s) else (np.empty(0, np.int64), np.empty(0, np.uint16))
-                rows.append((len(s), hashlib.blake2b(s.tobytes(), digest_size=16).digest(), k[:HALF_KEYS], k[HALF_KEYS:], low.tobytes()))
-            out = pd.DataFrame(rows, columns=["n_shingles", "fp", "half_a", "half_b", "low"])
-            part = batch.iloc[first : first + len(texts)]
-            out.insert(0, "uid", part["uid"].to_numpy())
-            out.insert(0, "doc_id", part["doc_id"].astype("Int64").array)
-            yield out
+def _sketch(count: int):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for first, texts in chunks(batch["text"].tolist()):
+                with np.errstate(over="ignore"):
+                    sets = shingle_sets(texts)
+                    full = [s for s in sets if len(s)]
+                    keys = iter(zip(*half_keys(full, count), strict=True) if full else ())
+                rows = []
+                for s in sets:
+                    k, low = next(keys) if len(s) else (np.empty(0, np.int64), np.empty(0, np.uint16))
+                    rows.append((len(s), hashlib.blake2b(s.tobytes(), digest_size=16).digest(), k[:count], k[count:], low.tobytes()))
+                out = pd.DataFrame(rows, columns=["n_shingles", "fp", "half_a", "half_b", "low"])
+                part = batch.iloc[first : first + len(texts)]
+                out.insert(0, "uid", part["uid"].to_numpy())
+                out.insert(0, "doc_id", part["doc_id"].astype("Int64").array)
+                yield out
+
+    return run
 
 
 def _agreeing(percent: int):
-    n, p = 2 * HALF_KEYS * ROWS, percent / 100
+    n, p = 2 * half_keys_at(percent) * ROWS, percent / 100
     least = max(0, int(n * p - 6 * (n * p * (1 - p)) ** 0.5))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -228,14 +241,17 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     kept; it links no others' ids. Other columns are ignored.
     """
     docs = _with_uid(docs.select("doc_id", "text"))
-    rows = cut(docs.mapInPandas(_sketch, "doc_id long, uid long, n_shingles long, fp binary, half_a array<long>, half_b array<long>, low binary"))
+    count = half_keys_at(percent)
+    rows = cut(docs.mapInPandas(_sketch(count), "doc_id long, uid long, n_shingles long, fp binary, half_a array<long>, half_b array<long>, low binary"))
     full = rows.where("n_shingles > 0 AND doc_id IS NOT NULL")
     classes = cut(full.groupBy("fp").agg(F.min(F.struct("doc_id", "uid", "n_shingles", "half_a", "half_b", "low")).alias("c")).select("fp", "c.*"))
-    pair_keys = F.expr("flatten(transform(half_a, a -> transform(half_b, b -> xxhash64(a, b))))")
-    keyed = classes.select("uid", "n_shingles", F.explode(pair_keys).alias("key"))
-    centres = cut(keyed.groupBy("key").agg(F.min("uid").alias("centre"), F.max("uid").alias("last")).where("centre < last").select("key", "centre"))
-    members = keyed.join(centres, "key").select("key", "uid", "n_shingles", "centre")
-    members = cut(members)
+    members, step = None, max(1, HALF_KEYS * HALF_KEYS // count)
+    for low in range(1, count + 1, step):  # some tables at a time, so their rows need no more disk when there are more
+        pair_keys = F.expr(f"flatten(transform(slice(half_a, {low}, {step}), a -> transform(half_b, b -> xxhash64(a, b))))")
+        keyed = classes.select("uid", "n_shingles", F.explode(pair_keys).alias("key"))
+        centres = cut(keyed.groupBy("key").agg(F.min("uid").alias("centre"), F.max("uid").alias("last")).where("centre < last").select("key", "centre"))
+        opened = cut(keyed.join(centres, "key").select("key", "uid", "n_shingles", "centre"))
+        members = opened if members is None else members.union(opened)
     stars = cut(members.where("uid <> centre").select(F.col("uid").alias("a"), F.col("centre").alias("b")).distinct())
     sketches = classes.select("uid", "half_a", "half_b", "low")
     close = cut(agreeing(stars, sketches, percent))

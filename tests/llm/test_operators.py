@@ -297,6 +297,32 @@ def test_near_duplicates_of_odd_rows(spark, odd):
     assert neardup.keep_one(odd.limit(0)).count() == 0
 
 
+def kept_at(rows, percent):
+    """Ids that stay, by comparing all pairs of shingle sets."""
+    sets = {i: {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} for i, t in rows if (w := (t or "").encode().lower().split())}
+    label = {i: i for i, _ in rows}
+    pairs = [(a, b) for a, b in itertools.combinations(sets, 2) if 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b])]
+    while any(label[a] != label[b] for a, b in pairs):
+        for a, b in pairs:
+            label[a] = label[b] = min(label[a], label[b])
+    return {i for i, k in label.items() if i == k}
+
+
+def test_stage_links_from_080(spark):
+    assert neardup.half_keys_at(85) == 10 and neardup.half_keys_at(80) == 14
+    rng, rows = random.Random(5), []
+    for i in range(40):  # a text, and a copy with one inner word changed: 5 of its shingles go, 5 come
+        w = [f"w{rng.randint(0, 10**6)}" for _ in range(rng.randint(34, 74))]
+        c = list(w)
+        c[len(c) // 2] = f"z{i}"
+        rows += [(2 * i, " ".join(w)), (2 * i + 1, " ".join(c))]
+    docs = frame(spark, [t for _, t in rows])
+    stage = {r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, DATA).collect()}
+    assert stage == kept_at(rows, 80) and stage < kept_at(rows, 85) and len(stage) > 40
+    small = table(spark, DATA, "documents")
+    assert {r.doc_id for r in corpus_pipeline.near_dedup(spark, small, DATA).collect()} == kept_at([(r.doc_id, r.text) for r in small.collect()], 80)
+
+
 # ---- pipeline ----
 
 
