@@ -29,6 +29,8 @@ STEPS = 40
 LEXICON = 20_000  # words in the lexicon at most
 BLOCK = 32
 SEED = 11
+LOWEST = 0.005  # share of the labelled held-out texts that the thresholds are below, with a margin
+MARGIN = 0.85
 UNDETERMINED = "und"
 _WORD_BYTE = np.zeros(256, bool)
 _WORD_BYTE[97:123] = True
@@ -163,17 +165,22 @@ class Model:
 
     def __init__(self, labels: list[str], weights: np.ndarray, steps: np.ndarray, lexicon: tuple[np.ndarray, np.ndarray]):
         self.labels, self.weights, self.steps, self.lexicon = labels, weights, steps, lexicon
+        self.seen = np.any(weights != 0, axis=1)
 
     def marginals(self, texts: list[bytes]):
-        """Marginals of all words of some lower-case texts, and the first word of each text."""
+        """Marginals of all words of some lower-case texts, the first word of each text, and the share of each word's
+        features that the training sample has."""
         raw, begin, end, at = spans(texts)
         if not len(begin):
-            return np.zeros((0, len(self.labels))), at
+            return np.zeros((0, len(self.labels))), at, np.zeros(0)
         with np.errstate(over="ignore"):
             hashes, first, inverse = distinct_words(raw, begin, end)
-            s = scores(self.weights, features(raw, begin[first], end[first], self.lexicon, hashes))
+            found = features(raw, begin[first], end[first], self.lexicon, hashes)
+        s = scores(self.weights, found)
         factor = np.exp(np.maximum(s - s.max(axis=1, keepdims=True), -30.0))[inverse]
-        return chain(factor, at[:-1], at[1:], np.exp(self.steps)), at
+        own = found[:, :-1]  # the last one is there in every word
+        known = np.count_nonzero(self.seen[own], axis=1) / np.count_nonzero(own, axis=1)
+        return chain(factor, at[:-1], at[1:], np.exp(self.steps)), at, known[inverse]
 
 
 def train(samples: list[tuple[str, str]], steps: int = STEPS, seed: int = SEED) -> Model:
@@ -238,25 +245,30 @@ def train(samples: list[tuple[str, str]], steps: int = STEPS, seed: int = SEED)
     return Model(labels, weights.astype(np.float32), between, lexicon)
 
 
-def fit(docs: DataFrame, per_lang: int = SAMPLE_PER_LANG) -> Model:
-    """Train on about ``per_lang`` documents of each language, chosen by a hash of the text, from rows of ``docs``
+def _sample(docs: DataFrame, per_lang: int) -> list[tuple[str, str]]:
+    """(text, lang) of about ``per_lang`` documents of each language, chosen by a hash of the text, from rows of ``docs``
     (text, lang) with neither null. The bound is a parameter; languages are labels, so few."""
     rows = docs.where("lang IS NOT NULL AND text IS NOT NULL").select("text", "lang")
     counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not counts:
-        return train([])
+        return []
     share = F.create_map(*(F.lit(x) for lang, n in sorted(counts.items()) for x in (lang, min(1.0, per_lang / n))))
     drawn = F.pmod(F.xxhash64("text", F.lit(SEED)), F.lit(1_000_000)) < share[F.col("lang")] * 1_000_000
     sample = rows.where(drawn).limit(2 * per_lang * len(counts)).toPandas()
-    return train(list(zip(sample["text"], sample["lang"], strict=True)))
+    return list(zip(sample["text"], sample["lang"], strict=True))
+
 
+def fit(docs: DataFrame, per_lang: int = SAMPLE_PER_LANG) -> Model:
+    """Train on the sample of ``docs``."""
+    return train(_sample(docs, per_lang))
 
-def _labeller(model):
+
+def _labeller(model, with_known: bool = False):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         m = model.value
         for batch in batches:
             for first, texts in chunks([t.lower() if t else t for t in batch["text"]]):
-                marginals, at = m.marginals(texts)
+                marginals, at, known = m.marginals(texts)
                 sums = np.concatenate([np.zeros((1, marginals.shape[1])), np.cumsum(marginals, axis=0)])
                 shares = sums[at[1:]] - sums[at[:-1]]
                 best = marginals.argmax(axis=1) if len(marginals) else np.empty(0, int)
@@ -273,6 +285,9 @@ def _labeller(model):
                         k = int(shares[i].argmax())
                         rows.append((m.labels[k], float(min(1.0, shares[i, k] / n)), n, int(turn[at[i + 1]] - turn[at[i] + 1])))
                 out = pd.DataFrame(rows, columns=["lang_pred", "score", "n_words", "n_switches"])
+                if with_known:
+                    sums = np.concatenate([[0.0], np.cumsum(known)])
+                    out["known"] = (sums[at[1:]] - sums[at[:-1]]) / np.maximum(1, np.diff(at))
                 out.insert(0, "uid", part["uid"].to_numpy())
                 out.insert(0, "doc_id", part["doc_id"].astype("Int64").array)
                 yield out
@@ -301,21 +316,49 @@ def identify(docs: DataFrame) -> DataFrame:
     return label(docs, model)
 
 
-def _rejector(model, columns: list[str], least: float):
-    inner = _labeller(model)
+def thresholds(docs: DataFrame, model: Model, per_lang: int = SAMPLE_PER_LANG) -> tuple[float, float]:
+    """Least score, and least share of known features, of a text with a language: so far below what nearly all of a sample
+    of labelled held-out rows have that such texts pass. A score of a half is always enough. Zeros without labels."""
+    texts = [t for t, _ in _sample(docs.where(held_out()), per_lang)]
+    if len(model.labels) < 2 or not texts:
+        return 0.0, 0.0
+    named = pd.DataFrame({"doc_id": 0, "text": texts, "uid": 0})
+    found = pd.concat(_labeller(_Local(model), True)([named]))
+    found = found[found["lang_pred"] != UNDETERMINED]
+    if not len(found):
+        return 0.0, 0.0
+    score, known = (float(np.quantile(found[c], LOWEST)) for c in ("score", "known"))
+    chance = 1 / len(model.labels)
+    return min(0.5, chance + (1 - MARGIN) * max(0.0, score - chance)), MARGIN * known
+
+
+class _Local:
+    """A value on the driver where tasks have a broadcast one."""
+
+    def __init__(self, value):
+        self.value = value
+
+
+def _rejector(model, columns: list[str], least: float, least_known: float):
+    inner = _labeller(model, True)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             named = pd.DataFrame({"doc_id": batch["doc_id"], "text": batch["text"], "uid": 0})
-            found = pd.concat(list(inner([named])), ignore_index=True) if len(named) else named.assign(lang_pred="", score=0.0)
-            keep = (found["lang_pred"] != UNDETERMINED) & (found["score"] >= least)
+            found = pd.concat(list(inner([named])), ignore_index=True) if len(named) else named.assign(lang_pred="", score=0.0, known=0.0)
+            keep = (found["lang_pred"] != UNDETERMINED) & (found["score"] >= least) & (found["known"] >= least_known)
             yield batch[keep.to_numpy()][columns]
 
     return run
 
 
-def keep_identified(docs: DataFrame, least: float = 0.0) -> DataFrame:
-    """The rows of ``docs`` whose language is determined with a score of at least ``least``, with all columns unchanged."""
+def keep_identified(docs: DataFrame, least: float | None = None) -> DataFrame:
+    """The rows of ``docs`` whose language is determined, with all columns unchanged: their score is at least ``least``, or
+    else what the labelled held-out fold gives, and enough of their words' features are known. Without any label to learn
+    from nothing can be decided, and all rows stay."""
     model = fit(docs.where(~held_out()))
+    if not model.labels:
+        return docs
+    score, known = thresholds(docs, model)
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    return docs.mapInPandas(_rejector(shared, docs.columns, least), docs.schema)
+    return docs.mapInPandas(_rejector(shared, docs.columns, score if least is None else least, known), docs.schema)

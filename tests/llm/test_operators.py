@@ -258,6 +258,21 @@ def test_languages_held_out(spark, odd):
     assert langid.label(odd, langid.fit(odd.limit(0))).where("lang_pred <> 'und'").count() == 0
 
 
+def test_unidentifiable_texts_go(spark):
+    rng, docs = random.Random(6), table(spark, "/root/testdata/sf0.01", "documents")
+    noise = [" ".join("".join(rng.choice("bcdfghjklmnpqrstvwxz") for _ in range(rng.randint(3, 9))) for _ in range(n)) for n in (1, 5, 80, 900)]
+    junk = [*noise, "qqq zzz xxx jjj", "x", "Привет мир", "12 34", "".join(rng.choice("0123456789abcdefghijklmnopqrstuvwxyz+/") for _ in range(400))]
+    rows = [(-1 - i, t, None, "s", len(t)) for i, t in enumerate(junk)]
+    both = docs.unionByName(spark.createDataFrame(rows, DOC))
+    kept = {r.doc_id for r in langid.keep_identified(both).collect()}
+    ids = {r.doc_id for r in docs.select("doc_id").collect()}
+    assert not [i for i in kept if i < 0] and len(ids - kept) <= 0.002 * len(ids)
+    unlabelled = docs.withColumn("lang", F.lit(None).cast("string"))
+    assert langid.keep_identified(unlabelled).count() == len(ids)
+    only_held = docs.withColumn("lang", F.when(langid.held_out(), F.col("lang")))
+    assert langid.keep_identified(only_held).count() == len(ids)
+
+
 # ---- near duplicates ----
 
 
