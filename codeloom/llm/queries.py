@@ -2,17 +2,22 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import brown, langid, mixing, neardup, packing, pii, quality, topk, warc, webp
 from .common import stored, table
 
 
+def _fixed_of(spans: str, kind: str) -> Column:
+    """How many of the spans were found by the fixed pattern of a kind."""
+    return F.size(F.filter(spans, lambda s: s["fixed"] & (s["kind"] == kind))).cast("long")
+
+
 def op1_semi_markov_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = pii.find(docs, pii.fit(docs))
-    counts = [F.size(F.filter("found", lambda s, k=k: s["fixed"] & (s["kind"] == k))).cast("long").alias(f"n_{k}") for k in pii.BASE]
+    counts = [_fixed_of("found", k).alias(f"n_{k}") for k in pii.BASE]
     return found.select("doc_id", *counts, F.sha2(F.col("base").cast("binary"), 256).alias("base_sha256"), "spans")
 
 
