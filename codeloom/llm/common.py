@@ -17,9 +17,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where the session names none."""
+    """The folder that driver and executors share, ``spark.checkpoint.dir``. Only a session in one process may lack it,
+    as in tests: it gets a temporary folder; elsewhere other machines would not see that, so it is refused."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         path = tempfile.mkdtemp(prefix="codeloom-")
         spark.conf.set("spark.checkpoint.dir", path)
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
@@ -28,20 +31,42 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint. Spark removes the files of shuffles and checkpoints that nothing refers
-    to, but only when the driver collects garbage, so that is asked for here: jobs of many rounds need no more disk."""
+    """Cut the lineage with a reliable checkpoint."""
     shared_dir(df.sparkSession)
-    out = df.checkpoint(eager=True)
-    df.sparkSession._jvm.System.gc()
-    return out
+    return df.checkpoint(eager=True)
+
+
+class Scratch:
+    """Intermediate tables of one job, as Parquet in the shared folder. Each write ends its lineage: Spark then removes
+    the shuffle files of the write, and a lost executor costs nothing that was written."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.folder = spark, f"{shared_dir(spark)}/scratch-{uuid.uuid4().hex}"
+        self.paths: dict[int, str] = {}
+
+    def put(self, df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
+        path, key = f"{self.folder}/{name}-{len(self.paths)}", "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+        before = self.spark.conf.get(key, "false")
+        self.spark.conf.set(key, "true")
+        try:
+            df.write.option("compression", compression).parquet(path)
+        finally:
+            self.spark.conf.set(key, before)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        self.paths[id(out)] = path
+        out._scratch = self  # keeps the id in use
+        return out
+
+    def drop(self, *frames: DataFrame) -> None:
+        """Remove tables that no later read needs."""
+        for df in frames:
+            path = self.spark._jvm.org.apache.hadoop.fs.Path(self.paths[id(df)])
+            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def stored(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
-    """Write a table to the shared folder as Parquet and read it again: for wide rows, which pack better so."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", compression).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    """Write a table to the shared folder as Parquet and read it again."""
+    return Scratch(df.sparkSession).put(df, name, compression)
 
 
 def remainder(column: str, modulus: int) -> Column:

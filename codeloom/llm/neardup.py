@@ -5,7 +5,8 @@ sketched, and every pair of one half-key from each collection names a table: ``h
 only ``2 * half * rows`` minhashes, about the square root of the work. A pair of documents meets in some table
 exactly when it shares a half-key in both collections. There are as many half-keys of three minhashes each as make that
 fail with a probability of at most 1.5e-4 at the threshold, and much less for closer pairs: 10 + 10 at 0.85, 14 + 14 at
-0.80.
+0.80. Half-keys that one document has alone are left out before they are paired, so only documents that resemble another
+open tables.
 
 Candidates must agree in a number of minhashes that is six standard deviations below what the threshold predicts,
 which a pair at the threshold misses with a probability below 1e-7, and are then verified on the full shingle sets.
@@ -22,13 +23,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import chunks, cut, mix64, stored, word_hashes
+from .common import Scratch, chunks, mix64, word_hashes
 
 SHINGLE = 5
-HALF_KEYS = 10  # of each collection, at least; a pass opens the tables of as many
+HALF_KEYS = 10  # of each collection, at least
 MISS = 1.5e-4  # probability that a pair at the threshold shares no table, at most
 ROWS = 3
 LANDMARKS = 8
@@ -98,8 +99,8 @@ def _sketch(count: int):
                 rows = []
                 for s in sets:
                     k, low = next(keys) if len(s) else (np.empty(0, np.int64), np.empty(0, np.uint16))
-                    rows.append((len(s), hashlib.blake2b(s.tobytes(), digest_size=16).digest(), k[:count], k[count:], low.tobytes()))
-                out = pd.DataFrame(rows, columns=["n_shingles", "fp", "half_a", "half_b", "low"])
+                    rows.append((len(s), hashlib.blake2b(s.tobytes(), digest_size=16).digest(), k, low.tobytes()))
+                out = pd.DataFrame(rows, columns=["n_shingles", "fp", "half", "low"])
                 part = batch.iloc[first : first + len(texts)]
                 out.insert(0, "uid", part["uid"].to_numpy())
                 out.insert(0, "doc_id", part["doc_id"].astype("Int64").array)
@@ -108,6 +109,14 @@ def _sketch(count: int):
     return run
 
 
+def _sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        for first, texts in chunks(batch["text"].tolist()):
+            with np.errstate(over="ignore"):
+                sets = shingle_sets(texts)
+            yield pd.DataFrame({"cid": batch["cid"].to_numpy()[first : first + len(texts)], "items": [s.tobytes() for s in sets]})
+
+
 def _agreeing(percent: int):
     n, p = 2 * half_keys_at(percent) * ROWS, percent / 100
     least = max(0, int(n * p - 6 * (n * p * (1 - p)) ** 0.5))
@@ -120,117 +129,139 @@ def _agreeing(percent: int):
     return run
 
 
-def agreeing(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose minhashes, ``low`` of ``sketches`` (uid, low), agree often enough for the threshold."""
-    one = pairs.join(sketches.select(F.col("uid").alias("a"), F.col("low").alias("low_a")), "a")
-    two = one.join(sketches.select(F.col("uid").alias("b"), F.col("low").alias("low_b")), "b")
-    return two.mapInPandas(_agreeing(percent), "a long, b long")
-
-
 def _verify(percent: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        last, kept = None, None
         for batch in batches:
-            out = []
-            for first, texts in chunks(batch["text_a"].tolist()):
-                with np.errstate(over="ignore"):
-                    for i, s in enumerate(shingle_sets(texts), first):
-                        b = batch["b"].iat[i]
-                        if b != last:
-                            last, kept = b, shingle_sets([batch["text_b"].iat[i].encode("utf-8", "surrogatepass").lower()])[0]
-                        both = len(np.intersect1d(s, kept, assume_unique=True))
-                        either = len(s) + len(kept) - both
-                        out.append((batch["a"].iat[i], b, 1.0 - both / either, 100 * both >= percent * either))
-            yield pd.DataFrame(out, columns=["a", "b", "distance", "linked"])
+            keep = np.zeros(len(batch), bool)
+            for i, (one, two) in enumerate(zip(batch["items_a"], batch["items_b"], strict=True)):
+                s, t = np.frombuffer(one, np.uint64), np.frombuffer(two, np.uint64)
+                if len(s) > len(t):
+                    s, t = t, s
+                at = np.searchsorted(t, s)
+                both = int(np.count_nonzero(t[np.minimum(at, len(t) - 1)] == s))
+                keep[i] = 100 * both >= percent * (len(s) + len(t) - both)
+            yield batch.loc[keep, ["a", "b"]]
 
     return run
 
 
-def _with_uid(docs: DataFrame) -> DataFrame:
-    """Rows with the same uid are repeats of one row (same id and text)."""
-    return docs.withColumn("uid", F.xxhash64("doc_id", "text"))
-
+def linked(pairs: DataFrame, classes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that are links: those whose minhashes agree often enough are compared by their full sets. b may be
+    one centre of very many pairs: the joins meet exchanges on both sides, so Spark can split that key."""
+    for column, frame, how in (("low", classes, _agreeing(percent)), ("items", sets, _verify(percent))):
+        for side in ("a", "b"):
+            pairs = pairs.join(frame.select(F.col("cid").alias(side), F.col(column).alias(f"{column}_{side}")), side)
+        pairs = pairs.mapInPandas(how, "a long, b long")
+    return pairs
 
-def verified(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
-    """(a, b, distance, linked) of each pair from the full shingle sets. b may be one centre of very many pairs: the
-    joins meet exchanges on both sides, so Spark can split that key."""
-    one = pairs.join(texts.select(F.col("uid").alias("a"), F.col("text").alias("text_a")), "a")
-    two = one.join(texts.select(F.col("uid").alias("b"), F.col("text").alias("text_b")), "b")
-    return two.select("a", "b", "text_a", "text_b").mapInPandas(_verify(percent), "a long, b long, distance double, linked boolean")
 
+def components(links: DataFrame, scratch: Scratch, labels: DataFrame | None = None) -> DataFrame:
+    """(node, label) of each node of the links (a, b) and of the former ``labels``, which the links join further.
 
-def components(links: DataFrame) -> DataFrame:
-    """(node, label): the smallest node that each node of (a, b) reaches. Minimum labels spread over links and then
-    jump through labels, so chains halve at each round; every round is cut by a checkpoint."""
-    edges = cut(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = cut(edges.groupBy(F.col("a").alias("node")).agg(F.least(F.min("a"), F.min("b")).alias("label")))
+    In each round a node and its neighbours are contracted into the least of them, in an order that changes with the
+    round, so long chains shrink by a constant factor; links inside one node go, and no links end the rounds."""
+    edges = links
+    if labels is not None:
+        for side in ("a", "b"):
+            name = labels.select(F.col("node").alias(side), "label")
+            edges = edges.join(name, side, "left").withColumn(side, F.coalesce("label", side)).drop("label")
+    merged, turn = None, 0
     while True:
-        near = edges.join(labels.select(F.col("node").alias("b"), "label"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
-        lower = cut(labels.join(near, "node").select("node", F.least("label", "near").alias("label"), F.col("label").alias("was")))
-        jump = lower.select(F.col("node").alias("label"), F.col("label").alias("over"))
-        after = cut(lower.join(jump, "label", "left").select("node", F.least("label", F.coalesce("over", "label")).alias("label"), "was"))
-        moved = after.where("label <> was").limit(1).count()
-        labels = after.select("node", "label")
-        if not moved:
-            return labels
-
-
-def _placed(members: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
-    """key, uid, label and the most frequent label (main) for the tables whose members lie in several components. The
-    tables are divided by size: each member goes to two neighbouring classes of sizes, so that any two whose sizes
-    allow a link meet in one."""
-    like = F.floor(F.log("n_shingles") / (np.log(100 / percent) * 1.000001)) if percent < 100 else F.col("n_shingles")
-    members = members.withColumn("size", F.explode(F.array(like, like + 1))).withColumn("key", F.xxhash64("key", "size"))
-    found = members.join(labels.select(F.col("node").alias("uid"), "label"), "uid", "left").select("key", "uid", F.coalesce("label", "uid").alias("label"))
-    found = cut(found)
+        order = F.lit(int(mix64(np.array([turn], np.uint64))[0] >> np.uint64(1)))
+        ends = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        least = F.least(F.min(F.col("b").bitwiseXOR(order)), F.col("a").bitwiseXOR(order)).bitwiseXOR(order)
+        round_ = scratch.put(ends.groupBy("a").agg(least.alias("label")).select(F.col("a").alias("node"), "label"), "round")
+        for side in ("a", "b"):
+            edges = edges.join(round_.select(F.col("node").alias(side), F.col("label").alias(f"to_{side}")), side)
+        edges = edges.where("to_a <> to_b").select(F.least("to_a", "to_b").alias("a"), F.greatest("to_a", "to_b").alias("b")).distinct()
+        edges = scratch.put(edges, "edges")
+        merged, turn = round_ if merged is None else _after(merged, round_), turn + 1
+        if edges.isEmpty():
+            break
+    if labels is not None:
+        merged = _after(labels, merged).unionByName(merged.join(labels.select("node"), "node", "left_anti"))
+    return scratch.put(merged, "labels")
+
+
+def _after(labels: DataFrame, moved: DataFrame) -> DataFrame:
+    to = moved.select(F.col("node").alias("label"), F.col("label").alias("to"))
+    return labels.join(to, "label", "left").select("node", F.coalesce("to", "label").alias("label"))
+
+
+def _labelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    return rows.join(labels.select(F.col("node").alias("cid"), "label"), "cid", "left").withColumn("label", F.coalesce("label", "cid"))
+
+
+def _mixed(members: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+    """key, cid of the tables (key, cid, n) whose members lie in several components. Tables are divided by size: each
+    member goes to two neighbouring classes of sizes, so that any two whose sizes allow a link meet in one."""
+    found = _labelled(members, labels)
+    open_ = found.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key")
+    like = F.floor(F.log("n") / (np.log(100 / percent) * 1.000001)) if percent < 100 else F.col("n")
+    sized = members.join(open_, "key").withColumn("size", F.explode(F.array(like, like + 1)))
+    return sized.select(F.xxhash64("key", "size").alias("key"), "cid")
+
+
+def _placed(mixed: DataFrame, labels: DataFrame) -> DataFrame:
+    """key, cid, label and the most frequent label (main) of the tables with several labels."""
+    found = _labelled(mixed, labels)
     counts = found.groupBy("key", "label").agg(F.count("*").alias("n"))
     mains = counts.groupBy("key").agg(F.max(F.struct("n", "label")).alias("m"), F.count("*").alias("labels")).where("labels > 1")
-    return cut(found.join(cut(mains.select("key", F.col("m.label").alias("main"))), "key"))
+    return found.join(mains.select("key", F.col("m.label").alias("main")), "key")
 
 
 def _explode_sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
-        for first, texts in chunks(batch["text"].tolist()):
-            with np.errstate(over="ignore"):
-                sets = shingle_sets(texts)
-            part = batch.iloc[first : first + len(texts)]
+        for at in range(0, len(batch), 200):
+            part = batch.iloc[at : at + 200]
+            sets = [np.frombuffer(s, np.int64) for s in part["items"]]
             sizes = np.array([len(s) for s in sets])
-            yield pd.DataFrame({"uid": np.repeat(part["uid"].to_numpy(), sizes), "label": np.repeat(part["label"].to_numpy(), sizes), "size": np.repeat(sizes, sizes), "token": np.concatenate(sets).view(np.int64)})
+            repeat = lambda column, part=part, sizes=sizes: np.repeat(part[column].to_numpy(), sizes)
+            yield pd.DataFrame({"cid": repeat("cid"), "label": repeat("label"), "size": np.repeat(sizes, sizes), "token": np.concatenate(sets)})
 
 
-def _prefix_pairs(apart: DataFrame, texts: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of different components among ``apart`` (uid, label) that share a table and can be linked.
+def _prefix_pairs(apart: DataFrame, classes: DataFrame, sets: DataFrame, scratch: Scratch, percent: int) -> DataFrame:
+    """Pairs (a, b) of different components among ``apart`` (cid, label) that share a table and can be linked.
 
     A shingle that lies in one component only cannot be in two sets that are still apart; ``own`` counts those of a set.
     With shingles in one order, here these first and then the rarest, two sets that are similar enough share one of the
     first ``n - ceil(n * percent / 100) + 1``, at places after which enough shingles are left. A set whose own shingles
     fill that prefix is linked with nothing, and without it more shingles lie in one component, so that is done twice.
     Of each shingle only those outside its most frequent component are paired."""
-    tokens = cut(texts.join(apart, "uid").mapInPandas(_explode_sets, "uid long, label long, size long, token long"))
+    tokens = scratch.put(sets.join(apart, "cid").select("cid", "label", "items").mapInPandas(_explode_sets, "cid long, label long, size long, token long"), "tokens")
     prefix = f"size - ceil(size * {percent} / 100.0) + 1"
-    for _ in range(2):
-        seen = tokens.groupBy("token").agg(F.count("*").alias("df"), (F.min("label") < F.max("label")).alias("shared"))
-        marked = cut(tokens.join(seen, "token"))
-        own = marked.groupBy("uid", "size").agg(F.count_if(~F.col("shared")).alias("own")).where(f"own < {prefix}").select("uid", "own")
-        tokens = cut(marked.join(own, "uid"))
-        kept, tokens = tokens, tokens.select("uid", "label", "size", "token")
-    # what the second round left out cannot be linked, so its counts stay good for the rest
-    order = Window.partitionBy("uid").orderBy("df", "token")
-    first = kept.where("shared").withColumn("n", F.row_number().over(order) + F.col("own")).where(f"n <= {prefix}").select("uid", "label", "size", "own", "token", "n")
-    first = cut(first)
+    for _ in range(2):  # what the second round left out cannot be linked, so its counts stay good for the rest
+        seen = tokens.groupBy("token").agg(F.count("*").alias("df"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("token", "df")
+        shared = scratch.put(tokens.select("cid", "label", "size", "token").join(seen, "token"), "shared")
+        scratch.drop(tokens)
+        own = shared.groupBy("cid", "size").agg((F.col("size") - F.count("*")).alias("own")).where(f"own < {prefix}").select("cid", "own")
+        tokens = scratch.put(shared.join(own, "cid"), "tokens")
+        scratch.drop(shared)
+    order = Window.partitionBy("cid").orderBy("df", "token")
+    first = tokens.withColumn("n", F.row_number().over(order) + F.col("own")).where(f"n <= {prefix}").select("cid", "label", "size", "own", "token", "n")
+    first = scratch.put(first, "first")
+    scratch.drop(tokens)
     counts = first.groupBy("token", "label").agg(F.count("*").alias("m"))
     mains = counts.groupBy("token").agg(F.max(F.struct("m", "label")).alias("m"), F.count("*").alias("labels")).where("labels > 1")
-    within = first.join(mains.select("token", F.col("m.label").alias("main")), "token").join(sketches.select("uid", "half_a", "half_b"), "uid")
-    within = cut(within)
-    columns = ("uid", "label", "size", "own", "n", "half_a", "half_b")
+    narrow = classes.select("cid", F.transform("half", lambda k: F.pmod(k, F.lit((1 << 31) - 1)).cast("int")).alias("half"))  # a coarser key only adds candidates
+    half = F.size("half") / 2
+    narrow = narrow.select("cid", F.slice("half", F.lit(1), half.cast("int")).alias("half_a"), F.slice("half", (half + 1).cast("int"), half.cast("int")).alias("half_b"))
+    within = first.join(mains.select("token", F.col("m.label").alias("main")), "token").join(narrow, "cid")
+    columns = ("cid", "label", "size", "own", "n", "half_a", "half_b")
     left = within.where("label <> main").select("token", *(F.col(c).alias(f"{c}_l") for c in columns))
     right = within.select("token", *(F.col(c).alias(f"{c}_r") for c in columns), (F.col("label") == F.col("main")).alias("inner"))
     can = (
-        f"label_l <> label_r AND (inner OR uid_l < uid_r) AND 100 * least(size_l, size_r) >= {percent} * greatest(size_l, size_r)"
+        f"label_l <> label_r AND (inner OR cid_l < cid_r) AND 100 * least(size_l, size_r) >= {percent} * greatest(size_l, size_r)"
         f" AND {100 + percent} * (least(n_l - own_l, n_r - own_r) + least(size_l - n_l, size_r - n_r)) >= {percent} * (size_l + size_r)"
         " AND arrays_overlap(half_a_l, half_a_r) AND arrays_overlap(half_b_l, half_b_r)"
     )
-    return left.join(right, "token").where(can).select(F.col("uid_l").alias("a"), F.col("uid_r").alias("b")).distinct()
+    return left.join(right, "token").where(can).select(F.col("cid_l").alias("a"), F.col("cid_r").alias("b")).distinct()
+
+
+def _with_uid(docs: DataFrame) -> DataFrame:
+    """Rows with the same uid, a 128-bit digest, are repeats of one row (same id and text)."""
+    part = lambda c: F.coalesce(F.concat(F.lit("="), c), F.lit("-"))
+    return docs.withColumn("uid", F.unhex(F.md5(F.concat(part(F.col("doc_id").cast("string")), F.lit(":"), part(F.col("text"))).cast("binary"))))
 
 
 def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
@@ -240,51 +271,55 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     rows (same id and text) each come back with the same values. A row with a null id has a null component_id and is
     kept; it links no others' ids. Other columns are ignored.
     """
-    docs = _with_uid(docs.select("doc_id", "text"))
-    count = half_keys_at(percent)
-    rows = cut(docs.mapInPandas(_sketch(count), "doc_id long, uid long, n_shingles long, fp binary, half_a array<long>, half_b array<long>, low binary"))
+    scratch, count = Scratch(docs.sparkSession), half_keys_at(percent)
+    named = _with_uid(docs.select("doc_id", "text"))
+    rows = scratch.put(named.mapInPandas(_sketch(count), "doc_id long, uid binary, n_shingles long, fp binary, half array<long>, low binary"), "rows")
     full = rows.where("n_shingles > 0 AND doc_id IS NOT NULL")
-    classes = cut(full.groupBy("fp").agg(F.min(F.struct("doc_id", "uid", "n_shingles", "half_a", "half_b", "low")).alias("c")).select("fp", "c.*"))
-    members, step = None, max(1, HALF_KEYS * HALF_KEYS // count)
-    for low in range(1, count + 1, step):  # some tables at a time, so their rows need no more disk when there are more
-        pair_keys = F.expr(f"flatten(transform(slice(half_a, {low}, {step}), a -> transform(half_b, b -> xxhash64(a, b))))")
-        keyed = classes.select("uid", "n_shingles", F.explode(pair_keys).alias("key"))
-        centres = cut(keyed.groupBy("key").agg(F.min("uid").alias("centre"), F.max("uid").alias("last")).where("centre < last").select("key", "centre"))
-        opened = cut(keyed.join(centres, "key").select("key", "uid", "n_shingles", "centre"))
-        members = opened if members is None else members.union(opened)
-    stars = cut(members.where("uid <> centre").select(F.col("uid").alias("a"), F.col("centre").alias("b")).distinct())
-    sketches = classes.select("uid", "half_a", "half_b", "low")
-    close = cut(agreeing(stars, sketches, percent))
-    ends = cut(members.select("uid").distinct())
-    texts = stored(docs.join(ends, "uid", "left_semi").groupBy("uid").agg(F.first("text").alias("text")), "candidates")
-    links = cut(verified(close, texts, percent).where("linked").select("a", "b"))
-    labels = components(links)
+    classes = full.groupBy("fp").agg(F.min(F.struct("doc_id", "uid", "n_shingles", "half", "low")).alias("c"))
+    classes = scratch.put(classes.select(F.monotonically_increasing_id().alias("cid"), "fp", "c.*"), "classes")
+
+    keys = classes.select("cid", F.col("n_shingles").alias("n"), F.posexplode("half").alias("place", "key"))
+    shared = keys.groupBy("key").agg(F.min("cid").alias("lo"), F.max("cid").alias("hi")).where("lo < hi").select("key")
+    side = lambda cond: F.collect_list(F.when(cond, F.col("key")))  # noqa: E731  at most ``count`` keys
+    live = keys.join(shared, "key").groupBy("cid", "n").agg(side(F.col("place") < count).alias("one"), side(F.col("place") >= count).alias("two"))
+    live = scratch.put(live.where("size(one) > 0 AND size(two) > 0"), "live")
+    keyed = live.select("cid", "n", F.explode("one").alias("a"), "two").select("cid", "n", "a", F.explode("two").alias("b")).select("cid", "n", F.xxhash64("a", "b").alias("key"))
+    centres = keyed.groupBy("key").agg(F.min("cid").alias("centre"), F.max("cid").alias("last")).where("centre < last").select("key", "centre")
+    members = scratch.put(keyed.join(centres, "key"), "members")
+    scratch.drop(live)
+
+    ends = members.select("cid").distinct().join(classes.select("cid", "uid"), "cid")
+    texts = named.groupBy("uid").agg(F.first("text").alias("text")).join(ends, "uid")
+    sets = scratch.put(texts.select("cid", "text").mapInPandas(_sets, "cid long, items binary"), "sets", "uncompressed")
+    stars = members.where("cid <> centre").select(F.col("cid").alias("a"), F.col("centre").alias("b")).distinct()
+    labels = components(scratch.put(linked(stars, classes, sets, percent), "links"), scratch)
 
     # tables whose members are not all in one component: their outer members meet some landmarks of the largest
-    placed = _placed(members, labels, percent)
-    marks = Window.partitionBy("key").orderBy("hash", "uid")
-    landmarks = placed.where("label = main").withColumn("hash", F.xxhash64("uid")).withColumn("n", F.row_number().over(marks)).where(f"n <= {LANDMARKS}")
-    more = placed.where("label <> main").select("key", F.col("uid").alias("a")).join(landmarks.select("key", F.col("uid").alias("b")), "key").select("a", "b").distinct()
-    more = cut(agreeing(more.join(stars, ["a", "b"], "left_anti"), sketches, percent))
-    extra = cut(verified(more, texts, percent).where("linked").select("a", "b"))
-    if extra.limit(1).count():
-        links = cut(links.union(extra))
-        labels = components(links)
-        placed = _placed(members, labels, percent)
-    # what is then still apart is joined by prefixes of the sets
-    apart = cut(placed.select("uid", "label").distinct())
-    if apart.limit(1).count():
-        rest = cut(agreeing(_prefix_pairs(apart, texts, sketches, percent), sketches, percent))
-        extra = cut(verified(rest, texts, percent).where("linked").select("a", "b"))
-        if extra.limit(1).count():
-            labels = components(links.union(extra))
-
-    ids = classes.select(F.col("uid").alias("node"), "doc_id", "fp").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    ids = cut(ids)
-    lowest = cut(ids.groupBy("label").agg(F.min("doc_id").alias("component_id")))
-    by_fp = cut(ids.join(lowest, "label").select("fp", "component_id"))
+    mixed = scratch.put(_mixed(members, labels, percent), "mixed")
+    scratch.drop(members)
+    placed = scratch.put(_placed(mixed, labels), "placed")
+    if not placed.isEmpty():
+        marks = Window.partitionBy("key").orderBy("hash", "cid")
+        landmarks = placed.where("label = main").withColumn("hash", F.xxhash64("cid")).withColumn("n", F.row_number().over(marks)).where(f"n <= {LANDMARKS}")
+        more = placed.where("label <> main").select("key", F.col("cid").alias("a")).join(landmarks.select("key", F.col("cid").alias("b")), "key").select("a", "b").distinct()
+        extra = scratch.put(linked(more, classes, sets, percent), "links")
+        if not extra.isEmpty():
+            labels = components(extra, scratch, labels)
+            placed = _placed(mixed, labels)
+        # what is then still apart is joined by prefixes of the sets
+        apart = scratch.put(placed.select("cid", "label").distinct(), "apart")
+        if not apart.isEmpty():
+            extra = scratch.put(linked(_prefix_pairs(apart, classes, sets, scratch, percent), classes, sets, percent), "links")
+            if not extra.isEmpty():
+                labels = components(extra, scratch, labels)
+    scratch.drop(sets, mixed)
+
+    ids = _labelled(classes.select("cid", "doc_id", "fp"), labels)
+    lowest = ids.groupBy("label").agg(F.min("doc_id").alias("component_id"))
+    by_fp = scratch.put(ids.join(lowest, "label").select("fp", "component_id"), "ids")
+    scratch.drop(classes)
     out = rows.select("doc_id", "uid", "n_shingles", "fp").join(by_fp, "fp", "left")
-    component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
+    component: Column = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
     component = F.when(F.col("doc_id").isNotNull(), component)
     return out.select("doc_id", "uid", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
@@ -292,11 +327,11 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
 def keep_one(docs: DataFrame, percent: int = 85) -> DataFrame:
     """The rows of ``docs`` with one document of each component; of repeated rows one stays. Columns are unchanged."""
     found = near_duplicates(docs, percent).where("kept").groupBy("uid").agg(F.count("*").alias("n"))
-    found = cut(found)
+    found = Scratch(docs.sparkSession).put(found, "kept")
     named = _with_uid(docs)
     kept = named.join(found.select("uid"), "uid", "left_semi")
-    if found.where("n > 1").limit(1).count():
-        repeated = found.where("n > 1").select("uid")
+    repeated = found.where("n > 1").select("uid")
+    if not repeated.isEmpty():
         once = named.join(repeated, "uid", "left_semi").dropDuplicates(["uid"])
         kept = kept.join(repeated, "uid", "left_anti").unionByName(once)
     return kept.select(*docs.columns)
