@@ -11,7 +11,7 @@ open tables.
 Candidates must agree in a number of minhashes that is six standard deviations below what the threshold predicts,
 which a pair at the threshold misses with a probability below 1e-7, and are then verified on the full shingle sets.
 The members of a table are first compared with its smallest member only, which joins most groups at once. Members that
-stay apart meet a few landmarks of their table's largest component. What is even then in different components, among
+stay apart meet a few landmarks of their table's largest component, where it has several members there. What is even then in different components, among
 members of like size, is joined by the prefixes of the shingle sets where it shares a table, so no link of the tables
 is lost and no table is opened into its pairs.
 """
@@ -32,7 +32,7 @@ SHINGLE = 5
 HALF_KEYS = 10  # of each collection, at least
 MISS = 1.5e-4  # probability that a pair at the threshold shares no table, at most
 ROWS = 3
-LANDMARKS = 8
+LANDMARKS = 4  # of a component that has as many members in a table at least
 _FACTORS = mix64(np.arange(1, SHINGLE + 1, dtype=np.uint64)) | np.uint64(1)
 
 
@@ -146,13 +146,15 @@ def _verify(percent: int):
 
 
 def linked(pairs: DataFrame, classes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) that are links: those whose minhashes agree often enough are compared by their full sets. b may be
-    one centre of very many pairs: the joins meet exchanges on both sides, so Spark can split that key."""
-    for column, frame, how in (("low", classes, _agreeing(percent)), ("items", sets, _verify(percent))):
-        for side in ("a", "b"):
-            pairs = pairs.join(frame.select(F.col("cid").alias(side), F.col(column).alias(f"{column}_{side}")), side)
-        pairs = pairs.mapInPandas(how, "a long, b long")
-    return pairs
+    """The pairs (a, b) that are links: those of like size whose minhashes agree often enough are compared by their full
+    sets. b may be one centre of very many pairs: the joins meet exchanges on both sides, so Spark can split that key."""
+    one, two = (classes.select(F.col("cid").alias(x), F.col("n_shingles").alias(f"n_{x}"), F.col("low").alias(f"low_{x}")) for x in ("a", "b"))
+    like = 100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")
+    near = pairs.join(one, "a").join(two.withColumnRenamed("b", "other"), (F.col("b") == F.col("other")) & like)
+    near = near.select("a", "b", "low_a", "low_b").mapInPandas(_agreeing(percent), "a long, b long")
+    for x in ("a", "b"):
+        near = near.join(sets.select(F.col("cid").alias(x), F.col("items").alias(f"items_{x}")), x)
+    return near.mapInPandas(_verify(percent), "a long, b long")
 
 
 def components(links: DataFrame, scratch: Scratch, labels: DataFrame | None = None) -> DataFrame:
@@ -203,11 +205,11 @@ def _mixed(members: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
 
 
 def _placed(mixed: DataFrame, labels: DataFrame) -> DataFrame:
-    """key, cid, label and the most frequent label (main) of the tables with several labels."""
+    """key, cid, label, and the most frequent label (main) with its members (held) of the tables with several labels."""
     found = _labelled(mixed, labels)
     counts = found.groupBy("key", "label").agg(F.count("*").alias("n"))
     mains = counts.groupBy("key").agg(F.max(F.struct("n", "label")).alias("m"), F.count("*").alias("labels")).where("labels > 1")
-    return found.join(mains.select("key", F.col("m.label").alias("main")), "key")
+    return found.join(mains.select("key", F.col("m.label").alias("main"), F.col("m.n").alias("held")), "key")
 
 
 def _explode_sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -300,8 +302,9 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     placed = scratch.put(_placed(mixed, labels), "placed")
     if not placed.isEmpty():
         marks = Window.partitionBy("key").orderBy("hash", "cid")
-        landmarks = placed.where("label = main").withColumn("hash", F.xxhash64("cid")).withColumn("n", F.row_number().over(marks)).where(f"n <= {LANDMARKS}")
-        more = placed.where("label <> main").select("key", F.col("cid").alias("a")).join(landmarks.select("key", F.col("cid").alias("b")), "key").select("a", "b").distinct()
+        large = placed.where(f"held >= {LANDMARKS}")
+        landmarks = large.where("label = main").withColumn("hash", F.xxhash64("cid")).withColumn("n", F.row_number().over(marks)).where(f"n <= {LANDMARKS}")
+        more = large.where("label <> main").select("key", F.col("cid").alias("a")).join(landmarks.select("key", F.col("cid").alias("b")), "key").select("a", "b").distinct()
         extra = scratch.put(linked(more, classes, sets, percent), "links")
         if not extra.isEmpty():
             labels = components(extra, scratch, labels)
