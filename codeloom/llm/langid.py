@@ -17,13 +17,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import _BASE, _BYTES, _INVERSE, _powers, chunks, mix64, remainder
 
 BUCKETS = 1 << 16
 SAMPLE_PER_LANG = 300  # documents of each language that the model is fitted on, about
+SAMPLE_CHARS = 8000  # of a text of the sample at most
 SLICE = 60  # words of a training slice
 STEPS = 40
 LEXICON = 20_000  # words in the lexicon at most
@@ -39,14 +40,25 @@ _LETTER = re.compile(r"[^\W\d_]")
 _HEAD, _TAIL = 16, 4
 
 
+def has_letter(text: str | None) -> bool:
+    """Whether a text has a character of a letter category; signs that stand for numbers are none."""
+    return bool(text) and any(m[0].isalpha() for m in _LETTER.finditer(text))
+
+
 def spans(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """All bytes, begin and end of each word (a run of letters or of bytes above 127), first word of each text."""
+    """All bytes, begin and end of each word (a run of letters or of bytes above 127), first word of each text. A run of
+    more than ``_HEAD`` bytes is several words of the chain, so features see all of it."""
     raw = np.frombuffer(b" ".join(texts) + b" ", np.uint8)
     inside = _WORD_BYTE[raw]
     edges = np.flatnonzero(inside[1:] != inside[:-1]) + 1
     if inside[0]:
         edges = np.concatenate([[0], edges])
     begin, end = edges[0::2], edges[1::2]
+    parts = -(-(end - begin) // _HEAD)
+    if len(parts) and parts.max() > 1:
+        number = np.arange(int(parts.sum())) - np.repeat(np.cumsum(parts) - parts, parts)
+        begin, end = np.repeat(begin, parts) + number * _HEAD, np.repeat(end, parts)
+        end = np.minimum(end, begin + _HEAD)
     return raw, begin, end, np.searchsorted(begin, np.cumsum([0] + [len(t) + 1 for t in texts]))
 
 
@@ -246,15 +258,15 @@ def train(samples: list[tuple[str, str]], steps: int = STEPS, seed: int = SEED)
 
 
 def _sample(docs: DataFrame, per_lang: int) -> list[tuple[str, str]]:
-    """(text, lang) of about ``per_lang`` documents of each language, chosen by a hash of the text, from rows of ``docs``
-    (text, lang) with neither null. The bound is a parameter; languages are labels, so few."""
-    rows = docs.where("lang IS NOT NULL AND text IS NOT NULL").select("text", "lang")
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    if not counts:
-        return []
-    share = F.create_map(*(F.lit(x) for lang, n in sorted(counts.items()) for x in (lang, min(1.0, per_lang / n))))
-    drawn = F.pmod(F.xxhash64("text", F.lit(SEED)), F.lit(1_000_000)) < share[F.col("lang")] * 1_000_000
-    sample = rows.where(drawn).limit(2 * per_lang * len(counts)).toPandas()
+    """(text, lang) of ``per_lang`` different texts of each language, those with the least hashes, from rows of ``docs``
+    (text, lang) with neither null; of a long text a slice of ``SAMPLE_CHARS``. Both bounds are parameters of the fit;
+    languages are labels, so few. Copies of a text count once, however many there are."""
+    rows = docs.where("lang IS NOT NULL AND text IS NOT NULL").select("text", "lang").withColumn("hash", F.xxhash64("text", F.lit(SEED)))
+    first = Window.partitionBy("lang").orderBy("hash")
+    drawn = rows.groupBy("lang", "hash").agg(F.count("*").alias("n")).withColumn("place", F.row_number().over(first)).where(f"place <= {per_lang}").select("lang", "hash")
+    start = F.pmod("hash", F.greatest(F.length("text") - F.lit(SAMPLE_CHARS - 1), F.lit(1)).cast("long")).cast("int") + 1
+    found = rows.join(F.broadcast(drawn), ["lang", "hash"])  # ``per_lang`` numbers of each language
+    sample = found.select("lang", "hash", F.substring(F.col("text"), start, F.lit(SAMPLE_CHARS)).alias("text")).groupBy("lang", "hash").agg(F.min("text").alias("text")).toPandas()
     return list(zip(sample["text"], sample["lang"], strict=True))
 
 
@@ -277,7 +289,7 @@ def _labeller(model, with_known: bool = False):
                 rows = []
                 for i, text in enumerate(part["text"]):
                     n = int(at[i + 1] - at[i])
-                    if not text or not _LETTER.search(text) or not m.labels:
+                    if not m.labels or not has_letter(text):
                         rows.append((UNDETERMINED, 0.0, n, 0))
                     elif not n:  # letters that no word of the model has: every language is as likely
                         rows.append((m.labels[0], 1.0 / len(m.labels), 0, 0))

@@ -13,84 +13,122 @@ running token sums are taken within buckets and over bucket totals. A hot source
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from .common import cut
+from .common import Scratch
+from .packing import encoder
 
 TARGET_ENTROPY = 0.97  # of the logarithm of the number of sources
 MAX_PASSES = 2.0
 BUCKET_ROWS = 200
+SPAN = 4096  # buckets whose running sums one task takes
+SECTIONS, ROUNDS = 32, 6  # of the search for the exponent: to 2**-30
 BLOCK_TOKENS = 4_000_000
 SEED = 20_240_601
 
 
-def token_count() -> Column:
-    """Words of a text as a cheap measure of its tokens: what follows blanks, at least one for any row."""
-    text = F.coalesce(F.col("text"), F.lit(""))
-    return F.greatest(F.length(text) - F.length(F.translate(text, " \n\t\r", "")) + 1, F.lit(1)).cast("long")
+def _measurer(columns: list[str], path: str | None):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        encode = encoder(path)
+        for batch in batches:
+            counts = [len(encode(t)) + 1 if t else 1 for t in batch["text"]]
+            yield batch[columns].assign(mix_tokens=np.array(counts, np.int64))
 
+    return run
 
-def spread(sizes: list[tuple[float, int]], exponent: float) -> tuple[float, float]:
-    """Of shares to the exponent, for (tokens, how many sources of that size): the entropy, and the passes over the most
-    repeated source when the least repeated is passed once."""
-    total = sum(t * n for t, n in sizes)
-    powers = [((t / total) ** exponent, n) for t, n in sizes]
-    scale = sum(p * n for p, n in powers)
-    passes = [p / t for (p, _), (t, _) in zip(powers, sizes, strict=True)]
-    return -sum(n * (p / scale) * math.log(p / scale) for p, n in powers), max(passes) / min(passes)
 
+def with_tokens(docs: DataFrame, columns: list[str], path: str | None = None) -> DataFrame:
+    """The ``columns`` of ``docs`` and mix_tokens: the ids of ``text`` and one that closes it, as the packing counts them.
+    A null text is empty."""
+    schema = StructType([docs.schema[c] for c in columns]).add("mix_tokens", "long")
+    return docs.mapInPandas(_measurer(columns, path), schema)
 
-def find_exponent(sizes: list[tuple[float, int]], target: float = TARGET_ENTROPY, max_passes: float = MAX_PASSES, steps: int = 60) -> float:
-    """The smallest exponent in [0, 1] with an entropy of at most ``target * log(sources)`` and at most ``max_passes``; 1,
-    the shares as they are, if none meets both."""
-    if sum(n for _, n in sizes) < 2:
-        return 1.0
-    most = target * math.log(sum(n for _, n in sizes))
 
-    def fits(a: float) -> bool:
-        h, passes = spread(sizes, a)
-        return h <= most and passes <= max_passes
+def spread(shares: list[float], exponent: float) -> tuple[float, float]:
+    """Of shares to the exponent, normalised: the entropy, and the passes over the most repeated source when the least
+    repeated is passed once."""
+    powers = [s**exponent for s in shares]
+    scale = math.fsum(powers)
+    return -math.fsum(p / scale * math.log(p / scale) for p in powers), (max(shares) / min(shares)) ** (1 - exponent)
+
+
+def _sum(values: Column) -> Column:
+    """A sum that does not depend on the order of its terms."""
+    return F.sum(values.cast("decimal(38,20)")).cast("double")
 
-    if fits(0.0):
-        return 0.0
-    low, high = 0.0, 1.0
-    for _ in range(steps):
-        middle = (low + high) / 2
-        low, high = (low, middle) if fits(middle) else (middle, high)
-    return high
-
-
-def weights(sources: DataFrame, target: float, max_passes: float, budget: int | None) -> DataFrame:
-    """(mix_source, docs, tokens, exponent, weight, quota) from (mix_source, docs, tokens), one row a source. The driver
-    sees sizes only, and classes of sizes (64 to a doubling) where there are more than 20,000 sources."""
-    size_class = F.col("tokens") if sources.count() <= 20_000 else F.round(F.log2("tokens") * 64)
-    seen = sources.groupBy(size_class.alias("class")).agg(F.avg("tokens").alias("tokens"), F.count("*").alias("n")).collect()
-    sizes = sorted((float(r.tokens), r.n) for r in seen)
-    exponent = find_exponent(sizes, target, max_passes)
-    total = math.fsum(t * n for t, n in sizes) or 1.0
-    scale = math.fsum((t / total) ** exponent * n for t, n in sizes) or 1.0
-    # without a budget, the least repeated source is passed once
-    size = budget if budget is not None else max((t * scale / (t / total) ** exponent for t, _ in sizes), default=0.0)
-    weight = F.pow(F.col("tokens") / F.lit(total), F.lit(exponent)) / F.lit(scale)
-    out = sources.withColumn("exponent", F.lit(exponent)).withColumn("weight", weight)
-    quota = F.round(F.col("weight") * F.lit(float(size))).cast("long")
-    return out.withColumn("quota", quota if budget is not None else F.greatest(quota, "tokens"))
 
+def find_exponent(sources: DataFrame, target: float = TARGET_ENTROPY, max_passes: float = MAX_PASSES) -> tuple[float, float, float]:
+    """(exponent, scale, total) for sources (tokens, one row each): the smallest exponent in [0, 1] with an entropy of at
+    most ``target * log(sources)`` and at most ``max_passes``; 1, the shares as they are, if none meets both. scale is the
+    sum of the powers, total that of the tokens.
 
-def mix(docs: DataFrame, target: float = TARGET_ENTROPY, max_passes: float = MAX_PASSES, budget: int | None = None, seed: int = SEED, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
-    """The mix of all rows of ``docs`` (doc_id, text, source, ...): its columns, and mix_tokens, mix_weight, mix_pass (from
-    0), mix_block and mix_order (their order within a block).
+    The interval is cut into ``SECTIONS`` parts instead of two: all their ends are tried in one aggregate over the sources,
+    which stay distributed, however many there are."""
+    ends = sources.agg(F.sum("tokens").alias("total"), F.count("*").alias("n"), F.min("tokens").alias("least"), F.max("tokens").alias("most")).first()
+    if not ends["n"]:
+        return 1.0, 1.0, 1.0
+    total, n = float(ends["total"]), ends["n"]
+    share = F.col("tokens") / F.lit(total)
 
-    Without a ``budget`` each source is passed at least once, so every row stays and small sources repeat. A null source
-    is a source of its own. Repeated rows are drawn separately, an empty table gives an empty mix, and clashing names of
-    other columns do not matter: work columns are prefixed. A pass takes rows in its order until the quota is reached, so
-    the last row may go over it.
+    def sums(exponents: list[float]) -> list[tuple[float, float]]:
+        aggregates = [x for i, a in enumerate(exponents) for x in (_sum(F.pow(share, F.lit(a))).alias(f"s{i}"), _sum(F.pow(share, F.lit(a)) * F.log(share)).alias(f"l{i}"))]
+        row = sources.agg(*aggregates).first()
+        return [(row[f"s{i}"], row[f"l{i}"]) for i in range(len(exponents))]
+
+    def fits(a: float, s: float, weighted: float) -> bool:
+        entropy = math.log(s) - a * weighted / s
+        return entropy <= target * math.log(n) + 1e-12 and (ends["most"] / ends["least"]) ** (1 - a) <= max_passes
+
+    low, high = 0.0, 1.0
+    if n > 1:
+        for _ in range(ROUNDS):
+            tried = [low + (high - low) * i / SECTIONS for i in range(SECTIONS + 1)]
+            good = next((i for i, (a, (s, w)) in enumerate(zip(tried, sums(tried), strict=True)) if fits(a, s, w)), None)
+            if good is None or not good:  # none but the upper end that is known already, or the lower end itself
+                high = high if good is None else low
+                break
+            low, high = tried[good - 1], tried[good]
+    return high, sums([high])[0][0], total
+
+
+def weights(sources: DataFrame, target: float, max_passes: float, budget: int | None, budget_share: float | None = None) -> DataFrame:
+    """(mix_source, docs, tokens, exponent, weight, quota) from (mix_source, docs, tokens), one row a source."""
+    exponent, scale, total = find_exponent(sources, target, max_passes)
+    if budget is None and budget_share is not None:
+        budget = round(budget_share * total)
+    weight = F.pow(F.col("tokens") / F.lit(total), F.lit(exponent)) / F.lit(scale)
+    out = sources.withColumn("exponent", F.lit(exponent)).withColumn("weight", weight)
+    if budget is not None:
+        return out.withColumn("quota", F.round(F.col("weight") * F.lit(float(budget))).cast("long"))
+    # without a budget, the least repeated source is passed once
+    most = sources.agg(F.max("tokens")).first()[0] or 0
+    size = most * scale / (most / total) ** exponent if most else 0.0
+    return out.withColumn("quota", F.greatest(F.round(F.col("weight") * F.lit(size)).cast("long"), "tokens"))
+
+
+def mix(
+    docs: DataFrame, target: float = TARGET_ENTROPY, max_passes: float = MAX_PASSES, budget: int | None = None, seed: int = SEED,
+    block_tokens: int = BLOCK_TOKENS, budget_share: float | None = None, columns: list[str] | None = None, path: str | None = None,
+) -> DataFrame:
+    """The mix of all rows of ``docs`` (doc_id, text, source, ...): its ``columns``, or all, and mix_tokens, mix_weight,
+    mix_pass (from 0), mix_block and mix_order (their order within a block).
+
+    The budget is a number of tokens, or a share of all there are. Without one each source is passed at least once, so
+    every row stays and small sources repeat. A null source is a source of its own. Repeated rows are drawn separately, as
+    are rows with a null id; an empty table gives an empty mix, and clashing names of other columns do not matter: work
+    columns are prefixed. A pass takes rows in its order until the quota is reached, so the last row may go over it.
     """
-    rows = docs.withColumn("mix_tokens", token_count())
-    sources = cut(rows.groupBy(F.col("source").alias("mix_source")).agg(F.count("*").alias("docs"), F.sum("mix_tokens").alias("tokens")))
-    goals = cut(weights(sources, target, max_passes, budget))
+    scratch, columns = Scratch(docs.sparkSession), columns or docs.columns
+    needed = [*columns, *(c for c in ("doc_id", "source") if c not in columns)]
+    rows = scratch.put(with_tokens(docs, needed, path).withColumn("mix_row", F.monotonically_increasing_id()), "measured")
+    sources = scratch.put(rows.groupBy(F.col("source").alias("mix_source")).agg(F.count("*").alias("docs"), F.sum("mix_tokens").alias("tokens")), "sources")
+    goals = scratch.put(weights(sources, target, max_passes, budget, budget_share), "goals")
     total = goals.agg(F.sum("quota")).first()[0] or 0
     blocks = max(1, round(total / block_tokens))
 
@@ -98,21 +136,24 @@ def mix(docs: DataFrame, target: float = TARGET_ENTROPY, max_passes: float = MAX
     drawn = rows.join(goal, rows["source"].eqNullSafe(goal["mix_source"])).drop("mix_source")
     last = F.floor((F.col("mix_quota") - 1) / F.col("mix_of"))  # the last pass may be a part
     drawn = drawn.withColumn("mix_pass", F.explode(F.when(F.col("mix_quota") > 0, F.sequence(F.lit(0), last.cast("int"))).otherwise(F.expr("cast(array() as array<int>)"))))
-    drawn = drawn.withColumn("mix_hash", F.xxhash64(F.lit(seed), "mix_pass", "doc_id"))
+    drawn = drawn.withColumn("mix_hash", F.xxhash64(F.lit(seed), "mix_pass", "doc_id", F.when(F.col("doc_id").isNull(), F.col("mix_row"))))
     unit = F.pmod("mix_hash", F.lit(1 << 40)) / F.lit(float(1 << 40))
     drawn = drawn.withColumn("mix_bucket", F.floor(unit * F.col("mix_buckets")).cast("long"))
 
-    key = ["mix_source", "mix_pass", "mix_bucket"]
-    light = drawn.select(F.col("source").alias("mix_source"), "mix_pass", "mix_bucket", "mix_tokens")
-    sums = light.groupBy(*key).agg(F.sum("mix_tokens").alias("mix_sum"))
-    earlier = Window.partitionBy("mix_source", "mix_pass").orderBy("mix_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    before = F.coalesce(F.sum("mix_sum").over(earlier), F.lit(0)).alias("mix_before")
-    sums = cut(sums.select(F.col("mix_source").alias("sum_source"), F.col("mix_pass").alias("sum_pass"), F.col("mix_bucket").alias("sum_bucket"), before))
+    # running sums over a source's buckets in two levels, so that no task has all of them
+    light = drawn.select(F.col("source").alias("sum_source"), F.col("mix_pass").alias("sum_pass"), F.col("mix_bucket").alias("sum_bucket"), "mix_tokens")
+    sums = scratch.put(light.groupBy("sum_source", "sum_pass", "sum_bucket").agg(F.sum("mix_tokens").alias("held")).withColumn("span", F.floor(F.col("sum_bucket") / SPAN)), "buckets")
+    spans = sums.groupBy("sum_source", "sum_pass", "span").agg(F.sum("held").alias("held"))
+    running = lambda keys, order: F.coalesce(F.sum("held").over(Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    outer = spans.select(F.col("sum_source").alias("o_source"), F.col("sum_pass").alias("o_pass"), F.col("span").alias("o_span"), running(("sum_source", "sum_pass"), "span").alias("outer"))
+    inner = sums.select("sum_source", "sum_pass", "sum_bucket", "span", running(("sum_source", "sum_pass", "span"), "sum_bucket").alias("inner"))
+    of_span = F.col("sum_source").eqNullSafe(F.col("o_source")) & (F.col("sum_pass") == F.col("o_pass")) & (F.col("span") == F.col("o_span"))
+    before = inner.join(outer, of_span).select("sum_source", "sum_pass", "sum_bucket", (F.col("inner") + F.col("outer")).alias("mix_before"))
     same = F.col("source").eqNullSafe(F.col("sum_source")) & (F.col("mix_pass") == F.col("sum_pass")) & (F.col("mix_bucket") == F.col("sum_bucket"))
     # whole buckets beyond the quota go before anything is moved
-    near = drawn.join(sums, same)
+    near = drawn.join(before, same)
     near = near.withColumn("mix_at", F.col("mix_before") + F.col("mix_pass") * F.col("mix_of")).where("mix_at < mix_quota")
-    within = Window.partitionBy("source", "mix_pass", "mix_bucket").orderBy("mix_hash", "mix_tokens").rowsBetween(Window.unboundedPreceding, -1)
+    within = Window.partitionBy("source", "mix_pass", "mix_bucket").orderBy("mix_hash", "mix_tokens", "mix_row").rowsBetween(Window.unboundedPreceding, -1)
     placed = near.withColumn("mix_at", F.col("mix_at") + F.coalesce(F.sum("mix_tokens").over(within), F.lit(0))).where("mix_at < mix_quota")
     block = F.floor(F.col("mix_at") / F.col("mix_quota") * blocks).cast("long")
-    return placed.select(*docs.columns, "mix_tokens", "mix_weight", "mix_pass", block.alias("mix_block"), F.xxhash64(F.lit(seed + 1), "mix_hash").alias("mix_order"))
+    return placed.select(*columns, "mix_tokens", "mix_weight", "mix_pass", block.alias("mix_block"), F.xxhash64(F.lit(seed + 1), "mix_hash").alias("mix_order"))

@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 
 WINDOW = 1024
 VOCABULARY = "byte_bpe_50k.tiktoken"  # the same vocabulary, ids and splitting as byte_bpe_50k.json, as ranks
+SPECIAL = {"<|endoftext|>": 50256}  # fixed: the vocabulary's special token
 CHUNK_IDS = 4_000_000
 
 
@@ -32,13 +33,16 @@ def default_path() -> str:
 
 
 def encoder(path: str | None = None):
-    """A function from a text to its ids; strings of special tokens are ordinary text."""
+    """A function from a text to its ids. The vocabulary's one special string is its special id wherever a text has it, as
+    in the tokenizer file of the same vocabulary."""
     import public_tokenizers
     import tiktoken
 
     with open(path or default_path(), "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    return tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+    encoding = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=SPECIAL)
+    special = tuple(SPECIAL)
+    return lambda text: encoding.encode(text, allowed_special="all") if any(s in text for s in special) else encoding.encode_ordinary(text)
 
 
 def best_filling(counts: dict[int, int], capacity: int) -> dict[int, int]:

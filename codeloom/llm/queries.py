@@ -32,7 +32,7 @@ def op3_min_bin_slack_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_temperature_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mixed = mixing.mix(table(spark, sf_dir, "documents"))
+    mixed = mixing.mix(table(spark, sf_dir, "documents"), budget_share=1.0, columns=["doc_id", "source"])
     return mixed.select("doc_id", "source", "mix_tokens", "mix_weight", "mix_pass", "mix_block", "mix_order")
 
 

@@ -118,8 +118,8 @@ def test_pieces_hold_each_id_once(spark, odd):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
-    docs = table(spark, DATA, "documents").limit(60)
+    odd_texts = frame(spark, ["a <|endoftext|> b", "<|endoftext|>", " <|endoftext|><|endoftext|>  x", "<|endoftext|", "½ ②  \n\n 日本語 é\t", ""]).withColumn("doc_id", F.col("doc_id") - 10)
+    docs = table(spark, DATA, "documents").limit(60).unionByName(odd_texts)
     texts = {r.doc_id: r.text for r in docs.collect()}
     ids, used = {i: {} for i in texts}, {}
     for p in packing.pack(docs).collect():
@@ -142,12 +142,16 @@ def test_pieces_hold_each_id_once(spark, odd):
 # ---- mixing ----
 
 
-def test_exponent_meets_both_goals():
-    sizes = [(1000.0, 1), (100.0, 1), (50.0, 3)]
-    a = mixing.find_exponent(sizes, 0.95, 2.0)
-    h, passes = mixing.spread(sizes, a)
-    assert h <= 0.95 * math.log(5) + 1e-9 and passes <= 2 + 1e-9
-    assert mixing.spread(sizes, a - 1e-6)[0] > 0.95 * math.log(5) or mixing.spread(sizes, a - 1e-6)[1] > 2
+def test_exponent_meets_both_goals(spark):
+    sizes = [1000, 100, 50, 50, 50]
+    sources = spark.createDataFrame([(str(i), 1, t) for i, t in enumerate(sizes)], "mix_source string, docs long, tokens long")
+    for target, most in ((0.95, 2.0), (0.95, 30.0), (0.8, 9.0), (1.0, 1e9)):
+        a, scale, total = mixing.find_exponent(sources, target, most)
+        shares = [t / sum(sizes) for t in sizes]
+        meets = lambda a, shares=shares, target=target, most=most: mixing.spread(shares, a)[0] <= target * math.log(5) + 1e-9 and mixing.spread(shares, a)[1] <= most + 1e-9
+        assert total == sum(sizes) and abs(scale - sum(s**a for s in shares)) < 1e-9
+        assert meets(a) and (a == 0 or not meets(a - 1e-6))
+    assert mixing.find_exponent(sources.limit(0))[0] == 1.0 and mixing.find_exponent(sources.limit(1))[0] == 1.0
 
 
 def test_mix_realises_weights(spark, odd):
@@ -254,6 +258,7 @@ def test_languages_held_out(spark, odd):
     rows = langid.label(docs, model).join(docs.select("doc_id", "lang"), "doc_id").where(langid.held_out()).collect()
     assert np.mean([r.lang == r.lang_pred for r in rows]) > 0.98
     got = {(r.doc_id, r.lang_pred, round(r.score, 3)) for r in langid.label(odd, model).collect()}
+    assert [r.lang_pred for r in langid.label(frame(spark, ["½ ② Ⅷ 12", "ª"]), model).orderBy("doc_id").collect()][0] == "und"
     assert {(1, "und", 0.0), (2, "und", 0.0), (6, "und", 0.0)} <= got and langid.label(odd, model).count() == odd.count()
     assert langid.label(odd, langid.fit(odd.limit(0))).where("lang_pred <> 'und'").count() == 0
 
