@@ -28,6 +28,11 @@ SAMPLE_ROWS = 4000  # rows from which places are taken for training, about
 PLACES = 400  # places of them, and as many made-up ones
 EPOCHS = 6
 LONGEST = 16  # atoms of a segment
+MOST_WORDS = 8  # of them without a digit or sign: no kind has more
+MOST_DIGITS = 24  # of a segment of several atoms: no kind has more
+PIECE = 4000  # characters of a stretch that are decoded at once
+AROUND = 400  # and on each side, so that a span that begins in a piece is seen whole
+EXAMPLE_CHARS, EXAMPLE_ATOMS = 800, 150  # of a training example at most
 BUCKETS = 1 << 13
 MARGIN = 2.0  # log-odds over the best segmentation without the span
 SEED = 5
@@ -106,7 +111,8 @@ def _bucket(feature: str) -> int:
 
 class Lattice:
     """Candidate segments of a stretch: (start atom, end atom) and the features of each. The outside label takes single
-    atoms; other labels take segments of up to ``LONGEST`` atoms on one line with a digit or an at sign."""
+    atoms; other labels take segments of up to ``LONGEST`` atoms, ``MOST_WORDS`` words and ``MOST_DIGITS`` digits on one
+    line with a digit or an at sign."""
 
     def __init__(self, text: str):
         self.atoms = [(m.start(), m.end()) for m in _ATOM.finditer(text)]
@@ -116,15 +122,18 @@ class Lattice:
         sign = [w in "@" or any("0" <= c <= "9" for c in w) for w in words]
         gap = [""] + [text[self.atoms[i - 1][1] : self.atoms[i][0]] for i in range(1, len(words))]
         for i, word in enumerate(words):
-            before, alpha = (words[i - 1].lower() if i else "^"), 0
+            before, alpha, digits = (words[i - 1].lower() if i else "^"), 0, 0
             for j in range(i + 1, min(len(words), i + LONGEST) + 1):
                 last = words[j - 1]
                 if j > i + 1 and ("\n" in gap[j - 1] or len(gap[j - 1]) > 1):
                     break
                 if last.isalpha():
                     alpha += 1
-                    if alpha > 8:
+                    if alpha > MOST_WORDS:
                         break
+                digits += len(_digits(last))
+                if digits > MOST_DIGITS and j > i + 1:
+                    break
                 has = any(sign[i:j]) or "at" in words[i:j]
                 ends = last[-1].isalnum() and (word[0].isalnum() or word in "+(")
                 if j == i + 1 or (has and ends):
@@ -213,14 +222,15 @@ class Model:
 
 
 def train(examples: list[tuple[str, list[tuple[str, int, int]]]], epochs: int = EPOCHS, seed: int = SEED) -> Model:
-    """Fit on (text, spans) by stochastic gradient ascent; spans that are not candidate segments are left out."""
+    """Fit on (text, spans) by stochastic gradient ascent; spans that are not candidate segments are left out, and so are
+    examples of more than ``EXAMPLE_ATOMS`` atoms."""
     width, rng = len(KINDS) + 1, np.random.default_rng(seed)
     model = Model(np.zeros((BUCKETS, width)), np.zeros((width, width)))
     grown, grown_s = np.full_like(model.weights, 1e-4), np.full_like(model.steps, 1e-2)
     ready = []
     for text, spans in examples:
         lattice = Lattice(text)
-        if not lattice.atoms or len(lattice.atoms) > 150:
+        if not lattice.atoms or len(lattice.atoms) > EXAMPLE_ATOMS:
             continue
         place = {(lattice.atoms[i][0], lattice.atoms[j - 1][1]): k for k, (i, j) in enumerate(lattice.segments)}
         single = {i: k for k, (i, j) in enumerate(lattice.segments) if j == i + 1}
@@ -311,40 +321,66 @@ def _made_up(rng: random.Random, words: list[str]) -> tuple[str, list[tuple[str,
     return text, [] if kind == "none" else [(kind, len(left), len(left) + len(body))]
 
 
+_NAMED = re.compile(r"""(?:token|key|secret|password)["']?\s*[:=]\s*["']?([A-Za-z0-9]{16,})""")
+
+
+def _examples(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Some places of each text, with the spans that the fixed patterns and named secrets give."""
+    for batch in batches:
+        rows = []
+        for key, text in zip(batch["hash"], batch["text"], strict=True):
+            for number, (low, high) in enumerate(places(text)[:4]):
+                low = _word_start(text, low)
+                piece = text[low : min(high, low + EXAMPLE_CHARS)]
+                spans = base_spans(piece) + [("secret", m.start(1), m.end(1)) for m in _NAMED.finditer(piece)]
+                rows.append((key, number, piece, [{"kind": k, "start": a, "end": b} for k, a, b in spans]))
+        yield pd.DataFrame(rows, columns=["hash", "number", "piece", "spans"])
+
+
 def fit(docs: DataFrame, rows: int = SAMPLE_ROWS, n_places: int = PLACES, seed: int = SEED) -> Model:
-    """Train on places of about ``rows`` rows, chosen by a hash of their text, and on as many made-up stretches."""
+    """Train on ``n_places`` places of about ``rows`` rows, chosen by a hash of their text, and on as many made-up
+    stretches. Only the places come to the driver."""
     share = min(1.0, rows / max(1, docs.count()))
-    drawn = docs.where(F.pmod(F.xxhash64("text", F.lit(seed)), F.lit(1_000_000)) < share * 1_000_000).where(F.col("text").rlike("[0-9@]"))
-    texts = sorted(r["text"] for r in drawn.select("text").limit(2 * rows).collect())
-    rng = random.Random(seed)
-    rng.shuffle(texts)
+    hashed = docs.select("text", F.xxhash64("text", F.lit(seed)).alias("hash"))
+    drawn = hashed.where(F.pmod("hash", F.lit(1_000_000)) < share * 1_000_000).where(F.col("text").rlike("[0-9@]"))
+    found = drawn.mapInPandas(_examples, "hash long, number int, piece string, spans array<struct<kind:string,start:int,end:int>>")
+    chosen = found.orderBy("hash", "number", "piece").limit(n_places).collect()
     examples, words = [], ["the", "of", "and", "mail", "contact", "order", "room"]
-    for text in texts:
-        base = base_spans(text)
-        for low, high in places(text):
-            while low > 0 and not text[low - 1].isspace():
-                low -= 1
-            inside = [(kind, a - low, b - low) for kind, a, b in base if low <= a and b <= high]
-            inside += [("secret", m.start(1), m.end(1)) for m in re.finditer(r"""(?:token|key|secret|password)["']?\s*[:=]\s*["']?([A-Za-z0-9]{16,})""", text[low:high])]
-            examples.append((text[low:high], inside))
-            words += re.findall(r"[^\W\d_]+", text[low:high])[:4]
-        if len(examples) >= n_places:
-            break
-    return train(examples[:n_places] + [_made_up(rng, words) for _ in range(n_places)])
+    for r in chosen:
+        examples.append((r["piece"], [(s["kind"], s["start"], s["end"]) for s in r["spans"]]))
+        words += re.findall(r"[^\W\d_]+", r["piece"])[:4]
+    rng = random.Random(seed)
+    return train(examples + [_made_up(rng, words) for _ in range(n_places)])
+
+
+def _word_start(text: str, at: int) -> int:
+    """The start of the word at a place, or a place not too far before it."""
+    least = max(0, at - AROUND)
+    while at > least and not text[at - 1].isspace():
+        at -= 1
+    return at
+
+
+def pieces(low: int, high: int) -> Iterator[tuple[int, int]]:
+    """A stretch in parts of at most ``PIECE`` characters."""
+    for at in range(low, high, PIECE):
+        yield at, min(high, at + PIECE)
 
 
 def all_spans(text: str | None, model: Model) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]:
-    """Spans of the fixed patterns, and those that the field adds: none of them overlaps a fixed one."""
+    """Spans of the fixed patterns, and those that the field adds: none of them overlaps a fixed one. A long stretch is
+    decoded in parts that overlap, so memory is bounded; a span belongs to the part it begins in."""
     base = base_spans(text)
     if not text or not _ANY.search(text):
         return base, []
     taken = sorted((a, b) for _, a, b in base)
     added, at = [], 0
-    for low, high in places(text):
-        while low > 0 and not text[low - 1].isspace():
-            low -= 1
-        for kind, a, b in model.decode(text[low:high]):
-            a, b = a + low, b + low
+    for low, high in (part for place in places(text) for part in pieces(*place)):
+        begin = _word_start(text, low)
+        for kind, a, b in model.decode(text[begin : high + (AROUND if high - low == PIECE else 0)]):
+            a, b = a + begin, b + begin
+            if a >= high and high - low == PIECE:  # the next part has it whole
+                break
             while at < len(taken) and taken[at][1] <= a:
                 at += 1
             if not any(x < b and a < y for x, y in taken[max(0, at - 4) : at + 4]) and (not added or a >= added[-1][2]):
@@ -405,6 +441,8 @@ def _masker(shared, columns: list[str]):
 
 
 def mask(docs: DataFrame, model: Model) -> DataFrame:
-    """``docs`` with the spans of ``text`` masked and ``n_chars``, where there is one, counted again."""
+    """``docs`` with the spans of ``text`` masked and ``n_chars``, where there is one, counted again. Null and empty texts
+    stay as they are (n_chars null and 0), repeated rows come back once each, an empty table gives an empty one, and other
+    columns are unchanged."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     return docs.mapInPandas(_masker(shared, docs.columns), docs.schema)
