@@ -126,7 +126,7 @@ def _pairs(shared):
             return codes, np.bincount(at, weights=np.concatenate([n for _, n in held])).astype(np.int64)
 
         for batch in batches:
-            for _, texts in chunks(batch["text"].tolist()):
+            for _, texts in chunks(batch["text"]):
                 unit, at = _text_units(texts, units)
                 flow = np.insert(unit, at[1:], _END)  # each text's units and its end
                 flow = np.concatenate([[_END], flow])

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterable
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -45,13 +46,16 @@ class Scratch:
         self.paths: dict[int, str] = {}
 
     def put(self, df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
-        path, key = f"{self.folder}/{name}-{len(self.paths)}", "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-        before = self.spark.conf.get(key, "false")
-        self.spark.conf.set(key, "true")
+        path = f"{self.folder}/{name}-{len(self.paths)}"
+        own = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": str(_WRITE_BATCH)}
+        before = {key: self.spark.conf.get(key) for key in own}
         try:
+            for key, value in own.items():
+                self.spark.conf.set(key, value)
             df.write.option("compression", compression).parquet(path)
         finally:
-            self.spark.conf.set(key, before)
+            for key, value in before.items():
+                self.spark.conf.set(key, value)
         out = self.spark.read.schema(df.schema).parquet(path)
         self.paths[id(out)] = path
         out._scratch = self  # keeps the id in use
@@ -93,7 +97,8 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
-_CHUNK = 2_000_000  # bytes of text that are hashed at once
+_CHUNK = 500_000  # bytes of text that are hashed at once
+_WRITE_BATCH = 1000  # rows of an Arrow batch in writes of intermediate tables, whose rows hold whole texts or sets
 
 
 def _powers(base: np.uint64, n: int) -> np.ndarray:
@@ -119,10 +124,12 @@ def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return hashes, np.searchsorted(begin, starts)
 
 
-def chunks(texts: list[str | None]):
-    """(place of the first text, lower-case UTF-8 of some texts): about ``_CHUNK`` bytes at a time, whole texts each."""
+def chunks(texts: Iterable[str | None], every_letter: bool = False):
+    """(place of the first text, lower-case UTF-8 of some texts): about ``_CHUNK`` bytes at a time, whole texts each. A-Z
+    become lower case, or every letter."""
     first, held, size = 0, [], 0
     for i, text in enumerate(texts):
+        text = text.lower() if text and every_letter else text
         held.append(text.encode("utf-8", "surrogatepass").lower() if text else b"")
         size += len(held[-1])
         if size >= _CHUNK:

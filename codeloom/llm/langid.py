@@ -279,7 +279,7 @@ def _labeller(model, with_known: bool = False):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         m = model.value
         for batch in batches:
-            for first, texts in chunks([t.lower() if t else t for t in batch["text"]]):
+            for first, texts in chunks(batch["text"], every_letter=True):
                 marginals, at, known = m.marginals(texts)
                 sums = np.concatenate([np.zeros((1, marginals.shape[1])), np.cumsum(marginals, axis=0)])
                 shares = sums[at[1:]] - sums[at[:-1]]

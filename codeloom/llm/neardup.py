@@ -91,7 +91,7 @@ def half_keys(sets: list[np.ndarray], count: int = HALF_KEYS) -> tuple[np.ndarra
 def _sketch(count: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for first, texts in chunks(batch["text"].tolist()):
+            for first, texts in chunks(batch["text"]):
                 with np.errstate(over="ignore"):
                     sets = shingle_sets(texts)
                     full = [s for s in sets if len(s)]
@@ -111,7 +111,7 @@ def _sketch(count: int):
 
 def _sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
-        for first, texts in chunks(batch["text"].tolist()):
+        for first, texts in chunks(batch["text"]):
             with np.errstate(over="ignore"):
                 sets = shingle_sets(texts)
             yield pd.DataFrame({"cid": batch["cid"].to_numpy()[first : first + len(texts)], "items": [s.tobytes() for s in sets]})
