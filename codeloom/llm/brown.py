@@ -1,13 +1,16 @@
 """Language-model scoring with Brown class-based bigrams.
 
-Words that make up at least a given share of the training tokens are units of their own, so there are at most one over
-that share; rarer words are taken together by their last bytes, and what is rare even then is one unit. The exchange
-algorithm assigns units to classes: in each round Spark gathers every unit's counts with the classes around it, and units
-move, one after another, to the class that raises the likelihood of the class bigrams most. Every word then has its
-unit's class, and a text's probability is the product of smoothed class transitions and word emissions.
-
-Counts of all words are exact and stay distributed. Texts are read once into chunks that number their words locally; only
-the chunks' vocabularies, not their tokens, are joined with the counts, and each chunk is scored with what came back.
+The exchange algorithm assigns the frequent words, those of a given share of the training tokens, so at most one over that
+share, to classes: in each round Spark gathers every word's counts with the classes around it, and words move, one after
+another, to the class that raises the likelihood of the class bigrams most. Every other word that the training texts have
+at least twice then gets its own best class, by the same gain to first order, from the classes that stand before and after
+it in the whole corpus. So the classes that are learnt grow with the input; words seen once, and unseen ones, share a
+class. A text's probability is the product of smoothed class transitions and word emissions.
+
+Counts of all words are exact and stay distributed. Texts are turned into chunks that number their words locally; only the
+chunks' vocabularies, not their tokens, are shuffled by word. A chunk's words that no other chunk has, and that have no
+class of their own, need not come back. Each chunk then becomes its texts' classes and emissions, which are kept with the
+counts of class pairs; a last pass adds the transitions.
 """
 
 from __future__ import annotations
@@ -20,121 +23,89 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, cut, remainder, stored, word_hashes, words
+from .common import Scratch, chunks, remainder, word_hashes, words
 
 CLASSES = 64
-UNIT_SHARE = 1e-4  # of the training tokens that a unit has at least, so there are at most 1 / UNIT_SHARE of each kind
+UNIT_SHARE = 1e-4  # of the training tokens that a frequent word has at least, so there are at most 1 / UNIT_SHARE
+LEAST = 2  # training occurrences of a word with a class of its own
 ROUNDS = 8
 CHUNK_TOKENS = 3_000_000
 EMISSION = 0.5  # added to each word's count in its class, and kept for unseen words
 TRANSITION = 20.0  # transitions' weight of the class distribution without context
 _END, _RARE = 0, 1
-_CHUNKED = "chunk long, doc_id long, held_out boolean, tokens binary, place int, word string, n_train long"
-
-
-def _number(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Chunks of rows: each document as local word numbers, then the chunk's words with their training counts."""
-    task, serial = TaskContext.get().partitionId(), 0
-    local: dict[bytes, int] = {}
-    docs: list[tuple] = []
-    total = 0
-
-    def flush() -> Iterator[pd.DataFrame]:
-        nonlocal serial, local, docs, total
-        chunk = task << 32 | serial
-        trained = [np.frombuffer(t, "<i4") for _, held, t in docs if not held]
-        counts = np.bincount(np.concatenate(trained), minlength=len(local)) if trained else np.zeros(len(local), np.int64)
-        out = pd.DataFrame(docs, columns=["doc_id", "held_out", "tokens"])
-        yield pd.DataFrame({"chunk": chunk, "doc_id": out["doc_id"].astype("Int64"), "held_out": out["held_out"].astype("boolean"), "tokens": out["tokens"], "place": pd.array([None] * len(out), "Int32"), "word": None, "n_train": pd.array([None] * len(out), "Int64")})
-        names = [w.decode("utf-8", "replace") for w in local]
-        for low in range(0, len(names), 50_000):
-            part = names[low : low + 50_000]
-            yield pd.DataFrame({"chunk": chunk, "doc_id": pd.array([None] * len(part), "Int64"), "held_out": pd.array([None] * len(part), "boolean"), "tokens": None, "place": np.arange(low, low + len(part)), "word": part, "n_train": counts[low : low + len(part)]})
-        serial, local, docs, total = serial + 1, {}, [], 0
-
-    for batch in batches:
-        for doc_id, held, text in zip(batch["doc_id"].astype("Int64"), batch["held_out"], batch["text"], strict=True):
-            put = local.setdefault
-            found = np.array([put(w, len(local)) for w in words(text)], "<i4")
-            docs.append((doc_id, bool(held), found.tobytes()))
-            total += len(found) + 1
-            if total >= CHUNK_TOKENS:
-                yield from flush()
-    if docs:
-        yield from flush()
+_CHUNKED = "chunk long, doc_id long, held_out boolean, tokens binary, place int, word string, n_train long, around binary"
+_CLASSED = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, emitted double, classes binary, a int, b int, n long"
 
 
 class Units:
-    """Unit numbers of words by hash, and of endings by their last three bytes."""
-
-    def __init__(self, frequent: list[str], endings: list[int]):
-        hashes = _hashes(frequent)
-        order = np.argsort(hashes)
-        self.hashes, self.of_hash = hashes[order], order + 2
-        self.endings = np.sort(np.array(endings, np.int64))
-        self.size = 2 + len(frequent) + len(endings)
-        self.first_ending = 2 + len(frequent)
-
-    def of(self, hashes: np.ndarray, tails: np.ndarray) -> np.ndarray:
-        out = np.full(len(hashes), _RARE, np.int64)
-        if len(self.endings):
-            at = np.minimum(np.searchsorted(self.endings, tails), len(self.endings) - 1)
-            out = np.where(self.endings[at] == tails, at + self.first_ending, out)
-        if len(self.hashes):
-            at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
-            out = np.where(self.hashes[at] == hashes, self.of_hash[at], out)
-        return out
-
-
-def _hashes(names: list[str]) -> np.ndarray:
+    """Unit numbers of frequent words by their hashes; any other word is ``_RARE``."""
+
+    def __init__(self, hashes: list[int]):
+        self.hashes = np.sort(np.array(hashes, np.int64).view(np.uint64))
+        self.size = 2 + len(hashes)
+
+    def of(self, hashes: np.ndarray) -> np.ndarray:
+        if not len(self.hashes):
+            return np.full(len(hashes), _RARE, np.int64)
+        at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
+        return np.where(self.hashes[at] == hashes, at + 2, _RARE)
+
+
+def _hashes(names: list[bytes]) -> np.ndarray:
     if not names:
         return np.empty(0, np.uint64)
     with np.errstate(over="ignore"):
-        return word_hashes([n.encode("utf-8", "surrogatepass") for n in names])[0]
+        return word_hashes(names)[0]
 
 
-def _tail(word: bytes) -> int:
-    return int.from_bytes(word[-3:], "big")
+def _merged(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    codes, at = np.unique(np.concatenate([c for c, _ in held]), return_inverse=True)
+    return codes, np.bincount(at, weights=np.concatenate([n for _, n in held])).astype(np.int64)
 
 
-def _units_of(names: list[str], units: Units) -> np.ndarray:
-    return units.of(_hashes(names), np.fromiter((_tail(n.encode("utf-8", "surrogatepass")) for n in names), np.int64, len(names)))
+def _often(share: float):
+    """Of each task's stretch of tokens the words with half the share of it, by hash, and the number of its tokens."""
 
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        total = 0
 
-def _text_units(texts: list[bytes], units: Units) -> tuple[np.ndarray, np.ndarray]:
-    with np.errstate(over="ignore"):
-        hashes, at = word_hashes(texts)
-    raw = np.frombuffer(b" ".join(texts) + b" ", np.uint8)
-    space = np.isin(raw, (9, 10, 11, 12, 13, 32))
-    ends = np.flatnonzero(~space[:-1] & space[1:])  # last byte of each word
-    tails = np.zeros(len(ends), np.int64)
-    going = np.ones(len(ends), bool)
-    for k in range(3):
-        place = ends - k
-        going &= (place >= 0) & ~space[np.maximum(place, 0)]
-        tails += np.where(going, raw[np.maximum(place, 0)].astype(np.int64) << (8 * k), 0)
-    return units.of(hashes, tails), at
+        def flush() -> pd.DataFrame:
+            codes, n = _merged(held) if held else (np.empty(0, np.uint64), np.empty(0, np.int64))
+            often = n >= share / 2 * total
+            return pd.DataFrame({"hash": pd.array([*codes[often].view(np.int64), None], "Int64"), "n": [*n[often], total]})
+
+        for batch in batches:
+            for _, texts in chunks(batch["text"]):
+                with np.errstate(over="ignore"):
+                    hashes, _ = word_hashes(texts)
+                total += len(hashes) + len(texts)
+                held.append(np.unique(hashes, return_counts=True))
+                if total >= CHUNK_TOKENS:
+                    yield flush()
+                    held, total = [], 0
+                elif len(held) > 8:
+                    held = [_merged(held)]
+        if total:
+            yield flush()
+
+    return run
 
 
 def _pairs(shared):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         units = shared.value
         held: list[tuple[np.ndarray, np.ndarray]] = []
-
-        def merged() -> tuple[np.ndarray, np.ndarray]:
-            codes, at = np.unique(np.concatenate([c for c, _ in held]), return_inverse=True)
-            return codes, np.bincount(at, weights=np.concatenate([n for _, n in held])).astype(np.int64)
-
         for batch in batches:
             for _, texts in chunks(batch["text"]):
-                unit, at = _text_units(texts, units)
-                flow = np.insert(unit, at[1:], _END)  # each text's units and its end
-                flow = np.concatenate([[_END], flow])
+                with np.errstate(over="ignore"):
+                    hashes, at = word_hashes(texts)
+                flow = np.concatenate([[_END], np.insert(units.of(hashes), at[1:], _END)])  # each text's units and its end
                 held.append(np.unique(flow[:-1] * units.size + flow[1:], return_counts=True))
                 if sum(len(c) for c, _ in held) > 3_000_000 and len(held) > 1:
-                    held = [merged()]
+                    held = [_merged(held)]
         if held:
-            codes, n = merged()
+            codes, n = _merged(held)
             for low in range(0, len(codes), 100_000):
                 part = codes[low : low + 100_000]
                 yield pd.DataFrame({"a": part // units.size, "b": part % units.size, "n": n[low : low + 100_000]})
@@ -182,7 +153,7 @@ def exchange(after: np.ndarray, before: np.ndarray, own: np.ndarray, of: np.ndar
         gain = by_row.sum(axis=1) - np.diagonal(by_row) + by_column.sum(axis=0) - np.diagonal(by_column)
         gain += _xlogx(corner + r + c + s) - _xlogx(corner)
         gain -= _xlogx(rows + r.sum() + s) - _xlogx(rows) + _xlogx(columns + c.sum() + s) - _xlogx(columns)
-        gain[_END] = -np.inf  # the end has a class of its own
+        gain[[_END, _RARE]] = -np.inf  # the end has a class of its own, and so has what is no frequent word
         best = int(gain.argmax())
         if gain[best] <= gain[home] + 1e-9:
             best = int(home)
@@ -195,10 +166,10 @@ def exchange(after: np.ndarray, before: np.ndarray, own: np.ndarray, of: np.ndar
 
 
 class Model:
-    """Units, their classes, log10 transitions, and the totals and sizes of classes for emissions."""
+    """Totals and sizes of classes for emissions, and of all training tokens for the base."""
 
-    def __init__(self, units: Units, of: np.ndarray, steps: np.ndarray, totals: np.ndarray, sizes: np.ndarray, tokens: int, distinct: int):
-        self.units, self.of, self.steps, self.totals, self.sizes, self.tokens, self.distinct = units, of, steps, totals, sizes, tokens, distinct
+    def __init__(self, totals: np.ndarray, sizes: np.ndarray, tokens: int, distinct: int):
+        self.totals, self.sizes, self.tokens, self.distinct = totals, sizes, tokens, distinct
 
     def emission(self, classes: np.ndarray, counts: np.ndarray) -> np.ndarray:
         return np.log10((counts + EMISSION) / (self.totals[classes] + EMISSION * (self.sizes[classes] + 1)))
@@ -207,15 +178,22 @@ class Model:
         return np.log10((counts + 1) / (self.tokens + 1 * (self.distinct + 1)))
 
 
+def steps_of(table: np.ndarray) -> np.ndarray:
+    """log10 of smoothed transitions from the counts of class pairs."""
+    alone = (table.sum(axis=0) + 1.0) / (table.sum() + len(table))
+    return np.log10((table + TRANSITION * alone) / (table.sum(axis=1, keepdims=True) + TRANSITION))
+
+
 def cluster(pairs: DataFrame, n_units: int, n_classes: int = CLASSES, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray]:
     """Classes of units and the counts of class pairs, from counts (a, b, n) of unit pairs. The driver holds a vector of
     class counts for each unit; units are bounded."""
-    spark = pairs.sparkSession
+    spark, scratch = pairs.sparkSession, Scratch(pairs.sparkSession)
     sides = [pairs.select(F.col(x).alias("unit"), F.lit(side).alias("side"), F.col(y).alias("other"), "n") for side, x, y in ((0, "a", "b"), (1, "b", "a"))]
     lists = sides[0].union(sides[1]).groupBy("unit", "side").agg(F.collect_list(F.struct("other", "n")).alias("l"))
-    lists = cut(lists.select("unit", "side", F.col("l.other").alias("others"), F.col("l.n").alias("counts")))
+    lists = scratch.put(lists.select("unit", "side", F.col("l.other").alias("others"), F.col("l.n").alias("counts")), "around")
     of = np.zeros(n_units, np.int64)
-    of[1:] = 1 + np.arange(n_units - 1) % (n_classes - 1)
+    of[_RARE] = _RARE
+    of[2:] = 2 + np.arange(n_units - 2) % (n_classes - 2)
     table = np.zeros((n_classes, n_classes))
     for turn in range(rounds + 1):
         shared = spark.sparkContext.broadcast(of.copy())
@@ -231,37 +209,158 @@ def cluster(pairs: DataFrame, n_units: int, n_classes: int = CLASSES, rounds: in
             break
         weight = after.sum(axis=1) + own
         order = np.argsort(-weight, kind="stable")
-        if not exchange(after, before, own, of, order[(order != _END) & (weight[order] > 0)], n_classes):
+        if not exchange(after, before, own, of, order[(order > _RARE) & (weight[order] > 0)], n_classes):
             break
+    scratch.drop(lists)
     return of, table
 
 
-def _word_classes(shared):
+def _around_words(docs: list[tuple], classes: np.ndarray, n_classes: int) -> tuple[np.ndarray, list[bytes]]:
+    """Training counts of a chunk's words, and of each rare one a byte for each neighbour: its class before the word, and
+    ``n_classes`` more after it."""
+    flow = [np.array([-1])]
+    for _, held, tokens in docs:
+        if not held:
+            flow += [np.frombuffer(tokens, "<i4"), np.array([-1])]
+    flow = np.concatenate(flow)
+    counts = np.bincount(flow[flow >= 0], minlength=len(classes))
+    known = np.where(flow < 0, _END, np.append(classes, _END)[flow])
+    at = np.flatnonzero((flow >= 0) & (known == _RARE))
+    word = np.concatenate([flow[at], flow[at]])
+    keys = np.concatenate([known[at - 1], known[at + 1] + n_classes]).astype(np.uint8)
+    keys = keys[np.argsort(word, kind="stable")].tobytes()
+    ends = np.cumsum(np.bincount(word, minlength=len(classes))).tolist()
+    return counts, [keys[a:b] for a, b in zip([0, *ends], ends, strict=False)]
+
+
+def _number(shared, n_classes: int):
+    """Chunks of rows: each document as local word numbers, then the chunk's words with their training counts and the
+    classes around them."""
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         units, of = shared.value
+        task, serial = TaskContext.get().partitionId(), 0
+        local: dict[bytes, int] = {}
+        docs: list[tuple] = []
+        total = 0
+
+        def flush() -> Iterator[pd.DataFrame]:
+            nonlocal serial, local, docs, total
+            chunk = task << 32 | serial
+            names = list(local)
+            counts, around = _around_words(docs, of[units.of(_hashes(names))], n_classes)
+            for low in range(0, len(docs), 2000):
+                out = pd.DataFrame(docs[low : low + 2000], columns=["doc_id", "held_out", "tokens"])
+                none = pd.array([None] * len(out), "Int64")
+                yield pd.DataFrame({"chunk": chunk, "doc_id": out["doc_id"].astype("Int64"), "held_out": out["held_out"].astype("boolean"), "tokens": out["tokens"], "place": none.astype("Int32"), "word": None, "n_train": none, "around": None})
+            for low in range(0, len(names), 50_000):
+                part = [w.decode("utf-8", "replace") for w in names[low : low + 50_000]]
+                none = pd.array([None] * len(part), "Int64")
+                yield pd.DataFrame({"chunk": chunk, "doc_id": none, "held_out": none.astype("boolean"), "tokens": None, "place": np.arange(low, low + len(part)), "word": part, "n_train": counts[low : low + len(part)], "around": around[low : low + len(part)]})
+            serial, local, docs, total = serial + 1, {}, [], 0
+
         for batch in batches:
-            yield pd.DataFrame({"class": of[_units_of(batch["word"].tolist(), units)], "c": batch["c"].to_numpy()})
+            for doc_id, held, text in zip(batch["doc_id"].astype("Int64"), batch["held_out"], batch["text"], strict=True):
+                put = local.setdefault
+                found = np.array([put(w, len(local)) for w in words(text)], "<i4")
+                docs.append((doc_id, bool(held), found.tobytes()))
+                total += len(found) + 1
+                if total >= CHUNK_TOKENS:
+                    yield from flush()
+        if docs:
+            yield from flush()
 
     return run
 
 
-def _scorer(shared):
+def _assign(shared, n_classes: int):
+    """word, c and class from rows (word, n_train, around) sorted by word: sums over a word's rows, and the class of the
+    greatest gain for words that are not frequent."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        units, of, gains = shared.value
+        last = None  # word, count and neighbours of the word that the next batch may go on with
+        for batch in batches:
+            names = batch["word"].to_numpy()
+            fresh = np.ones(len(names), bool)
+            fresh[1:] = names[1:] != names[:-1]
+            starts = np.flatnonzero(fresh)
+            group = np.cumsum(fresh) - 1
+            c = np.add.reduceat(batch["n_train"].to_numpy(np.int64), starts)
+            sizes = np.array([len(x) for x in batch["around"]])
+            keys = np.frombuffer(b"".join(batch["around"]), np.uint8)
+            seen = np.bincount(np.repeat(group, sizes) * 2 * n_classes + keys, minlength=len(starts) * 2 * n_classes).reshape(len(starts), -1)
+            names = names[starts].tolist()
+            if last and last[0] == names[0]:
+                c[0] += last[1]
+                seen[0] += last[2]
+            elif last:
+                names, c, seen = [last[0], *names], np.concatenate([[last[1]], c]), np.concatenate([last[2][None], seen])
+            last = (names[-1], c[-1], seen[-1])
+            if len(names) > 1:
+                yield decided(names[:-1], c[:-1], seen[:-1], units, of, gains)
+        if last:
+            yield decided([last[0]], np.array([last[1]]), last[2][None], units, of, gains)
+
+    return run
+
+
+def decided(names: list[str], c: np.ndarray, seen: np.ndarray, units: Units, of: np.ndarray, gains: tuple[np.ndarray, np.ndarray]) -> pd.DataFrame:
+    unit = units.of(_hashes([n.encode("utf-8", "surrogatepass") for n in names]))
+    by_neighbour, by_count = gains
+    gain = seen @ by_neighbour - c[:, None] * by_count
+    gain[:, _END] = -np.inf  # the end has a class of its own, and so have words that are seen once
+    gain[:, _RARE] = -np.inf
+    best = np.where(c >= LEAST, gain.argmax(axis=1), _RARE)
+    return pd.DataFrame({"word": names, "c": c, "class": np.where(unit != _RARE, of[unit], best)})
+
+
+def class_gains(table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """What a neighbour of each class (before, then after) adds to the likelihood for each class that a word may get, to
+    first order, and what an occurrence of the word takes from it: from the counts of class pairs."""
+    smooth = np.log(table + 0.5)
+    return np.concatenate([smooth, smooth.T]), np.log(table.sum(axis=0) + 1.0) + np.log(table.sum(axis=1) + 1.0)
+
+
+def _classed(shared, n_classes: int):
+    """A chunk's documents as classes, with the sums of their emissions and base; and its counts of class pairs."""
+
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         m: Model = shared.value
-        right = right.sort_values("place")
-        counts = right["c"].to_numpy(np.float64)
-        classes = m.of[_units_of(right["word"].tolist(), m.units)] if len(right) else np.empty(0, np.int64)
+        flows = [np.frombuffer(t, "<i4") for t in left["tokens"]]
+        held = left["held_out"].to_numpy(bool)
+        size = 1 + max((int(t.max()) for t in flows if len(t)), default=-1)
+        trained = [t for t, h in zip(flows, held, strict=True) if not h]
+        counts = np.bincount(np.concatenate(trained), minlength=size).astype(np.float64) if trained else np.zeros(size)
+        classes = np.full(size, _RARE)
+        place = right["place"].to_numpy(np.int64)
+        counts[place], classes[place] = right["c"].to_numpy(np.float64), right["class"].to_numpy(np.int64)
         emitted, base = m.emission(classes, counts), m.base(counts)
         ends = np.array([m.totals[_END]])
         end_emitted, end_base = m.emission(np.array([_END]), ends)[0], m.base(ends)[0]
-        rows = []
-        for doc_id, held, tokens in zip(left["doc_id"], left["held_out"], left["tokens"], strict=True):
-            t = np.frombuffer(tokens, "<i4")
+        pairs, rows = np.zeros(n_classes * n_classes, np.int64), []
+        for doc_id, h, t in zip(left["doc_id"], held, flows, strict=True):
             flow = np.concatenate([[_END], classes[t], [_END]])
-            score = float(m.steps[flow[:-1], flow[1:]].sum() + emitted[t].sum() + end_emitted)
-            rows.append((doc_id, bool(held), len(t) + 1, int((counts[t] > 0).sum()) + int(ends[0] > 0), m.tokens, float(base[t].sum() + end_base), score))
-        out = pd.DataFrame(rows, columns=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
-        return out.astype({"doc_id": "Int64"})
+            if not h:
+                pairs += np.bincount(flow[:-1] * n_classes + flow[1:], minlength=len(pairs))
+            rows.append((doc_id, bool(h), len(t) + 1, int((counts[t] > 0).sum()) + int(ends[0] > 0), float(base[t].sum() + end_base), float(emitted[t].sum() + end_emitted), classes[t].astype(np.uint8).tobytes(), None, None, None))
+        rows += [(None, None, None, None, None, None, None, int(k) // n_classes, int(k) % n_classes, int(pairs[k])) for k in np.flatnonzero(pairs)]
+        out = pd.DataFrame(rows, columns=[c.split()[0] for c in _CLASSED.split(", ")])
+        return out.astype({"doc_id": "Int64", "held_out": "boolean", "n_tokens": "Int64", "n_known": "Int64", "a": "Int32", "b": "Int32", "n": "Int64"})
+
+    return run
+
+
+def _stepped(shared):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        steps, tokens = shared.value
+        for batch in batches:
+            total = []
+            for emitted, classes in zip(batch["emitted"], batch["classes"], strict=True):
+                flow = np.concatenate([[_END], np.frombuffer(classes, np.uint8), [_END]]).astype(np.int64)
+                total.append(emitted + float(steps[flow[:-1], flow[1:]].sum()))
+            out = batch[["doc_id", "held_out", "n_tokens", "n_known"]].astype({"doc_id": "Int64"})
+            yield out.assign(train_tokens=tokens, base_score=batch["base_score"], score=total)
 
     return run
 
@@ -270,35 +369,42 @@ def score(docs: DataFrame, n_classes: int = CLASSES, share: float = UNIT_SHARE,
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of each row of ``docs`` (doc_id, text).
 
     Rows of fold 2 of 7 are held out; the model is trained on the rest. A null or empty text is its end token alone.
-    Repeated rows count and come back once each; a null id belongs to fold 0. Other columns are ignored.
+    Repeated rows count and come back once each; a null id belongs to fold 0. Other columns are ignored, and an empty table
+    gives no rows.
     """
     spark = docs.sparkSession
+    scratch, send = Scratch(spark), spark.sparkContext.broadcast
     rows = docs.select("doc_id", "text", (remainder("doc_id", 7) == 2).alias("held_out"))
-    chunked = stored(rows.mapInPandas(_number, _CHUNKED), "brown-chunks")
+    trained = rows.where("NOT held_out").select("text")
+    often = scratch.put(trained.mapInPandas(_often(share), "hash long, n long").groupBy("hash").agg(F.sum("n").alias("n")), "often")
+    whole = often.where("hash IS NULL").first()
+    least = max(LEAST, share * whole["n"]) if whole else LEAST
+    units = Units([r["hash"] for r in often.where(F.col("hash").isNotNull() & (F.col("n") >= least)).collect()])  # at most 1 / share
+    pairs = trained.mapInPandas(_pairs(send(units)), "a long, b long, n long").groupBy("a", "b").agg(F.sum("n").alias("n"))
+    of, table = cluster(pairs, units.size, n_classes, rounds)
+
+    chunked = scratch.put(rows.mapInPandas(_number(send((units, of)), n_classes), _CHUNKED), "chunks")
     texts = chunked.where("word IS NULL").select("chunk", "doc_id", "held_out", "tokens")
-    local = chunked.where("word IS NOT NULL").select("chunk", "place", "word", "n_train")
-    counts = stored(local.where("n_train > 0").groupBy("word").agg(F.sum("n_train").alias("c")), "brown-counts")
+    local = chunked.where("word IS NOT NULL").select("chunk", "place", "word", "n_train", "around")
+    sorted_ = local.where("n_train > 0").select("word", "n_train", "around").repartition("word").sortWithinPartitions("word")
+    counts = scratch.put(sorted_.mapInPandas(_assign(send((units, of, class_gains(table))), n_classes), "word string, c long, class int"), "words")
+    by_class = counts.groupBy("class").agg(F.sum("c").alias("c"), F.count("*").alias("n")).collect()
     n_docs = texts.where("NOT held_out").count()
-    sums = counts.agg(F.sum("c").alias("tokens"), F.count("*").alias("words")).first()
-    tokens, distinct = (sums["tokens"] or 0) + n_docs, sums["words"] + (n_docs > 0)
-    least = max(2.0, share * tokens)
-    frequent = [r["word"] for r in counts.where(F.col("c") >= least).orderBy(F.desc("c"), "word").select("word").collect()]
-    ending = F.expr("conv(hex(substring(cast(word AS binary), -3, 3)), 16, 10)").cast("long")
-    endings = counts.where(F.col("c") < least).groupBy(ending.alias("ending")).agg(F.sum("c").alias("c")).where(F.col("c") >= least)
-    units = Units(frequent, [r["ending"] for r in endings.collect()])
-
-    shared = spark.sparkContext.broadcast(units)
-    pairs = rows.where("NOT held_out").select("text").mapInPandas(_pairs(shared), "a long, b long, n long").groupBy("a", "b").agg(F.sum("n").alias("n"))
-    of, table = cluster(pairs, units.size, n_classes, rounds)
-    after = table.sum(axis=1, keepdims=True)
-    alone = (table.sum(axis=0) + 1.0) / (table.sum() + n_classes)
-    steps = np.log10((table + TRANSITION * alone) / (after + TRANSITION))
-    by_class = counts.mapInPandas(_word_classes(spark.sparkContext.broadcast((units, of))), "class long, c long").groupBy("class").agg(F.sum("c").alias("c"), F.count("*").alias("n")).collect()
     totals, sizes = np.zeros(n_classes), np.zeros(n_classes)
     for r in by_class:
         totals[r["class"]], sizes[r["class"]] = r["c"], r["n"]
+    tokens, distinct = int(totals.sum()) + n_docs, int(sizes.sum()) + (n_docs > 0)
     totals[_END], sizes[_END] = n_docs, 1
-    model = spark.sparkContext.broadcast(Model(units, of, steps, totals, sizes, tokens, distinct))
-    known = local.select("chunk", "place", "word").join(counts, "word", "left").select(F.col("chunk").alias("part"), "place", "word", F.coalesce("c", F.lit(0)).alias("c"))
+
+    # what a chunk does not know by itself: counts of words that other chunks have, and classes
+    known = local.select("chunk", "place", "word", "n_train").join(counts, "word").where(f"c <> n_train OR class <> {_RARE}").select(F.col("chunk").alias("part"), "place", "c", "class")
+    n = max(1, 2 * texts.select("chunk").distinct().count())
+    both = texts.repartition(n, "chunk").groupBy("chunk").cogroup(known.repartition(n, "part").groupBy("part"))
+    model = send(Model(totals, sizes, tokens, distinct))
+    classed = scratch.put(both.applyInPandas(_classed(model, n_classes), _CLASSED), "classes")
+    scratch.drop(chunked, counts)
+    table = np.zeros((n_classes, n_classes))
+    for r in classed.where("a IS NOT NULL").groupBy("a", "b").agg(F.sum("n").alias("n")).collect():  # classes squared
+        table[r["a"], r["b"]] = r["n"]
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return texts.groupBy("chunk").cogroup(known.groupBy("part")).applyInPandas(_scorer(model), schema)
+    return classed.where("a IS NULL").mapInPandas(_stepped(send((steps_of(table), tokens))), schema)
