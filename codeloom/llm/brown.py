@@ -1,11 +1,11 @@
 """Language-model scoring with Brown class-based bigrams.
 
-The exchange algorithm assigns the frequent words, those of a given share of the training tokens, so at most one over that
-share, to classes: in each round Spark gathers every word's counts with the classes around it, and words move, one after
-another, to the class that raises the likelihood of the class bigrams most. Every other word that the training texts have
-at least twice then gets its own best class, by the same gain to first order, from the classes that stand before and after
-it in the whole corpus. So the classes that are learnt grow with the input; words seen once, and unseen ones, share a
-class. A text's probability is the product of smoothed class transitions and word emissions.
+The exchange algorithm assigns units to classes: the frequent words, those of a given share of the training tokens, so at
+most one over that share, and as many endings at most that stand for the other words for a start. In each round Spark
+gathers every unit's counts with the classes around it, and units move, one after another, to the class that raises the
+likelihood of the class bigrams most. Every other word that the training texts have at least twice then gets its own best
+class, by the same gain to first order, from the classes that stand before and after it in the whole corpus. So the classes
+that are learnt grow with the input; words seen once, and unseen ones, keep the class of their ending. A text's probability is the product of smoothed class transitions and word emissions.
 
 Counts of all words are exact and stay distributed. Texts are turned into chunks that number their words locally; only the
 chunks' vocabularies, not their tokens, are shuffled by word. A chunk's words that no other chunk has, and that have no
@@ -15,6 +15,7 @@ counts of class pairs; a last pass adds the transitions.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,6 +29,7 @@ from .common import Scratch, chunks, remainder, word_hashes, words
 CLASSES = 64
 UNIT_SHARE = 1e-4  # of the training tokens that a frequent word has at least, so there are at most 1 / UNIT_SHARE
 LEAST = 2  # training occurrences of a word with a class of its own
+PRIOR = 1.0  # log10 odds for the class of a word's ending
 ROUNDS = 8
 CHUNK_TOKENS = 3_000_000
 EMISSION = 0.5  # added to each word's count in its class, and kept for unseen words
@@ -38,24 +40,43 @@ _CLASSED = "doc_id long, held_out boolean, n_tokens long, n_known long, base_sco
 
 
 class Units:
-    """Unit numbers of frequent words by their hashes; any other word is ``_RARE``."""
+    """Unit numbers of frequent words by their hashes, and of other words by their last three bytes, or else ``_RARE``."""
 
-    def __init__(self, hashes: list[int]):
+    def __init__(self, hashes: list[int], endings: list[int]):
         self.hashes = np.sort(np.array(hashes, np.int64).view(np.uint64))
-        self.size = 2 + len(hashes)
-
-    def of(self, hashes: np.ndarray) -> np.ndarray:
-        if not len(self.hashes):
-            return np.full(len(hashes), _RARE, np.int64)
-        at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
-        return np.where(self.hashes[at] == hashes, at + 2, _RARE)
-
-
-def _hashes(names: list[bytes]) -> np.ndarray:
-    if not names:
-        return np.empty(0, np.uint64)
+        self.endings = np.sort(np.array(endings, np.int64))
+        self.first_ending = 2 + len(hashes)
+        self.size = self.first_ending + len(endings)
+
+    def of(self, hashes: np.ndarray, tails: np.ndarray) -> np.ndarray:
+        out = np.full(len(hashes), _RARE, np.int64)
+        if len(self.endings):
+            at = np.minimum(np.searchsorted(self.endings, tails), len(self.endings) - 1)
+            out = np.where(self.endings[at] == tails, at + self.first_ending, out)
+        if len(self.hashes):
+            at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
+            out = np.where(self.hashes[at] == hashes, at + 2, out)
+        return out
+
+    def is_word(self, unit: np.ndarray) -> np.ndarray:
+        return (unit > _RARE) & (unit < self.first_ending)
+
+
+def _hashed(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes and endings (the last three bytes as a number) of all words, and where each text's words begin."""
+    if not texts:
+        return np.empty(0, np.uint64), np.empty(0, np.int64), np.zeros(1, np.int64)
     with np.errstate(over="ignore"):
-        return word_hashes(names)[0]
+        hashes, at = word_hashes(texts)
+    raw = np.frombuffer(b" ".join(texts) + b" ", np.uint8)
+    space = np.isin(raw, (9, 10, 11, 12, 13, 32))
+    ends = np.flatnonzero(~space[:-1] & space[1:])  # last byte of each word
+    tails, going = np.zeros(len(ends), np.int64), np.ones(len(ends), bool)
+    for k in range(3):
+        place = np.maximum(ends - k, 0)
+        going &= (ends >= k) & ~space[place]
+        tails += np.where(going, raw[place].astype(np.int64) << (8 * k), 0)
+    return hashes, tails, at
 
 
 def _merged(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
@@ -64,28 +85,34 @@ def _merged(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.n
 
 
 def _often(share: float):
-    """Of each task's stretch of tokens the words with half the share of it, by hash, and the number of its tokens."""
+    """Of each task's stretch of tokens the words with half the share of it, by hash, the endings with half the share,
+    and the number of its tokens (null)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[tuple[np.ndarray, np.ndarray]] = []
+        endings: list[tuple[np.ndarray, np.ndarray]] = []
         total = 0
 
         def flush() -> pd.DataFrame:
-            codes, n = _merged(held) if held else (np.empty(0, np.uint64), np.empty(0, np.int64))
-            often = n >= share / 2 * total
-            return pd.DataFrame({"hash": pd.array([*codes[often].view(np.int64), None], "Int64"), "n": [*n[often], total]})
+            out: list[tuple] = [(None, False, total)]
+            for ending, parts in ((False, held), (True, endings)):
+                if parts:
+                    codes, n = _merged(parts)
+                    often = n >= share / 2 * total
+                    out += zip(codes[often].view(np.int64).tolist(), itertools.repeat(ending), n[often].tolist(), strict=False)
+            return pd.DataFrame(out, columns=["code", "ending", "n"]).astype({"code": "Int64"})
 
         for batch in batches:
             for _, texts in chunks(batch["text"]):
-                with np.errstate(over="ignore"):
-                    hashes, _ = word_hashes(texts)
+                hashes, tails, _ = _hashed(texts)
                 total += len(hashes) + len(texts)
                 held.append(np.unique(hashes, return_counts=True))
+                endings.append(np.unique(tails, return_counts=True))
                 if total >= CHUNK_TOKENS:
                     yield flush()
-                    held, total = [], 0
+                    held, endings, total = [], [], 0
                 elif len(held) > 8:
-                    held = [_merged(held)]
+                    held, endings = [_merged(held)], [_merged(endings)]
         if total:
             yield flush()
 
@@ -98,9 +125,8 @@ def _pairs(shared):
         held: list[tuple[np.ndarray, np.ndarray]] = []
         for batch in batches:
             for _, texts in chunks(batch["text"]):
-                with np.errstate(over="ignore"):
-                    hashes, at = word_hashes(texts)
-                flow = np.concatenate([[_END], np.insert(units.of(hashes), at[1:], _END)])  # each text's units and its end
+                hashes, tails, at = _hashed(texts)
+                flow = np.concatenate([[_END], np.insert(units.of(hashes, tails), at[1:], _END)])  # each text's units and its end
                 held.append(np.unique(flow[:-1] * units.size + flow[1:], return_counts=True))
                 if sum(len(c) for c, _ in held) > 3_000_000 and len(held) > 1:
                     held = [_merged(held)]
@@ -153,7 +179,7 @@ def exchange(after: np.ndarray, before: np.ndarray, own: np.ndarray, of: np.ndar
         gain = by_row.sum(axis=1) - np.diagonal(by_row) + by_column.sum(axis=0) - np.diagonal(by_column)
         gain += _xlogx(corner + r + c + s) - _xlogx(corner)
         gain -= _xlogx(rows + r.sum() + s) - _xlogx(rows) + _xlogx(columns + c.sum() + s) - _xlogx(columns)
-        gain[[_END, _RARE]] = -np.inf  # the end has a class of its own, and so has what is no frequent word
+        gain[[_END, _RARE]] = -np.inf  # the end has a class of its own, and so has what has no unit
         best = int(gain.argmax())
         if gain[best] <= gain[home] + 1e-9:
             best = int(home)
@@ -184,8 +210,8 @@ def steps_of(table: np.ndarray) -> np.ndarray:
     return np.log10((table + TRANSITION * alone) / (table.sum(axis=1, keepdims=True) + TRANSITION))
 
 
-def cluster(pairs: DataFrame, n_units: int, n_classes: int = CLASSES, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray]:
-    """Classes of units and the counts of class pairs, from counts (a, b, n) of unit pairs. The driver holds a vector of
+def cluster(pairs: DataFrame, n_units: int, n_classes: int = CLASSES, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Classes of units, the counts of class pairs, and the counts of units, from counts (a, b, n) of unit pairs. The driver holds a vector of
     class counts for each unit; units are bounded."""
     spark, scratch = pairs.sparkSession, Scratch(pairs.sparkSession)
     sides = [pairs.select(F.col(x).alias("unit"), F.lit(side).alias("side"), F.col(y).alias("other"), "n") for side, x, y in ((0, "a", "b"), (1, "b", "a"))]
@@ -212,12 +238,12 @@ def cluster(pairs: DataFrame, n_units: int, n_classes: int = CLASSES, rounds: in
         if not exchange(after, before, own, of, order[(order > _RARE) & (weight[order] > 0)], n_classes):
             break
     scratch.drop(lists)
-    return of, table
+    return of, table, after.sum(axis=1) + own
 
 
-def _around_words(docs: list[tuple], classes: np.ndarray, n_classes: int) -> tuple[np.ndarray, list[bytes]]:
-    """Training counts of a chunk's words, and of each rare one a byte for each neighbour: its class before the word, and
-    ``n_classes`` more after it."""
+def _around_words(docs: list[tuple], classes: np.ndarray, frequent: np.ndarray, n_classes: int) -> tuple[np.ndarray, list[bytes]]:
+    """Training counts of a chunk's words, and of each that is not frequent a byte for each neighbour: its class before
+    the word, and ``n_classes`` more after it."""
     flow = [np.array([-1])]
     for _, held, tokens in docs:
         if not held:
@@ -225,7 +251,7 @@ def _around_words(docs: list[tuple], classes: np.ndarray, n_classes: int) -> tup
     flow = np.concatenate(flow)
     counts = np.bincount(flow[flow >= 0], minlength=len(classes))
     known = np.where(flow < 0, _END, np.append(classes, _END)[flow])
-    at = np.flatnonzero((flow >= 0) & (known == _RARE))
+    at = np.flatnonzero(~np.append(frequent, True)[flow])
     word = np.concatenate([flow[at], flow[at]])
     keys = np.concatenate([known[at - 1], known[at + 1] + n_classes]).astype(np.uint8)
     keys = keys[np.argsort(word, kind="stable")].tobytes()
@@ -234,8 +260,8 @@ def _around_words(docs: list[tuple], classes: np.ndarray, n_classes: int) -> tup
 
 
 def _number(shared, n_classes: int):
-    """Chunks of rows: each document as local word numbers, then the chunk's words with their training counts and the
-    classes around them."""
+    """Chunks of rows: each document as local word numbers and their units' classes, then the chunk's words with their
+    training counts and the classes around them."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         units, of = shared.value
@@ -248,11 +274,15 @@ def _number(shared, n_classes: int):
             nonlocal serial, local, docs, total
             chunk = task << 32 | serial
             names = list(local)
-            counts, around = _around_words(docs, of[units.of(_hashes(names))], n_classes)
+            unit = units.of(*_hashed(names)[:2])
+            classes = of[unit]
+            counts, around = _around_words(docs, classes, units.is_word(unit), n_classes)
+            first = classes.astype(np.uint8)
             for low in range(0, len(docs), 2000):
                 out = pd.DataFrame(docs[low : low + 2000], columns=["doc_id", "held_out", "tokens"])
                 none = pd.array([None] * len(out), "Int64")
-                yield pd.DataFrame({"chunk": chunk, "doc_id": out["doc_id"].astype("Int64"), "held_out": out["held_out"].astype("boolean"), "tokens": out["tokens"], "place": none.astype("Int32"), "word": None, "n_train": none, "around": None})
+                start = [first[np.frombuffer(t, "<i4")].tobytes() for t in out["tokens"]]
+                yield pd.DataFrame({"chunk": chunk, "doc_id": out["doc_id"].astype("Int64"), "held_out": out["held_out"].astype("boolean"), "tokens": out["tokens"], "place": none.astype("Int32"), "word": None, "n_train": none, "around": start})
             for low in range(0, len(names), 50_000):
                 part = [w.decode("utf-8", "replace") for w in names[low : low + 50_000]]
                 none = pd.array([None] * len(part), "Int64")
@@ -274,7 +304,7 @@ def _number(shared, n_classes: int):
 
 
 def _assign(shared, n_classes: int):
-    """word, c and class from rows (word, n_train, around) sorted by word: sums over a word's rows, and the class of the
+    """word, c, class, and whether that differs from its unit's, from rows (word, n_train, around) sorted by word: sums over a word's rows, and the class of the
     greatest gain for words that are not frequent."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -306,20 +336,22 @@ def _assign(shared, n_classes: int):
 
 
 def decided(names: list[str], c: np.ndarray, seen: np.ndarray, units: Units, of: np.ndarray, gains: tuple[np.ndarray, np.ndarray]) -> pd.DataFrame:
-    unit = units.of(_hashes([n.encode("utf-8", "surrogatepass") for n in names]))
+    unit = units.of(*_hashed([n.encode("utf-8", "surrogatepass") for n in names])[:2])
+    start = of[unit]
     by_neighbour, by_count = gains
     gain = seen @ by_neighbour - c[:, None] * by_count
-    gain[:, _END] = -np.inf  # the end has a class of its own, and so have words that are seen once
-    gain[:, _RARE] = -np.inf
-    best = np.where(c >= LEAST, gain.argmax(axis=1), _RARE)
-    return pd.DataFrame({"word": names, "c": c, "class": np.where(unit != _RARE, of[unit], best)})
+    gain[:, [_END, _RARE]] = -np.inf  # classes of the end, and of what has no unit
+    gain[np.arange(len(c)), start] += PRIOR
+    best = np.where((c >= LEAST) & ~units.is_word(unit), gain.argmax(axis=1), start)
+    return pd.DataFrame({"word": names, "c": c, "class": best, "moved": best != start})
 
 
-def class_gains(table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def class_gains(table: np.ndarray, closed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """What a neighbour of each class (before, then after) adds to the likelihood for each class that a word may get, to
-    first order, and what an occurrence of the word takes from it: from the counts of class pairs."""
-    smooth = np.log(table + 0.5)
-    return np.concatenate([smooth, smooth.T]), np.log(table.sum(axis=0) + 1.0) + np.log(table.sum(axis=1) + 1.0)
+    first order, and what an occurrence of the word takes from it: from the counts of class pairs. ``closed`` classes, those
+    of frequent words, take no other words: so many together would change them beyond the first order."""
+    steps = steps_of(table)
+    return np.concatenate([steps, steps.T]), np.log10(table.sum(axis=0) + 1.0) + np.where(closed, 1e9, 0.0)
 
 
 def _classed(shared, n_classes: int):
@@ -333,6 +365,8 @@ def _classed(shared, n_classes: int):
         trained = [t for t, h in zip(flows, held, strict=True) if not h]
         counts = np.bincount(np.concatenate(trained), minlength=size).astype(np.float64) if trained else np.zeros(size)
         classes = np.full(size, _RARE)
+        for t, start in zip(flows, left["around"], strict=True):
+            classes[t] = np.frombuffer(start, np.uint8)
         place = right["place"].to_numpy(np.int64)
         counts[place], classes[place] = right["c"].to_numpy(np.float64), right["class"].to_numpy(np.int64)
         emitted, base = m.emission(classes, counts), m.base(counts)
@@ -376,18 +410,21 @@ def score(docs: DataFrame, n_classes: int = CLASSES, share: float = UNIT_SHARE,
     scratch, send = Scratch(spark), spark.sparkContext.broadcast
     rows = docs.select("doc_id", "text", (remainder("doc_id", 7) == 2).alias("held_out"))
     trained = rows.where("NOT held_out").select("text")
-    often = scratch.put(trained.mapInPandas(_often(share), "hash long, n long").groupBy("hash").agg(F.sum("n").alias("n")), "often")
-    whole = often.where("hash IS NULL").first()
+    often = scratch.put(trained.mapInPandas(_often(share), "code long, ending boolean, n long").groupBy("code", "ending").agg(F.sum("n").alias("n")), "often")
+    whole = often.where("code IS NULL").first()
     least = max(LEAST, share * whole["n"]) if whole else LEAST
-    units = Units([r["hash"] for r in often.where(F.col("hash").isNotNull() & (F.col("n") >= least)).collect()])  # at most 1 / share
+    frequent = often.where(F.col("code").isNotNull() & (F.col("n") >= least)).collect()  # at most 1 / share of each kind
+    units = Units(*([r["code"] for r in frequent if r["ending"] == kind] for kind in (False, True)))
     pairs = trained.mapInPandas(_pairs(send(units)), "a long, b long, n long").groupBy("a", "b").agg(F.sum("n").alias("n"))
-    of, table = cluster(pairs, units.size, n_classes, rounds)
+    of, table, weight = cluster(pairs, units.size, n_classes, rounds)
+    by_ending = np.bincount(of[units.first_ending :], weights=weight[units.first_ending :], minlength=n_classes)
+    closed = by_ending < 0.5 * np.bincount(of, weights=weight, minlength=n_classes)
 
     chunked = scratch.put(rows.mapInPandas(_number(send((units, of)), n_classes), _CHUNKED), "chunks")
-    texts = chunked.where("word IS NULL").select("chunk", "doc_id", "held_out", "tokens")
+    texts = chunked.where("word IS NULL").select("chunk", "doc_id", "held_out", "tokens", "around")
     local = chunked.where("word IS NOT NULL").select("chunk", "place", "word", "n_train", "around")
     sorted_ = local.where("n_train > 0").select("word", "n_train", "around").repartition("word").sortWithinPartitions("word")
-    counts = scratch.put(sorted_.mapInPandas(_assign(send((units, of, class_gains(table))), n_classes), "word string, c long, class int"), "words")
+    counts = scratch.put(sorted_.mapInPandas(_assign(send((units, of, class_gains(table, closed))), n_classes), "word string, c long, class int, moved boolean"), "words")
     by_class = counts.groupBy("class").agg(F.sum("c").alias("c"), F.count("*").alias("n")).collect()
     n_docs = texts.where("NOT held_out").count()
     totals, sizes = np.zeros(n_classes), np.zeros(n_classes)
@@ -396,8 +433,8 @@ def score(docs: DataFrame, n_classes: int = CLASSES, share: float = UNIT_SHARE,
     tokens, distinct = int(totals.sum()) + n_docs, int(sizes.sum()) + (n_docs > 0)
     totals[_END], sizes[_END] = n_docs, 1
 
-    # what a chunk does not know by itself: counts of words that other chunks have, and classes
-    known = local.select("chunk", "place", "word", "n_train").join(counts, "word").where(f"c <> n_train OR class <> {_RARE}").select(F.col("chunk").alias("part"), "place", "c", "class")
+    # what a chunk does not know by itself: counts of words that other chunks have, and classes that are not the unit's
+    known = local.select("chunk", "place", "word", "n_train").join(counts, "word").where("c <> n_train OR moved").select(F.col("chunk").alias("part"), "place", "c", "class")
     n = max(1, 2 * texts.select("chunk").distinct().count())
     both = texts.repartition(n, "chunk").groupBy("chunk").cogroup(known.repartition(n, "part").groupBy("part"))
     model = send(Model(totals, sizes, tokens, distinct))
