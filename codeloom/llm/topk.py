@@ -1,13 +1,14 @@
 """Exact top-k by inner product with the three-phase uniform threshold algorithm.
 
 The components of the vectors are split into lists: a list holds each candidate's partial score over its components.
-Phase 1 gathers the best entries of each list; the k-th best total among what was gathered bounds the k-th of all from
+Phase 1 gathers the best entries of each list and only their totals; the k-th best total among what was gathered bounds the k-th of all from
 below. Phase 2 sends every query its cutoff: a candidate that can reach the bound has at least one list where its score
 over the list's least is the bound's share, and only such entries are collected. Phase 3 resolves their totals exactly,
 in the block that collected them, and those that reach the bound are ranked.
 
-Equal vectors are scored once: a class keeps its k + 1 smallest ids, which are all that ties can ask for, and a query
-takes its own id out at the end. Queries and classes meet in blocks; scores are integers below 2**53, so sums are exact.
+Equal vectors are scored once: a class keeps its k + 1 smallest rows, which are all that ties can ask for, and a query
+takes its own row out at the end. Queries and classes meet in blocks of bounded size. Products are taken in doubles where
+they are exact; vectors of large components get exact integer products.
 """
 
 from __future__ import annotations
@@ -19,28 +20,43 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import Scratch
 
 K = 20
 LISTS = 2
 QUERY_BLOCK = 2048
 CLASS_BLOCK = 16384
 STRIP = 256  # queries of a block whose scores are held at once
+MOST = 1 << 60  # of a product; sums of a few stay 64-bit numbers
 _GATHERED = "query long, class long, list int, score long, least long, total long"
 _RESOLVED = "query long, class long, score long"
 
 
 def quantised(vectors: DataFrame, scale: float = 64.0) -> DataFrame:
-    """vec_id and q, the components as floor(scale * x); rows with a null or non-finite component, or a null, take no part.
-    Scores stay exact while ``dim * max(q) ** 2`` is below 2**53; components are clipped to +-2**20 for that."""
-    x = F.transform("embedding", lambda v: F.floor(F.lit(scale) * v.cast("double")))
+    """vec_id, rid (a number of the row) and q, the components as floor(scale * x); rows with a null or non-finite
+    component, or a null, take no part."""
+    x = F.transform("embedding", lambda v: F.floor(F.lit(scale) * v.cast("double")).cast("long"))
     fine = F.forall("embedding", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < F.lit(float("inf"))))
-    clip = F.transform(x, lambda v: F.greatest(F.lit(-(1 << 20)), F.least(F.lit(1 << 20), v)).cast("int"))
-    return vectors.where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & fine).select("vec_id", clip.alias("q"))
+    return vectors.where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & fine).select("vec_id", F.monotonically_increasing_id().alias("rid"), x.alias("q"))
 
 
 def _matrix(column: pd.Series) -> np.ndarray:
-    return np.stack(column.to_numpy()).astype(np.float64) if len(column) else np.empty((0, 0))
+    return np.stack(column.to_numpy()).astype(np.int64) if len(column) else np.empty((0, 0), np.int64)
+
+
+def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Exact inner products of the rows of two integer matrices. Rows that could take a sum of doubles beyond 2**53 are
+    multiplied as Python's integers; a product beyond ``MOST`` becomes that."""
+    safe = 2.0 ** 26 / max(1.0, a.shape[1]) ** 0.5
+    wide_a, wide_b = (np.abs(x.astype(np.float64)).max(axis=1, initial=0.0) >= safe for x in (a, b))
+    narrow = [np.where(w[:, None], 0, x).astype(np.float64) for x, w in ((a, wide_a), (b, wide_b))]
+    out = (narrow[0] @ narrow[1].T).astype(np.int64)
+    exact = lambda x, y: np.clip(x.astype(object) @ y.astype(object).T, -MOST, MOST).astype(np.int64)
+    if wide_a.any():
+        out[wide_a] = exact(a[wide_a], b)
+    if wide_b.any():
+        out[:, wide_b] = exact(a, b[wide_b])
+    return out
 
 
 def _strips(queries: pd.DataFrame, classes: pd.DataFrame, lists: int):
@@ -48,7 +64,7 @@ def _strips(queries: pd.DataFrame, classes: pd.DataFrame, lists: int):
     a, b = _matrix(queries["q"]), _matrix(classes["q"])
     parts = np.array_split(np.arange(a.shape[1]), lists)
     for low in range(0, len(a), STRIP):
-        yield queries.iloc[low : low + STRIP], [a[low : low + STRIP, part] @ b[:, part].T for part in parts]
+        yield queries.iloc[low : low + STRIP], [products(a[low : low + STRIP, part], b[:, part]) for part in parts]
 
 
 def _gather(k: int, lists: int):
@@ -57,13 +73,11 @@ def _gather(k: int, lists: int):
         if len(left) and len(right):
             names = right["class"].to_numpy()
             for asked, parts in _strips(left, right, lists):
-                total = sum(parts)
                 for i, s in enumerate(parts):
                     n = min(k, s.shape[1])
-                    top = np.argpartition(-s, n - 1, axis=1)[:, :n]
-                    took = lambda x, top=top: np.take_along_axis(x, top, 1).ravel().astype(np.int64)
-                    least = np.repeat(s.min(axis=1).astype(np.int64), n)
-                    out.append(pd.DataFrame({"query": np.repeat(asked["query"].to_numpy(), n), "class": names[top].ravel(), "list": i, "score": took(s), "least": least, "total": took(total)}))
+                    top = np.argpartition(s, s.shape[1] - n, axis=1)[:, -n:]
+                    took = lambda x, top=top: np.take_along_axis(x, top, 1).ravel()
+                    out.append(pd.DataFrame({"query": np.repeat(asked["query"].to_numpy(), n), "class": names[top].ravel(), "list": i, "score": took(s), "least": np.repeat(s.min(axis=1), n), "total": sum(took(x) for x in parts)}))
         return pd.concat(out[1:] or out)
 
     return run
@@ -75,14 +89,15 @@ def _resolve(lists: int):
         if len(left) and len(right):
             names = right["class"].to_numpy()
             for asked, parts in _strips(left, right, lists):
-                least = np.stack(asked["least"].to_numpy())
+                least = np.stack(asked["least"].to_numpy()).astype(np.int64)
+                # an entry is collected where one list's score alone, over that list's least, is its share of the cutoff
                 reached = np.zeros(parts[0].shape, bool)
                 for i, s in enumerate(parts):
-                    reached |= s - least[:, i, None] >= asked["share"].to_numpy()[:, None]
+                    reached |= s >= (least[:, i] + asked["share"].to_numpy())[:, None]
                 row, col = np.nonzero(reached)
                 total = sum(s[row, col] for s in parts)
                 stays = total - least.sum(axis=1)[row] >= asked["reach"].to_numpy()[row]
-                out.append(pd.DataFrame({"query": asked["query"].to_numpy()[row[stays]], "class": names[col[stays]], "score": total[stays].astype(np.int64)}))
+                out.append(pd.DataFrame({"query": asked["query"].to_numpy()[row[stays]], "class": names[col[stays]], "score": total[stays]}))
         return pd.concat(out[1:] or out)
 
     return run
@@ -98,18 +113,22 @@ def top_k(vectors: DataFrame, queries, k: int = K, lists: int = LISTS) -> DataFr
     """query_id, rank, vec_id, score: for each row of ``vectors`` (vec_id, embedding) that fulfils ``queries`` the k other
     rows of the highest scores, ties to the smaller vec_id.
 
-    Vectors meet those of their own length only. Rows that repeat an id count once. A table without fitting rows gives no
-    rows, and a query with fewer candidates returns all of them. Other columns are ignored.
+    Vectors meet those of their own length only. Rows that repeat an id are rows of their own, as candidates and as
+    queries. A table without fitting rows gives no rows, and a query with fewer candidates returns all of them. Scores are
+    exact while each list's part stays below ``MOST``. Other columns are ignored.
     """
-    rows = cut(quantised(vectors.select("vec_id", "embedding")).dropDuplicates(["vec_id"]).withColumn("hash", F.xxhash64("q")))
-    # of each distinct vector the k + 1 smallest ids; the window drops the rest before it shuffles
-    small = rows.withColumn("n", F.row_number().over(Window.partitionBy("q").orderBy("vec_id"))).where(f"n <= {k + 1}")
-    classes = cut(small.groupBy("q").agg(F.min("vec_id").alias("class"), F.sort_array(F.collect_list("vec_id")).alias("ids")).withColumn("dim", F.size("q")))
-    asked = rows.where(queries).select(F.col("vec_id").alias("query_id"), "hash", "q")
-    # one query for equal vectors: the class is scored, and each of its ids takes itself out
-    named = cut(asked.join(classes.select(F.xxhash64("q").alias("hash"), F.col("q").alias("same"), F.col("class").alias("query")), "hash").where("q = same").select("query_id", "query"))
+    scratch = Scratch(vectors.sparkSession)
+    rows = scratch.put(quantised(vectors.select("vec_id", "embedding")), "vectors")
+    # of each distinct vector the k + 1 smallest rows; the window drops the rest before it shuffles
+    small = rows.withColumn("n", F.row_number().over(Window.partitionBy("q").orderBy("vec_id", "rid"))).where(f"n <= {k + 1}")
+    members = F.sort_array(F.collect_list(F.struct("vec_id", "rid"))).alias("members")
+    classes = scratch.put(small.groupBy("q").agg(F.min("rid").alias("class"), members).withColumn("dim", F.size("q")), "classes")
+    asked = rows.where(queries).select(F.col("vec_id").alias("query_id"), F.col("rid").alias("own"), F.xxhash64("q").alias("hash"), "q")
+    # one query for equal vectors: the class is scored, and each of its rows takes itself out
+    named = asked.join(classes.select(F.xxhash64("q").alias("hash"), F.col("q").alias("same"), F.col("class").alias("query")), "hash")
+    named = scratch.put(named.where("q = same").select("query_id", "own", "query"), "named")
     wanted = classes.join(named.select("query").distinct(), F.col("class") == F.col("query"), "left_semi").select(F.col("class").alias("query"), "q", "dim")
-    wanted = cut(wanted)
+    wanted = scratch.put(wanted, "wanted")
     n_query = max(1, -(-wanted.count() // QUERY_BLOCK))
     n_class = max(1, -(-classes.count() // CLASS_BLOCK))
     need = k + 1  # the class of the query itself may be one of the best
@@ -122,19 +141,20 @@ def top_k(vectors: DataFrame, queries, k: int = K, lists: int = LISTS) -> DataFr
         right = blocks(classes.select("class", "q", "dim"), "class", "cb", n_class, "qb", n_query)
         return left.groupBy("qb", "cb", "dim").cogroup(right.groupBy("qb", "cb", "dim")).applyInPandas(how, schema)
 
-    local = cut(meet(wanted, _gather(need, lists), _GATHERED))
+    local = scratch.put(meet(wanted, _gather(need, lists), _GATHERED), "local")
     floor = local.groupBy("query", "list").agg(F.min("least").alias("low"))
-    lows = floor.groupBy("query").agg(F.transform(F.array_sort(F.collect_list(F.struct("list", "low"))), lambda s: s["low"].cast("double")).alias("least"), F.sum("low").alias("base"))
+    lows = floor.groupBy("query").agg(F.transform(F.array_sort(F.collect_list(F.struct("list", "low"))), lambda s: s["low"]).alias("least"), F.sum("low").alias("base"))
     cutoff = _bounds(local.select("query", "class", F.col("total").alias("s")).distinct(), need)
     # over the lists' least scores; a query with too few candidates takes them all
     asking = wanted.join(lows, "query").join(cutoff, "query").withColumn("reach", F.greatest(F.coalesce(F.col("bound") - F.col("base"), F.lit(0)), F.lit(0)))
-    asking = cut(asking.select("query", "q", "dim", "least", "reach", (F.col("reach") / lists).alias("share")))
-    scored = cut(meet(asking, _resolve(lists), _RESOLVED))
-    # the best k + 1 classes are enough; they are opened into ids
-    ranked = scored.join(classes.select("class", "ids"), "class")
-    ranked = ranked.withColumn("n", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "class"))).where(f"n <= {need}")
-    opened = ranked.select("query", "score", F.explode("ids").alias("vec_id"))
-    opened = cut(opened.withColumn("n", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "vec_id"))).where(f"n <= {need}"))
-    out = named.join(opened, "query").where("query_id <> vec_id")
-    out = out.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))).where(f"rank <= {k}")
+    asking = asking.select("query", "q", "dim", "least", "reach", F.expr(f"reach div {lists}").alias("share"))
+    scored = meet(asking, _resolve(lists), _RESOLVED)
+    # the best k + 1 classes are enough, ties to that of the smallest row; they are opened into rows
+    ranked = scored.join(classes.select("class", "members"), "class")
+    best = Window.partitionBy("query").orderBy(F.desc("score"), F.get("members", F.lit(0)))
+    ranked = ranked.withColumn("n", F.row_number().over(best)).where(f"n <= {need}")
+    opened = ranked.select("query", "score", F.explode("members").alias("m")).select("query", "score", "m.*")
+    opened = opened.withColumn("n", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "vec_id", "rid"))).where(f"n <= {need}")
+    out = named.join(opened.select("query", "score", "vec_id", "rid"), "query").where("own <> rid")
+    out = out.withColumn("rank", F.row_number().over(Window.partitionBy("own").orderBy(F.desc("score"), "vec_id", "rid"))).where(f"rank <= {k}")
     return out.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
