@@ -133,7 +133,8 @@ def mix(
     blocks = max(1, round(total / block_tokens))
 
     goal = goals.select("mix_source", F.col("weight").alias("mix_weight"), F.col("quota").alias("mix_quota"), F.col("tokens").alias("mix_of"), F.greatest(F.lit(1), F.ceil(F.col("docs") / BUCKET_ROWS)).alias("mix_buckets"))
-    drawn = rows.join(goal, rows["source"].eqNullSafe(goal["mix_source"])).drop("mix_source")
+    light = rows.select("doc_id", "source", "mix_tokens", "mix_row")  # places are found without the texts
+    drawn = light.join(goal, light["source"].eqNullSafe(goal["mix_source"])).drop("mix_source")
     last = F.floor((F.col("mix_quota") - 1) / F.col("mix_of"))  # the last pass may be a part
     drawn = drawn.withColumn("mix_pass", F.explode(F.when(F.col("mix_quota") > 0, F.sequence(F.lit(0), last.cast("int"))).otherwise(F.expr("cast(array() as array<int>)"))))
     drawn = drawn.withColumn("mix_hash", F.xxhash64(F.lit(seed), "mix_pass", "doc_id", F.when(F.col("doc_id").isNull(), F.col("mix_row"))))
@@ -141,8 +142,8 @@ def mix(
     drawn = drawn.withColumn("mix_bucket", F.floor(unit * F.col("mix_buckets")).cast("long"))
 
     # running sums over a source's buckets in two levels, so that no task has all of them
-    light = drawn.select(F.col("source").alias("sum_source"), F.col("mix_pass").alias("sum_pass"), F.col("mix_bucket").alias("sum_bucket"), "mix_tokens")
-    sums = scratch.put(light.groupBy("sum_source", "sum_pass", "sum_bucket").agg(F.sum("mix_tokens").alias("held")).withColumn("span", F.floor(F.col("sum_bucket") / SPAN)), "buckets")
+    counted = drawn.select(F.col("source").alias("sum_source"), F.col("mix_pass").alias("sum_pass"), F.col("mix_bucket").alias("sum_bucket"), "mix_tokens")
+    sums = scratch.put(counted.groupBy("sum_source", "sum_pass", "sum_bucket").agg(F.sum("mix_tokens").alias("held")).withColumn("span", F.floor(F.col("sum_bucket") / SPAN)), "buckets")
     spans = sums.groupBy("sum_source", "sum_pass", "span").agg(F.sum("held").alias("held"))
     running = lambda keys, order: F.coalesce(F.sum("held").over(Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     outer = spans.select(F.col("sum_source").alias("o_source"), F.col("sum_pass").alias("o_pass"), F.col("span").alias("o_span"), running(("sum_source", "sum_pass"), "span").alias("outer"))
@@ -156,4 +157,7 @@ def mix(
     within = Window.partitionBy("source", "mix_pass", "mix_bucket").orderBy("mix_hash", "mix_tokens", "mix_row").rowsBetween(Window.unboundedPreceding, -1)
     placed = near.withColumn("mix_at", F.col("mix_at") + F.coalesce(F.sum("mix_tokens").over(within), F.lit(0))).where("mix_at < mix_quota")
     block = F.floor(F.col("mix_at") / F.col("mix_quota") * blocks).cast("long")
-    return placed.select(*columns, "mix_tokens", "mix_weight", "mix_pass", block.alias("mix_block"), F.xxhash64(F.lit(seed + 1), "mix_hash").alias("mix_order"))
+    place = F.struct("mix_weight", "mix_pass", block.alias("mix_block"), F.xxhash64(F.lit(seed + 1), "mix_hash").alias("mix_order"))
+    places = placed.groupBy("mix_row").agg(F.collect_list(place).alias("mix_places"))  # one for each pass
+    out = rows.join(places, "mix_row").select(*columns, "mix_tokens", F.explode("mix_places").alias("mix_place"))
+    return out.select(*columns, "mix_tokens", "mix_place.*")
