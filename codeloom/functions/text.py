@@ -15,10 +15,10 @@ def fold(c: Column) -> Column:
     return F.translate(c, UPPER, LOWER)
 
 
-def match_rank(name: Column, signature: Column, query: str) -> Column:
+def match_rank(name: Column, signature: Column, query: str | Column) -> Column:
     """0 exact name or signature, 1 the last part of a dotted name, 2 a prefix, 3 inside the name, 4 the signature only,
     null without a match; ASCII case does not matter."""
-    q = F.lit(query.translate(str.maketrans(UPPER, LOWER)))
+    q = fold(F.lit(query) if isinstance(query, str) else query)
     n, s = fold(name), fold(signature)
     return (
         F.when((n == q) | (s == q), 0).when(n.endswith(F.concat(F.lit("."), q)), 1).when(n.startswith(q), 2).when(n.contains(q), 3).when(s.contains(q), 4)
@@ -36,11 +36,12 @@ def body_status(kind: Column, status: Column) -> Column:
     return F.when(kind.isin(*CALLABLE), F.coalesce(status, F.lit("Unknown")))
 
 
-def body_recovery(has_body: Column, by_design: Column, stub: Column, instructions: Column, references: Column) -> Column:
-    """Classify recovery of a body from facts about it."""
-    return (
-        F.when(by_design, "NoBodyByDesign").when(~has_body | stub, "StubOrUnavailable").when((instructions > 0) | (references > 0), "Recovered").otherwise("Unknown")
-    )
+def body_recovery(has_body: Column, by_design: Column, stub: Column, il_bytes: Column, instructions: Column, references: Column) -> Column:
+    """Classify recovery of a body from facts about it: an empty body is a stub, and one without references needs three
+    instructions and three bytes to count as recovered."""
+    empty = ~has_body | stub | (F.least(il_bytes, instructions) == 0)
+    enough = (references > 0) | (F.least(il_bytes, instructions) >= 3)
+    return F.when(by_design, "NoBodyByDesign").when(empty, "StubOrUnavailable").when(enough, "Recovered").otherwise("Unknown")
 
 
 def path_is_safe(path: Column) -> Column:
@@ -54,7 +55,7 @@ def relative_change(before: Column, after: Column) -> Column:
     return F.when(before != 0, F.abs(after - before) / before)
 
 
-SEVERITY = ("FullyRecovered", "Unknown", "GraphOnly", "PartialRecovery", "StubOnly")  # fixed: from best to worst
+SEVERITY = ("FullyRecovered", "Unknown", "GraphOnly", "PartiallyRecovered", "StubOrUnavailable")  # fixed: from best to worst
 
 
 def worst_recovery(status: Column) -> Column:

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codeloom.functions.text import CALL_LIKE, CALLABLE, fold, match_rank
 
-CANDIDATES = 50  # ranked candidates that a selector is resolved among
 RELATED_REFS = 500  # references that related types are taken from
 CLASSES = ("Added", "Removed", "MethodBodyChanged", "RelationshipsChanged", "Unchanged")  # fixed: in this priority
 
@@ -33,8 +32,9 @@ def page(rows: DataFrame, order: list[Column], offset: int, limit: int) -> DataF
 def resolve(symbols: DataFrame, selectors: DataFrame) -> DataFrame:
     """selector, status, symbol_id for many selectors at once.
 
-    An id comes first, then an exact canonical key, then signature, then name, ignoring ASCII case; equal matches on the
-    first tier that has any are ambiguous, and nothing is chosen among them. Tiers are equi-joins, so no pairs form.
+    An id comes first, then an exact canonical key, then signature, then name, ignoring ASCII case, then the best match
+    rank of what the selector names without its codebase, channel and kind; equal matches on the first tier that has any
+    are ambiguous, and nothing is chosen among them. Tiers are equi-joins, so no pairs form.
     """
     s = selectors.select("selector", fold(F.col("selector")).alias("folded"))
     tiers = [("symbol_id", "selector", F.col("symbol_id")), ("canonical_key", "selector", F.col("canonical_key")), ("signature", "folded", fold(F.col("signature"))), ("name", "folded", fold(F.col("qualified_name")))]
@@ -42,6 +42,17 @@ def resolve(symbols: DataFrame, selectors: DataFrame) -> DataFrame:
     for i, (_, key, value) in enumerate(tiers):
         hit = s.join(symbols.select(value.alias(key), "symbol_id"), key).select("selector", "symbol_id", F.lit(i).alias("tier"))
         out = hit if out is None else out.union(hit)
+    # then match ranks: names, signatures and last parts of names by their text, the other ranks by pieces of it
+    rest = s.join(out.select("selector").distinct(), "selector", "left_anti").select("selector", fold(bare(F.col("selector"))).alias("query"))
+    name = fold(F.col("qualified_name"))
+    parts = F.split(name, r"\.")
+    tails = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "."))
+    texts = symbols.select("symbol_id", name.alias("name"), F.explode(F.array_distinct(F.concat(tails, F.array(fold(F.col("signature")))))).alias("query"))
+    near = rest.join(texts, "query")
+    exact = (F.col("name") == F.col("query")) | ~F.col("name").endswith(F.concat(F.lit("."), F.col("query")))
+    near = near.select("selector", "symbol_id", F.when(exact, 0).otherwise(1).alias("rank"))
+    far = partial_matches(symbols, rest.join(near.select("selector").distinct(), "selector", "left_anti"))
+    out = out.union(near.union(far.select(*near.columns)).select("selector", "symbol_id", (F.col("rank") + len(tiers)).alias("tier")))
     best = out.groupBy("selector", "tier").agg(F.min("symbol_id").alias("symbol_id"), F.countDistinct("symbol_id").alias("n"))
     best = best.groupBy("selector").agg(F.min(F.struct("tier", "symbol_id", "n")).alias("b"))
     joined = selectors.select("selector").join(best, "selector", "left")
@@ -49,6 +60,32 @@ def resolve(symbols: DataFrame, selectors: DataFrame) -> DataFrame:
     return joined.select("selector", status.alias("status"), F.when(status == "Resolved", F.col("b.symbol_id")).alias("symbol_id"))
 
 
+def bare(selector: Column) -> Column:
+    """A canonical key without codebase, channel and kind; other selectors as they are."""
+    return F.when(selector.rlike("^[^:]+:[^:]+:[^:]+:[^:]"), F.regexp_replace(selector, "^[^:]+:[^:]+:[^:]+:", "")).otherwise(selector)
+
+
+def grams(text: Column, size: Column) -> Column:
+    """Distinct pieces of some characters."""
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - size + 1, F.lit(1))), lambda i: F.substring(text, i, size)))
+
+
+def partial_matches(symbols: DataFrame, selectors: DataFrame) -> DataFrame:
+    """selector, symbol_id, rank of all matches of ``selectors`` (selector, query). Symbols and selectors meet in the
+    selector's rarest piece of at most three characters; what contains the selector contains that piece."""
+    asked = selectors.where("query <> ''").withColumn("size", F.least(F.length("query"), F.lit(3)))
+    sizes = F.broadcast(asked.select("size").distinct())  # three at most
+    name, signature = fold(F.col("qualified_name")), fold(F.col("signature"))
+    text = F.when(name == signature, name).otherwise(F.concat_ws("\n", name, signature))
+    texts = symbols.crossJoin(sizes).select("symbol_id", "qualified_name", "signature", F.explode(grams(text, F.col("size"))).alias("gram"))
+    count = texts.groupBy("gram").agg(F.count("*").alias("n"))
+    own = asked.select("selector", "query", F.explode(grams(F.col("query"), F.col("size"))).alias("gram"))
+    rarest = own.join(count, "gram", "left").groupBy("selector", "query").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("m"))
+    met = texts.join(rarest.select("selector", "query", F.col("m.gram").alias("gram")), "gram")
+    found = met.select("selector", "symbol_id", match_rank(F.col("qualified_name"), F.col("signature"), F.col("query")).alias("rank"))
+    return found.where("rank IS NOT NULL")
+
+
 def edges(relationships: DataFrame, symbol_id: str, direction: str) -> DataFrame:
     """``callers``, ``callees`` or ``refs`` of a symbol; a self-loop is one reference, taken as outgoing."""
     incoming = relationships.where(F.col("target_symbol_id") == symbol_id).withColumn("direction", F.lit("Incoming"))
@@ -83,10 +120,12 @@ def evidence_totals(relationships: DataFrame, symbols: DataFrame) -> DataFrame:
     return joined.select("symbol_id", (F.col("n_out") + F.col("n_in")).alias("refs"), "callers", "callees")
 
 
-def edge_hash(relationships: DataFrame) -> DataFrame:
-    """Per source the hash of its sorted edges as text."""
-    line = F.concat_ws("\n", "relationship_kind", "target_text")
-    return relationships.groupBy(F.col("source_symbol_id").alias("symbol_id")).agg(F.sha2(F.array_join(F.array_sort(F.collect_list(line)), "\n\n"), 256).alias("edge_hash"))
+def edge_hash(relationships: DataFrame, symbols: DataFrame) -> DataFrame:
+    """Per source the hash of its sorted edges as text: kind, and the canonical key of a resolved target, or else its text,
+    empty if there is none. Keys stay the same from build to build where ids do not."""
+    keys = symbols.select(F.col("symbol_id").alias("target_symbol_id"), F.col("canonical_key").alias("target_key"))
+    line = F.concat("relationship_kind", F.lit("\n"), F.coalesce("target_key", "target_text", F.lit("")))
+    return relationships.join(keys, "target_symbol_id", "left").groupBy(F.col("source_symbol_id").alias("symbol_id")).agg(F.sha2(F.array_join(F.array_sort(F.collect_list(line)), "\n\n"), 256).alias("edge_hash"))
 
 
 def fingerprint_pivot(fingerprints: DataFrame, kinds: list[str]) -> DataFrame:
@@ -103,13 +142,14 @@ def diff(symbols_a: DataFrame, symbols_b: DataFrame, prints_a: DataFrame, prints
 
     def side(symbols: DataFrame, prints: DataFrame, edges_: DataFrame, s: str) -> DataFrame:
         body = prints.where("fingerprint_kind = 'method-body'").select("symbol_id", F.col("fingerprint").alias(f"body_{s}"))
-        out = symbols.join(body, "symbol_id", "left").join(edge_hash(edges_).withColumnRenamed("edge_hash", f"edges_{s}"), "symbol_id", "left")
+        out = symbols.join(body, "symbol_id", "left").join(edge_hash(edges_, symbols).withColumnRenamed("edge_hash", f"edges_{s}"), "symbol_id", "left")
         return out.select("canonical_key", F.col("qualified_name").alias(f"name_{s}"), F.col("kind").alias(f"kind_{s}"), F.col("signature").alias(f"signature_{s}"), F.col("body_recovery_status").alias(f"status_{s}"), f"body_{s}", F.coalesce(f"edges_{s}", F.lit("")).alias(f"edges_{s}"))
 
     both = side(symbols_a, prints_a, edges_a, "a").join(side(symbols_b, prints_b, edges_b, "b"), "canonical_key", "full_outer")
     missing_recovered = F.when(F.col("body_a").isNull(), F.col("status_a") == "Recovered").otherwise(F.col("status_b") == "Recovered")
     one_sided = F.col("body_a").isNull() != F.col("body_b").isNull()
     body = F.when(one_sided, F.coalesce(missing_recovered, F.lit(False))).otherwise(F.coalesce(F.col("body_a") != F.col("body_b"), F.lit(False)))
+    body = body & F.col("kind_a").isin(*CALLABLE)  # only these have bodies
     kind = F.when(F.col("name_a").isNull(), CLASSES[0]).when(F.col("name_b").isNull(), CLASSES[1]).when(body, CLASSES[2]).when(F.col("edges_a") != F.col("edges_b"), CLASSES[3]).otherwise(CLASSES[4])
     both = both.withColumn("classification", kind)
     shown = F.col("classification").isin(*CLASSES[:2])
@@ -121,11 +161,3 @@ def diff_counts(found: DataFrame) -> DataFrame:
     classes = found.sparkSession.createDataFrame([(c,) for c in CLASSES], "classification string")
     counts = found.groupBy("classification").agg(F.count("*").alias("n"))
     return classes.join(counts, "classification", "left").na.fill(0, ["n"])
-
-
-def first_of(rows: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
-    """One row of each group, the first in an explicit order."""
-    return rows.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("_n = 1").drop("_n")
-
-
-__all__ = ["CALLABLE", "CLASSES", "completed", "diff", "diff_counts", "edge_hash", "edges", "evidence_totals", "fingerprint_pivot", "first_of", "page", "related_types", "resolve", "search", "with_endpoints"]

@@ -5,9 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-TERMINAL = ("Failed", "Succeeded", "Canceled", "Abandoned")
-#: Allowed changes of an attempt's status.
-LEGAL = (("Pending", "Running"), ("Pending", "Canceled"), ("Pending", "Failed"), ("Running", "Succeeded"), ("Running", "Failed"), ("Running", "Canceled"), ("Running", "Abandoned"))
+CLEANABLE = ("Failed", "Canceled", "Abandoned")
+#: The statuses of an attempt and those that may follow each. What is not named here is terminal.
+FOLLOWING = {
+    "Created": ("Preparing", "Validating", *CLEANABLE),
+    "Preparing": ("Running", *CLEANABLE),
+    "Running": ("ProcessCompleted", *CLEANABLE),
+    "ProcessCompleted": ("Validating",),
+    "Validating": ("Succeeded", *CLEANABLE),
+}
+LEGAL = tuple((before, after) for before, afters in FOLLOWING.items() for after in afters)
 
 
 def latest(rows: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
@@ -16,7 +23,7 @@ def latest(rows: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
 
 
 def latest_completed(runs: DataFrame, snapshots: DataFrame, keys: list[str]) -> DataFrame:
-    done = runs.where("status = 'Completed'").join(F.broadcast(snapshots) if False else snapshots, "snapshot_id")
+    done = runs.where("status = 'Completed'").join(snapshots, "snapshot_id")
     return latest(done, keys, [F.desc("completed_at"), F.desc("index_id")])
 
 
@@ -26,10 +33,10 @@ def authority(builds: DataFrame, extractions: DataFrame, snapshots: DataFrame, r
     index = latest_completed(runs, snapshots, ["source_identity"]).select(F.col("source_identity").alias("extraction_id"), "index_id", F.col("build_id").alias("index_build"))
     out = builds.join(chosen, "build_id", "left").join(index, "extraction_id", "left")
     status = (
-        F.when(F.col("extraction_id").isNull(), "NoPreferredExtraction").when(~F.col("verified"), "VerificationFailed").when(F.col("index_id").isNull(), "NoCompletedIndex")
-        .when(F.col("index_build") != F.col("build_id"), "BuildMismatch").otherwise("Available")
+        F.when(F.col("extraction_id").isNull(), "NoPreferredVerifiedExtraction").when(~F.col("verified"), "ExtractionIntegrityFailure").when(F.col("index_id").isNull(), "NoCompletedIndex")
+        .when(F.col("index_build") != F.col("build_id"), "IndexBuildMismatch").otherwise("Resolved")
     )
-    return out.select("build_id", status.alias("status"), F.when(status == "Available", F.col("index_id")).alias("index_id"))
+    return out.select("build_id", status.alias("status"), F.when(status == "Resolved", F.col("index_id")).alias("index_id"))
 
 
 def adjacent(builds: DataFrame) -> DataFrame:
@@ -48,15 +55,19 @@ def presence(symbols: DataFrame, builds: DataFrame) -> DataFrame:
 
 def violations(attempts: DataFrame) -> DataFrame:
     """Changes of status of one user's attempts, in their order, that are not legal."""
-    w = Window.partitionBy("user_id").orderBy("completed_at", "attempt_id")
+    w = Window.partitionBy("user_id").orderBy("changed_at", "attempt_id")
     moves = attempts.withColumn("before", F.lag("status").over(w)).where("before IS NOT NULL AND before <> status")
     legal = attempts.sparkSession.createDataFrame(LEGAL, "before string, status string")
     return moves.join(F.broadcast(legal), ["before", "status"], "left_anti")
 
 
 def cleanup_plan(attempts: DataFrame, cutoff: Column) -> DataFrame:
-    """Attempts that may go, strictly older than the cutoff, and why others stay."""
-    reason = F.when(~F.col("status").isin(*TERMINAL), "NotTerminal").when(F.col("status") == "Succeeded", "HasResult").when(F.col("completed_at") >= cutoff, "TooRecent").otherwise("Eligible")
+    """Attempts that may go, completed strictly before the cutoff, and why others stay: one without a time of completion, or
+    that has a result, is kept."""
+    reason = (
+        F.when(~F.col("status").isin(*CLEANABLE), "NotCleanable").when(F.col("completed_at").isNull(), "NotCompleted").when(F.col("completed_at") >= cutoff, "TooRecent")
+        .when(F.col("result_id").isNotNull(), "HasResult").otherwise("Eligible")
+    )
     return attempts.select("attempt_id", "status", reason.alias("reason"))
 
 

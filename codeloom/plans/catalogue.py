@@ -9,7 +9,7 @@ from codeloom.operators import checks, graph, ingest, lineage, scene, source
 from codeloom.sources.tables import Graph, with_clause
 
 QUERY = "Part1"
-PART = "Catalog.Brand11.Part17"
+PART = 17
 CUTOFF = "2024-01-15 00:00:00"
 _ENTRIES: dict = {}
 
@@ -55,14 +55,18 @@ def symbol_page(g):
     return graph.page(g.symbols.where("k = 0").select("canonical_key"), [F.col("canonical_key")], 50, 25)
 
 
-@_query(f"SELECT symbol_id, canonical_key FROM symbols WHERE canonical_key = 'game:installed:Type:{PART}' ORDER BY symbol_id LIMIT 2", "symbols")
+_PART_KEY = f"(SELECT concat('game:installed:Type:Catalog.', replace(p_brand, '#', ''), '.Part', p_partkey) AS canonical_key FROM part WHERE p_partkey = {PART})"
+
+
+@_query(f"SELECT symbol_id, canonical_key FROM symbols WHERE canonical_key IN {_PART_KEY} ORDER BY symbol_id LIMIT 2", "symbols")
 def symbol_by_key(g):
-    return g.symbols.where(F.col("canonical_key") == f"game:installed:Type:{PART}").orderBy("symbol_id").limit(2).select("symbol_id", "canonical_key")
+    key = g.base("part").where(f"p_partkey = {PART}").selectExpr("concat('game:installed:Type:Catalog.', replace(p_brand, '#', ''), '.Part', p_partkey) AS canonical_key")
+    return g.symbols.join(F.broadcast(key), "canonical_key", "left_semi").orderBy("symbol_id").limit(2).select("symbol_id", "canonical_key")
 
 
-@_query("SELECT symbol_id, qualified_name FROM symbols WHERE symbol_id IN (SELECT symbol_id FROM method_of WHERE o_orderkey % 100 = 3)", "symbols method_of")
+@_query("SELECT symbol_id, qualified_name FROM symbols WHERE kind IN ('Method', 'Constructor')", "symbols")
 def symbols_by_ids(g):
-    ids = g.method_of.where("o_orderkey % 100 = 3").select("symbol_id")
+    ids = g.method_of.select("symbol_id")
     return g.symbols.join(ids, "symbol_id", "left_semi").select("symbol_id", "qualified_name")
 
 
@@ -71,16 +75,19 @@ def namespaces(g):
     return g.symbols.select(fn.namespace(F.col("canonical_key")).alias("namespace")).where("namespace <> ''").distinct()
 
 
-_SELECTORS = "SELECT concat('Catalog.', replace(p_brand, '#', ''), '.Part', p_partkey) AS selector FROM part WHERE p_partkey % 10 = 1 UNION ALL SELECT concat('game:installed:Type:Catalog.Part', p_partkey) FROM part WHERE p_partkey % 50 = 2"
+_PART = "concat('Catalog.', replace(p_brand, '#', ''), '.Part', p_partkey)"
+_EXACT = f"SELECT {_PART} AS selector FROM part UNION ALL SELECT concat('game:installed:Type:', {_PART}) FROM part"
 
 
-@_query(f"""SELECT selector, CASE WHEN count(DISTINCT s.symbol_id) = 0 THEN 'NotFound' WHEN count(DISTINCT s.symbol_id) > 1 THEN 'Ambiguous' ELSE 'Resolved' END AS status,
- CASE WHEN count(DISTINCT s.symbol_id) = 1 THEN min(s.symbol_id) END AS symbol_id FROM ({_SELECTORS}) q LEFT JOIN symbols s ON s.k = 0 AND (s.qualified_name = selector OR s.canonical_key = selector) GROUP BY selector""", "symbols")
+@_query(f"""SELECT selector, CASE n WHEN 0 THEN 'NotFound' WHEN 1 THEN 'Resolved' ELSE 'Ambiguous' END AS status, CASE n WHEN 1 THEN id END AS symbol_id FROM (
+  SELECT selector, count(DISTINCT s.symbol_id) AS n, min(s.symbol_id) AS id FROM ({_EXACT}) q LEFT JOIN symbols s ON s.k = 0 AND (s.qualified_name = selector OR s.canonical_key = selector) GROUP BY selector
+  UNION ALL SELECT selector, count(symbol_id), min(symbol_id) FROM (SELECT *, min(rank) OVER (PARTITION BY selector) AS best FROM (
+   SELECT selector, symbol_id, CASE WHEN ends_with({_N}, concat('.', lower(selector))) THEN 1 WHEN starts_with({_N}, lower(selector)) THEN 2 WHEN contains({_N}, lower(selector)) THEN 3 END AS rank
+   FROM (SELECT concat('Part', p_partkey) AS selector FROM part) LEFT JOIN symbols ON k = 0 AND contains({_N}, lower(selector)))) WHERE rank IS NOT DISTINCT FROM best GROUP BY selector)""", "symbols")
 def resolve_status(g):
     parts = g.base("part")
-    a = parts.where("p_partkey % 10 = 1").selectExpr("concat('Catalog.', replace(p_brand, '#', ''), '.Part', p_partkey) AS selector")
-    b = parts.where("p_partkey % 50 = 2").selectExpr("concat('game:installed:Type:Catalog.Part', p_partkey) AS selector")
-    return graph.resolve(g.symbols.where("k = 0"), a.union(b))
+    selectors = parts.selectExpr(f"explode(array({_PART}, concat('game:installed:Type:', {_PART}), concat('Part', p_partkey))) AS selector")
+    return graph.resolve(g.symbols.where("k = 0"), selectors)
 
 
 _TARGET = "(SELECT min(target_symbol_id) FROM relationships WHERE k = 0 AND target_symbol_id IS NOT NULL)"
@@ -134,13 +141,13 @@ def relationship_evidence_totals(g):
     return graph.evidence_totals(g.relationships.where("k = 0"), g.symbols.where("k = 0"))
 
 
-_LINE = "concat(relationship_kind, chr(10), target_text)"
-_HASH = f"SELECT source_symbol_id AS symbol_id, sha256(string_agg({_LINE}, chr(10) || chr(10) ORDER BY {_LINE})) AS edge_hash FROM relationships WHERE k = {{}} GROUP BY 1"
+_LINE = "concat(relationship_kind, chr(10), coalesce(t.canonical_key, target_text, ''))"
+_HASH = f"SELECT source_symbol_id AS symbol_id, sha256(string_agg({_LINE}, chr(10) || chr(10) ORDER BY {_LINE})) AS edge_hash FROM relationships r LEFT JOIN symbols t ON t.symbol_id = target_symbol_id WHERE r.k = {{}} GROUP BY 1"
 
 
-@_query(_HASH.format(0), "relationships")
+@_query(_HASH.format(0), "relationships symbols")
 def edge_multiset_hash(g):
-    return graph.edge_hash(g.relationships.where("k = 0"))
+    return graph.edge_hash(g.relationships.where("k = 0"), g.symbols.where("k = 0"))
 
 
 @_query("""SELECT symbol_id, max(CASE WHEN fingerprint_kind = 'declaration' THEN fingerprint END) AS declaration, max(CASE WHEN fingerprint_kind = 'method-body' THEN fingerprint END) AS "method-body" FROM fingerprints GROUP BY symbol_id""", "fingerprints")
@@ -160,7 +167,7 @@ def _side_sql(k: int) -> str:
 
 _DIFF = f"""(SELECT coalesce(a.canonical_key, b.canonical_key) AS canonical_key, coalesce(b.qualified_name, a.qualified_name) AS name, coalesce(b.kind, a.kind) AS kind,
  CASE WHEN a.canonical_key IS NULL THEN 'Added' WHEN b.canonical_key IS NULL THEN 'Removed'
-  WHEN CASE WHEN a.body IS NOT NULL AND b.body IS NOT NULL THEN a.body <> b.body WHEN a.body IS NULL AND b.body IS NULL THEN false
+  WHEN a.kind IN ('Method', 'Constructor') AND CASE WHEN a.body IS NOT NULL AND b.body IS NOT NULL THEN a.body <> b.body WHEN a.body IS NULL AND b.body IS NULL THEN false
             WHEN a.body IS NULL THEN coalesce(a.body_recovery_status = 'Recovered', false) ELSE coalesce(b.body_recovery_status = 'Recovered', false) END THEN 'MethodBodyChanged'
   WHEN a.edge_hash <> b.edge_hash THEN 'RelationshipsChanged' ELSE 'Unchanged' END AS classification, a.signature AS sa, b.signature AS sb
  FROM {_side_sql(0)} a FULL JOIN {_side_sql(1)} b ON a.canonical_key = b.canonical_key)"""
@@ -206,8 +213,8 @@ def symbol_presence(g):
     return lineage.presence(g.symbols, g.builds.where("k < 2"))
 
 
-@_query(f"""SELECT build_id, status, CASE WHEN status = 'Available' THEN index_id END AS index_id FROM (SELECT b.build_id, i.index_id, CASE WHEN e.extraction_id IS NULL THEN 'NoPreferredExtraction' WHEN NOT e.verified THEN 'VerificationFailed'
- WHEN i.index_id IS NULL THEN 'NoCompletedIndex' WHEN i.build_id <> b.build_id THEN 'BuildMismatch' ELSE 'Available' END AS status
+@_query(f"""SELECT build_id, status, CASE WHEN status = 'Resolved' THEN index_id END AS index_id FROM (SELECT b.build_id, i.index_id, CASE WHEN e.extraction_id IS NULL THEN 'NoPreferredVerifiedExtraction' WHEN NOT e.verified THEN 'ExtractionIntegrityFailure'
+ WHEN i.index_id IS NULL THEN 'NoCompletedIndex' WHEN i.build_id <> b.build_id THEN 'IndexBuildMismatch' ELSE 'Resolved' END AS status
  FROM builds b LEFT JOIN extractions e ON e.build_id = b.build_id AND e.preferred LEFT JOIN {_LATEST.format('source_identity')} i ON i.source_identity = e.extraction_id AND i.n = 1)""", "builds extractions index_runs code_snapshots")
 def authority_status(g):
     return lineage.authority(g.builds, g.extractions, g.code_snapshots, g.index_runs)
@@ -254,12 +261,12 @@ def reproducibility(g):
 _LEGAL = ", ".join(f"('{a}', '{b}')" for a, b in lineage.LEGAL)
 
 
-@_query(f"SELECT attempt_id, before, status FROM (SELECT attempt_id, status, lag(status) OVER (PARTITION BY user_id ORDER BY completed_at, attempt_id) AS before FROM attempts) WHERE before <> status AND (before, status) NOT IN ({_LEGAL})", "attempts")
+@_query(f"SELECT attempt_id, before, status FROM (SELECT attempt_id, status, lag(status) OVER (PARTITION BY user_id ORDER BY changed_at, attempt_id) AS before FROM attempts) WHERE before <> status AND (before, status) NOT IN ({_LEGAL})", "attempts")
 def lifecycle_violations(g):
     return lineage.violations(g.attempts).select("attempt_id", "before", "status")
 
 
-@_query(f"SELECT attempt_id, status, CASE WHEN status NOT IN ('Failed', 'Succeeded', 'Canceled', 'Abandoned') THEN 'NotTerminal' WHEN status = 'Succeeded' THEN 'HasResult' WHEN completed_at >= TIMESTAMP '{CUTOFF}' THEN 'TooRecent' ELSE 'Eligible' END AS reason FROM attempts", "attempts")
+@_query(f"SELECT attempt_id, status, CASE WHEN status NOT IN ('Failed', 'Canceled', 'Abandoned') THEN 'NotCleanable' WHEN completed_at IS NULL THEN 'NotCompleted' WHEN completed_at >= TIMESTAMP '{CUTOFF}' THEN 'TooRecent' WHEN result_id IS NOT NULL THEN 'HasResult' ELSE 'Eligible' END AS reason FROM attempts", "attempts")
 def cleanup_plan(g):
     return lineage.cleanup_plan(g.attempts, F.lit(CUTOFF).cast(g.base("events").schema["ts"].dataType))
 
@@ -316,7 +323,7 @@ def recovery_histogram(g):
     return scene.recovery_histogram(g.game_objects)
 
 
-_WORST = "CASE max(CASE recovery_status WHEN 'StubOnly' THEN 5 WHEN 'PartialRecovery' THEN 4 WHEN 'GraphOnly' THEN 3 WHEN 'Unknown' THEN 2 WHEN 'FullyRecovered' THEN 1 END) WHEN 5 THEN 'StubOnly' WHEN 4 THEN 'PartialRecovery' WHEN 3 THEN 'GraphOnly' WHEN 1 THEN 'FullyRecovered' ELSE 'Unknown' END"
+_WORST = "CASE max(CASE recovery_status WHEN 'StubOrUnavailable' THEN 5 WHEN 'PartiallyRecovered' THEN 4 WHEN 'GraphOnly' THEN 3 WHEN 'Unknown' THEN 2 WHEN 'FullyRecovered' THEN 1 END) WHEN 5 THEN 'StubOrUnavailable' WHEN 4 THEN 'PartiallyRecovered' WHEN 3 THEN 'GraphOnly' WHEN 1 THEN 'FullyRecovered' ELSE 'Unknown' END"
 
 
 @_query(f"SELECT s.scene_id, s.kind, s.name, count(o.game_object_id) AS object_count, count(CASE WHEN o.game_object_id IS NOT NULL AND parent_id IS NULL THEN 1 END) AS root_count, {_WORST} AS recovery FROM scenes s LEFT JOIN game_objects o ON o.scene_id = s.scene_id GROUP BY 1, 2, 3", "scenes game_objects")
@@ -349,9 +356,14 @@ def body_recovery(g):
     return g.symbols.select("symbol_id", fn.body_status(F.col("kind"), F.col("body_recovery_status")).alias("status"))
 
 
-@_query("SELECT doc_id, array_to_string(list_slice(string_split(text, chr(10)), 1, 2), chr(10)) AS snippet FROM documents WHERE len(string_split(text, chr(10))) >= 1")
+_LINES = "string_split(regexp_replace(text, '\\r\\n|\\r', chr(10), 'g'), chr(10))"
+
+
+@_query(f"""SELECT doc_id, CASE WHEN text IS NOT NULL THEN array_to_string(list_slice(lines, greatest(1, (n + 1) // 2 - 1), n), chr(10)) END AS snippet
+ FROM (SELECT doc_id, text, {_LINES} AS lines, len({_LINES}) AS n FROM documents)""")
 def source_snippet(g):
-    return g.base("documents").select("doc_id", source.snippet(F.col("text"), F.lit(1), F.lit(1), 1).alias("snippet"))
+    lines = F.size(source.lines_of(F.col("text")))
+    return g.base("documents").select("doc_id", source.snippet(F.col("text"), F.floor((lines + 1) / 2).cast("int"), lines, 1).alias("snippet"))
 
 
 _FACTS = """(SELECT concat('Game.Customer', c_custkey) AS owner, concat('Game.Customer', c_custkey, '::Order', o_orderkey) AS member, o_orderkey, c_nationkey FROM customer JOIN orders ON o_custkey = c_custkey)"""

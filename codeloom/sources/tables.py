@@ -60,16 +60,18 @@ MODEL = {
                CASE WHEN p_partkey % 5 = 0 THEN NULL ELSE CAST(p_size AS BIGINT) * 3 END AS method_count
         FROM part CROSS JOIN builds WHERE k < 2 AND NOT (k = 1 AND p_partkey % 6 = 0)""",
     "attempts": """
-        SELECT event_id AS attempt_id, user_id, CASE event_type WHEN 'click' THEN 'Pending' WHEN 'view' THEN 'Running' WHEN 'signup' THEN 'Failed' WHEN 'purchase' THEN 'Succeeded' ELSE 'Canceled' END AS status, ts AS completed_at FROM events""",
+        SELECT event_id AS attempt_id, user_id, CASE event_id % 9 WHEN 0 THEN 'Created' WHEN 1 THEN 'Preparing' WHEN 2 THEN 'Running' WHEN 3 THEN 'ProcessCompleted' WHEN 4 THEN 'Validating'
+               WHEN 5 THEN 'Succeeded' WHEN 6 THEN 'Failed' WHEN 7 THEN 'Canceled' ELSE 'Abandoned' END AS status,
+               ts AS changed_at, CASE WHEN event_id % 11 <> 0 THEN ts END AS completed_at, CASE WHEN event_id % 13 = 0 THEN concat('ext-', event_id) END AS result_id FROM events""",
     "scenes": """
         SELECT concat('region-', r_regionkey) AS scene_id, 'Scene' AS kind, r_name AS name FROM region
         UNION ALL SELECT concat('supplier-', s_suppkey), 'Prefab', s_name FROM supplier""",
     "game_objects": """
         SELECT concat('n', n_nationkey) AS game_object_id, CAST(NULL AS STRING) AS parent_id, concat('region-', n_regionkey) AS scene_id, 'c0' AS container_id, CAST(n_nationkey + 1 AS BIGINT) AS local_file_id, n_name AS name, 'FullyRecovered' AS recovery_status FROM nation
-        UNION ALL SELECT concat('c', c_custkey), concat('n', c_nationkey), concat('region-', n_regionkey), 'c1', c_custkey, c_name, CASE WHEN c_custkey % 50 = 0 THEN 'PartialRecovery' ELSE 'FullyRecovered' END FROM customer JOIN nation ON c_nationkey = n_nationkey
+        UNION ALL SELECT concat('c', c_custkey), concat('n', c_nationkey), concat('region-', n_regionkey), 'c1', c_custkey, c_name, CASE WHEN c_custkey % 50 = 0 THEN 'PartiallyRecovered' ELSE 'FullyRecovered' END FROM customer JOIN nation ON c_nationkey = n_nationkey
         UNION ALL SELECT concat('o', o_orderkey), concat('c', o_custkey), concat('region-', n_regionkey), 'c2', o_orderkey, concat('Order', o_orderkey), CASE WHEN o_orderkey % 97 = 0 THEN 'GraphOnly' ELSE 'FullyRecovered' END
         FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey
-        UNION ALL SELECT concat('s', s_suppkey), CAST(NULL AS STRING), concat('supplier-', s_suppkey), 'c3', s_suppkey, s_name, 'StubOnly' FROM supplier""",
+        UNION ALL SELECT concat('s', s_suppkey), CAST(NULL AS STRING), concat('supplier-', s_suppkey), 'c3', s_suppkey, s_name, 'StubOrUnavailable' FROM supplier""",
     "components": """
         SELECT DISTINCT concat('k', l_orderkey, '-', l_linenumber, '-', l_partkey) AS component_id, concat('o', l_orderkey) AS game_object_id, CASE WHEN l_returnflag = 'R' THEN 'MonoBehaviour' ELSE concat('UnityClass:', l_linenumber) END AS kind,
                CASE WHEN l_returnflag = 'R' THEN 'Catalog' END AS script_namespace, CASE WHEN l_returnflag = 'R' THEN concat('Part', l_partkey) END AS script_class FROM lineitem""",

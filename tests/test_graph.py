@@ -33,8 +33,16 @@ def test_ranks_and_literal_wildcards(spark):
 
 def test_resolution(spark):
     s = symbols(spark, "A.X", "B", "b")
-    q = spark.createDataFrame([("A.X-id",), ("g:i:Type:A.X",), ("a.x",), ("B",), ("none",)], "selector string")
-    assert {r.selector: r.status for r in graph.resolve(s, q).collect()} == {"A.X-id": "Resolved", "g:i:Type:A.X": "Resolved", "a.x": "Resolved", "B": "Ambiguous", "none": "NotFound"}
+    q = spark.createDataFrame([("A.X-id",), ("g:i:Type:A.X",), ("a.x",), ("B",), ("none",), ("x",), ("g:i:Field:A.x",)], "selector string")
+    want = {"A.X-id": "Resolved", "g:i:Type:A.X": "Resolved", "a.x": "Resolved", "B": "Ambiguous", "none": "NotFound", "x": "Resolved", "g:i:Field:A.x": "Resolved"}
+    assert {r.selector: r.status for r in graph.resolve(s, q).collect()} == want
+
+
+def test_best_rank_resolves_or_is_ambiguous(spark):
+    s = symbols(spark, "N.Foo", "FooBar", "M.FooBaz", "P.Dup", "Q.Dup", "xDup")
+    q = spark.createDataFrame([("Foo",), ("dup",), ("oobar",), ("Fo",), ("%",)], "selector string")
+    got = {r.selector: (r.status, r.symbol_id) for r in graph.resolve(s, q).collect()}
+    assert got == {"Foo": ("Resolved", "N.Foo-id"), "dup": ("Ambiguous", None), "oobar": ("Resolved", "FooBar-id"), "Fo": ("Resolved", "FooBar-id"), "%": ("NotFound", None)}
 
 
 def test_neighbourhood(spark):
@@ -49,7 +57,7 @@ def body(spark, rows):
 
 @pytest.mark.parametrize(("status_b", "expected"), [("Recovered", "MethodBodyChanged"), ("StubOrUnavailable", "Unchanged"), (None, "Unchanged")])
 def test_one_sided_body(spark, status_b, expected):
-    a = symbols(spark, "m")
+    a = symbols(spark, "m").withColumn("kind", F.lit("Method"))
     b = a.withColumn("body_recovery_status", F.lit(status_b).cast("string"))
     none = spark.createDataFrame([], EDGE)
     found = graph.diff(a, b, body(spark, [("m-id", "method-body", "x")]), body(spark, []), none, none)
@@ -105,8 +113,30 @@ def test_publish_and_read(spark, tmp_path):
 
 
 def test_violations(spark):
-    d = spark.createDataFrame([(1, 1, "Pending", 1), (2, 1, "Running", 2), (3, 1, "Pending", 3)], "attempt_id long, user_id long, status string, completed_at int")
-    assert [(r.before, r.status) for r in lineage.violations(d).collect()] == [("Running", "Pending")]
+    steps = ["Created", "Preparing", "Running", "ProcessCompleted", "Validating", "Succeeded", "Failed"]
+    d = spark.createDataFrame([(i, 1, s, i) for i, s in enumerate(steps)] + [(20, 2, "Running", 1), (21, 2, "Succeeded", 2)], "attempt_id long, user_id long, status string, changed_at int")
+    assert sorted((r.before, r.status) for r in lineage.violations(d).collect()) == [("Running", "Succeeded"), ("Succeeded", "Failed")]
+
+
+def test_cleanup_keeps_what_has_no_completion(spark):
+    d = spark.createDataFrame([(1, "Failed", None, None), (2, "Failed", 5, None), (3, "Failed", 10, None), (4, "Abandoned", 5, "e"), (5, "Succeeded", 5, "e"), (6, "Running", None, None)], "attempt_id long, status string, completed_at int, result_id string")
+    got = {r.attempt_id: r.reason for r in lineage.cleanup_plan(d, F.lit(10)).collect()}
+    assert got == {1: "NotCompleted", 2: "Eligible", 3: "TooRecent", 4: "HasResult", 5: "NotCleanable", 6: "NotCleanable"}
+
+
+def test_body_recovery_rules(spark):
+    rows = [(True, False, False, 0, 5, 1), (True, False, False, 9, 0, 1), (True, False, False, 1, 1, 1), (True, False, False, 3, 3, 0), (True, False, False, 2, 9, 0), (False, True, False, 0, 0, 0), (True, False, True, 9, 9, 9)]
+    d = spark.createDataFrame(rows, "b boolean, d boolean, s boolean, il int, i int, r int")
+    got = [r[0] for r in d.select(text.body_recovery(*(F.col(c) for c in ("b", "d", "s", "il", "i", "r")))).collect()]
+    assert got == ["StubOrUnavailable", "StubOrUnavailable", "Recovered", "Recovered", "Unknown", "NoBodyByDesign", "StubOrUnavailable"]
+
+
+def test_edges_compare_by_key_and_bodies_of_callables_only(spark):
+    a = symbols(spark, "x", "t")
+    b = a.withColumn("symbol_id", F.concat(F.lit("2"), "symbol_id"))
+    edge = lambda p, text: spark.createDataFrame([("1", f"{p}x-id", f"{p}t-id", text, "Calls"), ("2", f"{p}x-id", None, None, "Calls")], EDGE)
+    prints = body(spark, [("x-id", "method-body", "1")]), body(spark, [("2x-id", "method-body", "2")])
+    assert {r.classification for r in graph.diff(a, b, *prints, edge("", "old name"), edge("2", "new name")).collect()} == {"Unchanged"}
 
 
 @pytest.fixture(scope="module")
