@@ -133,11 +133,11 @@ def fingerprint_pivot(fingerprints: DataFrame, kinds: list[str]) -> DataFrame:
     return fingerprints.groupBy("symbol_id").pivot("fingerprint_kind", kinds).agg(F.first("fingerprint"))
 
 
-def diff(symbols_a: DataFrame, symbols_b: DataFrame, prints_a: DataFrame, prints_b: DataFrame, edges_a: DataFrame, edges_b: DataFrame) -> DataFrame:
+def diff(symbols_a: DataFrame, symbols_b: DataFrame, prints_a: DataFrame, prints_b: DataFrame, edges_a: DataFrame, edges_b: DataFrame, keep_signatures: bool = False) -> DataFrame:
     """Classify every canonical key of two indexes: a full outer join of keys with body and edge hashes of both sides.
 
     A body that only one side has counts as changed only if the side without it says that it was recovered; no edges at
-    all hash to the empty text.
+    all hash to the empty text. Signatures are shown of what is added or removed, or of all rows.
     """
 
     def side(symbols: DataFrame, prints: DataFrame, edges_: DataFrame, s: str) -> DataFrame:
@@ -152,10 +152,16 @@ def diff(symbols_a: DataFrame, symbols_b: DataFrame, prints_a: DataFrame, prints
     body = body & F.col("kind_a").isin(*CALLABLE)  # only these have bodies
     kind = F.when(F.col("name_a").isNull(), CLASSES[0]).when(F.col("name_b").isNull(), CLASSES[1]).when(body, CLASSES[2]).when(F.col("edges_a") != F.col("edges_b"), CLASSES[3]).otherwise(CLASSES[4])
     both = both.withColumn("classification", kind)
-    shown = F.col("classification").isin(*CLASSES[:2])
+    shown = F.lit(True) if keep_signatures else F.col("classification").isin(*CLASSES[:2])
     return both.select("canonical_key", F.coalesce("name_b", "name_a").alias("name"), F.coalesce("kind_b", "kind_a").alias("kind"), "classification", F.when(shown, F.col("signature_a")).alias("before"), F.when(shown, F.col("signature_b")).alias("after"))
 
 
+def diff_order() -> list[Column]:
+    """Changes by their class first, then by name; the key makes the order total."""
+    place = F.array_position(F.array(*(F.lit(c) for c in CLASSES)), F.col("classification"))
+    return [place, F.col("name"), F.col("canonical_key")]
+
+
 def diff_counts(found: DataFrame) -> DataFrame:
     """A count for every class, zero where none."""
     classes = found.sparkSession.createDataFrame([(c,) for c in CLASSES], "classification string")

@@ -6,27 +6,12 @@ from pyspark.sql import functions as F
 
 from codeloom.functions import text as fn
 from codeloom.operators import checks, graph, ingest, lineage, scene, source
-from codeloom.sources.tables import Graph, with_clause
+from codeloom.plans import assessed, scenes  # noqa: F401  registered on import
+from codeloom.plans.registry import ENTRIES, query as _query
 
 QUERY = "Part1"
 PART = 17
 CUTOFF = "2024-01-15 00:00:00"
-_ENTRIES: dict = {}
-
-
-def _query(sql: str | None, tables: str | None = None):
-    """Register a function of a graph, with the SQL for the same rows; ``tables`` names the model's tables it uses."""
-
-    def add(f):
-        text = None
-        if sql is not None:
-            text = (with_clause("sha256", tables.split()) + " " + sql) if tables else sql
-        _ENTRIES[f.__name__] = (lambda spark, sf_dir: f(Graph(spark, sf_dir)), text)
-        return f
-
-    return add
-
-
 _LOW = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _N, _S = _LOW.format("qualified_name"), _LOW.format("signature")
 _RANK = f"CASE WHEN {_N} = 'part1' OR {_S} = 'part1' THEN 0 WHEN ends_with({_N}, '.part1') THEN 1 WHEN starts_with({_N}, 'part1') THEN 2 WHEN contains({_N}, 'part1') THEN 3 WHEN contains({_S}, 'part1') THEN 4 END"
@@ -190,6 +175,18 @@ def build_diff_kind(g):
     return _diff(g, "kind = 'Constructor' AND classification <> 'Unchanged'").select("canonical_key", "classification")
 
 
+@_query(f"SELECT canonical_key, classification, sa AS before, sb AS after FROM {_DIFF}", _DIFF_T)
+def symbol_diff(g):
+    side = lambda name, k: getattr(g, name).where(f"k = {k}")
+    found = graph.diff(side("symbols", 0), side("symbols", 1), side("fingerprints", 0), side("fingerprints", 1), side("relationships", 0), side("relationships", 1), keep_signatures=True)
+    return found.select("canonical_key", "classification", "before", "after")
+
+
+@_query(f"SELECT canonical_key, name, classification FROM {_DIFF} ORDER BY list_position(['Added', 'Removed', 'MethodBodyChanged', 'RelationshipsChanged', 'Unchanged'], classification), name, canonical_key LIMIT 50", _DIFF_T)
+def diff_ordered(g):
+    return _diff(g).orderBy(*graph.diff_order()).limit(50).select("canonical_key", "name", "classification")
+
+
 _LATEST = "(SELECT *, row_number() OVER (PARTITION BY {} ORDER BY completed_at DESC, index_id DESC) AS n FROM index_runs JOIN code_snapshots USING (snapshot_id) WHERE status = 'Completed')"
 
 
@@ -402,8 +399,8 @@ def search_index_json(g):
 
 
 def queries() -> dict:
-    return {name: f for name, (f, _) in _ENTRIES.items()}
+    return {name: f for name, (f, _) in ENTRIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: text for name, (_, text) in _ENTRIES.items() if text}
+    return {name: text for name, (_, text) in ENTRIES.items() if text}

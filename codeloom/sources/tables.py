@@ -79,6 +79,55 @@ MODEL = {
         SELECT concat('r', component_id) AS reference_id, component_id AS source_component_id, 'c2' AS source_container_id, CAST(NULL AS BIGINT) AS source_local_file_id, kind AS field_path,
                CASE WHEN length(component_id) % 3 = 0 THEN 'UnresolvedText' ELSE 'Resolved' END AS resolution_status FROM components
         UNION ALL SELECT concat('rc', c_custkey), NULL, 'c1', c_custkey, NULL, CASE WHEN c_custkey % 4 = 0 THEN 'UnresolvedText' ELSE 'Resolved' END FROM customer""",
+    "channel_symbols": """
+        SELECT symbol_id, 'installed' AS channel, canonical_key, kind, qualified_name, signature FROM symbols WHERE k = 0
+        UNION ALL SELECT {sha}(concat('up-', symbol_id)), 'upstream', replace(canonical_key, ':installed:', ':upstream:'), kind, qualified_name, signature FROM symbols WHERE k = 1 AND kind = 'Type'
+        UNION ALL SELECT {sha}(concat('night-', symbol_id)), 'nightly', replace(canonical_key, ':installed:', ':nightly:'), kind, qualified_name, signature FROM symbols WHERE k = 1 AND kind = 'Type'""",
+    "channel_runs": """
+        SELECT 'installed' AS channel, 'Completed' AS status UNION ALL SELECT 'upstream', 'Completed' UNION ALL SELECT 'nightly', 'Running'""",
+    "declared_spans": """
+        SELECT l_orderkey AS o_orderkey, CASE WHEN l_orderkey % 4 = 0 THEN 'Constructor' ELSE 'Method' END AS kind, concat(replace(concat(r_name, '.', n_name, '.', c_name), ' ', ''), '::Order', l_orderkey) AS qualified_name,
+               concat('src/', o_custkey, '.txt') AS relative_path, CAST(l_partkey AS BIGINT) AS start_line, CAST(l_partkey AS BIGINT) + l_linenumber AS end_line
+        FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey""",
+    "text_locations": """
+        SELECT symbol_id, CAST(p_partkey AS BIGINT) AS doc_id, CASE WHEN p_partkey % 5 = 0 THEN 3 ELSE 1 END AS start_line, CASE WHEN p_partkey % 5 = 0 THEN 4 ELSE 1 END AS end_line
+        FROM part JOIN symbols ON k = 0 AND qualified_name = concat('Catalog.', replace(p_brand, '#', ''), '.Part', p_partkey) WHERE p_partkey % 3 <> 0""",
+    "transforms": """
+        SELECT concat('tn', n_nationkey) AS transform_id, CAST(NULL AS STRING) AS parent_id, CAST(n_regionkey AS BIGINT) AS root_order, 22 AS file_version, '2022.3.62f1' AS unity_version, CAST(0 AS BIGINT) AS byte_offset, CAST(100 AS BIGINT) AS byte_count, CAST(1000 AS BIGINT) AS container_size FROM nation
+        UNION ALL SELECT concat('tc', c_custkey), CASE WHEN c_custkey % 40 = 0 THEN 'missing' ELSE concat('tn', c_nationkey) END, 0, CASE WHEN c_custkey % 30 = 0 THEN 21 ELSE 22 END,
+               CASE WHEN c_custkey % 70 = 0 THEN '2021.1' ELSE '2022.3.62f2' END, c_custkey, 100, CASE WHEN c_custkey % 50 = 0 THEN c_custkey + 99 ELSE c_custkey + 100 END FROM customer
+        UNION ALL SELECT concat('to', o_orderkey), concat('tc', o_custkey), 0, 22, '2022.3.62f2', 0, 10, 10 FROM orders""",
+    "child_lists": """
+        SELECT concat('tc', o_custkey) AS parent_id, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS BIGINT) AS place, concat('to', o_orderkey) AS child_id FROM orders WHERE o_orderkey % 17 <> 0
+        UNION ALL SELECT concat('tn', c_nationkey), CAST(row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) - 1 AS BIGINT), CASE WHEN c_custkey % 19 = 0 THEN NULL ELSE concat('tc', c_custkey) END FROM customer WHERE c_custkey % 23 <> 0
+        UNION ALL SELECT concat('tn', o_orderkey % 25), 9999, concat('to', o_orderkey) FROM orders WHERE o_orderkey % 101 = 0""",
+    "prefab_evidence": """
+        SELECT concat('e', s_suppkey) AS evidence_id, CASE s_suppkey % 3 WHEN 0 THEN 1001 WHEN 1 THEN 1001480554 ELSE 114 END AS class_id, CASE WHEN s_suppkey % 5 = 0 THEN 'm_Other' ELSE 'm_rootGameObject' END AS field_path,
+               'PPtr<GameObject>' AS declared_type, CASE WHEN s_suppkey % 6 = 1 THEN concat('n', s_suppkey % 25) ELSE concat('c', s_suppkey) END AS target_id FROM supplier
+        UNION ALL SELECT concat('e', s_suppkey), 1001, 'm_RootGameObject', 'PPtr<GameObject>', concat('c', s_suppkey + 1) FROM supplier WHERE s_suppkey % 9 = 0""",
+    "placed_objects": """
+        SELECT game_object_id, parent_id, CASE WHEN container_id = 'c0' AND local_file_id % 2 = 0 THEN concat('level', local_file_id % 5) ELSE concat('assets/', container_id, '.assets') END AS container_path FROM game_objects""",
+    "containers": """
+        SELECT concat('level', r_regionkey) AS container_path FROM region UNION SELECT concat('dir', s_suppkey % 4, '/shared', s_suppkey % 9, '.assets') FROM supplier""",
+    "container_objects": """
+        SELECT container_path, CAST(r_regionkey + 1 AS BIGINT) AS local_file_id FROM containers CROSS JOIN region""",
+    "externals": """
+        SELECT concat('level', n_regionkey) AS source_path, CAST(n_nationkey + 1 AS BIGINT) AS file_id,
+               CASE n_nationkey % 6 WHEN 0 THEN 'archive:/x/CAB/dir1/shared1.assets' WHEN 1 THEN ' ' WHEN 2 THEN concat('/dir2', chr(92), 'shared2.assets') WHEN 3 THEN concat('else/level', n_regionkey) WHEN 4 THEN 'none/gone.assets' ELSE 'else/shared1.assets' END AS path_name,
+               CASE WHEN n_nationkey % 6 = 1 THEN concat('level', n_regionkey) END AS original_path_name FROM nation""",
+    "pointers": """
+        SELECT o_orderkey AS pointer_id, concat('level', o_orderkey % 5) AS source_path, CAST(CASE WHEN o_orderkey % 3 = 0 THEN 0 ELSE o_orderkey % 26 END AS BIGINT) AS file_id, CAST(o_custkey % 8 - 1 AS BIGINT) AS local_file_id FROM orders""",
+    "scripts": """
+        SELECT p_partkey AS script_id, CASE WHEN p_partkey % 6 = 0 THEN 'Other' ELSE 'Game' END AS assembly_name, CASE WHEN p_partkey % 7 = 0 THEN ' ' ELSE concat('Catalog.', replace(p_brand, '#', '')) END AS script_namespace,
+               concat(CASE WHEN p_partkey % 8 = 0 THEN 'Gone' ELSE ' Part' END, p_partkey) AS script_class, {sha}(concat('idx-', p_partkey % 4)) AS index_id,
+               {sha}(concat('ext-', CASE WHEN p_partkey % 10 = 0 THEN 9 ELSE p_partkey % 4 END)) AS extraction_id FROM part""",
+    "issues": """
+        SELECT user_id AS attempt_id, event_id, CASE WHEN event_id % 90 = 0 THEN 'Error' WHEN event_id % 20 = 0 THEN 'Warning' ELSE 'Info' END AS severity, event_id % 25 = 0 AS preference_blocking FROM events""",
+    "validations": """
+        SELECT user_id AS attempt_id, user_id % 7 <> 0 AS containment_passed, user_id % 5 <> 0 AS input_integrity_passed, user_id % 4 <> 0 AS process_integrity_passed, CASE WHEN user_id % 3 = 0 THEN 'Explicit' ELSE 'ManagedPinned' END AS trust,
+               concat('tool', user_id % 2) AS tool_id, concat('x', user_id) AS candidate_id, CASE user_id % 8 WHEN 1 THEN concat('x', user_id) WHEN 2 THEN 'other' WHEN 3 THEN 'manual' WHEN 5 THEN 'other' END AS preferred_id,
+               CASE WHEN user_id % 8 = 3 THEN 'ManualPromotion' ELSE 'ManagedAutomatic' END AS preferred_reason, 'tool1' AS preferred_tool_id
+        FROM (SELECT DISTINCT user_id FROM events)""",
 }
 
 
