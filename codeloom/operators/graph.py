@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codeloom.functions.text import CALL_LIKE, CALLABLE, fold, match_rank
+from codeloom.sources.cuts import cut
 
 RELATED_REFS = 500  # references that related types are taken from
 CLASSES = ("Added", "Removed", "MethodBodyChanged", "RelationshipsChanged", "Unchanged")  # fixed: in this priority
@@ -36,12 +37,15 @@ def resolve(symbols: DataFrame, selectors: DataFrame) -> DataFrame:
     rank of what the selector names without its codebase, channel and kind; equal matches on the first tier that has any
     are ambiguous, and nothing is chosen among them. Tiers are equi-joins, so no pairs form.
     """
+    symbols = cut(symbols.select("symbol_id", "canonical_key", "qualified_name", "signature"))  # read six times below
+    selectors = cut(selectors.select("selector"))
     s = selectors.select("selector", fold(F.col("selector")).alias("folded"))
     tiers = [("symbol_id", "selector", F.col("symbol_id")), ("canonical_key", "selector", F.col("canonical_key")), ("signature", "folded", fold(F.col("signature"))), ("name", "folded", fold(F.col("qualified_name")))]
     out = None
     for i, (_, key, value) in enumerate(tiers):
         hit = s.join(symbols.select(value.alias(key), "symbol_id"), key).select("selector", "symbol_id", F.lit(i).alias("tier"))
         out = hit if out is None else out.union(hit)
+    out = cut(out)
     # then match ranks: names, signatures and last parts of names by their text, the other ranks by pieces of it
     rest = s.join(out.select("selector").distinct(), "selector", "left_anti").select("selector", fold(bare(F.col("selector"))).alias("query"))
     name = fold(F.col("qualified_name"))
@@ -50,7 +54,7 @@ def resolve(symbols: DataFrame, selectors: DataFrame) -> DataFrame:
     texts = symbols.select("symbol_id", name.alias("name"), F.explode(F.array_distinct(F.concat(tails, F.array(fold(F.col("signature")))))).alias("query"))
     near = rest.join(texts, "query")
     exact = (F.col("name") == F.col("query")) | ~F.col("name").endswith(F.concat(F.lit("."), F.col("query")))
-    near = near.select("selector", "symbol_id", F.when(exact, 0).otherwise(1).alias("rank"))
+    near = cut(near.select("selector", "symbol_id", F.when(exact, 0).otherwise(1).alias("rank")))
     far = partial_matches(symbols, rest.join(near.select("selector").distinct(), "selector", "left_anti"))
     out = out.union(near.union(far.select(*near.columns)).select("selector", "symbol_id", (F.col("rank") + len(tiers)).alias("tier")))
     best = out.groupBy("selector", "tier").agg(F.min("symbol_id").alias("symbol_id"), F.countDistinct("symbol_id").alias("n"))
