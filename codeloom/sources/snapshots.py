@@ -1,11 +1,17 @@
 """Snapshots of tables that become visible at once.
 
-The tables of a snapshot are written below its own folder; a row of a manifest, written last, publishes them. Readers
-take only what the manifest names, so an attempt that was lost halfway is never seen, and may be written again.
+Each attempt writes the tables of a snapshot below a folder of its own; one manifest file for each snapshot, written last and
+created only if it does not exist, names the attempt that is published. So of two writers one publishes, whatever they
+wrote before, and an attempt that was lost halfway is never seen.
 """
 
 from __future__ import annotations
 
+import json
+import re
+import uuid
+
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
@@ -16,29 +22,50 @@ class Store:
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
 
-    def stage(self, snapshot: str, tables: dict[str, DataFrame]) -> None:
-        """Write tables without publishing them; an earlier unpublished attempt is replaced."""
+    def stage(self, snapshot: str, tables: dict[str, DataFrame]) -> str:
+        """Write tables without publishing them; the name of the attempt's folder."""
+        if not re.fullmatch(r"[A-Za-z0-9][A-Za-z0-9=-]*", snapshot):
+            raise ValueError("a snapshot's name is letters, digits, = and -")
+        folder = f"{snapshot}/{uuid.uuid4().hex}"
         for name, rows in tables.items():
-            rows.write.mode("overwrite").parquet(f"{self.path}/{snapshot}/{name}")
+            rows.write.parquet(f"{self.path}/{folder}/{name}")
+        return folder
 
-    def published(self) -> list[str]:
+    def _folders(self) -> dict[str, str]:
+        """Published snapshots and their folders: a row each, of names only."""
         try:
-            rows = self.spark.read.schema("snapshot string").json(f"{self.path}/_manifest")
-            return sorted({r["snapshot"] for r in rows.collect()})
+            rows = self.spark.read.schema("snapshot string, folder string").json(f"{self.path}/_manifest")
+            return {r["snapshot"]: r["folder"] for r in rows.collect()}
         except AnalysisException:  # nothing was published so far
-            return []
+            return {}
+
+    def published(self) -> list[str]:
+        return sorted(self._folders())
+
+    def claim(self, snapshot: str, folder: str) -> bool:
+        """Publish a staged attempt, unless the snapshot is published; the file system lets one writer create the file."""
+        jvm, context = self.spark._jvm, self.spark.sparkContext
+        path = jvm.org.apache.hadoop.fs.Path(f"{self.path}/_manifest/{snapshot}.json")
+        files = path.getFileSystem(context._jsc.hadoopConfiguration())
+        try:
+            out = files.create(path, False)
+        except Py4JJavaError:
+            if files.exists(path):
+                return False
+            raise
+        out.write((json.dumps({"snapshot": snapshot, "folder": folder}) + "\n").encode())
+        out.close()
+        return True
 
     def publish(self, snapshot: str, tables: dict[str, DataFrame]) -> bool:
         """Write and publish; a published snapshot is never changed, and False is returned."""
-        if snapshot in self.published():
+        if snapshot in self._folders():
             return False
-        self.stage(snapshot, tables)
-        self.spark.createDataFrame([(snapshot,)], "snapshot string").coalesce(1).write.mode("append").json(f"{self.path}/_manifest")
-        return True
+        return self.claim(snapshot, self.stage(snapshot, tables))
 
     def read(self, table: str, snapshot: str | None = None) -> DataFrame:
         """A table of one published snapshot, or of all of them."""
-        names = [s for s in self.published() if snapshot in (None, s)]
-        if not names:
+        folders = [f for s, f in sorted(self._folders().items()) if snapshot in (None, s)]
+        if not folders:
             raise ValueError("no such snapshot has been published")
-        return self.spark.read.parquet(*(f"{self.path}/{s}/{table}" for s in names))
+        return self.spark.read.parquet(*(f"{self.path}/{f}/{table}" for f in folders))
