@@ -22,27 +22,21 @@ def latest(rows: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     return rows.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("_n = 1").drop("_n")
 
 
-def latest_completed(runs: DataFrame, snapshots: DataFrame, keys: list[str]) -> DataFrame:
-    done = runs.where("status = 'Completed'").join(snapshots, "snapshot_id")
-    return latest(done, keys, [F.desc("completed_at"), F.desc("index_id")])
-
-
-def authority(builds: DataFrame, extractions: DataFrame, snapshots: DataFrame, runs: DataFrame) -> DataFrame:
-    """Per build how far its lineage can be trusted: a preferred extraction, verified, with a completed index."""
-    chosen = extractions.where("preferred").select("build_id", "extraction_id", "verified")
-    index = latest_completed(runs, snapshots, ["source_identity"]).select(F.col("source_identity").alias("extraction_id"), "index_id", F.col("build_id").alias("index_build"))
-    out = builds.join(chosen, "build_id", "left").join(index, "extraction_id", "left")
-    status = (
-        F.when(F.col("extraction_id").isNull(), "NoPreferredVerifiedExtraction").when(~F.col("verified"), "ExtractionIntegrityFailure").when(F.col("index_id").isNull(), "NoCompletedIndex")
-        .when(F.col("index_build") != F.col("build_id"), "IndexBuildMismatch").otherwise("Resolved")
-    )
-    return out.select("build_id", status.alias("status"), F.when(status == "Resolved", F.col("index_id")).alias("index_id"))
-
-
-def adjacent(builds: DataFrame) -> DataFrame:
-    """Each build with the next one by first sight."""
-    w = Window.orderBy("first_seen", "build_id")  # one row a build
-    return builds.select("build_id", F.lead("build_id").over(w).alias("next_build_id")).where("next_build_id IS NOT NULL")
+def latest_completed(runs: DataFrame, keys: list[str]) -> DataFrame:
+    """The latest completed run of each lineage, ties to the larger id; runs combine before the shuffle."""
+    rest = [c for c in runs.columns if c not in (*keys, "completed_at", "index_id")]
+    last = runs.where("status = 'Completed'").groupBy(*keys).agg(F.max(F.struct("completed_at", "index_id", *rest)).alias("r"))
+    return last.select(*keys, "r.*")
+
+
+def adjacent(builds: DataFrame, bucket: str = "month") -> DataFrame:
+    """Each build with the next one by first sight: within spans of time, and from the last of a span to the first of the
+    next that has any."""
+    rows = builds.select("build_id", "first_seen", F.date_trunc(bucket, "first_seen").alias("span"))
+    inside = rows.withColumn("next", F.lead("build_id").over(Window.partitionBy("span").orderBy("first_seen", "build_id")))
+    firsts = rows.groupBy("span").agg(F.min(F.struct("first_seen", "build_id")).alias("f"))
+    firsts = firsts.select("span", F.lead("f.build_id").over(Window.orderBy("span")).alias("after"))  # a row a span
+    return inside.join(firsts, "span").select("build_id", F.coalesce("next", "after").alias("next_build_id")).where("next_build_id IS NOT NULL")
 
 
 def presence(symbols: DataFrame, builds: DataFrame) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from codeloom.operators import checks, graph, lineage, lookup, policy
+from codeloom.operators import checks, graph, lookup, policy
 from codeloom.plans.registry import query
 
 _LIVE = "channel IN (SELECT channel FROM channel_runs WHERE status = 'Completed')"
@@ -98,15 +98,6 @@ def latest_validation(g):
     return lookup.latest(g.attempts, ["user_id"], ["changed_at", "attempt_id"]).select("user_id", "attempt_id", "status")
 
 
-@query("""SELECT b.build_id, b.first_seen, b.k = 2 AS is_current, coalesce(e.verified, false) AS has_preferred, coalesce(e.verified AND i.source_identity IS NOT NULL, false) AS is_indexed FROM builds b LEFT JOIN extractions e ON e.build_id = b.build_id AND e.preferred
- LEFT JOIN (SELECT DISTINCT source_identity FROM code_snapshots JOIN index_runs USING (snapshot_id) WHERE status = 'Completed') i ON i.source_identity = e.extraction_id ORDER BY first_seen DESC, b.build_id DESC""", "builds extractions code_snapshots index_runs")
-def build_list(g):
-    state = lineage.authority(g.builds, g.extractions, g.code_snapshots, g.index_runs).select("build_id", (F.col("status") == "Resolved").alias("is_indexed"))
-    preferred = g.extractions.where("preferred").select("build_id", F.col("verified").alias("has_preferred"))
-    rows = g.builds.join(state, "build_id", "left").join(preferred, "build_id", "left")
-    return rows.select("build_id", "first_seen", (F.col("k") == 2).alias("is_current"), F.coalesce("has_preferred", F.lit(False)).alias("has_preferred"), F.coalesce("is_indexed", F.lit(False)).alias("is_indexed")).orderBy(F.desc("first_seen"), F.desc("build_id"))
-
-
 @query("SELECT assembly, files, bytes FROM (SELECT assembly_name AS assembly, count(*) AS files, CAST(sum(size) AS BIGINT) AS bytes FROM artifacts WHERE k = 1 GROUP BY 1) EXCEPT SELECT assembly_name, count(*), CAST(sum(size) AS BIGINT) FROM artifacts WHERE k = 0 GROUP BY 1", "artifacts")
 def statistics_mismatch(g):
     stats = lambda k: checks.assembly_statistics(g.artifacts.where(f"k = {k}"), False).select("assembly", "files", "bytes")

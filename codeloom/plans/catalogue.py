@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from codeloom.functions import text as fn
 from codeloom.operators import checks, graph, ingest, lineage, scene, source
-from codeloom.plans import assessed, scenes  # noqa: F401  registered on import
+from codeloom.plans import assessed, authorities, scenes, states  # noqa: F401  registered on import
 from codeloom.plans.registry import ENTRIES, query as _query
 
 QUERY = "Part1"
@@ -187,36 +187,11 @@ def diff_ordered(g):
     return _diff(g).orderBy(*graph.diff_order()).limit(50).select("canonical_key", "name", "classification")
 
 
-_LATEST = "(SELECT *, row_number() OVER (PARTITION BY {} ORDER BY completed_at DESC, index_id DESC) AS n FROM index_runs JOIN code_snapshots USING (snapshot_id) WHERE status = 'Completed')"
-
-
-@_query(f"SELECT codebase, channel, index_id FROM {_LATEST.format('codebase, channel')} WHERE n = 1", "index_runs code_snapshots")
-def latest_index_per_channel(g):
-    return lineage.latest_completed(g.index_runs, g.code_snapshots, ["codebase", "channel"]).select("codebase", "channel", "index_id")
-
-
-@_query(f"SELECT build_id, index_id, completed_at FROM {_LATEST.format('build_id')} WHERE n = 1", "index_runs code_snapshots")
-def build_lineage(g):
-    return lineage.latest_completed(g.index_runs, g.code_snapshots, ["build_id"]).select("build_id", "index_id", "completed_at")
-
-
-@_query("SELECT build_id, next_build_id FROM (SELECT build_id, lead(build_id) OVER (ORDER BY first_seen, build_id) AS next_build_id FROM builds) WHERE next_build_id IS NOT NULL", "builds")
-def adjacent_builds(g):
-    return lineage.adjacent(g.builds)
-
-
 @_query("SELECT q.canonical_key, b.k, s.symbol_id IS NOT NULL AS present FROM (SELECT DISTINCT canonical_key FROM symbols) q CROSS JOIN (SELECT k FROM builds WHERE k < 2) b LEFT JOIN symbols s ON s.canonical_key = q.canonical_key AND s.k = b.k", "symbols builds")
 def symbol_presence(g):
     return lineage.presence(g.symbols, g.builds.where("k < 2"))
 
 
-@_query(f"""SELECT build_id, status, CASE WHEN status = 'Resolved' THEN index_id END AS index_id FROM (SELECT b.build_id, i.index_id, CASE WHEN e.extraction_id IS NULL THEN 'NoPreferredVerifiedExtraction' WHEN NOT e.verified THEN 'ExtractionIntegrityFailure'
- WHEN i.index_id IS NULL THEN 'NoCompletedIndex' WHEN i.build_id <> b.build_id THEN 'IndexBuildMismatch' ELSE 'Resolved' END AS status
- FROM builds b LEFT JOIN extractions e ON e.build_id = b.build_id AND e.preferred LEFT JOIN {_LATEST.format('source_identity')} i ON i.source_identity = e.extraction_id AND i.n = 1)""", "builds extractions index_runs code_snapshots")
-def authority_status(g):
-    return lineage.authority(g.builds, g.extractions, g.code_snapshots, g.index_runs)
-
-
 _STATS = "SELECT {} AS assembly, count(*) AS files, CAST(sum(size) AS BIGINT) AS bytes, CAST(sum(type_count) AS BIGINT) AS types, CAST(sum(coalesce(method_count, 0)) AS BIGINT) AS methods, count(DISTINCT sha256) AS distinct_hashes FROM artifacts WHERE k = {} GROUP BY 1"
 
 
@@ -250,11 +225,6 @@ def comparative_checks(g):
     return checks.comparative(g.artifacts.where("k = 0"), g.artifacts.where("k = 1"))
 
 
-@_query("SELECT recipe_id, count(*) AS runs, count(DISTINCT manifest_digest) AS digests, CASE WHEN count(*) < 2 THEN 'NotTested' WHEN count(DISTINCT manifest_digest) = 1 THEN 'Reproducible' ELSE 'Divergent' END AS outcome FROM extractions GROUP BY recipe_id", "extractions")
-def reproducibility(g):
-    return checks.reproducibility(g.extractions)
-
-
 _LEGAL = ", ".join(f"('{a}', '{b}')" for a, b in lineage.LEGAL)
 
 

@@ -16,6 +16,21 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
 
+def create_file(spark: SparkSession, path: str, text: str) -> bool:
+    """Create a file, or False if there is one: the file system lets one writer do it."""
+    name = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = name.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    try:
+        out = files.create(name, False)
+    except Py4JJavaError:
+        if files.exists(name):
+            return False
+        raise
+    out.write(text.encode())
+    out.close()
+    return True
+
+
 class Store:
     """A folder of snapshots, on any file system that Spark can reach."""
 
@@ -43,19 +58,8 @@ class Store:
         return sorted(self._folders())
 
     def claim(self, snapshot: str, folder: str) -> bool:
-        """Publish a staged attempt, unless the snapshot is published; the file system lets one writer create the file."""
-        jvm, context = self.spark._jvm, self.spark.sparkContext
-        path = jvm.org.apache.hadoop.fs.Path(f"{self.path}/_manifest/{snapshot}.json")
-        files = path.getFileSystem(context._jsc.hadoopConfiguration())
-        try:
-            out = files.create(path, False)
-        except Py4JJavaError:
-            if files.exists(path):
-                return False
-            raise
-        out.write((json.dumps({"snapshot": snapshot, "folder": folder}) + "\n").encode())
-        out.close()
-        return True
+        """Publish a staged attempt, unless the snapshot is published."""
+        return create_file(self.spark, f"{self.path}/_manifest/{snapshot}.json", json.dumps({"snapshot": snapshot, "folder": folder}) + "\n")
 
     def publish(self, snapshot: str, tables: dict[str, DataFrame]) -> bool:
         """Write and publish; a published snapshot is never changed, and False is returned."""
@@ -63,6 +67,47 @@ class Store:
             return False
         return self.claim(snapshot, self.stage(snapshot, tables))
 
+    def publish_checked(self, snapshot: str, tables: dict[str, DataFrame], problems) -> DataFrame | None:
+        """Write all tables, then publish them if ``problems`` (of the tables as they were written) has no row. None if they are
+        published; else the problems, and nothing of the attempt is seen. The first writer of a snapshot keeps it: for a
+        later one the only problem is ``AlreadyPublished``."""
+        if snapshot not in self._folders():
+            folder = self.stage(snapshot, tables)
+            found = problems({name: self.spark.read.parquet(f"{self.path}/{folder}/{name}") for name in tables})
+            if not found.isEmpty():
+                return found
+            if self.claim(snapshot, folder):
+                return None
+        return self.spark.createDataFrame([("AlreadyPublished", None, snapshot)], "problem string, table_name string, row_id string")
+
+    def unpublished(self) -> list[str]:
+        """Folders of attempts that no snapshot names: names only."""
+        jvm = self.spark._jvm
+        root = jvm.org.apache.hadoop.fs.Path(self.path)
+        files = root.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        if not files.exists(root):
+            return []
+        named, out = set(self._folders().values()), []
+        for snapshot in files.listStatus(root):
+            name = snapshot.getPath().getName()
+            if snapshot.isDirectory() and not name.startswith("_"):
+                out += [f"{name}/{a.getPath().getName()}" for a in files.listStatus(snapshot.getPath())]
+        return sorted(f for f in out if f not in named)
+
+    def sweep(self, older_than_ms: int) -> list[str]:
+        """Remove attempts that are not published and were last written before a time (in milliseconds); a published one is
+        never touched, nor one that may still be written."""
+        jvm = self.spark._jvm
+        files = jvm.org.apache.hadoop.fs.Path(self.path).getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        gone = []
+        for folder in self.unpublished():
+            path = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{folder}")
+            times = [files.getFileStatus(path).getModificationTime(), *(f.getModificationTime() for f in files.listStatus(path))]
+            if max(times) < older_than_ms and folder not in self._folders().values():
+                files.delete(path, True)
+                gone.append(folder)
+        return gone
+
     def read(self, table: str, snapshot: str | None = None) -> DataFrame:
         """A table of one published snapshot, or of all of them."""
         folders = [f for s, f in sorted(self._folders().items()) if snapshot in (None, s)]

@@ -10,6 +10,8 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+from codeloom.sources.records import RECORDS
+
 BASE = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents")
 
 #: Table by table, each over the base tables and those before it.
@@ -128,7 +130,7 @@ MODEL = {
                concat('tool', user_id % 2) AS tool_id, concat('x', user_id) AS candidate_id, CASE user_id % 8 WHEN 1 THEN concat('x', user_id) WHEN 2 THEN 'other' WHEN 3 THEN 'manual' WHEN 5 THEN 'other' END AS preferred_id,
                CASE WHEN user_id % 8 = 3 THEN 'ManualPromotion' ELSE 'ManagedAutomatic' END AS preferred_reason, 'tool1' AS preferred_tool_id
         FROM (SELECT DISTINCT user_id FROM events)""",
-}
+} | RECORDS
 
 
 def with_clause(sha: str, names: list[str] | None = None) -> str:
