@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from codeloom.functions.text import CALL_LIKE, CALLABLE, fold, match_rank
@@ -30,13 +30,8 @@ def page(rows: DataFrame, order: list[Column], offset: int, limit: int) -> DataF
     return rows.orderBy(*order).offset(offset).limit(limit).crossJoin(F.broadcast(total)).withColumn("has_more", F.col("total") > offset + limit)
 
 
-def resolve(symbols: DataFrame, selectors: DataFrame) -> DataFrame:
-    """selector, status, symbol_id for many selectors at once.
-
-    An id comes first, then an exact canonical key, then signature, then name, ignoring ASCII case, then the best match
-    rank of what the selector names without its codebase, channel and kind; equal matches on the first tier that has any
-    are ambiguous, and nothing is chosen among them. Tiers are equi-joins, so no pairs form.
-    """
+def _tiers(symbols: DataFrame, selectors: DataFrame, prefix: str) -> DataFrame:
+    """selector, symbol_id, tier of all matches. Tiers are equi-joins, so no pairs form."""
     symbols = cut(symbols.select("symbol_id", "canonical_key", "qualified_name", "signature"))  # read six times below
     selectors = cut(selectors.select("selector"))
     s = selectors.select("selector", fold(F.col("selector")).alias("folded"))
@@ -47,7 +42,7 @@ def resolve(symbols: DataFrame, selectors: DataFrame) -> DataFrame:
         out = hit if out is None else out.union(hit)
     out = cut(out)
     # then match ranks: names, signatures and last parts of names by their text, the other ranks by pieces of it
-    rest = s.join(out.select("selector").distinct(), "selector", "left_anti").select("selector", fold(bare(F.col("selector"))).alias("query"))
+    rest = s.join(out.select("selector").distinct(), "selector", "left_anti").select("selector", fold(bare(F.col("selector"), prefix)).alias("query"))
     name = fold(F.col("qualified_name"))
     parts = F.split(name, r"\.")
     tails = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "."))
@@ -56,7 +51,18 @@ def resolve(symbols: DataFrame, selectors: DataFrame) -> DataFrame:
     exact = (F.col("name") == F.col("query")) | ~F.col("name").endswith(F.concat(F.lit("."), F.col("query")))
     near = cut(near.select("selector", "symbol_id", F.when(exact, 0).otherwise(1).alias("rank")))
     far = partial_matches(symbols, rest.join(near.select("selector").distinct(), "selector", "left_anti"))
-    out = out.union(near.union(far.select(*near.columns)).select("selector", "symbol_id", (F.col("rank") + len(tiers)).alias("tier")))
+    return out.union(near.union(far.select(*near.columns)).select("selector", "symbol_id", (F.col("rank") + len(tiers)).alias("tier")))
+
+
+def resolve(symbols: DataFrame, selectors: DataFrame, prefix: str = "game:installed:") -> DataFrame:
+    """selector, status, symbol_id for many selectors at once.
+
+    An id comes first, then an exact canonical key, then signature, then name, ignoring ASCII case, then the best match
+    rank of what the selector names; equal matches on the first tier that has any are ambiguous, and nothing is chosen
+    among them. ``prefix`` names the codebase and channel of the symbols: a selector that begins with it is taken
+    without it and its kind, and others stay whole.
+    """
+    out = _tiers(symbols, selectors, prefix)
     best = out.groupBy("selector", "tier").agg(F.min("symbol_id").alias("symbol_id"), F.countDistinct("symbol_id").alias("n"))
     best = best.groupBy("selector").agg(F.min(F.struct("tier", "symbol_id", "n")).alias("b"))
     joined = selectors.select("selector").join(best, "selector", "left")
@@ -64,9 +70,22 @@ def resolve(symbols: DataFrame, selectors: DataFrame) -> DataFrame:
     return joined.select("selector", status.alias("status"), F.when(status == "Resolved", F.col("b.symbol_id")).alias("symbol_id"))
 
 
-def bare(selector: Column) -> Column:
-    """A canonical key without codebase, channel and kind; other selectors as they are."""
-    return F.when(selector.rlike("^[^:]+:[^:]+:[^:]+:[^:]"), F.regexp_replace(selector, "^[^:]+:[^:]+:[^:]+:", "")).otherwise(selector)
+def candidates(symbols: DataFrame, selectors: DataFrame, prefix: str = "game:installed:") -> DataFrame:
+    """selector, place, symbol_id, qualified_name, signature: what each ambiguous selector could mean, by name, signature and id."""
+    out = cut(_tiers(symbols, selectors, prefix))
+    best = out.groupBy("selector", "tier").agg(F.countDistinct("symbol_id").alias("n")).groupBy("selector").agg(F.min(F.struct("tier", "n")).alias("b"))
+    several = best.where("b.n > 1").select("selector", F.col("b.tier").alias("tier"))
+    found = out.join(several, ["selector", "tier"], "left_semi").select("selector", "symbol_id").distinct()
+    named = found.join(symbols.select("symbol_id", "qualified_name", "signature"), "symbol_id")
+    order = Window.partitionBy("selector").orderBy("qualified_name", "signature", "symbol_id")
+    return named.select("selector", F.row_number().over(order).alias("place"), "symbol_id", "qualified_name", "signature")
+
+
+def bare(selector: Column, prefix: str) -> Column:
+    """A canonical key of the index whose codebase and channel are ``prefix``, without them and its kind; others as they are."""
+    rest = F.substr(selector, F.lit(len(prefix) + 1))
+    name = F.substr(rest, F.locate(":", rest) + 1)
+    return F.when(selector.startswith(prefix) & rest.contains(":") & (name != ""), name).otherwise(selector)
 
 
 def grams(text: Column, size: Column) -> Column:

@@ -1,6 +1,7 @@
 """Named semantics of the graph operators on small frames, and all catalogue queries against SQL."""
 
 import glob
+import hashlib
 import os
 
 import duckdb
@@ -35,7 +36,17 @@ def test_resolution(spark):
     s = symbols(spark, "A.X", "B", "b")
     q = spark.createDataFrame([("A.X-id",), ("g:i:Type:A.X",), ("a.x",), ("B",), ("none",), ("x",), ("g:i:Field:A.x",)], "selector string")
     want = {"A.X-id": "Resolved", "g:i:Type:A.X": "Resolved", "a.x": "Resolved", "B": "Ambiguous", "none": "NotFound", "x": "Resolved", "g:i:Field:A.x": "Resolved"}
-    assert {r.selector: r.status for r in graph.resolve(s, q).collect()} == want
+    assert {r.selector: r.status for r in graph.resolve(s, q, "g:i:").collect()} == want
+    # a key of another index is no key of this one
+    q = spark.createDataFrame([("g:u:Field:A.x",), ("g:i:Field:",), ("g:i:A.X",)], "selector string")
+    assert {r.status for r in graph.resolve(s, q, "g:i:").collect()} == {"NotFound"}
+
+
+def test_candidates_of_ambiguous_selectors(spark):
+    s = symbols(spark, "N.Foo", "M.foo", "Other", "FooBar")
+    q = spark.createDataFrame([("foo",), ("other",), ("none",), ("oo",)], "selector string")
+    got = {(r.selector, r.place): r.qualified_name for r in graph.candidates(s, q).collect()}
+    assert got == {("foo", 1): "M.foo", ("foo", 2): "N.Foo", ("oo", 1): "FooBar", ("oo", 2): "M.foo", ("oo", 3): "N.Foo"}
 
 
 def test_best_rank_resolves_or_is_ambiguous(spark):
@@ -89,14 +100,40 @@ def test_snippets(spark):
     assert cut(2, 2, 0) == "b" and cut(1, 2, 5) == "a\nb\nc\nd" and cut(4, 5, 0) is None
 
 
-@pytest.mark.parametrize(("given", "wanted"), [("int", "System.Int32"), ("global::Foo.Bar", "Foo.Bar"), ("ref int", "System.Int32&"), ("List<int>", "List`1<System.Int32>"), ("Dictionary<string, List<int>>[]", "Dictionary`2<System.String,List`1<System.Int32>>[]"), ("int?", "System.Nullable`1<System.Int32>"), ("(int, string)", "System.ValueTuple`2<System.Int32,System.String>"), ("string?", "System.String")])
-def test_canonical_types(given, wanted):
-    assert canonical.render_type(given) == wanted
+TYPES = {
+    "int": "System.Int32", "System.Int32": "System.Int32", "ref int?[]*": "System.Nullable`1<System.Int32>[]*&", "System.Nullable<System.Int32>": "System.Nullable`1<System.Int32>", "int?": "System.Nullable`1<System.Int32>",
+    "(int, string)": "System.ValueTuple<System.Int32,System.String>", "string?": "System.String?", "Foo?": "Foo?", "Outer/Inner": "Outer+Inner", "List`7<int>": "List`7<System.Int32>", "global::Foo.Bar": "Foo.Bar", "out\tbool": "System.Boolean&",
+    "Dictionary<string, List<(int, A/B)>>[]": "Dictionary`2<System.String,List`1<System.ValueTuple<System.Int32,A+B>>>[]", "int[][,]": "System.Int32[,][]", "void**": "System.Void**", "DateTime?": "DateTime?", "System.DateTime?": "System.Nullable`1<System.DateTime>",
+    "ref readonly int": "readonlyint&", "refx": "refx", "in T": "T&", " nint ": "System.IntPtr", "": None, " ": None, None: None, "Func<int,Task<string?>>?": "Func`2<System.Int32,Task`1<System.String?>>?",
+}
+
+
+def test_canonical_types(spark):
+    rows = spark.createDataFrame([*((t,) for t in TYPES), ("<" * 5000 + ">" * 5000,)], "t string")
+    got = {r.t: r.c for r in rows.select("t", canonical.canonical_type("t").alias("c")).collect()}
+    assert {k: got[k] for k in TYPES} == TYPES
+
+
+def test_method_signatures_and_members(spark):
+    rows = [("Demo.Widget", "Run", ["ref int", "Foo?"], "void", 1), ("Demo/Widget", "Run", [], "int[]", 0), ("A", "B", None, "A", 0), ("A", "B", ["int"], None, 0)]
+    d = spark.createDataFrame(rows, "o string, n string, p array<string>, r string, a int").withColumn("k", F.lit("Method")).withColumn("s", F.lit("text"))
+    c = lambda *names: [F.col(n) for n in names]
+    assert [r[0] for r in d.select(canonical.method_signature(*c("o", "n", "p", "r", "a"))).collect()] == ["Demo.Widget::Run`1(System.Int32&,Foo?):System.Void", "Demo+Widget::Run():System.Int32[]", "A::B():A", None]
+    assert [r[0] for r in d.select(canonical.member_identity(*c("o", "k", "n", "s", "p", "r", "a"))).collect()][2:] == ["A::B():A", "A::text"]
+
+
+def test_slugs(spark):
+    keys = ["ScheduleOne.Employees.Employee.Fire(System.Int32)", "Employee", "employee", "CON", "lpt9", "com0", "É-_ü", "", "a" * 79 + "--b", "日本"]
+    got = [r[0] for r in spark.createDataFrame([(k,) for k in keys], "k string").select(canonical.slug(F.col("k"))).collect()]
+    stems = ["scheduleone-employees-employee-fire-system-int32", "employee", "employee", "x-con", "x-lpt9", "com0", "e-u", "x-", "a" * 79, "x-"]
+    assert [g[:-13] for g in got] == stems and all(g[-12:] == hashlib.sha256(k.encode()).hexdigest()[:12] for g, k in zip(got, keys, strict=True)) and got[1] != got[2]
 
 
 def test_length_prefixed_hash_separates_fields(spark):
     d = spark.createDataFrame([("ab", "c"), ("a", "bc"), (None, "abc"), ("", "abc")], "x string, y string")
-    assert d.select(canonical.prefixed_hash(F.col("x"), F.col("y")).alias("h")).distinct().count() == 4
+    assert d.select(canonical.prefixed_hash("id", 1, F.col("x"), F.col("y")).alias("h")).distinct().count() == 4
+    want = hashlib.sha256(b"".join(bytes([1]) + len(v).to_bytes(4, "little") + v for v in (b"id", b"1", "é".encode())) + b"\0").hexdigest()
+    assert d.select(canonical.prefixed_hash("id", 1, F.lit("é"), F.lit(None).cast("string")).alias("h")).first().h == want
 
 
 def test_safe_paths(spark):
