@@ -18,29 +18,70 @@ def assembly_statistics(artifacts: DataFrame, ignore_case: bool) -> DataFrame:
     )
 
 
-def absolute(artifacts: DataFrame, least_files: int, least_bytes: int) -> DataFrame:
-    """Issues of a whole set of artifacts."""
-    sums = artifacts.agg(F.count("*").alias("files"), F.coalesce(F.sum("size"), F.lit(0)).alias("bytes"), F.count(F.when(F.col("size") == 0, 1)).alias("empty"))
-    rules = [("NoArtifacts", F.col("files") == 0), ("EmptyArtifact", F.col("empty") > 0), ("TooFewArtifacts", F.col("files") < least_files), ("TooFewBytes", F.col("bytes") < least_bytes)]
-    issues = F.array(*(F.struct(F.lit(name).alias("code"), rule.alias("hit")) for name, rule in rules))
-    return sums.select(F.explode(issues).alias("i")).where("i.hit").select("i.code")
+#: What a set of artifacts must have at least.
+POLICY = {"required": ("Assembly-CSharp",), "assemblies": 1, "types": 1, "methods": 1, "bytes": 1_048_576}
+GLOBAL = {"ManagedAssemblyCount": "files", "TypeDefinitionCount": "types", "MethodDefinitionCount": "methods", "TotalManagedBytes": "bytes"}
+PER_ASSEMBLY = ("TypeDefinitionCount", "MethodDefinitionCount")
+
+
+def _sums(managed: DataFrame, *keys) -> DataFrame:
+    zero = lambda c: F.coalesce(F.sum(c), F.lit(0))
+    return managed.groupBy(*keys).agg(F.count("*").alias("files"), zero("size").alias("bytes"), zero("type_count").alias("types"), zero("method_count").alias("methods"), F.countDistinct("sha256").alias("contents"))
+
+
+def absolute(candidates: DataFrame, artifacts: DataFrame, policy: dict = POLICY) -> DataFrame:
+    """candidate_id, severity, code, detail, blocking: issues of each of ``candidates`` (candidate_id) by themselves.
+
+    ``artifacts`` has candidate_id, relative_path, size, sha256, and of managed ones assembly_name, type_count, method_count;
+    ``invalid`` marks what should be managed and cannot be read. Minimum counts are asked of candidates that have managed artifacts.
+    """
+    error = lambda code, detail: F.struct(F.lit("Error").alias("severity"), F.lit(code).alias("code"), detail.alias("detail"), F.lit(True).alias("blocking"))
+    none = F.lit(None).cast("string")
+    managed = artifacts.where("assembly_name IS NOT NULL")
+    every = artifacts.groupBy("candidate_id").agg(F.count("*").alias("artifacts"))
+    names = {f"has_{i}": F.coalesce(F.max((fold(F.col("assembly_name")) == name.lower()).cast("int")), F.lit(0)) for i, name in enumerate(policy["required"])}
+    required = managed.groupBy("candidate_id").agg(*(c.alias(n) for n, c in names.items()))
+    sums = candidates.join(every, "candidate_id", "left").join(_sums(managed, "candidate_id"), "candidate_id", "left").join(required, "candidate_id", "left").na.fill(0)
+    some = F.col("files") > 0
+    rules = [("NoArtifactsProduced", none, F.col("artifacts") == 0), ("NoManagedAssembliesProduced", none, (F.col("artifacts") > 0) & ~some)]
+    rules += [("RequiredAssemblyMissing", F.lit(name), F.col(f"has_{i}") == 0) for i, name in enumerate(policy["required"])]
+    rules += [(f"Insufficient{what}", none, some & (F.col(of) < policy[limit])) for what, of, limit in (
+        ("ManagedAssemblyCount", "files", "assemblies"), ("TypeDefinitionCount", "types", "types"), ("MethodDefinitionCount", "methods", "methods"), ("ManagedBytes", "bytes", "bytes"))]
+    found = sums.select("candidate_id", F.explode(F.array_compact(F.array(*(F.when(rule, error(code, detail)) for code, detail, rule in rules)))).alias("i"))
+    own = F.array(F.when(F.col("size") == 0, error("EmptyArtifact", F.col("relative_path"))), F.when(F.col("invalid"), error("InvalidManagedAssembly", F.col("relative_path"))))
+    single = artifacts.select("candidate_id", F.explode(F.array_compact(own)).alias("i"))
+    twice = _sums(managed, "candidate_id", fold(F.col("assembly_name")).alias("detail")).where("files > 1")
+    differ = F.col("contents") > 1
+    twice = twice.select("candidate_id", F.struct(F.when(differ, "Error").otherwise("Information").alias("severity"), F.lit("DuplicateAssemblyIdentity").alias("code"), "detail", differ.alias("blocking")).alias("i"))
+    return found.unionByName(single).unionByName(twice).select("candidate_id", "i.*")
 
 
 def comparative(before: DataFrame, after: DataFrame) -> DataFrame:
-    """Per assembly and metric the change between two sets, and how grave it is; sides may lack an assembly."""
-    metrics = ("files", "bytes", "types", "methods")
-
-    def longs(stats: DataFrame, name: str) -> DataFrame:
-        pairs = ", ".join(f"'{m}', {m}" for m in metrics)
-        return stats.selectExpr("assembly", f"stack({len(metrics)}, {pairs}) AS (metric, {name})")
-
-    both = longs(assembly_statistics(before, True), "a").join(longs(assembly_statistics(after, True), "b"), ["assembly", "metric"], "full_outer").na.fill(0, ["a", "b"])
-    change = relative_change(F.col("a"), F.col("b"))
+    """candidate_id, metric, assembly, baseline, value, change, classification, severity: four metrics of a whole candidate
+    (assembly is null) and two of each assembly, by its name without case, against its baseline; sides may lack an assembly.
+
+    A decrease by more than ``CATASTROPHIC`` is an error and blocks preference; a change by more than ``DEVIATION``, and any
+    from zero, are warnings.
+    """
+
+    def longs(artifacts: DataFrame, name: str) -> DataFrame:
+        managed = artifacts.where("assembly_name IS NOT NULL").withColumn("assembly", fold(F.col("assembly_name")))
+        parts = managed.groupBy("candidate_id", "assembly").agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(n) for n, c in (("bytes", "size"), ("types", "type_count"), ("methods", "method_count"))), F.count("*").alias("files"))
+        whole = parts.groupBy("candidate_id").agg(*(F.sum(c).alias(c) for c in ("bytes", "types", "methods", "files"))).withColumn("assembly", F.lit(None).cast("string"))
+        stack = lambda metrics: f"stack({len(metrics)}, {', '.join(f'{chr(39)}{m}{chr(39)}, {GLOBAL[m]}' for m in metrics)}) AS (metric, {name})"
+        return whole.selectExpr("candidate_id", "assembly", stack(tuple(GLOBAL))).unionByName(parts.selectExpr("candidate_id", "assembly", stack(PER_ASSEMBLY)))
+
+    keyed = lambda rows: rows.withColumn("_assembly", F.coalesce(F.concat(F.lit("="), "assembly"), F.lit("")))
+    both = keyed(longs(before, "baseline")).drop("assembly").join(keyed(longs(after, "value")).drop("assembly"), ["candidate_id", "_assembly", "metric"], "full_outer").na.fill(0, ["baseline", "value"])
+    both = both.withColumn("assembly", F.when(F.col("_assembly") != "", F.substring("_assembly", 2, 1_000_000)))
+    change = relative_change(F.col("baseline"), F.col("value"))
     grade = (
-        F.when((F.col("a") == 0) & (F.col("b") > 0), "NewFromZero").when(F.col("a") == 0, "None").when((F.col("b") < F.col("a")) & (change > CATASTROPHIC), "CatastrophicDecrease")
-        .when(change > DEVIATION, "Deviation").otherwise("None")
+        F.when((F.col("baseline") == 0) & (F.col("value") != 0), "BaselineZeroChanged").when(F.col("baseline") == 0, "WithinTolerance").when((F.col("value") < F.col("baseline")) & (change > CATASTROPHIC), "CatastrophicSanityDeviation")
+        .when(change > DEVIATION, "ComparativeSanityDeviation").otherwise("WithinTolerance")
     )
-    return both.select("assembly", "metric", "a", "b", grade.alias("grade"))
+    both = both.withColumn("change", change).withColumn("classification", grade)
+    severity = F.when(F.col("classification") == "CatastrophicSanityDeviation", "Error").when(F.col("classification") != "WithinTolerance", "Warning")
+    return both.select("candidate_id", "metric", "assembly", "baseline", "value", "change", "classification", severity.alias("severity"))
 
 
 def reproducibility(extractions: DataFrame) -> DataFrame:

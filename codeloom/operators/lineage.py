@@ -65,6 +65,39 @@ def cleanup_plan(attempts: DataFrame, cutoff: Column) -> DataFrame:
     return attempts.select("attempt_id", "status", reason.alias("reason"))
 
 
+def cleanup_decisions(attempts: DataFrame, cutoff: Column) -> DataFrame:
+    """kind, id, decision: ended attempts from before the cutoff that may go (Eligible) or why they stay, and what lies in the
+    staging folder.
+
+    ``attempts`` has attempt_id, build_id, status, completed_at, result_id, candidate_output, journal, blocked (the tree could not
+    be looked at), evidence (it holds files of a completion), staged (what lies in staging under the attempt's name).
+    The first reason that holds is given.
+    """
+    ended = attempts.where(F.col("status").isin(*CLEANABLE) & (F.col("completed_at") < cutoff))
+    safe = (F.col("build_id") != "") & ~F.col("build_id").rlike(r"[:/\\\x00-\x1f\x7f]") & ~F.col("build_id").isin(".", "..") & F.col("attempt_id").rlike("^[0-9a-f]{32}$")
+    decision = (
+        F.when(~F.coalesce(safe, F.lit(False)), "CleanupUnsafeIdentity").when(F.col("result_id").isNotNull(), "CleanupHasResultExtraction").when(F.col("candidate_output").isNotNull(), "CleanupCandidateOutput")
+        .when(F.col("journal"), "CleanupPromotionJournal").when(F.col("blocked"), "CleanupTreeBlocked").when(F.col("evidence"), "CleanupCompletionEvidence").otherwise("Eligible")
+    )
+    return ended.select(F.lit("TerminalAttempt").alias("kind"), F.col("attempt_id").alias("id"), decision.alias("decision"))
+
+
+def staging_decisions(entries: DataFrame, attempts: DataFrame, cutoff: Column) -> DataFrame:
+    """kind, id, decision of what lies in staging folders (``entries``: name, is_folder). A journal, an unknown name, a folder with
+    a journal, one of no attempt, and one of an attempt that has not ended before the cutoff stay; others may go."""
+    ending = ".promotion.json"
+    stem = F.when(F.col("name").endswith(ending), F.regexp_replace("name", r"\.promotion\.json$", ""))
+    journals = entries.where(stem.isNotNull()).select(stem.alias("name"), F.lit(True).alias("journalled")).distinct()
+    known = attempts.select(F.col("attempt_id").alias("name"), "status", "completed_at")
+    met = entries.join(journals, "name", "left").join(known, "name", "left")
+    named = F.col("is_folder") & F.col("name").rlike("^[0-9a-f]{32}$")
+    decision = (
+        F.when(stem.isNotNull(), "CleanupPromotionJournal").when(~named, "CleanupUnknownEntry").when(F.col("journalled"), "CleanupPromotionJournal").when(F.col("status").isNull(), "CleanupOrphanStaging")
+        .when(~F.col("status").isin(*CLEANABLE), "CleanupActiveAttempt").when(F.col("completed_at").isNull() | (F.col("completed_at") >= cutoff), "CleanupTooRecent").otherwise("Eligible")
+    )
+    return met.select(F.lit("BuildStaging").alias("kind"), F.col("name").alias("id"), decision.alias("decision"))
+
+
 def history(extractions: DataFrame, attempts: DataFrame) -> DataFrame:
     """Extractions and failed attempts in one list."""
     a = extractions.select(F.lit("Extraction").alias("entry"), F.col("extraction_id").alias("id"), F.lit(None).cast("string").alias("status"))

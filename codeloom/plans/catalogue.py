@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from codeloom.functions import text as fn
 from codeloom.operators import checks, graph, ingest, lineage, scene, source
-from codeloom.plans import assessed, authorities, names, scenes, states  # noqa: F401  registered on import
+from codeloom.plans import assessed, authorities, names, paged, scenes, states  # noqa: F401  registered on import
 from codeloom.plans.registry import ENTRIES, query as _query
 
 QUERY = "Part1"
@@ -210,19 +210,43 @@ def duplicate_identities(g):
     return checks.duplicates(g.artifacts, ["sha256"])
 
 
-@_query("SELECT unnest(CASE WHEN n < 1000000 THEN ['TooFewArtifacts'] ELSE [] END) AS code FROM (SELECT count(*) AS n FROM artifacts WHERE k = 0)", "artifacts")
+_MANAGED = "candidate_artifacts WHERE side = {} AND assembly_name IS NOT NULL"
+_HELD = f"(SELECT candidate_id, count(*) AS files, sum(size) AS bytes, sum(type_count) AS types, coalesce(sum(method_count), 0) AS methods, bool_or(lower(assembly_name) = 'assembly-csharp') AS required FROM {_MANAGED.format(1)} GROUP BY 1)"
+
+
+@_query(f"""SELECT candidate_id, 'Error' AS severity, 'NoArtifactsProduced' AS code, CAST(NULL AS VARCHAR) AS detail, true AS blocking FROM candidates WHERE candidate_id NOT IN (SELECT candidate_id FROM candidate_artifacts WHERE side = 1)
+ UNION ALL SELECT DISTINCT candidate_id, 'Error', 'NoManagedAssembliesProduced', NULL, true FROM candidate_artifacts WHERE side = 1 AND candidate_id NOT IN (SELECT candidate_id FROM {_HELD})
+ UNION ALL SELECT candidate_id, 'Error', 'RequiredAssemblyMissing', 'Assembly-CSharp', true FROM candidates WHERE candidate_id NOT IN (SELECT candidate_id FROM {_HELD} WHERE required)
+ UNION ALL SELECT candidate_id, 'Error', 'InsufficientTypeDefinitionCount', NULL, true FROM {_HELD} WHERE types < 1 UNION ALL SELECT candidate_id, 'Error', 'InsufficientMethodDefinitionCount', NULL, true FROM {_HELD} WHERE methods < 1
+ UNION ALL SELECT candidate_id, 'Error', 'InsufficientManagedBytes', NULL, true FROM {_HELD} WHERE bytes < 1048576
+ UNION ALL SELECT candidate_id, 'Error', 'EmptyArtifact', relative_path, true FROM candidate_artifacts WHERE side = 1 AND size = 0 UNION ALL SELECT candidate_id, 'Error', 'InvalidManagedAssembly', relative_path, true FROM candidate_artifacts WHERE side = 1 AND invalid
+ UNION ALL SELECT candidate_id, CASE WHEN count(DISTINCT sha256) > 1 THEN 'Error' ELSE 'Information' END, 'DuplicateAssemblyIdentity', lower(assembly_name), count(DISTINCT sha256) > 1 FROM {_MANAGED.format(1)} GROUP BY candidate_id, lower(assembly_name) HAVING count(*) > 1""", "candidates candidate_artifacts")
 def absolute_checks(g):
-    return checks.absolute(g.artifacts.where("k = 0"), 1_000_000, 0)
+    return checks.absolute(g.candidates, g.candidate_artifacts.where("side = 1"))
 
 
-_LONG = "(SELECT assembly, metric, value FROM ({}) UNPIVOT (value FOR metric IN (files, bytes, types, methods)))"
-_BOTH = f"""(SELECT coalesce(x.assembly, y.assembly) AS assembly, coalesce(x.metric, y.metric) AS metric, coalesce(x.value, 0) AS a, coalesce(y.value, 0) AS b
- FROM {_LONG.format(_STATS.format('lower(assembly_name)', 0))} x FULL JOIN {_LONG.format(_STATS.format('lower(assembly_name)', 1))} y ON x.assembly = y.assembly AND x.metric = y.metric)"""
+_METRICS = """(SELECT candidate_id, metric, assembly, value FROM (SELECT candidate_id, lower(assembly_name) AS assembly, CAST(sum(type_count) AS BIGINT) AS TypeDefinitionCount, CAST(coalesce(sum(method_count), 0) AS BIGINT) AS MethodDefinitionCount FROM {m} GROUP BY 1, 2) UNPIVOT (value FOR metric IN (TypeDefinitionCount, MethodDefinitionCount))
+ UNION ALL SELECT candidate_id, metric, NULL, value FROM (SELECT candidate_id, count(*) AS ManagedAssemblyCount, CAST(sum(type_count) AS BIGINT) AS TypeDefinitionCount, CAST(coalesce(sum(method_count), 0) AS BIGINT) AS MethodDefinitionCount, CAST(sum(size) AS BIGINT) AS TotalManagedBytes FROM {m} GROUP BY 1)
+ UNPIVOT (value FOR metric IN (ManagedAssemblyCount, TypeDefinitionCount, MethodDefinitionCount, TotalManagedBytes)))"""
+_GRADED = f"""SELECT *, CASE WHEN baseline = 0 AND value <> 0 THEN 'BaselineZeroChanged' WHEN baseline = 0 THEN 'WithinTolerance' WHEN value < baseline AND change > 0.80 THEN 'CatastrophicSanityDeviation' WHEN change > 0.25 THEN 'ComparativeSanityDeviation' ELSE 'WithinTolerance' END AS classification
+ FROM (SELECT *, CASE WHEN baseline <> 0 THEN CAST(abs(value - baseline) AS DOUBLE) / baseline END AS change FROM (SELECT coalesce(x.candidate_id, y.candidate_id) AS candidate_id, coalesce(x.metric, y.metric) AS metric, coalesce(x.assembly, y.assembly) AS assembly, coalesce(x.value, 0) AS baseline, coalesce(y.value, 0) AS value
+ FROM {_METRICS.format(m=_MANAGED.format(0))} x FULL JOIN {_METRICS.format(m=_MANAGED.format(1))} y ON x.candidate_id = y.candidate_id AND x.metric = y.metric AND x.assembly IS NOT DISTINCT FROM y.assembly))"""
 
 
-@_query(f"SELECT assembly, metric, a, b, CASE WHEN a = 0 AND b > 0 THEN 'NewFromZero' WHEN a = 0 THEN 'None' WHEN b < a AND abs(b - a) / a > 0.80 THEN 'CatastrophicDecrease' WHEN abs(b - a) / a > 0.25 THEN 'Deviation' ELSE 'None' END AS grade FROM {_BOTH}", "artifacts")
+@_query(f"SELECT candidate_id, metric, assembly, baseline, value, change, classification, CASE classification WHEN 'CatastrophicSanityDeviation' THEN 'Error' WHEN 'WithinTolerance' THEN NULL ELSE 'Warning' END AS severity FROM ({_GRADED})", "candidate_artifacts")
 def comparative_checks(g):
-    return checks.comparative(g.artifacts.where("k = 0"), g.artifacts.where("k = 1"))
+    return checks.comparative(g.candidate_artifacts.where("side = 0"), g.candidate_artifacts.where("side = 1"))
+
+
+@_query(f"""SELECT 'TerminalAttempt' AS kind, attempt_id AS id, CASE WHEN contains(build_id, ':') OR NOT regexp_full_match(attempt_id, '[0-9a-f]{{32}}') THEN 'CleanupUnsafeIdentity' WHEN result_id IS NOT NULL THEN 'CleanupHasResultExtraction' WHEN candidate_output IS NOT NULL THEN 'CleanupCandidateOutput'
+ WHEN journal THEN 'CleanupPromotionJournal' WHEN blocked THEN 'CleanupTreeBlocked' WHEN evidence THEN 'CleanupCompletionEvidence' ELSE 'Eligible' END AS decision FROM cleanup_attempts WHERE status IN ('Failed', 'Canceled', 'Abandoned') AND completed_at < TIMESTAMP '{CUTOFF}'
+ UNION ALL SELECT 'BuildStaging', name, CASE WHEN ends_with(name, '.promotion.json') THEN 'CleanupPromotionJournal' WHEN NOT is_folder OR NOT regexp_full_match(name, '[0-9a-f]{{32}}') THEN 'CleanupUnknownEntry' WHEN concat(name, '.promotion.json') IN (SELECT name FROM staging_entries) THEN 'CleanupPromotionJournal'
+ WHEN status IS NULL THEN 'CleanupOrphanStaging' WHEN status NOT IN ('Failed', 'Canceled', 'Abandoned') THEN 'CleanupActiveAttempt' WHEN completed_at IS NULL OR completed_at >= TIMESTAMP '{CUTOFF}' THEN 'CleanupTooRecent' ELSE 'Eligible' END
+ FROM staging_entries LEFT JOIN cleanup_attempts ON attempt_id = name ORDER BY kind, id""", "cleanup_attempts staging_entries")
+def cleanup_decisions(g):
+    cutoff = F.lit(CUTOFF).cast(g.base("events").schema["ts"].dataType)
+    found = lineage.cleanup_decisions(g.cleanup_attempts, cutoff).unionByName(lineage.staging_decisions(g.staging_entries, g.cleanup_attempts, cutoff))
+    return found.orderBy("kind", "id")
 
 
 _LEGAL = ", ".join(f"('{a}', '{b}')" for a, b in lineage.LEGAL)

@@ -75,6 +75,20 @@ RECORDS = {
         SELECT DISTINCT concat('r', l_orderkey, '-', l_linenumber, '-', l_partkey) AS reference_id, 'snap' AS scene_snapshot_id, concat('c', l_linenumber % 5) AS source_container_id, CASE WHEN l_linenumber > 1 THEN concat('k', l_orderkey) END AS source_component_id,
                CASE WHEN l_linenumber = 2 THEN concat('c', l_partkey % 6) END AS target_container_id, CASE WHEN l_linenumber = 3 THEN concat('g', l_partkey % 2000) END AS target_object_id, CASE WHEN l_linenumber = 4 THEN concat('k', l_orderkey + l_partkey) END AS target_component_id,
                CASE WHEN l_linenumber = 5 THEN symbol_id END AS target_symbol_id FROM lineitem LEFT JOIN part_of ON p_partkey = l_partkey AND k = CASE WHEN l_partkey % 47 = 0 THEN 1 ELSE 0 END""",
+    # artifacts of many candidates, each with a baseline (side 0)
+    "candidates": """
+        SELECT DISTINCT p_partkey % 45 AS candidate_id FROM part""",
+    "candidate_artifacts": """
+        SELECT p_partkey % 40 AS candidate_id, side, concat('managed/', p_partkey, '.dll') AS relative_path, CASE WHEN p_partkey % 40 = 3 OR p_partkey % 7 = 0 THEN NULL WHEN p_partkey % 3 = 0 THEN 'assembly-csharp' WHEN p_partkey % 3 = 1 THEN 'Assembly-CSharp' ELSE concat('Lib', p_size % 9) END AS assembly_name,
+               p_partkey % 31 = 0 AS invalid, CASE WHEN p_partkey % 33 = 0 THEN 0 ELSE CAST(p_size AS BIGINT) * 10000 * (1 + side * (p_partkey % 2)) END AS size, {sha}(concat('c', CASE WHEN p_partkey % 40 < 20 THEN 0 ELSE p_partkey END)) AS sha256,
+               CASE WHEN p_partkey % 40 = 9 THEN 0 ELSE CAST(p_size AS BIGINT) END * (1 + side * (p_partkey % 3)) AS type_count, CASE WHEN p_partkey % 5 = 0 THEN NULL ELSE CAST(p_size AS BIGINT) * 3 END AS method_count
+        FROM part CROSS JOIN (SELECT 0 AS side UNION ALL SELECT 1) WHERE NOT (side = 1 AND (p_partkey % 13 = 0 OR p_partkey % 40 = 11 AND p_partkey > 60))""",
+    "cleanup_attempts": """
+        SELECT attempt_id AS n, CASE WHEN attempt_id % 19 = 0 THEN concat('At', attempt_id) ELSE substring({sha}(concat('at-', attempt_id)), 1, 32) END AS attempt_id, CASE WHEN attempt_id % 17 = 0 THEN 'b:1' ELSE concat('b', user_id) END AS build_id, status, completed_at, result_id,
+               CASE WHEN attempt_id % 14 = 0 THEN 'out' END AS candidate_output, attempt_id % 16 = 0 AS journal, attempt_id % 21 = 0 AS blocked, attempt_id % 22 = 1 AS evidence FROM attempts""",
+    "staging_entries": """
+        SELECT attempt_id AS name, n % 10 <> 3 AS is_folder FROM cleanup_attempts WHERE n % 2 = 0 UNION ALL SELECT concat(attempt_id, '.promotion.json'), false FROM cleanup_attempts WHERE n % 8 = 0
+        UNION ALL SELECT substring({sha}(concat('orphan-', n)), 1, 32), true FROM cleanup_attempts WHERE n % 30 = 0""",
     # files of extractions, of twenty documents each
     "doc_files": """
         SELECT CAST(floor(doc_id / 20) AS BIGINT) AS e, concat('e', CAST(floor(doc_id / 20) AS BIGINT)) AS extraction_id, doc_id % 20 AS place, concat('files/', doc_id, '.txt') AS path, CAST(bit_length(coalesce(text, '')) / 8 AS BIGINT) AS size, {sha}(coalesce(text, '')) AS sha256

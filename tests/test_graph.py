@@ -88,10 +88,29 @@ def test_cycles_are_found(spark):
     assert got["c"] == ("a", 2, False) and all(got[i] == (None, None, True) for i in "xyz")
 
 
+ARTIFACT = "candidate_id long, relative_path string, assembly_name string, invalid boolean, size long, sha256 string, type_count long, method_count long"
+
+
 def test_thresholds_are_strict(spark):
-    rows = lambda size: spark.createDataFrame([("A", size, "h", 4, None)], "assembly_name string, size long, sha256 string, type_count long, method_count long")
-    grade = lambda a, b: {r.metric: r.grade for r in checks.comparative(rows(a), rows(b)).collect()}["bytes"]
-    assert grade(100, 125) == "None" and grade(100, 126) == "Deviation" and grade(100, 20) == "Deviation" and grade(100, 19) == "CatastrophicDecrease"
+    rows = lambda size, name="A", types=4: spark.createDataFrame([(1, "p", name, False, size, "h", types, None)], ARTIFACT)
+    found = lambda a, b: {(r.metric, r.assembly): (r.classification, r.severity) for r in checks.comparative(a, b).collect()}
+    grade = lambda a, b: found(rows(a), rows(b))["TotalManagedBytes", None]
+    fine, warning, error = ("WithinTolerance", None), ("ComparativeSanityDeviation", "Warning"), ("CatastrophicSanityDeviation", "Error")
+    assert grade(100, 125) == fine and grade(100, 126) == warning and grade(100, 20) == warning and grade(100, 19) == error and grade(100, 1000) == warning
+    assert grade(0, 5) == ("BaselineZeroChanged", "Warning") and grade(0, 0) == fine
+    got = found(rows(1), rows(1, "a", types=4))
+    assert len(got) == 6 and set(got.values()) == {fine} and ("MethodDefinitionCount", "a") in got  # names meet without case
+    assert found(rows(1), rows(1, "B"))["TypeDefinitionCount", "a"] == error
+
+
+def test_absolute_issues(spark):
+    rows = [(1, "a", "assembly-csharp", False, 2_000_000, "h", 1, 1), (2, "b", "Other", False, 5, "h", 0, None), (2, "c", "other", False, 0, "i", 0, 0), (3, "d", None, True, 5, "h", None, None), (5, "e", "Assembly-CSharp", False, 2_000_000, "h", 1, 1), (5, "f", "assembly-csharp", False, 1, "h", 1, 1)]
+    found = checks.absolute(spark.createDataFrame([(i,) for i in range(1, 6)], "candidate_id long"), spark.createDataFrame(rows, ARTIFACT))
+    got = {i: sorted((r.code, r.detail, r.severity) for r in found.collect() if r.candidate_id == i) for i in range(1, 6)}
+    e = lambda code, detail=None: (code, detail, "Error")
+    assert got[1] == [] and got[4] == [e("NoArtifactsProduced"), e("RequiredAssemblyMissing", "Assembly-CSharp")] and got[5] == [("DuplicateAssemblyIdentity", "assembly-csharp", "Information")]
+    assert got[3] == [e("InvalidManagedAssembly", "d"), e("NoManagedAssembliesProduced"), e("RequiredAssemblyMissing", "Assembly-CSharp")]
+    assert got[2] == [e("DuplicateAssemblyIdentity", "other"), e("EmptyArtifact", "c"), e("InsufficientManagedBytes"), e("InsufficientMethodDefinitionCount"), e("InsufficientTypeDefinitionCount"), e("RequiredAssemblyMissing", "Assembly-CSharp")]
 
 
 def test_snippets(spark):
