@@ -62,3 +62,46 @@ def worst_recovery(status: Column) -> Column:
     """Aggregate: the worst status of a group, unknown for an empty one."""
     rank = F.max(F.array_position(F.array(*map(F.lit, SEVERITY)), status))
     return F.coalesce(F.get(F.array(*map(F.lit, SEVERITY)), (rank - 1).cast("int")), F.lit("Unknown"))
+
+
+def scene_recovery(evaluated: Column, readable: Column, graph: Column, fields: Column, complete: Column) -> Column:
+    """How far an object of a scene was recovered, from five facts."""
+    return (
+        F.when(~evaluated, "Unknown").when(~readable, "StubOrUnavailable").when(graph & ~fields, "GraphOnly").when(graph & fields & complete, "FullyRecovered").otherwise("PartiallyRecovered")
+    )
+
+
+NUMBERS = ("zero", "one", "two", "three", "four", "five", "six", "seven", "eight", "nine", "ten")  # fixed: written as words
+
+
+def number_text(n: Column) -> Column:
+    return F.when(n.between(0, 10), F.get(F.array(*map(F.lit, NUMBERS)), n.cast("int"))).otherwise(n.cast("string"))
+
+
+def count_text(n: Column, singular: str, plural: str) -> Column:
+    """A number and what it counts."""
+    return F.concat(number_text(n), F.lit(" "), F.when(n == 1, singular).otherwise(plural))
+
+
+def coverage_text(shown: Column, total: Column) -> Column:
+    return F.concat(F.lit("showing "), number_text(shown), F.lit(" of "), number_text(total))
+
+
+MOST_DAYS = 36_500  # fixed: of a duration
+
+
+def duration_minutes(text: Column) -> Column:
+    """Minutes of a whole number and m, h or d; null for anything else, for none, and for more than ``MOST_DAYS``."""
+    digits = F.regexp_extract(text, "^([0-9]{1,18})[mhd]$", 1)
+    unit = F.element_at(F.create_map(F.lit("m"), F.lit(1), F.lit("h"), F.lit(60), F.lit("d"), F.lit(1440)), F.right(text, F.lit(1)))
+    minutes = F.when(digits != "", digits.cast("decimal(38,0)") * F.coalesce(unit, F.lit(0)))
+    return F.when((minutes > 0) & (minutes <= MOST_DAYS * 1440), minutes.cast("long"))
+
+
+def is_sha256(text: Column) -> Column:
+    return F.coalesce(text.rlike(r"\A[0-9a-f]{64}\z"), F.lit(False))
+
+
+def is_guid(text: Column) -> Column:
+    """Thirty-two digits in lower case, as in names of folders."""
+    return F.coalesce(text.rlike(r"\A[0-9a-f]{32}\z"), F.lit(False))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from codeloom.functions import text as fn
 from codeloom.operators import checks, graph, ingest, lineage, scene, source
-from codeloom.plans import assessed, authorities, names, paged, scenes, states  # noqa: F401  registered on import
+from codeloom.plans import assessed, authorities, names, paged, portals, scenes, states  # noqa: F401  registered on import
 from codeloom.plans.registry import ENTRIES, query as _query
 
 QUERY = "Part1"
@@ -386,12 +386,6 @@ def upstream_match(g):
     return ingest.upstream_match(installed, hashes, tags, versions).select("p_partkey", "match", "commit")
 
 
-@_query(None)
-def search_index_json(g):
-    rows = g.symbols.where("k = 0").select("kind", "qualified_name", "signature", "canonical_key", "symbol_id")
-    return rows.orderBy("qualified_name", "kind", "canonical_key").select(F.to_json(F.struct("*")).alias("line"))
-
-
 def queries() -> dict:
     return {name: f for name, (f, _) in ENTRIES.items()}
 

@@ -89,6 +89,26 @@ RECORDS = {
     "staging_entries": """
         SELECT attempt_id AS name, n % 10 <> 3 AS is_folder FROM cleanup_attempts WHERE n % 2 = 0 UNION ALL SELECT concat(attempt_id, '.promotion.json'), false FROM cleanup_attempts WHERE n % 8 = 0
         UNION ALL SELECT substring({sha}(concat('orphan-', n)), 1, 32), true FROM cleanup_attempts WHERE n % 30 = 0""",
+    # symbols with fields, whose pages are their types'
+    "portal_symbols": """
+        SELECT symbol_id, canonical_key, kind, qualified_name, signature, body_recovery_status FROM symbols WHERE k = 0
+        UNION ALL SELECT {sha}(concat('field-', o_orderkey)), concat('game:installed:Field:', CASE WHEN o_orderkey % 7 = 0 THEN 'Gone' ELSE qualified_name END, '::System.Int32 f', o_orderkey), 'Field', concat(qualified_name, '::System.Int32 f', o_orderkey), concat('System.Int32 f', o_orderkey), CAST(NULL AS STRING)
+        FROM orders JOIN type_names ON o_custkey = type_key AND source = 'C' WHERE o_orderkey % 5 = 0""",
+    # inputs that an extraction may be made from
+    "input_candidates": """
+        SELECT concat('in-', o_orderkey) AS candidate_id, concat('b-', o_custkey) AS build_id, CASE o_orderkey % 3 WHEN 0 THEN 'observation' WHEN 1 THEN 'default' ELSE 'archive' END AS kind,
+               concat(CASE WHEN o_orderkey % 2 = 0 THEN 'C:/Games/' ELSE 'c:/GAMES/' END, o_orderkey % 5, CASE WHEN o_orderkey % 4 = 0 THEN '/' ELSE '' END) AS root, CASE WHEN o_orderkey % 3 = 1 THEN -o_orderkey ELSE CAST(year(o_orderdate) * 12 + month(o_orderdate) AS BIGINT) END AS newness,
+               o_orderkey % 4 = 1 OR o_orderkey % 11 = 0 AS valid, o_orderkey % 9 <> 2 AS replay_verified FROM orders""",
+    "input_requests": """
+        SELECT c_custkey AS request_id, concat('b-', c_custkey) AS build_id, CASE WHEN c_custkey % 6 = 0 THEN concat('in-', c_custkey) WHEN c_custkey % 6 = 1 THEN ' ' END AS snapshot, CASE WHEN c_custkey % 10 = 0 THEN 'D:/x' END AS path FROM customer
+        UNION ALL SELECT -1 - o_orderkey, concat('b-', o_custkey), concat('in-', o_orderkey), NULL FROM orders WHERE o_orderkey % 4 = 1""",
+    # environments of two schema versions
+    "old_builds": """
+        SELECT concat('b-', o_custkey) AS build_id, min(o_orderdate) AS scanned_at, concat('v', max(o_orderkey)) AS game_version, concat('s', min(o_orderkey)) AS steam_build_id FROM orders WHERE o_custkey % 4 <> 3 GROUP BY o_custkey""",
+    "old_environments": """
+        SELECT concat('e-', o_orderkey) AS snapshot_id, concat('b-', o_custkey) AS build_id, o_orderdate AS captured_at FROM orders WHERE o_orderkey % 3 <> 0""",
+    "new_environments": """
+        SELECT concat('e-', o_orderkey) AS snapshot_id, concat('b-', o_custkey) AS build_id, o_orderdate AS captured_at, 2 AS identity_version, concat('x', o_orderkey) AS executable_version, 'app' AS steam_app_id, CAST(NULL AS STRING) AS steam_build_id, 'C:/x' AS installation_root FROM orders WHERE o_orderkey % 2 = 0""",
     # files of extractions, of twenty documents each
     "doc_files": """
         SELECT CAST(floor(doc_id / 20) AS BIGINT) AS e, concat('e', CAST(floor(doc_id / 20) AS BIGINT)) AS extraction_id, doc_id % 20 AS place, concat('files/', doc_id, '.txt') AS path, CAST(bit_length(coalesce(text, '')) / 8 AS BIGINT) AS size, {sha}(coalesce(text, '')) AS sha256
