@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from codeloom.functions import text as fn
 from codeloom.operators import checks, graph, ingest, lineage, scene, source
-from codeloom.plans import assessed, authorities, names, paged, portals, scenes, states  # noqa: F401  registered on import
+from codeloom.plans import assessed, authorities, names, paged, portals, scenes, sources, states  # noqa: F401  registered on import
 from codeloom.plans.registry import ENTRIES, query as _query
 
 QUERY = "Part1"
