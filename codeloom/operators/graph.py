@@ -109,15 +109,21 @@ def partial_matches(symbols: DataFrame, selectors: DataFrame) -> DataFrame:
     return found.where("rank IS NOT NULL")
 
 
-def edges(relationships: DataFrame, symbol_id: str, direction: str) -> DataFrame:
-    """``callers``, ``callees`` or ``refs`` of a symbol; a self-loop is one reference, taken as outgoing."""
+def edges(relationships: DataFrame, symbol_id: str | DataFrame, direction: str) -> DataFrame:
+    """``callers``, ``callees`` or ``refs`` of a symbol, which may be given as a frame of one row; a self-loop is one reference,
+    taken as outgoing."""
+    if isinstance(symbol_id, DataFrame):
+        relationships = relationships.crossJoin(F.broadcast(symbol_id.toDF("_asked")))  # one row
+        symbol_id = F.col("_asked")
+    else:
+        symbol_id = F.lit(symbol_id)
     incoming = relationships.where(F.col("target_symbol_id") == symbol_id).withColumn("direction", F.lit("Incoming"))
     outgoing = relationships.where(F.col("source_symbol_id") == symbol_id).withColumn("direction", F.lit("Outgoing"))
     if direction == "callers":
         return incoming.where(F.col("relationship_kind").isin(*CALL_LIKE))
     if direction == "callees":
         return outgoing.where(F.col("relationship_kind").isin(*CALL_LIKE))
-    return outgoing.union(incoming.where(~F.col("source_symbol_id").eqNullSafe(F.lit(symbol_id))))
+    return outgoing.union(incoming.where(~F.col("source_symbol_id").eqNullSafe(symbol_id)))
 
 
 def with_endpoints(found: DataFrame, symbols: DataFrame) -> DataFrame:
@@ -156,27 +162,27 @@ def fingerprint_pivot(fingerprints: DataFrame, kinds: list[str]) -> DataFrame:
     return fingerprints.groupBy("symbol_id").pivot("fingerprint_kind", kinds).agg(F.first("fingerprint"))
 
 
-def diff(symbols_a: DataFrame, symbols_b: DataFrame, prints_a: DataFrame, prints_b: DataFrame, edges_a: DataFrame, edges_b: DataFrame, keep_signatures: bool = False) -> DataFrame:
-    """Classify every canonical key of two indexes: a full outer join of keys with body and edge hashes of both sides.
+def diff(symbols: DataFrame, prints: DataFrame, relationships: DataFrame, before: int, after: int, keep_signatures: bool = False) -> DataFrame:
+    """Classify every canonical key of two indexes, which are rows of the same tables by ``k``.
 
-    A body that only one side has counts as changed only if the side without it says that it was recovered; no edges at
+    Both sides are read together: bodies and edge hashes join by symbol id, then each key's two sides meet in one aggregate. A
+    body that only one side has counts as changed only if the side without it says that it was recovered; no edges at
     all hash to the empty text. Signatures are shown of what is added or removed, or of all rows.
     """
-
-    def side(symbols: DataFrame, prints: DataFrame, edges_: DataFrame, s: str) -> DataFrame:
-        body = prints.where("fingerprint_kind = 'method-body'").select("symbol_id", F.col("fingerprint").alias(f"body_{s}"))
-        out = symbols.join(body, "symbol_id", "left").join(edge_hash(edges_, symbols).withColumnRenamed("edge_hash", f"edges_{s}"), "symbol_id", "left")
-        return out.select("canonical_key", F.col("qualified_name").alias(f"name_{s}"), F.col("kind").alias(f"kind_{s}"), F.col("signature").alias(f"signature_{s}"), F.col("body_recovery_status").alias(f"status_{s}"), f"body_{s}", F.coalesce(f"edges_{s}", F.lit("")).alias(f"edges_{s}"))
-
-    both = side(symbols_a, prints_a, edges_a, "a").join(side(symbols_b, prints_b, edges_b, "b"), "canonical_key", "full_outer")
-    missing_recovered = F.when(F.col("body_a").isNull(), F.col("status_a") == "Recovered").otherwise(F.col("status_b") == "Recovered")
-    one_sided = F.col("body_a").isNull() != F.col("body_b").isNull()
-    body = F.when(one_sided, F.coalesce(missing_recovered, F.lit(False))).otherwise(F.coalesce(F.col("body_a") != F.col("body_b"), F.lit(False)))
-    body = body & F.col("kind_a").isin(*CALLABLE)  # only these have bodies
-    kind = F.when(F.col("name_a").isNull(), CLASSES[0]).when(F.col("name_b").isNull(), CLASSES[1]).when(body, CLASSES[2]).when(F.col("edges_a") != F.col("edges_b"), CLASSES[3]).otherwise(CLASSES[4])
-    both = both.withColumn("classification", kind)
+    both = F.col("k").isin(before, after)
+    here = symbols.where(both)
+    body = prints.where(both & (F.col("fingerprint_kind") == "method-body")).select("symbol_id", F.col("fingerprint").alias("body"))
+    rows = here.join(body, "symbol_id", "left").join(edge_hash(relationships.where(both), here), "symbol_id", "left")
+    side = F.struct(F.col("qualified_name").alias("name"), "kind", "signature", F.col("body_recovery_status").alias("status"), "body", F.coalesce("edge_hash", F.lit("")).alias("edges"))
+    met = rows.groupBy("canonical_key").agg(*(F.max(F.when(F.col("k") == k, side)).alias(s) for s, k in (("a", before), ("b", after))))
+    one_sided = F.col("a.body").isNull() != F.col("b.body").isNull()
+    missing_recovered = F.when(F.col("a.body").isNull(), F.col("a.status") == "Recovered").otherwise(F.col("b.status") == "Recovered")
+    body = F.when(one_sided, F.coalesce(missing_recovered, F.lit(False))).otherwise(F.coalesce(F.col("a.body") != F.col("b.body"), F.lit(False)))
+    body = body & F.col("a.kind").isin(*CALLABLE)  # only these have bodies
+    kind = F.when(F.col("a").isNull(), CLASSES[0]).when(F.col("b").isNull(), CLASSES[1]).when(body, CLASSES[2]).when(F.col("a.edges") != F.col("b.edges"), CLASSES[3]).otherwise(CLASSES[4])
+    met = met.withColumn("classification", kind)
     shown = F.lit(True) if keep_signatures else F.col("classification").isin(*CLASSES[:2])
-    return both.select("canonical_key", F.coalesce("name_b", "name_a").alias("name"), F.coalesce("kind_b", "kind_a").alias("kind"), "classification", F.when(shown, F.col("signature_a")).alias("before"), F.when(shown, F.col("signature_b")).alias("after"))
+    return met.select("canonical_key", F.coalesce("b.name", "a.name").alias("name"), F.coalesce("b.kind", "a.kind").alias("kind"), "classification", F.when(shown, F.col("a.signature")).alias("before"), F.when(shown, F.col("b.signature")).alias("after"))
 
 
 def diff_order() -> list[Column]:

@@ -78,13 +78,19 @@ def resolve_status(g):
 _TARGET = "(SELECT min(target_symbol_id) FROM relationships WHERE k = 0 AND target_symbol_id IS NOT NULL)"
 
 
-def _busiest(g) -> str:
-    return g.relationships.where("k = 0 AND target_symbol_id IS NOT NULL").agg(F.min("target_symbol_id")).first()[0]
+def _least(rel, column: str, where: str):
+    """The least id that a condition leaves: one row."""
+    return rel.where(where).agg(F.min(column))
+
+
+def _target(rel):
+    return _least(rel, "target_symbol_id", "target_symbol_id IS NOT NULL")
 
 
 def _edges(g, direction):
+    g.hold("symbols", "relationships")
     rel = g.relationships.where("k = 0")
-    found = graph.edges(rel, _busiest(g), direction)
+    found = graph.edges(rel, _target(rel), direction)
     return graph.with_endpoints(found, g.symbols).select("relationship_id", "relationship_kind", "direction", "source_name", "target_name")
 
 
@@ -109,20 +115,23 @@ _SOURCE = "(SELECT min(source_symbol_id) FROM relationships WHERE k = 0 AND targ
 
 @_query(_EDGE_SQL.format(f"SELECT *, 'Outgoing' AS direction FROM relationships WHERE k = 0 AND source_symbol_id = {_SOURCE} AND relationship_kind IN ('Calls', 'Constructs')"), "relationships symbols")
 def callees(g):
+    g.hold("symbols", "relationships")
     rel = g.relationships.where("k = 0")
-    source_id = rel.where("target_symbol_id IS NULL").agg(F.min("source_symbol_id")).first()[0]
-    return graph.with_endpoints(graph.edges(rel, source_id, "callees"), g.symbols).select("relationship_id", "relationship_kind", "direction", "source_name", "target_name")
+    return graph.with_endpoints(graph.edges(rel, _least(rel, "source_symbol_id", "target_symbol_id IS NULL"), "callees"), g.symbols).select("relationship_id", "relationship_kind", "direction", "source_name", "target_name")
 
 
 @_query(f"SELECT relationship_id, relationship_kind FROM (SELECT * FROM ({_IN}) ORDER BY relationship_id LIMIT 500) WHERE relationship_kind = 'Calls' ORDER BY relationship_id LIMIT 10", "relationships")
 def related_types(g):
-    return graph.related_types(g.relationships.where("k = 0"), _busiest(g), ["Calls"], 10).select("relationship_id", "relationship_kind")
+    g.hold("relationships")
+    rel = g.relationships.where("k = 0")
+    return graph.related_types(rel, _target(rel), ["Calls"], 10).select("relationship_id", "relationship_kind")
 
 
 @_query("""SELECT s.symbol_id, coalesce(o.n, 0) + coalesce(i.n, 0) AS refs, coalesce(i.c, 0) AS callers, coalesce(o.c, 0) AS callees FROM (SELECT symbol_id FROM symbols WHERE k = 0) s
  LEFT JOIN (SELECT source_symbol_id AS id, count(*) AS n, count(CASE WHEN relationship_kind IN ('Calls', 'Constructs') THEN 1 END) AS c FROM relationships WHERE k = 0 GROUP BY 1) o ON o.id = s.symbol_id
  LEFT JOIN (SELECT target_symbol_id AS id, count(CASE WHEN source_symbol_id <> target_symbol_id THEN 1 END) AS n, count(CASE WHEN relationship_kind IN ('Calls', 'Constructs') THEN 1 END) AS c FROM relationships WHERE k = 0 AND target_symbol_id IS NOT NULL GROUP BY 1) i ON i.id = s.symbol_id""", "relationships symbols")
 def relationship_evidence_totals(g):
+    g.hold("symbols")
     return graph.evidence_totals(g.relationships.where("k = 0"), g.symbols.where("k = 0"))
 
 
@@ -132,6 +141,7 @@ _HASH = f"SELECT source_symbol_id AS symbol_id, sha256(string_agg({_LINE}, chr(1
 
 @_query(_HASH.format(0), "relationships symbols")
 def edge_multiset_hash(g):
+    g.hold("symbols")
     return graph.edge_hash(g.relationships.where("k = 0"), g.symbols.where("k = 0"))
 
 
@@ -140,9 +150,9 @@ def fingerprint_pivot(g):
     return graph.fingerprint_pivot(g.fingerprints, ["declaration", "method-body"])
 
 
-def _diff(g, where: str = "true"):
-    side = lambda name, k: getattr(g, name).where(f"k = {k}")
-    return graph.diff(side("symbols", 0), side("symbols", 1), side("fingerprints", 0), side("fingerprints", 1), side("relationships", 0), side("relationships", 1)).where(where)
+def _diff(g, where: str = "true", **kwargs):
+    g.hold("symbols")
+    return graph.diff(g.symbols, g.fingerprints, g.relationships, 0, 1, **kwargs).where(where)
 
 
 def _side_sql(k: int) -> str:
@@ -177,9 +187,7 @@ def build_diff_kind(g):
 
 @_query(f"SELECT canonical_key, classification, sa AS before, sb AS after FROM {_DIFF}", _DIFF_T)
 def symbol_diff(g):
-    side = lambda name, k: getattr(g, name).where(f"k = {k}")
-    found = graph.diff(side("symbols", 0), side("symbols", 1), side("fingerprints", 0), side("fingerprints", 1), side("relationships", 0), side("relationships", 1), keep_signatures=True)
-    return found.select("canonical_key", "classification", "before", "after")
+    return _diff(g, keep_signatures=True).select("canonical_key", "classification", "before", "after")
 
 
 @_query(f"SELECT canonical_key, name, classification FROM {_DIFF} ORDER BY list_position(['Added', 'Removed', 'MethodBodyChanged', 'RelationshipsChanged', 'Unchanged'], classification), name, canonical_key LIMIT 50", _DIFF_T)

@@ -7,9 +7,11 @@ queries and their checks start from the same rows. Catalyst drops what a query d
 from __future__ import annotations
 
 import re
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from codeloom.sources.cuts import shared_folder
 from codeloom.sources.records import RECORDS
 
 BASE = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents")
@@ -133,12 +135,12 @@ MODEL = {
 } | RECORDS
 
 
-def with_clause(sha: str, names: list[str] | None = None) -> str:
-    """The model's tables as a WITH clause: of the named ones, and of what they use."""
+def with_clause(sha: str, names: list[str] | None = None, held: dict | None = None) -> str:
+    """The model's tables as a WITH clause: of the named ones, and of what they use; ``held`` ones are there already."""
     wanted, todo = set(), list(names or MODEL)
     while todo:
         name = todo.pop()
-        if name not in wanted:
+        if name not in wanted and name not in (held or ()):
             wanted.add(name)
             todo += [m for m in MODEL if m != name and re.search(rf"\b(FROM|JOIN) {m}\b", MODEL[name])]
     return "WITH " + ", ".join(f"{n} AS ({MODEL[n].replace('{sha}', sha)})" for n in MODEL if n in wanted)
@@ -148,18 +150,31 @@ class Graph:
     """The model over a folder of tables; ``graph.symbols`` and so on are lazy DataFrames."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
-        self.spark, self.sf_dir = spark, sf_dir
+        self.spark, self.sf_dir, self.held = spark, sf_dir, {}
 
     def base(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
+    def hold(self, *names: str) -> None:
+        """Write tables of the model to the shared folder; what is derived from now on reads them there. For tables that a query
+        uses several times: each is derived once, and plans stay small."""
+        for name in names:
+            if name not in self.held:
+                path = f"{shared_folder(self.spark)}/model-{uuid.uuid4().hex}/{name}"
+                rows = getattr(self, name)
+                rows.write.parquet(path)
+                self.held[name] = self.spark.read.schema(rows.schema).parquet(path)
+
     def __getattr__(self, name: str) -> DataFrame:
         if name not in MODEL:
             raise AttributeError(name)
-        text = with_clause("sha2x", [name]) + f" SELECT * FROM {name}"
+        if name in self.held:
+            return self.held[name]
+        text = with_clause("sha2x", [name], self.held) + f" SELECT * FROM {name}"
         text = re.sub(r"sha2x\(", "model_sha(", text)
         self.spark.sql("CREATE OR REPLACE TEMPORARY FUNCTION model_sha(x STRING) RETURNS STRING RETURN sha2(x, 256)")
-        used = {b: self.base(b) for b in BASE if re.search(rf"\b(FROM|JOIN) {b}\b", text)}
+        used = {b: rows for b, rows in [*((b, None) for b in BASE), *self.held.items()] if re.search(rf"\b(FROM|JOIN) {b}\b", text)}
         for b in used:
             text = re.sub(rf"\b(FROM|JOIN) {b}\b", rf"\1 {{{b}}} AS {b}", text)
+        used = {b: self.base(b) if rows is None else rows for b, rows in used.items()}
         return self.spark.sql(text.replace("strpos(qualified_name, '::Order')", "locate('::Order', qualified_name)"), **used)
