@@ -43,10 +43,10 @@ class Scratch:
 
     def __init__(self, spark: SparkSession):
         self.spark, self.folder = spark, f"{shared_dir(spark)}/scratch-{uuid.uuid4().hex}"
-        self.paths: dict[int, str] = {}
+        self.written = 0
 
     def put(self, df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
-        path = f"{self.folder}/{name}-{len(self.paths)}"
+        path, self.written = f"{self.folder}/{name}-{self.written}", self.written + 1
         own = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": str(_WRITE_BATCH)}
         before = {key: self.spark.conf.get(key) for key in own}
         try:
@@ -57,14 +57,13 @@ class Scratch:
             for key, value in before.items():
                 self.spark.conf.set(key, value)
         out = self.spark.read.schema(df.schema).parquet(path)
-        self.paths[id(out)] = path
-        out._scratch = self  # keeps the id in use
+        out._path = path
         return out
 
     def drop(self, *frames: DataFrame) -> None:
         """Remove tables that no later read needs."""
         for df in frames:
-            path = self.spark._jvm.org.apache.hadoop.fs.Path(self.paths[id(df)])
+            path = self.spark._jvm.org.apache.hadoop.fs.Path(df._path)
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
