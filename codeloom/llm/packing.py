@@ -3,8 +3,10 @@
 Documents are cut into full windows and one remainder. For the remainders, a window starts from the largest length
 that is left, and a subset-sum table over the multiset of remaining lengths, held as one big integer whose bit ``s``
 says that sum ``s`` can be reached, finds the filling closest to the capacity; walking the tables back gives how many
-pieces of each length it takes. A filling is used as often as the counts allow, so plans stay small. What is left in
-the end fills a last window only partly: it is cut into runs that are powers of two, which need no padding.
+pieces of each length it takes. A filling is used as often as the counts allow, so plans stay small. Windows that a plan
+leaves a little short are kept: the emptiest give their pieces, which fill the slack of the others, and what remains of
+them is cut into runs that are powers of two. So no sequence needs padding, and nearly all pieces lie whole where they
+were planned.
 
 Each task packs its own rows, some millions of ids at a time: no shuffle, no driver, no global state.
 """
@@ -94,20 +96,41 @@ def _pack_chunk(docs: list[tuple], window: int, first_sequence: int) -> tuple[li
             sequence += 1
         if len(ids) > full:
             by_length.setdefault(len(ids) - full, []).append((row, full, ids[full:]))
-    partly = []
+    windows = []  # (ids, pieces) of planned windows that are neither full nor a power of two long
     for lengths, times in plan({k: len(v) for k, v in by_length.items()}, window):
         full = sum(lengths)
         for _ in range(times):
             pieces = [by_length[k].pop() for k in lengths]
             if full & (full - 1):
-                partly += pieces
+                windows.append((full, pieces))
                 continue
             offset = 0
             for row, start, ids in pieces:
                 out.append((row, start, ids, sequence, offset))
                 offset += len(ids)
             sequence += 1
-    # pieces of windows that were not filled: cut into full windows and then falling powers of two
+    # the emptiest windows give their pieces: as many as fill the slack of all others, which stay as they were planned
+    windows.sort(key=lambda w: w[0])
+    slack, given, partly, first = sum(window - w[0] for w in windows), 0, [], 0
+    while first < len(windows) and given < slack:
+        full, pieces = windows[first]
+        slack, given, first = slack - (window - full), given + full, first + 1
+        partly += pieces
+    for full, pieces in windows[first:]:
+        offset = 0
+        while offset < full:
+            row, start, ids = pieces.pop()
+            out.append((row, start, ids, sequence, offset))
+            offset += len(ids)
+        while offset < window:
+            row, start, ids = partly.pop()
+            n = min(window - offset, len(ids))
+            out.append((row, start, ids[:n], sequence, offset))
+            offset += n
+            if n < len(ids):
+                partly.append((row, start + n, ids[n:]))
+        sequence += 1
+    # what is left of them is cut into full windows and then falling powers of two
     room, offset, left = 0, 0, sum(len(p[2]) for p in partly)
     for row, start, ids in partly:
         while len(ids):
