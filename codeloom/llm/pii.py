@@ -30,8 +30,7 @@ EPOCHS = 6
 LONGEST = 16  # atoms of a segment
 MOST_WORDS = 8  # of them without a digit or sign: no kind has more
 MOST_DIGITS = 24  # of a segment of several atoms: no kind has more
-PIECE = 4000  # characters of a stretch that are decoded at once
-AROUND = 400  # and on each side, so that a span that begins in a piece is seen whole
+BLOCK = 512  # atoms whose segments are held at once while a stretch is decoded
 EXAMPLE_CHARS, EXAMPLE_ATOMS = 800, 150  # of a training example at most
 BUCKETS = 1 << 13
 MARGIN = 2.0  # log-odds over the best segmentation without the span
@@ -114,15 +113,19 @@ class Lattice:
     atoms; other labels take segments of up to ``LONGEST`` atoms, ``MOST_WORDS`` words and ``MOST_DIGITS`` digits on one
     line with a digit or an at sign."""
 
-    def __init__(self, text: str):
+    def __init__(self, text: str, whole: bool = True):
+        self.text = text
         self.atoms = [(m.start(), m.end()) for m in _ATOM.finditer(text)]
-        self.segments: list[tuple[int, int]] = []
-        self.features: list[list[int]] = []
-        words = [text[a:b] for a, b in self.atoms]
-        sign = [w in "@" or any("0" <= c <= "9" for c in w) for w in words]
-        gap = [""] + [text[self.atoms[i - 1][1] : self.atoms[i][0]] for i in range(1, len(words))]
-        for i, word in enumerate(words):
-            before, alpha, digits = (words[i - 1].lower() if i else "^"), 0, 0
+        self.words = [text[a:b] for a, b in self.atoms]
+        self.sign = [w in "@" or any("0" <= c <= "9" for c in w) for w in self.words]
+        self.gap = [""] + [text[self.atoms[i - 1][1] : self.atoms[i][0]] for i in range(1, len(self.words))]
+        self.segments, self.features = self.between(0, len(self.words)) if whole else ([], [])
+
+    def between(self, low: int, high: int) -> tuple[list[tuple[int, int]], list[list[int]]]:
+        """The segments that start at atoms low to high, and their features."""
+        segments, features, words, gap = [], [], self.words, self.gap
+        for i in range(low, high):
+            word, before, alpha, digits = words[i], (words[i - 1].lower() if i else "^"), 0, 0
             for j in range(i + 1, min(len(words), i + LONGEST) + 1):
                 last = words[j - 1]
                 if j > i + 1 and ("\n" in gap[j - 1] or len(gap[j - 1]) > 1):
@@ -134,11 +137,12 @@ class Lattice:
                 digits += len(_digits(last))
                 if digits > MOST_DIGITS and j > i + 1:
                     break
-                has = any(sign[i:j]) or "at" in words[i:j]
+                has = any(self.sign[i:j]) or "at" in words[i:j]
                 ends = last[-1].isalnum() and (word[0].isalnum() or word in "+(")
                 if j == i + 1 or (has and ends):
-                    self.segments.append((i, j))
-                    self.features.append(self._span(text, words, gap, i, j, before))
+                    segments.append((i, j))
+                    features.append(self._span(self.text, words, gap, i, j, before))
+        return segments, features
 
     def _span(self, text: str, words: list[str], gap: list[str], i: int, j: int, before: str) -> list[int]:
         span = text[self.atoms[i][0] : self.atoms[j - 1][1]]
@@ -166,15 +170,15 @@ class Model:
     def __init__(self, weights: np.ndarray, steps: np.ndarray):
         self.weights, self.steps = weights, steps
 
-    def scores(self, lattice: Lattice) -> np.ndarray:
-        s = self.weights[np.array(lattice.features)].sum(axis=1)
-        length = np.array([j - i for i, j in lattice.segments])
+    def scores(self, segments: list[tuple[int, int]], features: list[list[int]]) -> np.ndarray:
+        s = self.weights[np.array(features)].sum(axis=1)
+        length = np.array([j - i for i, j in segments])
         s[length > 1, 0] = -1e9
         s[:, 1:] -= 1e-3 * length[:, None]
         return s
 
-    def forward(self, lattice: Lattice, s: np.ndarray, best: bool):
-        """Sums (or maxima) of scores of the segmentations up to each atom, by the label of the last segment."""
+    def forward(self, lattice: Lattice, s: np.ndarray):
+        """Sums of scores of the segmentations up to each atom, by the label of the last segment."""
         n, width = len(lattice.atoms), s.shape[1]
         upto = np.full((n + 1, width), -1e9)
         upto[0, 0] = 0.0
@@ -183,39 +187,50 @@ class Model:
         for k, (_, j) in enumerate(lattice.segments):
             by_end[j].append(k)
         begins = np.array([i for i, _ in lattice.segments])
-        back: list = [None] * (n + 1)
         through[0] = self.steps[0]
         for j in range(1, n + 1):
             ks = by_end[j]
-            options = through[begins[ks]] + s[ks]
-            if best:
-                back[j] = (ks, options.argmax(axis=0))
-                upto[j] = options.max(axis=0)
-                through[j] = (upto[j][:, None] + self.steps).max(axis=0)
-            else:
-                upto[j] = np.logaddexp.reduce(options, axis=0)
-                through[j] = np.logaddexp.reduce(upto[j][:, None] + self.steps, axis=0)
-        return upto, through, by_end, back
+            upto[j] = np.logaddexp.reduce(through[begins[ks]] + s[ks], axis=0)
+            through[j] = np.logaddexp.reduce(upto[j][:, None] + self.steps, axis=0)
+        return upto, through, by_end
 
     def decode(self, text: str) -> list[tuple[str, int, int]]:
-        """The best segmentation's spans that beat the best outside reading of the same atoms by ``MARGIN``."""
-        lattice = Lattice(text)
-        if not lattice.atoms:
+        """The best segmentation's spans that beat the best outside reading of the same atoms by ``MARGIN``.
+
+        Maxima are carried from atom to atom, and segments are made for some atoms at a time: of the whole text only a few
+        numbers an atom are held, so a text of any length is decoded as one.
+        """
+        lattice = Lattice(text, whole=False)
+        n, width = len(lattice.atoms), len(self.steps)
+        if not n:
             return []
-        s = self.scores(lattice)
-        upto, _, _, back = self.forward(lattice, s, best=True)
-        outside = np.zeros(len(lattice.atoms) + 1)
-        for k, (i, j) in enumerate(lattice.segments):
-            if j == i + 1:
-                outside[j] = s[k, 0] + self.steps[0, 0]
+        upto = np.full((n + 1, width), -1e9)
+        upto[0, 0] = 0.0
+        taken = np.zeros((n + 1, width))  # the score of the segment that ends best here, and its length
+        length = np.zeros((n + 1, width), np.int8)
+        outside = np.zeros(n + 1)
+        for low in range(0, n, BLOCK):
+            segments, features = lattice.between(low, min(n, low + BLOCK))
+            s = self.scores(segments, features)
+            at = 0
+            while at < len(segments):
+                i, end = segments[at][0], at
+                while end < len(segments) and segments[end][0] == i:
+                    end += 1
+                ends, own = np.array([j for _, j in segments[at:end]]), s[at:end]
+                through = (upto[i][:, None] + self.steps).max(axis=0) if i else self.steps[0]
+                better = through + own > upto[ends]
+                upto[ends] = np.where(better, through + own, upto[ends])
+                taken[ends] = np.where(better, own, taken[ends])
+                length[ends] = np.where(better, (ends - i)[:, None], length[ends])
+                outside[i + 1] = own[0, 0] + self.steps[0, 0]  # the first segment is the atom by itself
+                at = end
         outside = np.cumsum(outside)
-        out, j, label = [], len(lattice.atoms), int(upto[-1].argmax())
+        out, j, label = [], n, int(upto[-1].argmax())
         while j > 0:
-            ks, choice = back[j]
-            k = ks[int(choice[label])]
-            i = lattice.segments[k][0]
+            i = j - int(length[j, label])
             before = int((upto[i] + self.steps[:, label]).argmax()) if i else 0
-            if label and s[k, label] + self.steps[before, label] + self.steps[label, 0] - self.steps[0, 0] - (outside[j] - outside[i]) >= MARGIN:
+            if label and taken[j, label] + self.steps[before, label] + self.steps[label, 0] - self.steps[0, 0] - (outside[j] - outside[i]) >= MARGIN:
                 out.append((KINDS[label - 1], lattice.atoms[i][0], lattice.atoms[j - 1][1]))
             j, label = i, before
         return out[::-1]
@@ -244,8 +259,8 @@ def train(examples: list[tuple[str, list[tuple[str, int, int]]]], epochs: int =
     for _ in range(epochs):
         for at in rng.permutation(len(ready)).tolist():
             lattice, gold = ready[at]
-            s = model.scores(lattice)
-            upto, through, by_end, _ = model.forward(lattice, s, best=False)
+            s = model.scores(lattice.segments, lattice.features)
+            upto, through, by_end = model.forward(lattice, s)
             n = len(lattice.atoms)
             behind = np.full((n + 1, width), -1e9)  # what may follow, by the label before
             behind[n] = 0.0
@@ -330,7 +345,8 @@ def _examples(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rows = []
         for key, text in zip(batch["hash"], batch["text"], strict=True):
             for number, (low, high) in enumerate(places(text)[:4]):
-                low = _word_start(text, low)
+                while low and not text[low - 1].isspace():
+                    low -= 1
                 piece = text[low : min(high, low + EXAMPLE_CHARS)]
                 spans = base_spans(piece) + [("secret", m.start(1), m.end(1)) for m in _NAMED.finditer(piece)]
                 rows.append((key, number, piece, [{"kind": k, "start": a, "end": b} for k, a, b in spans]))
@@ -353,37 +369,22 @@ def fit(docs: DataFrame, rows: int = SAMPLE_ROWS, n_places: int = PLACES, seed:
     return train(examples + [_made_up(rng, words) for _ in range(n_places)])
 
 
-def _word_start(text: str, at: int) -> int:
-    """The start of the word at a place, or a place not too far before it."""
-    least = max(0, at - AROUND)
-    while at > least and not text[at - 1].isspace():
-        at -= 1
-    return at
-
-
-def pieces(low: int, high: int) -> Iterator[tuple[int, int]]:
-    """A stretch in parts of at most ``PIECE`` characters."""
-    for at in range(low, high, PIECE):
-        yield at, min(high, at + PIECE)
-
-
 def all_spans(text: str | None, model: Model) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]:
-    """Spans of the fixed patterns, and those that the field adds: none of them overlaps a fixed one. A long stretch is
-    decoded in parts that overlap, so memory is bounded; a span belongs to the part it begins in."""
+    """Spans of the fixed patterns, and those that the field adds: none of them overlaps a fixed one."""
     base = base_spans(text)
     if not text or not _ANY.search(text):
         return base, []
     taken = sorted((a, b) for _, a, b in base)
-    added, at = [], 0
-    for low, high in (part for place in places(text) for part in pieces(*place)):
-        begin = _word_start(text, low)
-        for kind, a, b in model.decode(text[begin : high + (AROUND if high - low == PIECE else 0)]):
-            a, b = a + begin, b + begin
-            if a >= high and high - low == PIECE:  # the next part has it whole
-                break
+    added, at, least = [], 0, 0
+    for low, high in places(text):
+        while low > least and not text[low - 1].isspace():  # from the start of a word
+            low -= 1
+        least = high
+        for kind, a, b in model.decode(text[low:high]):
+            a, b = a + low, b + low
             while at < len(taken) and taken[at][1] <= a:
                 at += 1
-            if not any(x < b and a < y for x, y in taken[max(0, at - 4) : at + 4]) and (not added or a >= added[-1][2]):
+            if not any(x < b and a < y for x, y in taken[max(0, at - 4) : at + 4]):
                 added.append((kind, a, b))
     return base, added
 
