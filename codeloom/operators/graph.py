@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codeloom.functions.text import CALL_LIKE, CALLABLE, fold, match_rank
+from codeloom.operators.pages import numbered
 from codeloom.sources.cuts import cut
 
 RELATED_REFS = 500  # references that related types are taken from
@@ -77,8 +78,8 @@ def candidates(symbols: DataFrame, selectors: DataFrame, prefix: str = "game:ins
     several = best.where("b.n > 1").select("selector", F.col("b.tier").alias("tier"))
     found = out.join(several, ["selector", "tier"], "left_semi").select("selector", "symbol_id").distinct()
     named = found.join(symbols.select("symbol_id", "qualified_name", "signature"), "symbol_id")
-    order = Window.partitionBy("selector").orderBy("qualified_name", "signature", "symbol_id")
-    return named.select("selector", F.row_number().over(order).alias("place"), "symbol_id", "qualified_name", "signature")
+    placed = numbered(named, "selector", ["qualified_name", "signature", "symbol_id"], "place")  # a broad selector has very many
+    return placed.select("selector", "place", "symbol_id", "qualified_name", "signature")
 
 
 def bare(selector: Column, prefix: str) -> Column:

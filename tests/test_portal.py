@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from codeloom.functions import text
 from codeloom.operators import inputs, lineage, portal
-from codeloom.operators.pages import Level, nested, nested_pages, sub_pages
+from codeloom.operators.pages import Level, nested, nested_pages, numbered, sub_pages
 
 # ---- pages ----
 
@@ -44,6 +44,13 @@ def test_pages_with_a_hot_parent_equal_brute_force(spark):
     assert (first.place, first.id) == (1, want["objects", "hot", 1][0]) and [x.id for x in first.page.rows or []] == [want["parts", first.id, n][0] for n in (1, 2) if ("parts", first.id, n) in want]
 
 
+def test_numbers_within_hot_keys(spark):
+    rows = [("hot" if i % 3 else f"k{i % 7}", (i * 37) % 100, i) for i in range(600)]
+    frame = spark.createDataFrame(rows, "k string, a long, b long").repartition(7)
+    want = {b: sorted((x, y) for q, x, y in rows if q == k).index((a, b)) + 1 for k, a, b in rows}
+    assert {r.b: r.n for r in numbered(frame, "k", ["a", "b"], "n").collect()} == want and numbered(frame.limit(0), "k", ["a", "b"], "n").collect() == []
+
+
 def test_pages_of_null_parents_and_empty_tables(spark):
     side = levels(spark, [("a", None, "x")], [])
     parents = spark.createDataFrame([("s",), (None,)], "parent_id string")
