@@ -89,6 +89,14 @@ RECORDS = {
     "staging_entries": """
         SELECT attempt_id AS name, n % 10 <> 3 AS is_folder FROM cleanup_attempts WHERE n % 2 = 0 UNION ALL SELECT concat(attempt_id, '.promotion.json'), false FROM cleanup_attempts WHERE n % 8 = 0
         UNION ALL SELECT substring({sha}(concat('orphan-', n)), 1, 32), true FROM cleanup_attempts WHERE n % 30 = 0""",
+    # source files of an index, and where its symbols stand in them
+    "source_records": """
+        SELECT concat('f-', doc_id) AS source_file_id, concat(CASE WHEN doc_id % 19 = 0 THEN '../' ELSE 'src/' END, doc_id, '.txt') AS relative_path, CASE WHEN doc_id % 13 = 0 THEN {sha}(concat('x', text)) ELSE {sha}(text) END AS sha256, CAST(bit_length(text) / 8 AS BIGINT) AS byte_count
+        FROM documents WHERE text IS NOT NULL AND doc_id % 17 <> 0""",
+    "source_places": """
+        SELECT symbol_id, concat('f-', doc_id) AS source_file_id, CAST(1 + p_partkey % n AS INT) AS start_line, CAST(CASE WHEN p_partkey % 11 = 0 THEN n + 1 WHEN 3 + p_partkey % n < n THEN 3 + p_partkey % n ELSE n END AS INT) AS end_line
+        FROM part_of JOIN (SELECT doc_id, length(text) - length(replace(text, chr(10), '')) + 1 AS n FROM documents WHERE text IS NOT NULL) d ON doc_id = p_partkey WHERE k = 0 AND p_partkey % 5 <> 0
+        UNION ALL SELECT symbol_id, concat('f-', p_partkey), 1, 1 FROM part_of WHERE k = 0 AND p_partkey % 23 = 0""",
     # symbols with fields, whose pages are their types'
     "portal_symbols": """
         SELECT symbol_id, canonical_key, kind, qualified_name, signature, body_recovery_status FROM symbols WHERE k = 0

@@ -1,11 +1,13 @@
 """Declarations with spans, and concepts, from hand-made sources."""
 
+import hashlib
 import time
 
 import pytest
 
 from codeloom.functions.concepts import LABELS, concepts, shown
 from codeloom.functions.scanner import declarations, declared
+from codeloom.operators import source
 
 SOURCE = """using System;
 namespace A.B
@@ -85,6 +87,20 @@ def test_files_of_a_table(spark):
     assert [r.concept for r in shown(files.limit(1)).orderBy("place").collect()] == concepts(SOURCE) and declared(files.limit(0)).collect() == []
 
 
+def test_checked_source_of_symbols(spark):
+    text = "a\r\nb\nc\nd\ne"
+    sha = hashlib.sha256(text.encode()).hexdigest()
+    symbols = spark.createDataFrame([(c, "Method" if c == "a" else "Type", None) for c in "abcdefgh"], "symbol_id string, kind string, body_recovery_status string")
+    places = [("a", "1", 2, 3), ("b", "1", 5, 6), ("c", "1", 1, 1), ("c", "1", 2, 2), ("d", "9", 1, 1), ("e", "2", 1, 1), ("f", "3", 1, 1), ("g", "4", 1, 1)]
+    locations = spark.createDataFrame(places, "symbol_id string, source_file_id string, start_line int, end_line int")
+    records = spark.createDataFrame([("1", "x.cs", sha.upper(), 9), ("2", "../x.cs", sha, 9), ("3", "gone.cs", sha, 9), ("4", "y.cs", sha, 9)], "source_file_id string, relative_path string, sha256 string, byte_count long")
+    files = spark.createDataFrame([("x.cs", text), ("y.cs", text + " "), ("../x.cs", text)], "relative_path string, text string")
+    rows = {r.symbol_id: r for r in source.selected(symbols, locations, records, files, 1, "g:i:generated").collect()}
+    assert {k: r.state for k, r in rows.items()} == {"a": "Available", "b": "SpanOutside", "c": "SeveralLocations", "d": "NoFileRecord", "e": "UnsafePath", "f": "FileMissing", "g": "HashMismatch", "h": "NoIndexedLocation"}
+    assert (rows["a"].snippet, rows["a"].context_before, rows["a"].context_after, rows["a"].body_status, rows["a"].provenance, rows["a"].byte_count) == ("a\nb\nc\nd", 1, 1, "Unknown", "g:i:generated", 9)
+    assert rows["g"].snippet is None and rows["g"].relative_path is None
+
+
 YES = {
     "generic": ["public void M<T>(T value) { }", "List<int> x;", "new Dictionary<string, List<int>>();", "f(A<B>.C);"], "conditional": ["var r = value?.ToString();", "a?[0];"], "coalesce": ['x ?? "none";'],
     "query": ["var v = from item in items select item;", "from int x in xs select x;"], "creation": ["new Foo();", "new A.B<int> { X = 1 };"], "invocation": ["Foo();", "a.B(1);", "Make<int>(2);", "return F(1);", "x = this.M();", "f()();", "nameof(x);"],
