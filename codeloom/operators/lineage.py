@@ -17,11 +17,6 @@ FOLLOWING = {
 LEGAL = tuple((before, after) for before, afters in FOLLOWING.items() for after in afters)
 
 
-def latest(rows: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
-    """The first row of each lineage in an order that ends in a unique key."""
-    return rows.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("_n = 1").drop("_n")
-
-
 def latest_completed(runs: DataFrame, keys: list[str]) -> DataFrame:
     """The latest completed run of each lineage, ties to the larger id; runs combine before the shuffle."""
     rest = [c for c in runs.columns if c not in (*keys, "completed_at", "index_id")]
@@ -99,17 +94,22 @@ def staging_decisions(entries: DataFrame, attempts: DataFrame, cutoff: Column) -
 
 
 def history(extractions: DataFrame, attempts: DataFrame) -> DataFrame:
-    """Extractions and failed attempts in one list."""
-    a = extractions.select(F.lit("Extraction").alias("entry"), F.col("extraction_id").alias("id"), F.lit(None).cast("string").alias("status"))
-    b = attempts.where(F.col("status").isin("Failed", "Canceled")).select(F.lit("Attempt").alias("entry"), F.col("attempt_id").cast("string").alias("id"), "status")
-    return a.unionByName(b)
+    """Extractions and failed attempts in one list, the newest first."""
+    a = extractions.select(F.lit("Extraction").alias("entry"), F.col("extraction_id").alias("id"), F.lit(None).cast("string").alias("status"), F.col("created_at").alias("moment"))
+    b = attempts.where(F.col("status").isin("Failed", "Canceled")).select(F.lit("Attempt").alias("entry"), F.col("attempt_id").cast("string").alias("id"), "status", F.col("changed_at").alias("moment"))
+    return a.unionByName(b).orderBy(F.desc("moment"), F.desc("id"))
 
 
 def append_new(existing: DataFrame, incoming: DataFrame, keys: list[str]) -> DataFrame:
-    """Rows of ``incoming`` whose keys are not there yet: what an insert that ignores repeats would add."""
-    return incoming.dropDuplicates(keys).join(existing.select(*keys), keys, "left_anti")
+    """Rows of ``incoming`` whose keys are not there yet: what an insert that ignores repeats would add. Of repeats the least row
+    is taken."""
+    rest = [c for c in incoming.columns if c not in keys]
+    once = incoming.groupBy(*keys).agg(F.min(F.struct(*rest)).alias("r")).select(*keys, "r.*") if rest else incoming.distinct()
+    return once.join(existing.select(*keys), keys, "left_anti")
 
 
 def upsert(existing: DataFrame, incoming: DataFrame, keys: list[str], version: str) -> DataFrame:
-    """The latest version of each key of both."""
-    return latest(existing.unionByName(incoming), keys, [F.desc(version)])
+    """The latest version of each key of both; rows combine before the shuffle."""
+    both = existing.unionByName(incoming)
+    rest = [c for c in both.columns if c not in (*keys, version)]
+    return both.groupBy(*keys).agg(F.max(F.struct(version, *rest)).alias("r")).select(*keys, "r.*")

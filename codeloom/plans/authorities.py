@@ -33,9 +33,9 @@ def preferred_extractions(g):
     return preference.current(_audit(g))
 
 
-@query(f"SELECT x.extraction_id, x.build_id, coalesce(p.extraction_id = x.extraction_id, false) AS is_preferred FROM build_extractions x LEFT JOIN {_CURRENT} p ON p.build_id = x.build_id", _LOG)
+@query(f"SELECT x.extraction_id, x.build_id, coalesce(p.extraction_id = x.extraction_id, false) AS is_preferred FROM build_extractions x LEFT JOIN {_CURRENT} p ON p.build_id = x.build_id ORDER BY x.created_at DESC, x.extraction_id DESC", _LOG)
 def extraction_list(g):
-    return preference.marked(g.build_extractions, preference.current(_audit(g))).select("extraction_id", "build_id", "is_preferred")
+    return preference.marked(g.build_extractions, preference.current(_audit(g))).orderBy(F.desc("created_at"), F.desc("extraction_id")).select("extraction_id", "build_id", "is_preferred")
 
 
 _RUNS = "(SELECT *, row_number() OVER (PARTITION BY {} ORDER BY completed_at DESC, index_id DESC) AS n FROM code_runs WHERE status = 'Completed' AND {})"
@@ -112,3 +112,21 @@ def build_list(g):
     last = g.observations.agg(F.max(F.struct("moment", "fact_id", "build_id")).alias("o")).select(F.col("o.build_id").alias("now"))  # one row
     rows = g.game_builds.join(state, "build_id").join(preferred.select("build_id", F.lit(True).alias("has_preferred")), "build_id", "left").crossJoin(F.broadcast(last))
     return rows.select("build_id", "first_seen", F.coalesce(F.col("build_id") == F.col("now"), F.lit(False)).alias("is_current"), F.coalesce("has_preferred", F.lit(False)).alias("has_preferred"), "is_indexed").orderBy(F.desc("first_seen"), F.desc("build_id"))
+
+
+_SEEN = "(SELECT concat('e-', o_orderkey % 900) AS snapshot_id, concat('b-', o_custkey) AS build_id, o_orderdate AS seen FROM orders)"
+_KEPT = f"(SELECT snapshot_id, build_id, seen FROM (SELECT *, row_number() OVER (PARTITION BY snapshot_id ORDER BY build_id, seen) AS n FROM {_SEEN} WHERE snapshot_id NOT IN (SELECT snapshot_id FROM new_environments)) WHERE n = 1)"
+
+
+@query(f"SELECT * FROM {_KEPT}", "new_environments")
+def new_snapshots(g):
+    """What an insert that ignores known snapshots adds."""
+    seen = g.base("orders").selectExpr("concat('e-', o_orderkey % 900) AS snapshot_id", "concat('b-', o_custkey) AS build_id", "o_orderdate AS seen")
+    return lineage.append_new(g.new_environments, seen, ["snapshot_id"])
+
+
+@query("""SELECT build_id, seen, n FROM (SELECT *, row_number() OVER (PARTITION BY build_id ORDER BY seen DESC, n DESC) AS place FROM (SELECT build_id, first_seen AS seen, CAST(-1 AS BIGINT) AS n FROM game_builds UNION ALL SELECT build_id, created_at, n FROM build_extractions)) WHERE place = 1""", "game_builds build_extractions")
+def upserted_builds(g):
+    """Builds as they are after each extraction has brought its own time."""
+    known = g.game_builds.select("build_id", F.col("first_seen").alias("seen"), F.lit(-1).cast("long").alias("n"))
+    return lineage.upsert(known, g.build_extractions.select("build_id", F.col("created_at").alias("seen"), "n"), ["build_id"], "seen")

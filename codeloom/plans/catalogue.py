@@ -270,9 +270,9 @@ def cleanup_plan(g):
     return lineage.cleanup_plan(g.attempts, F.lit(CUTOFF).cast(g.base("events").schema["ts"].dataType))
 
 
-@_query("SELECT 'Extraction' AS entry, extraction_id AS id, CAST(NULL AS VARCHAR) AS status FROM extractions UNION ALL SELECT 'Attempt', CAST(attempt_id AS VARCHAR), status FROM attempts WHERE status IN ('Failed', 'Canceled')", "extractions attempts")
+@_query("""SELECT 'Extraction' AS entry, extraction_id AS id, CAST(NULL AS VARCHAR) AS status, created_at AS moment FROM build_extractions UNION ALL SELECT 'Attempt', CAST(attempt_id AS VARCHAR), status, changed_at FROM attempts WHERE status IN ('Failed', 'Canceled') ORDER BY moment DESC, id DESC""", "build_extractions attempts")
 def extraction_history(g):
-    return lineage.history(g.extractions, g.attempts)
+    return lineage.history(g.build_extractions, g.attempts)
 
 
 @_query("SELECT scene_id, name, (SELECT count(*) FROM scenes) AS total, (SELECT count(*) FROM scenes) > 10 AS has_more FROM scenes ORDER BY name, scene_id LIMIT 10", "scenes")
@@ -312,14 +312,20 @@ def reference_page(g):
     return found.orderBy(F.asc_nulls_first("field_path"), "reference_id").limit(40).select("reference_id", "field_path", "game_object_id")
 
 
-@_query("SELECT (SELECT count(*) FROM scenes WHERE kind = 'Scene') AS scene_count, (SELECT count(*) FROM scenes WHERE kind = 'Prefab') AS prefab_count, (SELECT count(*) FROM game_objects) AS object_count, (SELECT count(*) FROM components) AS component_count, (SELECT count(*) FROM serialized_refs) AS reference_count", "scenes " + _REF_T)
+@_query("SELECT (SELECT count(*) FROM scenes WHERE kind = 'Scene') AS scene_count, (SELECT count(*) FROM scenes WHERE kind = 'Prefab') AS prefab_count, (SELECT count(*) FROM game_objects) AS object_count, (SELECT count(*) FROM transforms) AS transform_count, (SELECT count(*) FROM components) AS component_count, (SELECT count(*) FROM serialized_refs) AS reference_count", "scenes transforms " + _REF_T)
 def scene_stats(g):
-    return scene.statistics(g.scenes, g.game_objects, g.components, g.serialized_refs)
+    return scene.statistics(g.scenes, g.game_objects, g.transforms, g.components, g.serialized_refs)
 
 
-@_query("SELECT recovery_status, count(*) AS n FROM game_objects GROUP BY 1", "game_objects")
+_RECOVERED = {
+    "scenes": "CASE kind WHEN 'Prefab' THEN 'GraphOnly' ELSE 'FullyRecovered' END", "game_objects": "recovery_status", "transforms": "CASE parent_id WHEN 'missing' THEN 'PartiallyRecovered' ELSE 'FullyRecovered' END",
+    "components": "CASE kind WHEN 'MonoBehaviour' THEN 'FullyRecovered' ELSE 'GraphOnly' END", "serialized_refs": "CASE WHEN field_path IS NULL THEN 'GraphOnly' WHEN resolution_status = 'Resolved' THEN 'FullyRecovered' ELSE 'PartiallyRecovered' END",
+}
+
+
+@_query(f"SELECT recovery_status, count(*) AS n FROM ({' UNION ALL '.join(f'SELECT {c} AS recovery_status FROM {t}' for t, c in _RECOVERED.items())}) GROUP BY 1", " ".join(_RECOVERED))
 def recovery_histogram(g):
-    return scene.recovery_histogram(g.game_objects)
+    return scene.recovery_histogram(*(getattr(g, t).selectExpr(f"{c} AS recovery_status") for t, c in _RECOVERED.items()))
 
 
 _WORST = "CASE max(CASE recovery_status WHEN 'StubOrUnavailable' THEN 5 WHEN 'PartiallyRecovered' THEN 4 WHEN 'GraphOnly' THEN 3 WHEN 'Unknown' THEN 2 WHEN 'FullyRecovered' THEN 1 END) WHEN 5 THEN 'StubOrUnavailable' WHEN 4 THEN 'PartiallyRecovered' WHEN 3 THEN 'GraphOnly' WHEN 1 THEN 'FullyRecovered' ELSE 'Unknown' END"
