@@ -32,7 +32,7 @@ SHINGLE = 5
 HALF_KEYS = 10  # of each collection, at least
 MISS = 1.5e-4  # probability that a pair at the threshold shares no table, at most
 ROWS = 3
-HEAD = 32  # rarest shingles of a set that its later ones carry, so that most pairs come once; pairs are distinct in any case
+HEAD = 16  # rarest shingles of a set that its later ones carry, so that most pairs come once; pairs are distinct in any case
 LANDMARKS = 4  # of a component that has as many members in a table at least
 _FACTORS = mix64(np.arange(1, SHINGLE + 1, dtype=np.uint64)) | np.uint64(1)
 
@@ -242,21 +242,22 @@ def _prefix_pairs(apart: DataFrame, classes: DataFrame, sets: DataFrame, scratch
         scratch.drop(shared)
     # shingles of one passage lie in the same sets; the first of them in the order stands for all, and is in every prefix that
     # has one of them, so a pair meets once for a passage
-    lists = tokens.groupBy("token").agg(F.first("df").alias("df"), F.count("*").alias("m"), *(F.bit_xor(F.xxhash64("cid", F.lit(i))).alias(f"x{i}") for i in range(2)))
+    lists = tokens.groupBy("token").agg(F.min("df").alias("df"), F.count("*").alias("m"), *(F.bit_xor(F.xxhash64("cid", F.lit(i))).alias(f"x{i}") for i in range(2)))
     stands = lists.groupBy("m", "x0", "x1").agg(F.min(F.struct("df", "token")).alias("t")).select("t.token")
     order = Window.partitionBy("cid").orderBy("df", "token")
     first = tokens.withColumn("n", F.row_number().over(order) + F.col("own")).where(f"n <= {prefix}").select("cid", "label", "size", "own", "token", "n")
     first = scratch.put(first.join(stands, "token", "left_semi"), "first")
     scratch.drop(tokens)
-    # what a set has before a shingle: a pair that meets in one of those need not meet here
-    heads = first.groupBy("cid").agg(F.array_sort(F.collect_list(F.when(F.col("n") - F.col("own") <= HEAD, F.struct("n", "token")))).alias("head"))
-    first = first.join(heads, "cid").withColumn("head", F.transform(F.filter("head", lambda h: h["n"] < F.col("n")), lambda h: h["token"]))
     counts = first.groupBy("token", "label").agg(F.count("*").alias("m"))
     mains = counts.groupBy("token").agg(F.max(F.struct("m", "label")).alias("m"), F.count("*").alias("labels")).where("labels > 1")
+    met = scratch.put(first.join(mains.select("token", F.col("m.label").alias("main")), "token"), "met")
+    scratch.drop(first)
+    # what a set has before a shingle: a pair that meets in one of those need not meet here
+    heads = met.groupBy("cid").agg(F.slice(F.array_sort(F.collect_list(F.struct("n", "token"))), 1, HEAD).alias("head"))
     narrow = classes.select("cid", F.transform("half", lambda k: F.pmod(k, F.lit((1 << 31) - 1)).cast("int")).alias("half"))  # a coarser key only adds candidates
     half = F.size("half") / 2
     narrow = narrow.select("cid", F.slice("half", F.lit(1), half.cast("int")).alias("half_a"), F.slice("half", (half + 1).cast("int"), half.cast("int")).alias("half_b"))
-    within = first.join(mains.select("token", F.col("m.label").alias("main")), "token").join(narrow, "cid")
+    within = met.join(heads, "cid").withColumn("head", F.transform(F.filter("head", lambda h: h["n"] < F.col("n")), lambda h: h["token"])).join(narrow, "cid")
     columns = ("cid", "label", "size", "own", "n", "head", "half_a", "half_b")
     left = within.where("label <> main").select("token", *(F.col(c).alias(f"{c}_l") for c in columns))
     right = within.select("token", *(F.col(c).alias(f"{c}_r") for c in columns), (F.col("label") == F.col("main")).alias("inner"))
