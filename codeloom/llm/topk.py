@@ -27,7 +27,8 @@ LISTS = 2
 QUERY_BLOCK = 2048
 CLASS_BLOCK = 16384
 STRIP = 256  # queries of a block whose scores are held at once
-MOST = 1 << 60  # of a product; sums of a few stay 64-bit numbers
+MOST = 1 << 60  # of a product of narrow vectors; sums of a few stay 64-bit numbers
+LEAST_LONG, LARGEST_LONG = -(1 << 63), (1 << 63) - 1
 _GATHERED = "query long, class long, list int, score long, least long, total long"
 _RESOLVED = "query long, class long, score long"
 
@@ -45,13 +46,13 @@ def _matrix(column: pd.Series) -> np.ndarray:
 
 
 def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Exact inner products of the rows of two integer matrices. Rows that could take a sum of doubles beyond 2**53 are
-    multiplied as Python's integers; a product beyond ``MOST`` becomes that."""
+    """Exact inner products of the rows of two integer matrices of narrow vectors. Rows that could take a sum of doubles beyond
+    2**53 are multiplied as Python's integers."""
     safe = 2.0 ** 26 / max(1.0, a.shape[1]) ** 0.5
     wide_a, wide_b = (np.abs(x.astype(np.float64)).max(axis=1, initial=0.0) >= safe for x in (a, b))
     narrow = [np.where(w[:, None], 0, x).astype(np.float64) for x, w in ((a, wide_a), (b, wide_b))]
     out = (narrow[0] @ narrow[1].T).astype(np.int64)
-    exact = lambda x, y: np.clip(x.astype(object) @ y.astype(object).T, -MOST, MOST).astype(np.int64)
+    exact = lambda x, y: (x.astype(object) @ y.astype(object).T).astype(np.int64)
     if wide_a.any():
         out[wide_a] = exact(a[wide_a], b)
     if wide_b.any():
@@ -103,6 +104,28 @@ def _resolve(lists: int):
     return run
 
 
+def _all_products(k: int):
+    """The k best classes of each query of a block, and all that tie with the last of them, by Python's integers."""
+
+    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        rows = []
+        if len(left) and len(right):
+            a, b, names = _matrix(left["q"]).astype(object), _matrix(right["q"]).astype(object), right["class"].to_numpy()
+            for query, x in zip(left["query"], a, strict=True):
+                scores = [min(max(int(v), LEAST_LONG), LARGEST_LONG) for v in b @ x]
+                least = sorted(scores)[-min(k, len(scores))]
+                rows += [(query, name, v) for name, v in zip(names, scores, strict=True) if v >= least]
+        return pd.DataFrame(rows, columns=["query", "class", "score"])
+
+    return run
+
+
+def _wide(q):
+    """Whether products with a vector of this kind could leave ``MOST``."""
+    reach = F.greatest(F.array_max(q).cast("double"), -F.array_min(q).cast("double"))
+    return F.coalesce(reach > (F.lit(float(MOST)) / F.greatest(F.size(q), F.lit(1))) ** 0.5, F.lit(False))
+
+
 def _bounds(sums: DataFrame, k: int) -> DataFrame:
     """(query, bound): the k-th best ``s`` of each query, null if it has fewer."""
     ranked = sums.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("s")))).where(f"rank <= {k}")
@@ -115,19 +138,20 @@ def top_k(vectors: DataFrame, queries, k: int = K, lists: int = LISTS) -> DataFr
 
     Vectors meet those of their own length only. Rows that repeat an id are rows of their own, as candidates and as
     queries. A table without fitting rows gives no rows, and a query with fewer candidates returns all of them. Scores are
-    exact while each list's part stays below ``MOST``. Other columns are ignored.
+    exact: wide vectors, whose products could be too large for the lists, are multiplied with all others in Python's
+    integers; a component or score beyond a long becomes the nearest long. Other columns are ignored.
     """
     scratch = Scratch(vectors.sparkSession)
     rows = scratch.put(quantised(vectors.select("vec_id", "embedding")), "vectors")
     # of each distinct vector the k + 1 smallest rows; the window drops the rest before it shuffles
     small = rows.withColumn("n", F.row_number().over(Window.partitionBy("q").orderBy("vec_id", "rid"))).where(f"n <= {k + 1}")
     members = F.sort_array(F.collect_list(F.struct("vec_id", "rid"))).alias("members")
-    classes = scratch.put(small.groupBy("q").agg(F.min("rid").alias("class"), members).withColumn("dim", F.size("q")), "classes")
+    classes = scratch.put(small.groupBy("q").agg(F.min("rid").alias("class"), members).withColumns({"dim": F.size("q"), "wide": _wide(F.col("q"))}), "classes")
     asked = rows.where(queries).select(F.col("vec_id").alias("query_id"), F.col("rid").alias("own"), F.xxhash64("q").alias("hash"), "q")
     # one query for equal vectors: the class is scored, and each of its rows takes itself out
     named = asked.join(classes.select(F.xxhash64("q").alias("hash"), F.col("q").alias("same"), F.col("class").alias("query")), "hash")
     named = scratch.put(named.where("q = same").select("query_id", "own", "query"), "named")
-    wanted = classes.join(named.select("query").distinct(), F.col("class") == F.col("query"), "left_semi").select(F.col("class").alias("query"), "q", "dim")
+    wanted = classes.join(named.select("query").distinct(), F.col("class") == F.col("query"), "left_semi").select(F.col("class").alias("query"), "q", "dim", "wide")
     wanted = scratch.put(wanted, "wanted")
     n_query = max(1, -(-wanted.count() // QUERY_BLOCK))
     n_class = max(1, -(-classes.count() // CLASS_BLOCK))
@@ -136,19 +160,23 @@ def top_k(vectors: DataFrame, queries, k: int = K, lists: int = LISTS) -> DataFr
     def blocks(df: DataFrame, key: str, mine: str, n: int, other: str, m: int) -> DataFrame:
         return df.withColumn(mine, F.pmod(F.xxhash64(key), F.lit(n))).withColumn(other, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(m - 1).cast("long"))))
 
-    def meet(asking: DataFrame, how, schema: str):
+    def meet(asking: DataFrame, how, schema: str, others: str = "NOT wide"):
         left = blocks(asking, "query", "qb", n_query, "cb", n_class)
-        right = blocks(classes.select("class", "q", "dim"), "class", "cb", n_class, "qb", n_query)
+        right = blocks(classes.where(others).select("class", "q", "dim"), "class", "cb", n_class, "qb", n_query)
         return left.groupBy("qb", "cb", "dim").cogroup(right.groupBy("qb", "cb", "dim")).applyInPandas(how, schema)
 
-    local = scratch.put(meet(wanted, _gather(need, lists), _GATHERED), "local")
+    narrow = wanted.where("NOT wide").select("query", "q", "dim")
+    local = scratch.put(meet(narrow, _gather(need, lists), _GATHERED), "local")
     floor = local.groupBy("query", "list").agg(F.min("least").alias("low"))
     lows = floor.groupBy("query").agg(F.transform(F.array_sort(F.collect_list(F.struct("list", "low"))), lambda s: s["low"]).alias("least"), F.sum("low").alias("base"))
     cutoff = _bounds(local.select("query", "class", F.col("total").alias("s")).distinct(), need)
     # over the lists' least scores; a query with too few candidates takes them all
-    asking = wanted.join(lows, "query").join(cutoff, "query").withColumn("reach", F.greatest(F.coalesce(F.col("bound") - F.col("base"), F.lit(0)), F.lit(0)))
+    asking = narrow.join(lows, "query").join(cutoff, "query").withColumn("reach", F.greatest(F.coalesce(F.col("bound") - F.col("base"), F.lit(0)), F.lit(0)))
     asking = asking.select("query", "q", "dim", "least", "reach", F.expr(f"reach div {lists}").alias("share"))
     scored = meet(asking, _resolve(lists), _RESOLVED)
+    if not classes.where("wide").isEmpty():
+        scored = scored.unionByName(meet(narrow, _all_products(need), _RESOLVED, "wide"))
+        scored = scored.unionByName(meet(wanted.where("wide").select("query", "q", "dim"), _all_products(need), _RESOLVED, "true"))
     # the best k + 1 classes are enough, ties to that of the smallest row; they are opened into rows
     ranked = scored.join(classes.select("class", "members"), "class")
     best = Window.partitionBy("query").orderBy(F.desc("score"), F.get("members", F.lit(0)))

@@ -190,13 +190,13 @@ def test_top_k_equals_brute_force(spark, lists):
 
 def test_top_k_takes_large_components_and_repeated_ids(spark):
     big = {0: [1e6, 0.0], 1: [2e4, 3e4], 2: [3e4, 1.0], 3: [1e6, -1e6], 20: [3e6, 2.0], 21: [1.5, 2.5]}
-    rows = [(i, v) for i, v in big.items()] + [(1, [3.0, 2.0]), (1, [3.0, 2.0]), (20, [3e6, 2.0]), (40, [1e17, 0.0])]
+    rows = [(i, v) for i, v in big.items()] + [(1, [3.0, 2.0]), (1, [3.0, 2.0]), (20, [3e6, 2.0]), (40, [1e17, 0.0]), (60, [1.5e7, 1.5e7]), (61, [1.5e7, 1.0]), (62, [-3e7, 2e7])]
     got = topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), "vec_id % 20 = 0", k=6).collect()
     q = [(i, [math.floor(64 * x) for x in v]) for i, v in rows]
     want = []
     for own, (i, a) in enumerate(q):
         if i % 20 == 0:
-            best = sorted((-sum(max(-(2**60), min(x * y, 2**60)) for x, y in zip(a, b, strict=True)), j) for n, (j, b) in enumerate(q) if n != own)[:6]
+            best = sorted((-max(-(2**63), min(sum(x * y for x, y in zip(a, b, strict=True)), 2**63 - 1)), j) for n, (j, b) in enumerate(q) if n != own)[:6]
             want += [(i, r, j, -s) for r, (s, j) in enumerate(best, 1)]
     assert sorted(tuple(r) for r in got) == sorted(want)
     assert topk.top_k(spark.createDataFrame([], "vec_id long, embedding array<float>"), "vec_id % 20 = 0").count() == 0
