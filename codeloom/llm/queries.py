@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import brown, codebooks, extract, infill, langid, mixing, neardup, packing, pii, quality, topk, warc, webp
+from . import pipeline as stages
 from .common import stored, table
 
 
@@ -79,9 +80,7 @@ def op13_streaming_infill(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    import corpus_pipeline
-
-    return corpus_pipeline.run(spark, sf_dir).drop("ids")
+    return stages.run(spark, sf_dir).drop("ids")
 
 
 _WARC_SQL = """
@@ -144,9 +143,7 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    import corpus_pipeline
-
     out = {"op8_warc_transactions": _WARC_SQL, "op11_weighted_codebooks": _CODEBOOKS_SQL, "op12_block_rules": _EXTRACT_SQL, "op13_streaming_infill": _INFILL_SQL}
-    if corpus_pipeline.ORACLE_SQL:
-        out["pipeline"] = corpus_pipeline.ORACLE_SQL
+    if stages.ORACLE_SQL:
+        out["pipeline"] = stages.ORACLE_SQL
     return out

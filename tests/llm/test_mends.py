@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 
 from codeloom.llm import neardup, packing, pii
+from codeloom.llm import pipeline as stages
 
 DATA = "/root/testdata/sf0.001"
 DOC = "doc_id long, text string"
@@ -138,3 +139,36 @@ def test_one_common_passage_with_differing_pairs(spark):
                     label = [low if x == high else x for x in label]
         got = {r.doc_id: r.component_id for r in neardup.near_duplicates(spark.createDataFrame(rows, DOC), percent).collect()}
         assert got == dict(enumerate(label)) and 1 < len(set(label)) < len(rows)
+
+
+# ---- the pipeline over odd input ----
+
+DOCS = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def test_pipeline_over_odd_rows(spark, tmp_path):
+    given = spark.read.parquet(f"{DATA}/documents.parquet")
+    prose = given.where("lang = 'en' AND n_chars BETWEEN 300 AND 1500").limit(1).first().text
+    odd = [(9001, None, None, None, None), (9002, "", "en", "a", 0), (9003, " \n", "en", None, 2), (9004, prose, None, None, len(prose)), (9004, prose, None, None, len(prose)), (None, prose + " and so on it goes", "en", "b", 5),
+           (9005, "42 17 99", "en", "b", 8), (9006, (prose + " ") * 40, "en", "new", None), (9007, prose + " call +1 555 010 9999 or write to a.b@c.org today", None, "a", None)]
+    given.unionByName(spark.createDataFrame(odd, DOCS)).write.parquet(f"{tmp_path}/documents.parquet")
+    docs, steps = spark.read.parquet(f"{tmp_path}/documents.parquet"), []
+    for name, stage in stages.STAGES[:-1]:
+        stage(spark, docs, str(tmp_path)).write.parquet(f"{tmp_path}/{name}")
+        docs = spark.read.parquet(f"{tmp_path}/{name}")
+        assert docs.columns == given.columns, name
+        steps.append(docs.collect())
+    known, single, masked, mixed = steps
+    ids = lambda rows: Counter(r.doc_id for r in rows)
+    assert not {9001, 9002, 9003, 9005} & set(ids(known)) and ids(known)[9004] == 2 and {9006, 9007} <= set(ids(known))
+    assert set(ids(single)) <= set(ids(known)) and ids(single)[9004] <= 1 and max(ids(single).values()) == 1
+    assert ids(masked) == ids(single) and all(r.n_chars == len(r.text) for r in masked)
+    assert not any("a.b@c.org" in r.text or "+1 555 010 9999" in r.text for r in masked)
+    assert set(ids(mixed)) == set(ids(masked))
+    pieces = stages.pack(spark, docs, str(tmp_path)).collect()
+    assert sum(r.length for r in pieces) == sum(r.doc_tokens for r in pieces if r.start == 0) and set(ids(pieces)) == set(ids(mixed))
+
+
+def test_pipeline_over_an_empty_table(spark, tmp_path):
+    spark.createDataFrame([], DOCS).write.parquet(f"{tmp_path}/documents.parquet")
+    assert stages.run(spark, str(tmp_path)).collect() == []
