@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from codeloom.functions import text as fn
-from codeloom.operators import checks, graph, ingest, lineage, scene, source
+from codeloom.operators import checks, graph, indexing, ingest, lineage, scene, source
 from codeloom.plans import assessed, authorities, names, paged, portals, scenes, sources, states  # noqa: F401  registered on import
 from codeloom.plans.registry import ENTRIES, query as _query
 
@@ -375,18 +375,40 @@ _FACTS = """(SELECT concat('Game.Customer', c_custkey) AS owner, concat('Game.Cu
 _KEY = "concat('game:installed:', {}, ':', {})"
 
 
-@_query(f"""SELECT {_KEY.format("'Type'", 'owner')} AS source_key, 'Inherits' AS relationship_kind, concat('Game.Nation', c_nationkey) AS target_text, CAST(NULL AS VARCHAR) AS target_key, 'Metadata' AS evidence FROM {_FACTS} WHERE c_nationkey % 2 = 0 GROUP BY owner, c_nationkey
+_EDGE_ROWS = f"""SELECT {_KEY.format("'Type'", 'owner')} AS source_key, 'Inherits' AS relationship_kind, concat('Game.Nation', c_nationkey) AS target_text, CAST(NULL AS VARCHAR) AS target_key, 'Metadata' AS evidence FROM {_FACTS} WHERE c_nationkey % 2 = 0 GROUP BY owner, c_nationkey
  UNION ALL SELECT {_KEY.format("'Method'", 'member')}, 'ParameterType', owner, {_KEY.format("'Type'", 'owner')}, 'Metadata' FROM {_FACTS}
  UNION ALL SELECT {_KEY.format("'Method'", 'member')}, 'ReturnType', 'System.Int32', NULL, 'Metadata' FROM {_FACTS} WHERE o_orderkey % 3 = 0
- UNION ALL SELECT {_KEY.format("'Method'", 'f.member')}, 'Calls', concat('Game.Part', l_partkey, '::Make'), NULL, 'RecoveredIL' FROM {_FACTS} f JOIN lineitem ON l_orderkey = f.o_orderkey""")
-def edge_extraction(g):
+ UNION ALL SELECT {_KEY.format("'Method'", 'f.member')}, 'Calls', concat('Game.Part', l_partkey, '::Make'), NULL, 'RecoveredIL' FROM {_FACTS} f JOIN lineitem ON l_orderkey = f.o_orderkey"""
+
+
+def _type_facts(g):
     calls = g.base("lineitem").groupBy("l_orderkey").agg(F.expr("collect_list(struct('Calls' AS kind, concat('Game.Part', l_partkey, '::Make') AS target)) AS references"))
     facts = g.base("customer").join(g.base("orders"), F.col("o_custkey") == F.col("c_custkey")).join(calls, F.col("l_orderkey") == F.col("o_orderkey"), "left")
     member = F.expr("""struct(concat('Game.Customer', c_custkey, '::Order', o_orderkey) AS name, 'Method' AS kind, CAST(NULL AS STRING) AS value_type, array(concat('Game.Customer', c_custkey)) AS parameter_types,
      CASE WHEN o_orderkey % 3 = 0 THEN 'System.Int32' ELSE 'System.Void' END AS return_type, references)""")
-    types = facts.groupBy("c_custkey", "c_nationkey").agg(F.collect_list(member).alias("members")).selectExpr(
+    return facts.groupBy("c_custkey", "c_nationkey").agg(F.collect_list(member).alias("members")).selectExpr(
         "concat('Game.Customer', c_custkey) AS full_name", "CASE WHEN c_nationkey % 2 = 0 THEN concat('Game.Nation', c_nationkey) ELSE 'System.Object' END AS base_type", "CAST(array() AS array<string>) AS interfaces", "members")
-    return ingest.extract_edges(types, "game:installed")
+
+
+@_query(_EDGE_ROWS)
+def edge_extraction(g):
+    return ingest.extract_edges(_type_facts(g), "game:installed")
+
+
+_MADE = f"(SELECT DISTINCT 'Type' AS kind, owner AS name FROM {_FACTS} UNION ALL SELECT DISTINCT 'Method', member FROM {_FACTS})"
+_MADE_ID = "sha256(concat('built', chr(10), {}))"
+_MADE_KEY = "concat('game:installed:', kind, ':', name)"
+
+
+@_query(f"""SELECT 'symbols' AS table_name, {_MADE_ID.format(_MADE_KEY)} AS row_id, kind AS detail FROM {_MADE} UNION ALL SELECT DISTINCT 'relationships', sha256(concat_ws(chr(10), 'built', source_key, relationship_kind, target_text)), relationship_kind FROM ({_EDGE_ROWS})
+ UNION ALL SELECT 'fingerprints', {_MADE_ID.format(_MADE_KEY)}, sha256(name) FROM {_MADE} UNION ALL SELECT 'fingerprints', {_MADE_ID.format(_MADE_KEY)}, sha256(concat(kind, chr(10), name, chr(10), name)) FROM {_MADE}
+ UNION ALL SELECT 'fingerprints', id, sha256(string_agg(line, chr(10) ORDER BY line)) FROM (SELECT {_MADE_ID.format("concat('game:installed:Method:', member)")} AS id, concat(l_returnflag, ':', l_partkey) AS line FROM {_FACTS} JOIN lineitem ON l_orderkey = o_orderkey) GROUP BY id""")
+def index_build(g):
+    lines = g.base("lineitem").join(g.base("orders"), F.col("l_orderkey") == F.col("o_orderkey")).selectExpr("concat('game:installed:Method:Game.Customer', o_custkey, '::Order', o_orderkey) AS canonical_key", "concat(l_returnflag, ':', l_partkey) AS line")
+    made = indexing.build(_type_facts(g), lines, "built", "game:installed")
+    parts = [("symbols", "symbol_id", "kind"), ("relationships", "relationship_id", "relationship_kind"), ("fingerprints", "symbol_id", "fingerprint")]
+    a, b, c = (made[name].select(F.lit(name).alias("table_name"), F.col(row_id).alias("row_id"), F.col(detail).alias("detail")) for name, row_id, detail in parts)
+    return a.unionByName(b).unionByName(c)
 
 
 @_query("""SELECT p_partkey, CASE WHEN p_size % 7 = 0 THEN 'ExactBinary' WHEN p_size <= 10 THEN 'ExactReviewedTag' WHEN p_partkey % 4 = 0 THEN 'ExactSourceCommit' WHEN p_size <= 30 THEN 'SemanticVersion' ELSE 'Unmatched' END AS match,

@@ -8,7 +8,7 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
-from codeloom.operators import authority, integrity, lineage, preference, state, writeset
+from codeloom.operators import authority, indexing, integrity, lineage, preference, state, writeset
 from codeloom.operators.asof import at_times
 from codeloom.sources.snapshots import Store, create_file
 from codeloom.sources.versions import VersionedLog
@@ -231,6 +231,44 @@ def test_a_bad_child_publishes_nothing(spark, tmp_path):
     assert {(r.problem, r.table_name) for r in writeset.problems(tables(spark), "t", types.limit(0)).collect()} == {("OtherSnapshot", "containers"), ("OtherSnapshot", "documents"), ("OtherSnapshot", "references"), ("ForeignSymbol", "components")}
 
 
+def index_tables(spark, bad=False):
+    f = spark.createDataFrame
+    return {
+        "source_files": f([("f", "s")], "source_file_id string, snapshot_id string"), "symbols": f([("t", "s"), ("m", "s")], "symbol_id string, snapshot_id string"), "source_locations": f([("m", "f")], "symbol_id string, source_file_id string"),
+        "fingerprints": f([("gone" if bad else "m", "x")], "symbol_id string, fingerprint string"), "relationships": f([("r", "m", "t", "s"), ("q", "m", None, "s")], "relationship_id string, source_symbol_id string, target_symbol_id string, snapshot_id string"),
+    }
+
+
+def test_an_index_is_completed_with_all_its_tables_or_not_at_all(spark, tmp_path):
+    store, log = Store(spark, f"file://{tmp_path}/store"), VersionedLog(spark, f"file://{tmp_path}/runs")
+    runs = [("i1", "s", "Running", t(0), None, None), ("i2", "other", "Running", t(0), None, None), ("i3", "s", "Completed", t(0), t(1), None), ("i4", "s", "Running", t(0), None, None)]
+    assert log.commit(spark.createDataFrame(runs, "index_id string, snapshot_id string, status string, started_at timestamp_ntz, completed_at timestamp_ntz, failure string"), 1)
+    status = lambda: {r.index_id: r.status for r in log.state(["index_id"]).collect()}
+    found = indexing.complete(store, log, "i1", index_tables(spark, bad=True), t(5))
+    assert [(r.problem, r.table_name, r.row_id) for r in found.collect()] == [("NoOwner:symbol_id", "fingerprints", "gone")] and store.published() == [] and status()["i1"] == "Running"
+    assert {r.problem for r in indexing.complete(store, log, "i2", index_tables(spark), t(5)).collect()} == {"OtherSnapshot"} and status()["i2"] == "Running"
+    assert indexing.complete(store, log, "i1", index_tables(spark), t(6)) is None and store.published() == ["index-i1"] and status()["i1"] == "Completed"
+    for i in ("i1", "i3", "i9"):
+        assert [r.problem for r in indexing.complete(store, log, i, index_tables(spark), t(7)).collect()] == ["NotRunning"]
+    # a writer that was lost after it published: the next one only ends the run
+    assert store.publish("index-i4", index_tables(spark))
+    assert indexing.complete(store, log, "i4", index_tables(spark), t(8)) is None and status() == {"i1": "Completed", "i2": "Running", "i3": "Completed", "i4": "Completed"}
+
+
+def test_building_again_gives_the_same(spark):
+    types = spark.createDataFrame([("N.A", "N.B", ["I"], [("N.A::M", "Method", None, ["N.B"], "System.Void", [("Calls", "N.A::M")])]), ("N.B", "System.Object", [], [])],
+                                  "full_name string, base_type string, interfaces array<string>, members array<struct<name:string,kind:string,value_type:string,parameter_types:array<string>,return_type:string,references:array<struct<kind:string,target:string>>>>")
+    evidence = spark.createDataFrame([("g:i:Method:N.A::M", "x"), ("g:i:Method:gone", "y")], "canonical_key string, line string")
+    one, two = (indexing.build(types, evidence, "s", "g:i") for _ in range(2))
+    assert {n: sorted(map(str, rows.collect())) for n, rows in one.items()} == {n: sorted(map(str, rows.collect())) for n, rows in two.items()}
+    empty = {"source_files": spark.createDataFrame([], "source_file_id string, snapshot_id string"), "source_locations": spark.createDataFrame([], "symbol_id string, source_file_id string")}
+    assert indexing.problems(one | empty, "s").collect() == [] and one["symbols"].count() == 3
+    kinds = {r.symbol_id: r.kind for r in one["symbols"].collect()}
+    edges = {(r.relationship_kind, r.target_text, r.target_symbol_id is not None) for r in one["relationships"].collect()}
+    assert edges == {("Inherits", "N.B", True), ("ImplementsInterface", "I", False), ("ParameterType", "N.B", True), ("Calls", "N.A::M", True)} and sorted(kinds.values()) == ["Method", "Type", "Type"]
+    assert one["fingerprints"].where("fingerprint_kind = 'method-body'").count() == 1
+
+
 def test_sweep_leaves_what_is_published_or_may_be_written(spark, tmp_path):
     store = Store(spark, f"file://{tmp_path}/store")
     rows = spark.createDataFrame([(1,)], "v int")
