@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import tempfile
 import uuid
 from collections.abc import Iterable
@@ -77,6 +78,25 @@ def remainder(column: str, modulus: int) -> Column:
     return F.coalesce(F.crc32(F.col(column).cast("string").cast("binary")) % modulus, F.lit(0))
 
 
+def quantile(values: DataFrame, column: str, share: float) -> float | None:
+    """The value of ``column`` (numbers, none null or NaN) with ``share`` of the rows below it, exactly: the one at place
+    floor(share * (rows - 1)), from 0, of all in order. None without rows.
+
+    Rows are counted in bins between the least and the greatest value, then again within the bin that has the place, until
+    it holds one value only. So the counts of bins alone reach the driver."""
+    ends = values.agg(F.count(column).alias("n"), F.min(column).alias("low"), F.max(column).alias("high")).first()
+    place, low, high = math.floor(share * (ends["n"] - 1)), ends["low"], ends["high"]
+    while ends["n"] and low < high:
+        of_bin = F.floor((F.col(column) - F.lit(low)) / F.lit(high - low) * _BINS).alias("bin")
+        bins = values.where(F.col(column).between(low, high)).groupBy(of_bin).agg(F.count("*").alias("n"), F.min(column).alias("low"), F.max(column).alias("high"))
+        for r in sorted(bins.collect(), key=lambda r: r["bin"]):
+            if place < r["n"]:
+                low, high = r["low"], r["high"]
+                break
+            place -= r["n"]
+    return low
+
+
 def words(text: str | None) -> list[bytes]:
     """Runs of bytes other than space and \\x09-\\x0D, with A-Z in lower case; null counts as empty."""
     return text.encode("utf-8", "surrogatepass").lower().split() if text else []
@@ -96,6 +116,7 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
+_BINS = 1024  # of a round of a quantile
 _CHUNK = 500_000  # bytes of text that are hashed at once
 _WRITE_BATCH = 1000  # rows of an Arrow batch in writes of intermediate tables, whose rows hold whole texts or sets
 

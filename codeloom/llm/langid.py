@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import _BASE, _BYTES, _INVERSE, _powers, chunks, mix64, remainder
+from .common import _BASE, _BYTES, _INVERSE, _powers, chunks, mix64, quantile, remainder, stored
 
 BUCKETS = 1 << 16
 SAMPLE_PER_LANG = 300  # documents of each language that the model is fitted on, about
@@ -30,7 +30,7 @@ STEPS = 40
 LEXICON = 20_000  # words in the lexicon at most
 BLOCK = 32
 SEED = 11
-LOWEST = 0.005  # share of the labelled held-out texts that the thresholds are below, with a margin
+LOWEST = 0.005  # share of the labelled held-out rows at which the thresholds are taken, with a margin below
 MARGIN = 0.85
 UNDETERMINED = "und"
 _WORD_BYTE = np.zeros(256, bool)
@@ -38,6 +38,7 @@ _WORD_BYTE[97:123] = True
 _WORD_BYTE[128:] = True
 _LETTER = re.compile(r"[^\W\d_]")
 _HEAD, _TAIL = 16, 4
+_LABELLED = "doc_id long, uid long, lang_pred string, score double, n_words long, n_switches long"
 
 
 def has_letter(text: str | None) -> bool:
@@ -315,7 +316,7 @@ def label(docs: DataFrame, model: Model) -> DataFrame:
     """
     rows = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("uid"))
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded: labels * BUCKETS weights and LEXICON words
-    return rows.mapInPandas(_labeller(shared), "doc_id long, uid long, lang_pred string, score double, n_words long, n_switches long")
+    return rows.mapInPandas(_labeller(shared), _LABELLED)
 
 
 def held_out(column: str = "doc_id"):
@@ -328,29 +329,23 @@ def identify(docs: DataFrame) -> DataFrame:
     return label(docs, model)
 
 
-def thresholds(docs: DataFrame, model: Model, per_lang: int = SAMPLE_PER_LANG) -> tuple[float, float]:
-    """Least score, and least share of known features, of a text with a language: so far below what nearly all of a sample
-    of labelled held-out rows have that such texts pass. A score of a half is always enough. Zeros without labels."""
-    texts = [t for t, _ in _sample(docs.where(held_out()), per_lang)]
-    if len(model.labels) < 2 or not texts:
+def thresholds(docs: DataFrame, model: Model) -> tuple[float, float]:
+    """Least score, and least share of known features, of a text with a language: so far below what nearly all labelled
+    held-out rows have that such texts pass. All these rows count, with their whole texts and as often as they are there. A
+    score of a half is always enough. Zeros without labels."""
+    if len(model.labels) < 2:
         return 0.0, 0.0
-    named = pd.DataFrame({"doc_id": 0, "text": texts, "uid": 0})
-    found = pd.concat(_labeller(_Local(model), True)([named]))
-    found = found[found["lang_pred"] != UNDETERMINED]
-    if not len(found):
+    rows = docs.where(held_out()).where("lang IS NOT NULL AND text IS NOT NULL").select("doc_id", "text", F.lit(0).cast("long").alias("uid"))
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    found = rows.mapInPandas(_labeller(shared, True), f"{_LABELLED}, known double").where(F.col("lang_pred") != UNDETERMINED)
+    found = stored(found.select("score", "known"), "held-out")
+    score, known = (quantile(found, c, LOWEST) for c in ("score", "known"))
+    if score is None:
         return 0.0, 0.0
-    score, known = (float(np.quantile(found[c], LOWEST)) for c in ("score", "known"))
     chance = 1 / len(model.labels)
     return min(0.5, chance + (1 - MARGIN) * max(0.0, score - chance)), MARGIN * known
 
 
-class _Local:
-    """A value on the driver where tasks have a broadcast one."""
-
-    def __init__(self, value):
-        self.value = value
-
-
 def _rejector(model, columns: list[str], least: float, least_known: float):
     inner = _labeller(model, True)
 

@@ -1,14 +1,19 @@
 """Long stretches of personal data, planned windows, pairs around one common passage: against the whole, brute force, or a figure."""
 
 import random
+import zlib
 from collections import Counter
+from types import SimpleNamespace
 
 import duckdb
 import numpy as np
+import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
-from codeloom.llm import neardup, packing, pii
+from codeloom.llm import langid, neardup, packing, pii
 from codeloom.llm import pipeline as stages
+from codeloom.llm.common import quantile
 
 DATA = "/root/testdata/sf0.001"
 DOC = "doc_id long, text string"
@@ -172,3 +177,33 @@ def test_pipeline_over_odd_rows(spark, tmp_path):
 def test_pipeline_over_an_empty_table(spark, tmp_path):
     spark.createDataFrame([], DOCS).write.parquet(f"{tmp_path}/documents.parquet")
     assert stages.run(spark, str(tmp_path)).collect() == []
+
+
+def test_language_thresholds_are_of_all_held_out_rows_and_whole_texts(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    parts = "explode(sequence(0, 2)) AS part"  # of each text, so that a language has more rows than its sample
+    rows = docs.selectExpr("doc_id", "lang", "text", parts).selectExpr("doc_id * 3 + part AS doc_id", "lang", "substring(text, part * length(text) div 3 + 1, length(text) div 3) AS text")
+    both = docs.where("lang IN ('de', 'fr')").groupBy("lang").agg(F.concat_ws(" ", F.collect_list("text")).alias("text")).orderBy("lang").collect()
+    held = [i for i in range(10**6, 10**6 + 200) if zlib.crc32(str(i).encode()) % 4 == 2]
+    switched = [(i, "de", both[0]["text"][:20_000] + " " + both[1]["text"][:20_000] + f" {i}") for i in held[:12]]
+    rows = rows.unionByName(spark.createDataFrame([*switched, (held[12], None, "x y"), (held[13], "de", None), (held[14], "de", "12")], "doc_id long, lang string, text string"))
+    model = langid.fit(docs.where(~langid.held_out()), per_lang=60)
+    known = rows.where(langid.held_out()).where("lang IS NOT NULL AND text IS NOT NULL").toPandas().assign(uid=0)
+    assert known["lang"].value_counts().max() > langid.SAMPLE_PER_LANG
+    found = pd.concat(langid._labeller(SimpleNamespace(value=model), True)([known]))
+    found = found[found["lang_pred"] != "und"]
+    score, share = (float(np.quantile(found[c], langid.LOWEST, method="lower")) for c in ("score", "known"))
+    assert score < 0.6  # the whole texts that switch halfway
+    least = 0.25 + (1 - langid.MARGIN) * (score - 0.25)
+    assert langid.thresholds(rows, model) == pytest.approx((least, langid.MARGIN * share), abs=1e-9)
+    assert langid.thresholds(rows.where("lang IS NULL"), model) == (0.0, 0.0)
+
+
+def test_quantiles_are_exact(spark):
+    rng = np.random.default_rng(4)
+    cases = [rng.random(700), np.repeat(rng.random(5), 90), 1 - rng.random(400) * 1e-13, np.array([0.25]), np.array([0.0, 5e-324, 1.0])]
+    for values in cases:
+        frame = spark.createDataFrame([(float(v),) for v in values], "x double")
+        for share in (0.0, 0.005, 0.5, 1.0):
+            assert quantile(frame, "x", share) == np.quantile(values, share, method="lower")
+    assert quantile(frame.limit(0), "x", 0.5) is None
