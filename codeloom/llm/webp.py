@@ -4,7 +4,8 @@ The decoder reads prefix codes, back-references, the colour cache and meta prefi
 cross-colour, subtract-green and palette transforms, to an array of pixels. Where an image has one group of codes and no
 cache, tokens are found without touching single bits: for every bit position the length of a token that would start there
 is looked up at once, and a walk from token to token then visits only real starts; copies are resolved by following
-all sources together. The encoder finds matches by sorting windows of four pixels.
+all sources together. The encoder finds matches by sorting windows of four pixels, walks from match to match, and puts the
+bits of a token into one number before it packs them.
 
 A payload becomes a grey picture, coded by its palette where at most 16 byte values occur, several samples to a pixel
 then, and by its green channel otherwise; the picture's lines are 64 samples
@@ -14,9 +15,9 @@ long, or longer where the format's height would not do. A chunk of its own holds
 from __future__ import annotations
 
 import hashlib
-import heapq
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -24,6 +25,7 @@ from pyspark.sql import DataFrame
 
 PAD = 64
 FURTHEST = (1 << 20) - 120  # pixels that a reference reaches back
+LONGEST = 4096  # pixels of a copy
 MOST = 1 << 14  # samples of a side at most
 _ORDER = (17, 18, 0, 1, 2, 3, 4, 5, 16, 6, 7, 8, 9, 10, 11, 12, 13, 14, 15)  # fixed: order of the code length codes
 #: Neighbours that short distance codes name: nearest first, then the higher row, then the right one.
@@ -31,6 +33,7 @@ _NEAR = sorted(((x, y) for y in range(8) for x in range(-7, 9) if y or x > 0), k
 _PREDICTOR, _CROSS, _GREEN, _PALETTE = range(4)
 _PREFIX_BITS = np.array([0 if k < 4 else (k - 2) >> 1 for k in range(40)])
 _PREFIX_BASE = np.array([k if k < 4 else (2 + (k & 1)) << ((k - 2) >> 1) for k in range(40)])
+_PREFIX_OF = np.repeat(np.arange(40, dtype=np.uint8), np.diff(np.append(_PREFIX_BASE, 1 << 20)))  # of values from 0
 _CACHE_FACTOR = 0x1E35A7BD  # fixed: hash factor of the colour cache
 
 
@@ -62,24 +65,36 @@ class Reader:
 
 
 class Writer:
-    """Fields of (value, bits), packed at the end."""
+    """Fields of (value, bits), of less than 64 bits each, packed at the end."""
 
     def __init__(self):
         self.values: list[np.ndarray] = []
         self.sizes: list[np.ndarray] = []
+        self.short: tuple[list[int], list[int]] = ([], [])  # put one by one since the last array
 
     def put(self, *fields: tuple[int, int]) -> None:
-        self.many(np.array([v for v, _ in fields], np.int64), np.array([n for _, n in fields], np.int64))
+        for value, size in fields:
+            self.short[0].append(value)
+            self.short[1].append(size)
 
     def many(self, values: np.ndarray, sizes: np.ndarray) -> None:
-        self.values.append(values)
-        self.sizes.append(sizes)
+        self.values += [np.array(self.short[0], np.int64), values]
+        self.sizes += [np.array(self.short[1], np.int64), sizes]
+        self.short = ([], [])
 
     def bytes(self) -> bytes:
+        self.many(np.empty(0, np.int64), np.empty(0, np.int64))
         values, sizes = np.concatenate(self.values), np.concatenate(self.sizes)
-        start = np.cumsum(sizes) - sizes
-        place = np.arange(int(sizes.sum())) - np.repeat(start, sizes)
-        return np.packbits((np.repeat(values, sizes) >> place) & 1, bitorder="little").tobytes()
+        some = np.flatnonzero(sizes)
+        values, end = values[some].view(np.uint64), np.cumsum(sizes[some])
+        start = end - sizes[some]
+        word, shift = start >> 6, (start & 63).view(np.uint64)
+        first = np.append(0, np.flatnonzero(word[1:] != word[:-1]) + 1)  # fields that begin in each word of 64 bits
+        last = np.append(first[1:], len(word)) - 1
+        out = np.zeros(len(first) + 1, "<u8")
+        out[:-1] = np.bitwise_or.reduceat(values << shift, first)
+        out[1:] |= values[last] >> (np.uint64(63) - shift[last]) >> np.uint64(1)
+        return out.tobytes()[: (int(end[-1]) + 7) >> 3]
 
 
 # ---- prefix codes ----
@@ -88,20 +103,18 @@ class Writer:
 _MIRROR = np.zeros(1 << 15, np.int64)  # 15 bits in the other order
 for _i in range(15):
     _MIRROR |= (np.arange(1 << 15) >> _i & 1) << (14 - _i)
+_MIRROR_7 = (_MIRROR[: 1 << 7] >> 8).tolist()
+_HEAVIEST = 1 << 80
+_NONE = np.zeros(1, np.int64)
 
 
-def _sorted_symbols(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
-    """Used symbols by length and number, their lengths, the table entries of each, and the longest length."""
+def canonical(lengths: np.ndarray) -> np.ndarray:
+    """Codes of the lengths, with the bits in the order of reading."""
     used = np.flatnonzero(lengths)
     used = used[np.argsort(lengths[used], kind="stable")]
     sizes = lengths[used]
     deepest = int(sizes[-1]) if len(sizes) else 0
-    return used, sizes, 1 << (deepest - sizes), deepest
-
-
-def canonical(lengths: np.ndarray) -> np.ndarray:
-    """Codes of the lengths, with the bits in the order of reading."""
-    used, sizes, step, deepest = _sorted_symbols(lengths)
+    step = 1 << (deepest - sizes)
     codes = np.zeros(len(lengths), np.int64)
     codes[used] = _MIRROR[(np.cumsum(step) - step) >> (deepest - sizes)] >> (15 - sizes)
     return codes
@@ -110,74 +123,120 @@ def canonical(lengths: np.ndarray) -> np.ndarray:
 class Code:
     """A decoding table: symbol and length for each window of ``depth`` bits; one symbol alone takes none."""
 
-    def __init__(self, lengths: np.ndarray):
-        used = np.flatnonzero(lengths)
-        self.only = int(used[0]) if len(used) else 0
-        self.depth = int(lengths.max()) if len(used) > 1 else 0
+    def __init__(self, symbols: list[int], sizes: list[int]):
+        """``symbols`` ascend; ``sizes`` are the lengths of their codes."""
+        self.only = symbols[0] if symbols else 0
+        self.depth = max(sizes) if len(symbols) > 1 else 0
         if not self.depth:
-            self.symbol, self.length = np.array([self.only]), np.array([0])
-            return
-        used, sizes, step, _ = _sorted_symbols(lengths)
-        if int(step.sum()) != 1 << self.depth:
-            raise ValueError("prefix code is not complete")
-        mirror = _MIRROR[: 1 << self.depth] >> (15 - self.depth)
-        self.symbol, self.length = np.repeat(used, step)[mirror], np.repeat(sizes, step)[mirror]
+            self.used, self.sizes, self.entry = np.array([self.only]), _NONE, _NONE
+        else:
+            sizes = np.array(sizes)
+            order = sizes.argsort(kind="stable")
+            self.used, self.sizes = np.array(symbols)[order], sizes[order]
+            step = 1 << (self.depth - self.sizes)
+            if int(step.sum()) != 1 << self.depth:
+                raise ValueError("prefix code is not complete")
+            self.entry = np.arange(len(order)).repeat(step).take(_MIRROR[: 1 << self.depth] >> (15 - self.depth))
+        self.symbol, self.length = self.used.take(self.entry), self.sizes.take(self.entry)
 
 
-def code_lengths(counts: np.ndarray, most: int = 15) -> np.ndarray:
-    """Huffman code lengths of at most ``most`` bits; one used symbol has length 1."""
-    out = np.zeros(len(counts), np.int64)
-    used = np.flatnonzero(counts).tolist()
-    if len(used) < 2:
-        out[used] = 1
-        return out
-    weights = counts[used].tolist()
+@lru_cache(maxsize=256)
+def _alone(symbol: int) -> Code:
+    return Code([symbol], [1])
+
+
+def _depths(weights: list[int], most: int) -> list[int]:
+    """Huffman code lengths of two symbols or more, at most ``most`` bits; lighter ones first, then earlier ones."""
+    n = len(weights)
     while True:
-        n = len(used)
-        heap = [(w, i) for i, w in enumerate(weights)]
-        heapq.heapify(heap)
-        parent = [0] * (2 * n - 1)
+        # leaves in order, and joined nodes, whose weights rise as they are made: the lightest is at the head of one
+        leaves = sorted([w << 20 | i for i, w in enumerate(weights)])
+        leaves.append(_HEAVIEST)
+        joined, parent, i, j = [_HEAVIEST] * n, [0] * (2 * n - 1), 0, 0
         for node in range(n, 2 * n - 1):
-            a, i = heapq.heappop(heap)
-            b, j = heap[0]
-            parent[i] = parent[j] = node
-            heapq.heapreplace(heap, (a + b, node))
+            if leaves[i] < joined[j]:
+                a, i = leaves[i], i + 1
+            else:
+                a, j = joined[j], j + 1
+            if leaves[i] < joined[j]:
+                b, i = leaves[i], i + 1
+            else:
+                b, j = joined[j], j + 1
+            parent[a & 0xFFFFF] = parent[b & 0xFFFFF] = node
+            joined[node - n] = (a >> 20) + (b >> 20) << 20 | node
         depth = [0] * (2 * n - 1)
         for node in range(2 * n - 3, -1, -1):
             depth[node] = depth[parent[node]] + 1
         if max(depth[:n]) <= most:
-            out[used] = depth[:n]
-            return out
+            return depth[:n]
         weights = [max(1, w >> 2) for w in weights]
 
 
+def code_lengths(counts: np.ndarray, most: int = 15) -> np.ndarray:
+    """Huffman code lengths of at most ``most`` bits; one used symbol has length 1."""
+    out = np.zeros(len(counts), np.int64)
+    used = np.flatnonzero(counts)
+    out[used] = _depths(counts[used].tolist(), most) if len(used) > 1 else 1
+    return out
+
+
+def _short_codes(sizes: list[int]) -> list[int]:
+    """``canonical`` of few symbols with at most 7 bits."""
+    codes, code, before = [0] * len(sizes), 0, 0
+    for size, s in sorted([(size, s) for s, size in enumerate(sizes) if size]):
+        code <<= size - before
+        codes[s], code, before = _MIRROR_7[code] >> (7 - size), code + 1, size
+    return codes
+
+
 def _read_code(r: Reader, size: int) -> Code:
-    lengths = np.zeros(size, np.int64)
     if r.bits(1):
         two, wide = r.bits(1), r.bits(1)
-        lengths[r.bits(8 if wide else 1)] = 1
-        if two:
-            lengths[r.bits(8)] = 1
-        return Code(lengths)
-    inner = np.zeros(19, np.int64)
-    for i in range(4 + r.bits(4)):
-        inner[_ORDER[i]] = r.bits(3)
-    code = Code(inner)
+        first = r.bits(8 if wide else 1)
+        second = r.bits(8) if two else first
+        return _alone(first) if first == second else Code(sorted((first, second)), [1, 1])
+    inner, given = [0] * 19, 4 + r.bits(4)
+    three = r.bits(3 * given)
+    for i in _ORDER[:given]:
+        inner[i] = three & 7
+        three >>= 3
+    several = sum(s > 0 for s in inner) > 1
+    depth = max(inner) if several else 0
+    if several and sum(1 << (depth - s) for s in inner if s) != 1 << depth:
+        raise ValueError("prefix code is not complete")
+    table = [0] * (1 << depth)  # symbol and length of each window
+    for s, (code, n) in enumerate(zip(_short_codes(inner), inner, strict=True)):
+        if n:
+            n = n if several else 0
+            table[code :: 1 << n] = [s << 3 | n] * (1 << (depth - n))
     left = 2 + r.bits(2 + 2 * r.bits(3)) if r.bits(1) else size
-    at, before = 0, 8
+    begin, mask = r.at >> 3, (1 << depth) - 1
+    window = int.from_bytes(r.data[begin : begin + 2 * size + 8], "little") >> (r.at & 7)  # 14 bits a symbol at most
+    symbols, sizes, at, before, bits = [], [], 0, 8, 0
     while at < size and left:
         left -= 1
-        s = r.symbol(code)
+        entry = table[window & mask]
+        s, n = entry >> 3, entry & 7
+        window >>= n
         if s < 16:
-            lengths[at] = s
-            before, at = s or before, at + 1
-        elif s == 16:
-            n = 3 + r.bits(2)
-            lengths[at : at + n] = before
-            at += n
+            if s:
+                symbols.append(at)
+                sizes.append(s)
+                before = s
+            at += 1
         else:
-            at += 3 + r.bits(3) if s == 17 else 11 + r.bits(7)
-    return Code(lengths)
+            more = (2, 3, 7)[s - 16]
+            run = (11 if s == 18 else 3) + (window & ((1 << more) - 1))
+            window >>= more
+            n += more
+            if s == 16:
+                run = min(run, size - at)
+                symbols += range(at, at + run)
+                sizes += [before] * run
+            at += run
+        bits += n
+    r.at += bits
+    return Code(symbols, sizes)
 
 
 def _write_code(w: Writer, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -186,36 +245,29 @@ def _write_code(w: Writer, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     if len(used) <= 1 and (not len(used) or used[0] < 256):
         w.put((1, 1), (0, 1), (1, 1), (int(used[0]) if len(used) else 0, 8))
         return np.zeros(len(lengths), np.int64), np.zeros(len(lengths), np.int64)
-    values = lengths.tolist()[: int(used[-1]) + 1]
     fields: list[tuple[int, int, int]] = []
-    i = 0
-    while i < len(values):
-        run = 1
-        while not values[i] and i + run < len(values) and not values[i + run]:
-            run += 1
-        if values[i] or run < 3:
-            fields += [(values[i], 0, 0)] * (1 if values[i] else run)
-        else:
-            left = run
-            while left >= 3:
-                n = min(left, 138)
-                fields.append((17, n - 3, 3) if n < 11 else (18, n - 11, 7))
-                left -= n
-            fields += [(0, 0, 0)] * left
-        i += run
-    if len(values) < len(lengths):
-        left = len(lengths) - len(values)
-        while left >= 3:
-            n = min(left, 138)
+    at = 0
+    for symbol, size in zip([*used.tolist(), len(lengths)], [*lengths[used].tolist(), 0], strict=True):
+        gap = symbol - at
+        while gap >= 3:
+            n = min(gap, 138)
             fields.append((17, n - 3, 3) if n < 11 else (18, n - 11, 7))
-            left -= n
-        fields += [(0, 0, 0)] * left
-    inner = code_lengths(np.bincount([f[0] for f in fields], minlength=19), 7)
-    codes = canonical(inner)
-    sizes = inner if (inner > 0).sum() > 1 else np.zeros(19, np.int64)
+            gap -= n
+        fields += [(0, 0, 0)] * gap
+        if size:
+            fields.append((size, 0, 0))
+        at = symbol + 1
+    inner = [0] * 19
+    for s, _, _ in fields:
+        inner[s] += 1
+    some = [s for s, n in enumerate(inner) if n]
+    for s, n in zip(some, _depths([inner[s] for s in some], 7) if len(some) > 1 else [1], strict=True):
+        inner[s] = n
+    codes = _short_codes(inner)
     n = max(4, 1 + max(k for k in range(19) if inner[_ORDER[k]]))
-    w.put((0, 1), (n - 4, 4), *((int(inner[_ORDER[k]]), 3) for k in range(n)), (0, 1))
-    w.put(*(f for s, extra, bits in fields for f in ((int(codes[s]), int(sizes[s])), (extra, bits))))
+    w.put((0, 1), (n - 4, 4), *[(inner[_ORDER[k]], 3) for k in range(n)], (0, 1))
+    sizes = inner if len(some) > 1 else [0] * 19
+    w.put(*[(codes[s] | extra << sizes[s], sizes[s] + bits) for s, extra, bits in fields])
     return canonical(lengths), lengths if len(used) > 1 else np.zeros(len(lengths), np.int64)
 
 
@@ -225,48 +277,64 @@ def _write_code(w: Writer, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 def _prefix(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Prefix, extra value and extra bits of values from 1."""
     v = values - 1
-    prefix = np.searchsorted(_PREFIX_BASE, v, side="right") - 1
+    prefix = _PREFIX_OF[v].astype(np.int64)
     return prefix, v - _PREFIX_BASE[prefix], _PREFIX_BITS[prefix]
 
 
-def matches(pixels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and lengths (1: a literal) of a greedy parse, and for each pixel the nearest earlier place with the same
-    four pixels; a match goes on as long as the distance stays."""
+def matches(pixels: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and lengths (1: a literal) of the tokens of a greedy parse, and how far back those that are copied lie: at the
+    nearest earlier place with the same four pixels; a match goes on as long as the distance stays."""
     n = len(pixels)
     if n < 8:
         return np.arange(n), np.ones(n, np.int64), np.zeros(n, np.int64)
-    if pixels.dtype == np.uint8:
-        p = pixels.astype(np.uint32)
-        window = p[:-3] | p[1:-2] << 8 | p[2:-1] << 16 | p[3:] << 24
+    if pixels.dtype == np.uint8:  # value and place in one number sort faster than by reference
+        key = np.ndarray((n - 3,), "<u4", np.ascontiguousarray(pixels), strides=(1,)).astype(np.uint64)
+        key <<= np.uint64(32)
+        key |= np.arange(n - 3, dtype=np.uint64)
+        key.sort()
+        order, window = (key & np.uint64(0xFFFFFFFF)).view(np.int64), key >> np.uint64(32)
     else:
         p = pixels.astype(np.uint64)
         window = ((p[:-3] * np.uint64(0x9E3779B97F4A7C15) + p[1:-2]) * np.uint64(0xC2B2AE3D27D4EB4F) + p[2:-1]) * np.uint64(0x165667B19E3779F9) + p[3:]
-    if window.dtype == np.uint32:  # value and place in one number sort faster than by reference
-        key = np.sort(window.astype(np.uint64) << np.uint64(32) | np.arange(len(window), dtype=np.uint64))
-        order, window = (key & np.uint64(0xFFFFFFFF)).astype(np.int64), (key >> np.uint64(32)).astype(np.uint32)
-    else:
         order = np.argsort(window, kind="stable")
         window = window[order]
-    same = window[1:] == window[:-1]
+    same = np.flatnonzero(window[1:] == window[:-1])
+    later = order[same + 1]
     distance = np.zeros(n, np.int64)
-    distance[order[1:][same]] = (order[1:] - order[:-1])[same]
-    distance[distance > FURTHEST] = 0
+    distance[later] = later - order[same]
+    if n > FURTHEST:
+        distance[distance > FURTHEST] = 0
     if pixels.dtype != np.uint8:  # windows were hashed
         at = np.flatnonzero(distance)
         for k in range(4):
             bad = pixels[at + k] != pixels[at - distance[at] + k]
             distance[at[bad]] = 0
             at = at[~bad]
-    ends = np.append(np.flatnonzero(distance[1:] != distance[:-1]), n - 1) + 1
-    run = np.repeat(ends, np.diff(np.append(0, ends))) - np.arange(n)
-    length = np.where(distance > 0, np.minimum(np.minimum(run + 3, n - np.arange(n)), 4096), 1)
-    step, starts, at = length.tolist(), [], 0
-    add = starts.append
+    # stretches of one distance: where the next match from one of their places on begins at the earliest, and where it ends
+    first = np.append(0, np.flatnonzero(distance[1:] != distance[:-1]) + 1)
+    end = np.append(first[1:], n)
+    none = distance[first] == 0
+    begin, stop = np.where(none, end, first), np.where(none, np.append(end[1:], n), end) + 3
+    stop[-1] = n  # the last three places begin no match
+    size = end - first
+    begin, stop, places = np.repeat(begin, size), np.repeat(stop, size), np.arange(n)
+    if int(size.max()) > LONGEST - 4:
+        stop = np.minimum(stop, np.maximum(begin, places) + LONGEST)
+    step = stop - places
+    step[step > 255] = 0  # looked up among the ends
+    step, far_end, ends, at = step.astype(np.uint8).tobytes(), memoryview(stop), [0], 0
+    add = ends.append
     while at < n:
+        at = at + step[at] if step[at] else far_end[at]
         add(at)
-        at += step[at]
-    starts = np.array(starts)
-    return starts, length[starts], distance[starts]
+    ends = np.array(ends)
+    place = np.maximum(begin[ends[:-1]], ends[:-1])
+    single = place - ends[:-1]  # literals before each match
+    real = len(place) - int(place[-1] == n)  # only literals may be left at the end
+    length, far = np.ones(int(single.sum()) + real, np.int64), np.zeros(int(single.sum()) + real, np.int64)
+    token, place = (np.cumsum(single) + np.arange(len(single)))[:real], place[:real]
+    length[token], far[token] = ends[1 : real + 1] - place, distance[place]
+    return np.cumsum(length) - length, length, far
 
 
 def _write_image(w: Writer, pixels: np.ndarray, width: int, main: bool, cache_bits: int = 0, groups: tuple[int, np.ndarray] | None = None) -> None:
@@ -275,10 +343,10 @@ def _write_image(w: Writer, pixels: np.ndarray, width: int, main: bool, cache_bi
     green_only = pixels.dtype == np.uint8
     starts, length, distance = matches(pixels)
     literal = length == 1
+    copies = np.flatnonzero(~literal)
     argb = pixels[starts].astype(np.int64)
     symbol = argb if green_only else argb >> 8 & 255
     if cache_bits:
-        symbol = symbol.copy()
         w.put((1, 1), (cache_bits, 4))
         cache, flat, upto = [None] * (1 << cache_bits), pixels.tolist(), 0
         for i, (start, n) in enumerate(zip(starts.tolist(), length.tolist(), strict=True)):
@@ -290,17 +358,13 @@ def _write_image(w: Writer, pixels: np.ndarray, width: int, main: bool, cache_bi
                 symbol[i], literal[i] = 280 + slot, False
     else:
         w.put((0, 1))
-    cached = ~literal & (length == 1)
-    copied = length > 1
-    prefix, extra, bits = _prefix(np.maximum(length, 1))
-    symbol = np.where(copied, 256 + prefix, symbol)
+    prefix, extra, bits = _prefix(length[copies])
+    symbol[copies] = 256 + prefix
     # a distance code of 121 on is a plain distance; the pixel above and to the left have short ones
+    distance = distance[copies]
     far = np.where(distance == width, 1, np.where(distance == 1, 2, distance + 120)) if width > 1 else distance + 120
-    d_prefix, d_extra, d_bits = _prefix(np.maximum(far, 1))
-    sizes = (280 + (1 << cache_bits if cache_bits else 0), 256, 256, 256, 40)
-    zero = np.zeros(len(starts), np.int64)
-    fields = (symbol, zero if green_only else argb >> 16 & 255, zero if green_only else argb & 255, zero + 255 if green_only else argb >> 24 & 255, d_prefix)
-    group = zero
+    d_prefix, d_extra, d_bits = _prefix(far)
+    group = None
     if main:
         w.put((int(groups is not None), 1))
         if groups is not None:
@@ -309,21 +373,31 @@ def _write_image(w: Writer, pixels: np.ndarray, width: int, main: bool, cache_bi
             across = (width + (1 << g_bits) - 1) >> g_bits
             _write_image(w, (tiles.astype(np.uint32) << 8) | np.uint32(0xFF000000), across, False)
             group = tiles[(starts // width >> g_bits) * across + (starts % width >> g_bits)].astype(np.int64)
-    out_v, out_n = np.zeros((len(starts), 4), np.int64), np.zeros((len(starts), 4), np.int64)
+    # the bits of a token make one number: 60 at most
+    value, size = np.zeros(len(starts), np.int64), np.zeros(len(starts), np.int64)
+
+    def add(at: np.ndarray | slice, values: np.ndarray, sizes: np.ndarray) -> None:
+        value[at] |= values << size[at]
+        size[at] += sizes
+
+    def coded(at: np.ndarray | slice, symbols: np.ndarray, alphabet: int) -> None:
+        codes, used = _write_code(w, code_lengths(np.bincount(symbols, minlength=alphabet)))
+        add(at, codes.take(symbols), used.take(symbols))
+
     for g in range(1 if groups is None else int(groups[1].max()) + 1):
-        mine = group == g
-        for k, (values, size) in enumerate(zip(fields, sizes, strict=True)):
-            if green_only and 0 < k < 4:  # one value: no bits
-                w.put((1, 1), (0, 1), (1, 1), (255 if k == 3 else 0, 8))
-                continue
-            where = mine if k == 0 else mine & (copied if k == 4 else literal)
-            codes, used = _write_code(w, code_lengths(np.bincount(values[where], minlength=size)))
-            column = 2 if k == 4 else k
-            out_v[where, column], out_n[where, column] = codes[values[where]], used[values[where]]
-    out_v[copied, 1], out_n[copied, 1] = extra[copied], bits[copied]
-    out_v[copied, 3], out_n[copied, 3] = d_extra[copied], d_bits[copied]
-    assert not (cached & copied).any()
-    w.many(out_v.ravel(), out_n.ravel())
+        of = slice(None) if group is None else np.flatnonzero(group == g)
+        far_of = slice(None) if group is None else np.flatnonzero(group[copies] == g)
+        coded(of, symbol[of], 280 + (1 << cache_bits if cache_bits else 0))
+        add(copies[far_of], extra[far_of], bits[far_of])
+        if green_only:  # one value of the others: no bits
+            w.put(*((1, 1), (0, 1), (1, 1), (0, 8)) * 2, (1, 1), (0, 1), (1, 1), (255, 8))
+        else:
+            plain = np.flatnonzero(literal if group is None else literal & (group == g))
+            for shift in (16, 0, 24):
+                coded(plain, argb[plain] >> shift & 255, 256)
+        coded(copies[far_of], d_prefix[far_of], 40)
+        add(copies[far_of], d_extra[far_of], d_bits[far_of])
+    w.many(value, size)
 
 
 def _distance(code: int, width: int) -> int:
@@ -383,70 +457,76 @@ def _read_pixels(r: Reader, width: int, n: int, codes: list[Code]) -> np.ndarray
         return np.full(n, alpha.only << 24 | red.only << 16 | green.only << 8 | blue.only, np.uint32)
     low = r.at >> 3
     most = n * (green.depth + max(red.depth + blue.depth + alpha.depth, far.depth + 30)) // 8 + 16
-    raw = np.frombuffer(r.data, np.uint8, count=min(most, len(r.data) - low), offset=low)
-    raw = np.concatenate([raw, np.zeros(16, np.uint8)]).astype(np.int64)
-    word = raw[:-3] | raw[1:-2] << 8 | raw[2:-1] << 16
-    window = (word[:, None] >> np.arange(8)).ravel()  # 16 bits or more from each bit on
-    last = len(window) - 1
-
-    def look(code: Code, at: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-        w = (window if at is None else window[np.minimum(at, last)]) & ((1 << code.depth) - 1)
-        return code.symbol[w], code.length[w]
-
-    symbol, size = look(green)
-    jump = size.copy()
-    for code in (red, blue, alpha):
-        if code.depth:
-            jump += look(code, np.arange(len(window)) + jump)[1]
-    copies = np.flatnonzero(symbol >= 256) if len(green.symbol) > 1 and int(green.symbol.max()) >= 256 else np.empty(0, np.int64)
-    after = copies + size[copies] + _PREFIX_BITS[symbol[copies] - 256]
-    d, d_size = look(far, after)
-    jump[copies] = after + d_size + _PREFIX_BITS[d] - copies
-    steps, at, end, starts = jump.astype(np.uint8).tobytes(), r.at - 8 * low, len(window) - 8, []
+    data = r.data[low : low + most]
+    end = 8 * len(data)
+    word = np.ndarray((len(data) + 9,), "<i8", data + bytes(16), strides=(1,)).astype(np.int64)  # 56 bits or more from each bit on
+
+    def ahead(at: np.ndarray) -> np.ndarray:
+        return word.take(at >> 3) >> (at & 7)
+
+    window = word[: len(data), None] >> np.arange(8)
+    window &= (1 << green.depth) - 1
+    window = window.ravel()
+    of_copy = green.used >= 256
+    # bits of a token that each green symbol gives, and a mark of copies; then the bits of all
+    known = green.sizes + of_copy * (128 + _PREFIX_BITS[np.maximum(green.used, 256) - 256])
+    jump = known.astype(np.uint8).take(green.entry).take(window)
+    literals = red.depth + blue.depth + alpha.depth > 0
+    if of_copy.any():
+        copies = np.flatnonzero(jump > 127)
+        known = jump.take(copies) & 127
+        after = (far.sizes + _PREFIX_BITS[far.used]).astype(np.uint8).take(far.entry)
+        jump[copies] = known + after.take(ahead(copies + known) & ((1 << far.depth) - 1))
+    if literals:
+        at = plain = np.flatnonzero(green.symbol[window] < 256)
+        at = at + jump[plain]
+        for code in (red, blue, alpha):
+            at = at + code.length[ahead(at) & ((1 << code.depth) - 1)]
+        jump[plain] = at - plain
+    if not green.depth:  # a token without bits ends the walk
+        jump[jump == 0] = 255
+    steps, at, starts = jump.tobytes(), r.at - 8 * low, []
     add = starts.append
-    count = 0
-    while at < end and count < n:  # a token is a pixel at least
+    while at < end:
         add(at)
-        step = steps[at]
-        if not step:
-            raise ValueError("token without bits")
-        at += step
-        count += 1
-    starts = np.array(starts)
-    symbol = symbol[starts]
-
-    def extra(at: np.ndarray, bits: np.ndarray) -> np.ndarray:
-        byte = at >> 3
-        value = raw[byte] | raw[byte + 1] << 8 | raw[byte + 2] << 16 | raw[np.minimum(byte + 3, len(raw) - 1)] << 24
-        return value >> (at & 7) & ((1 << bits) - 1)
-
-    length = np.ones(len(starts), np.int64)
-    copied = symbol >= 256
+        at += steps[at]
+    del starts[n:]  # a token is a pixel at least
+    starts = np.array(starts, np.int64)
+    symbol = window.take(starts)
+    symbol, size = green.symbol.take(symbol), green.length.take(symbol)
+    copied = np.flatnonzero(symbol >= 256)
     prefix = symbol[copied] - 256
-    at = starts[copied] + size[starts[copied]]
-    length[copied] = _PREFIX_BASE[prefix] + extra(at, _PREFIX_BITS[prefix]) + 1
+    bits = ahead(starts[copied] + size[copied])
+    length = np.ones(len(starts), np.int64)
+    length[copied] = _PREFIX_BASE[prefix] + (bits & ((1 << _PREFIX_BITS[prefix]) - 1)) + 1
     stop = np.cumsum(length)
     real = int(np.searchsorted(stop, n)) + 1
     if real > len(starts):
         raise ValueError("image data ends early")
-    d, d_size = look(far, at + _PREFIX_BITS[prefix])
-    code = _PREFIX_BASE[d] + extra(at + _PREFIX_BITS[prefix] + d_size, _PREFIX_BITS[d]) + 1
+    bits >>= _PREFIX_BITS[prefix]
+    d = bits & ((1 << far.depth) - 1)
+    d, d_size = far.symbol[d], far.length[d]
+    code = _PREFIX_BASE[d] + (bits >> d_size & ((1 << _PREFIX_BITS[d]) - 1)) + 1
     near = np.minimum(code, 120) - 1
     distance = np.zeros(len(starts), np.int64)
     distance[copied] = np.where(code > 120, code - 120, np.maximum(1, _NEAR_X[near] + _NEAR_Y[near] * width))
     argb = symbol << 8
-    at = starts + size[starts]
-    for c, shift in ((red, 16), (blue, 0), (alpha, 24)):
-        s, bits = look(c, at)
-        argb, at = argb | s << shift, at + bits
-    starts, length, stop, distance, argb = starts[:real], length[:real], stop[:real], distance[:real], argb[:real]
-    r.at = 8 * low + int(starts[-1]) + steps[int(starts[-1])]
-    token = np.repeat(np.arange(real), length)[:n]
-    source = np.arange(n) - distance[token]
+    if literals:
+        at = starts + size
+        for c, shift in ((red, 16), (blue, 0), (alpha, 24)):
+            s = ahead(at) & ((1 << c.depth) - 1)
+            argb, at = argb | c.symbol[s] << shift, at + c.length[s]
+    else:
+        argb |= red.only << 16 | blue.only | alpha.only << 24
+    r.at = 8 * low + int(starts[real - 1]) + steps[int(starts[real - 1])]
+    source = np.arange(n) - distance[:real].repeat(length[:real])[:n]
+    if int(source.min()) < 0:
+        raise ValueError("reference before the first pixel")
     while True:
-        further = source[source]
-        if np.array_equal(further, source):
-            return argb[token[source]].astype(np.uint32)
+        source = source.take(source)
+        further = source.take(source)
+        if (further == source).all():
+            return argb[:real].astype(np.uint32).repeat(length[:real])[:n].take(source)
         source = further
 
 
@@ -561,12 +641,17 @@ def _wide(flat: np.ndarray) -> np.ndarray:
 # ---- files ----
 
 
+def _opened(width: int, height: int, alpha: bool) -> Writer:
+    w = Writer()
+    w.put((0x2F, 8), (width - 1, 14), (height - 1, 14), (int(alpha), 1), (0, 3))
+    return w
+
+
 def encode(pixels: np.ndarray, transforms: tuple = (), cache_bits: int = 0, groups: tuple[int, np.ndarray] | None = None, extra: bytes = b"") -> bytes:
     """A WebP file of (height, width) ARGB pixels. Transforms, in their order: ("green",), ("palette",), ("predictor", bits,
     modes), ("cross", bits, elements), the last two with a flat array of one entry a tile."""
     height, width = pixels.shape
-    w = Writer()
-    w.put((0x2F, 8), (width - 1, 14), (height - 1, 14), (int((pixels >> 24 != 255).any()), 1), (0, 3))
+    w = _opened(width, height, bool((pixels >> 24 != 255).any()))
     flat = pixels.ravel().astype(np.uint32)
     for name, *parts in transforms:
         if name == "green":
@@ -612,8 +697,8 @@ def _parts(data: bytes) -> dict[bytes, bytes]:
     return out
 
 
-def decode(data: bytes) -> np.ndarray:
-    """(height, width) ARGB pixels of a lossless WebP file."""
+def decode(data: bytes, green_only: bool = False) -> np.ndarray:
+    """(height, width) ARGB pixels of a lossless WebP file, or their green channel as bytes."""
     r = Reader(_parts(data)[b"VP8L"])
     if r.bits(8) != 0x2F:
         raise ValueError("not a lossless image")
@@ -635,6 +720,8 @@ def decode(data: bytes) -> np.ndarray:
         else:
             undo.append((kind, width, 0, None))
     flat = _read_image(r, width, height, True)
+    if green_only and all(kind == _GREEN for kind, *_ in undo):  # that channel is stored as it is
+        undo = []
     for kind, width, bits, tiles in reversed(undo):
         if kind == _PREDICTOR:
             flat = _predictor(flat, width, bits, tiles >> 8 & 0xFF, False)
@@ -650,6 +737,8 @@ def decode(data: bytes) -> np.ndarray:
                 index = rows.reshape(height, -1)[:, :width].ravel()
             colours = np.concatenate([tiles, np.zeros(max(0, 256 - len(tiles)), np.uint32)])  # beyond the table: transparent
             flat = colours[index]
+    if green_only:
+        flat = (flat >> np.uint32(8)).astype(np.uint8)
     return flat.reshape(height, full_width)
 
 
@@ -670,14 +759,18 @@ def store(payload: bytes) -> bytes:
     if len(payload) > width * MOST:
         raise ValueError("payload is too long for one picture")
     samples = np.frombuffer(payload + b"\0" * (-len(payload) % width), np.uint8)
-    grey = samples.astype(np.uint32) * np.uint32(0x010101) | np.uint32(0xFF000000)
-    few = np.count_nonzero(np.bincount(samples, minlength=256)) <= 16
-    return encode(grey.reshape(-1, width), (("palette",),) if few else (("green",),), extra=extra)
+    if np.count_nonzero(np.bincount(samples, minlength=256)) <= 16:
+        grey = samples.astype(np.uint32) * np.uint32(0x010101) | np.uint32(0xFF000000)
+        return encode(grey.reshape(-1, width), (("palette",),), extra=extra)
+    w = _opened(width, len(samples) // width, False)  # as ``encode`` with ("green",), which leaves the samples as they are
+    w.put((1, 1), (_GREEN, 2), (0, 1))
+    _write_image(w, samples, width, True)
+    return _container(w.bytes(), extra)
 
 
 def load(media: bytes) -> np.ndarray:
     """The samples of a stored payload, as (lines, samples) of bytes."""
-    samples = (decode(media) >> 8 & 0xFF).astype(np.uint8)
+    samples = decode(media, green_only=True)
     length = _parts(media).get(b"PLEN")
     return samples if length is None else samples.ravel()[: int.from_bytes(length, "little")].reshape(-1, PAD)
 
