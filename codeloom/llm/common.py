@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import re
 import tempfile
 import uuid
 from collections.abc import Iterable
@@ -40,23 +41,31 @@ def cut(df: DataFrame) -> DataFrame:
 
 class Scratch:
     """Intermediate tables of one job, as Parquet in the shared folder. Each write ends its lineage: Spark then removes
-    the shuffle files of the write, and a lost executor costs nothing that was written."""
+    the shuffle files of the write, and a lost executor costs nothing that was written.
 
-    def __init__(self, spark: SparkSession):
-        self.spark, self.folder = spark, f"{shared_dir(spark)}/scratch-{uuid.uuid4().hex}"
+    With ``measured``, a side of a join that is not tiny is broadcast for its size once it is there, not for an estimate: Spark
+    takes the size of compressed files for what they hold, and the rows of an explode for as many as go in."""
+
+    def __init__(self, spark: SparkSession, measured: bool = False):
+        self.spark, self.folder, self.measured = spark, f"{shared_dir(spark)}/scratch-{uuid.uuid4().hex}", measured
         self.written = 0
 
     def put(self, df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
         path, self.written = f"{self.folder}/{name}-{self.written}", self.written + 1
         own = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": str(_WRITE_BATCH)}
-        before = {key: self.spark.conf.get(key) for key in own}
+        if self.measured:
+            limit = self.spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+            own["spark.sql.adaptive.autoBroadcastJoinThreshold"] = self.spark.conf.get("spark.sql.adaptive.autoBroadcastJoinThreshold", None) or limit
+            if _bytes(limit) > _TINY:
+                own["spark.sql.autoBroadcastJoinThreshold"] = str(_TINY)
+        before = {key: self.spark.conf.get(key, None) for key in own}
         try:
             for key, value in own.items():
                 self.spark.conf.set(key, value)
             df.write.option("compression", compression).parquet(path)
         finally:
             for key, value in before.items():
-                self.spark.conf.set(key, value)
+                self.spark.conf.unset(key) if value is None else self.spark.conf.set(key, value)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._path = path
         return out
@@ -68,6 +77,12 @@ class Scratch:
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def _bytes(size: str) -> int:
+    """Bytes of a size as Spark writes it, such as 10485760b, 256k or 10MB."""
+    number, unit = re.fullmatch(r"\s*(-?\d+)\s*([kmgtp]?)i?b?\s*", size.lower()).groups()
+    return int(number) << 10 * " kmgtp".index(unit or " ")
+
+
 def stored(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
     """Write a table to the shared folder as Parquet and read it again."""
     return Scratch(df.sparkSession).put(df, name, compression)
@@ -117,6 +132,7 @@ _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _BINS = 1024  # of a round of a quantile
+_TINY = 256 << 10  # estimated bytes of a side that is broadcast without being measured
 _CHUNK = 500_000  # bytes of text that are hashed at once
 _WRITE_BATCH = 1000  # rows of an Arrow batch in writes of intermediate tables, whose rows hold whole texts or sets
 

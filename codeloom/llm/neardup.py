@@ -282,7 +282,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     rows (same id and text) each come back with the same values. A row with a null id has a null component_id and is
     kept; it links no others' ids. Other columns are ignored.
     """
-    scratch, count = Scratch(docs.sparkSession), half_keys_at(percent)
+    scratch, count = Scratch(docs.sparkSession, measured=True), half_keys_at(percent)
     named = _with_uid(docs.select("doc_id", "text"))
     rows = scratch.put(named.mapInPandas(_sketch(count), "doc_id long, uid binary, n_shingles long, fp binary, half array<long>, low binary"), "rows")
     full = rows.where("n_shingles > 0 AND doc_id IS NOT NULL")

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from codeloom.llm import langid, neardup, packing, pii, webp
 from codeloom.llm import pipeline as stages
-from codeloom.llm.common import quantile
+from codeloom.llm.common import Scratch, _bytes, quantile
 
 DATA = "/root/testdata/sf0.001"
 DOC = "doc_id long, text string"
@@ -300,3 +300,24 @@ def test_a_reference_before_the_first_pixel_is_refused(monkeypatch):
     media = webp.store(webp.padded(bytes(range(64))))
     with pytest.raises(ValueError, match="before the first"):
         webp.load(media)
+
+
+def test_sides_of_joins_are_broadcast_by_measured_sizes(spark):
+    """An explode is taken for as few rows as go in, so its groups would be broadcast whole."""
+    scratch, keys = Scratch(spark, measured=True), ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold")
+    few = scratch.put(spark.range(9000).select("id", F.expr("transform(sequence(1, 100), i -> xxhash64(id, i))").alias("half")), "few")
+    many = few.select("id", F.explode("half").alias("key"))
+    joined, plans, before = many.join(many.groupBy("key").agg(F.min("id").alias("least")), "key"), [], [spark.conf.get(k, None) for k in keys]
+
+    class Seen:
+        schema = joined.schema
+
+        @property
+        def write(self):
+            plans.append(joined._jdf.queryExecution().executedPlan().toString())
+            return joined.write
+
+    assert scratch.put(Seen(), "joined").count() == 900_000 and [spark.conf.get(k, None) for k in keys] == before
+    assert "SortMergeJoin" in plans[0] and "Broadcast" not in plans[0]
+    assert "BroadcastHashJoin" in joined.select("id", "least")._jdf.queryExecution().executedPlan().toString()  # by the estimate
+    assert [_bytes(s) for s in ("10485760b", "256k", "10MB", "-1", "0")] == [10 << 20, 256 << 10, 10 << 20, -1, 0]
