@@ -106,33 +106,43 @@ def prefab_roots(evidence: DataFrame, objects: DataFrame) -> DataFrame:
     return out.select("evidence_id", F.when(F.col("roots") == 1, F.col("target_id")).alias("root_id"), "roots")
 
 
-def descendants(objects: DataFrame, roots: DataFrame, put, max_rounds: int = 1000) -> DataFrame:
-    """evidence_id, game_object_id, depth of all that is reached from each root, itself included.
+def reached(objects: DataFrame, roots: DataFrame, put, max_rounds: int = 1000) -> DataFrame:
+    """root_id, game_object_id, depth of all that is reached from each distinct root, itself included.
 
     One level a round; ``put`` writes a frame and reads it back, so plans stay short and a lost executor costs one round.
     An object reached again from the same root ends there, so cycles end too.
     """
     down = objects.where("parent_id IS NOT NULL").select(F.col("parent_id").alias("above"), "game_object_id")
-    edge = put(roots.where("root_id IS NOT NULL").select("evidence_id", F.col("root_id").alias("game_object_id"), F.lit(0).alias("depth")).distinct())
+    edge = put(roots.where("root_id IS NOT NULL").select("root_id", F.col("root_id").alias("game_object_id"), F.lit(0).alias("depth")).distinct())
     seen = edge
     for depth in range(1, max_rounds + 1):
-        step = edge.select("evidence_id", F.col("game_object_id").alias("above")).join(down, "above").select("evidence_id", "game_object_id").distinct()
-        edge = put(step.join(seen, ["evidence_id", "game_object_id"], "left_anti").withColumn("depth", F.lit(depth)))
+        step = edge.select("root_id", F.col("game_object_id").alias("above")).join(down, "above").select("root_id", "game_object_id").distinct()
+        edge = put(step.join(seen, ["root_id", "game_object_id"], "left_anti").withColumn("depth", F.lit(depth)))
         if edge.isEmpty():
             return seen
         seen = seen.unionByName(edge)
     raise ValueError(f"deeper than {max_rounds} levels")
 
 
+def descendants(objects: DataFrame, roots: DataFrame, put, max_rounds: int = 1000) -> DataFrame:
+    """evidence_id, game_object_id, depth of all that is reached from each root, itself included. Proofs of one root share what
+    it reaches, which is found once and opened for them at the end."""
+    proofs = roots.where("root_id IS NOT NULL").select("evidence_id", "root_id").distinct()
+    return reached(objects, roots, put, max_rounds).join(proofs, "root_id").select("evidence_id", "game_object_id", "depth")
+
+
 def assign_documents(objects: DataFrame, roots: DataFrame, members: DataFrame) -> DataFrame:
     """game_object_id, kind, document, claims: a level file takes its objects first, then a proven prefab what it reaches,
     and the rest stays with its asset file. A prefab whose root a level holds claims nothing; more than one claim on an
-    object is a violation, and the first in order is shown."""
+    object is a violation, and the first in order is shown. ``members`` is what ``descendants`` or ``reached`` gives; of the
+    latter claims are counted by root, so no row is made for an object and each of its proofs."""
     level = F.when(base_name(F.col("container_path")).rlike("^level[0-9]+$"), F.col("container_path"))
     held = objects.select("game_object_id", "container_path", level.alias("level"))
     taken = held.where("level IS NOT NULL").select(F.col("game_object_id").alias("root_id"))
-    open_ = roots.join(taken, "root_id", "left_anti").select("evidence_id")
-    claims = members.join(open_, "evidence_id", "left_semi").groupBy("game_object_id").agg(F.min("evidence_id").alias("prefab"), F.count("*").alias("n"))
+    by = "root_id" if "root_id" in members.columns else "evidence_id"
+    open_ = roots.where("root_id IS NOT NULL").select("evidence_id", "root_id").distinct().join(taken, "root_id", "left_anti")
+    open_ = open_.select(F.col(by).alias("by"), "evidence_id").groupBy("by").agg(F.min("evidence_id").alias("prefab"), F.count("*").alias("n"))
+    claims = members.withColumnRenamed(by, "by").join(open_, "by").groupBy("game_object_id").agg(F.min("prefab").alias("prefab"), F.sum("n").alias("n"))
     out = held.join(claims, "game_object_id", "left")
     kind = F.when(F.col("level").isNotNull(), "Scene").when(F.col("prefab").isNotNull(), "Prefab").otherwise("AssetGraph")
     n = F.coalesce("n", F.lit(0)) + F.col("level").isNotNull().cast("int")

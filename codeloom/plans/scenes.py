@@ -66,7 +66,8 @@ _DOWN = f"""(WITH RECURSIVE d AS (SELECT evidence_id, root_id AS game_object_id,
 
 @query(f"SELECT evidence_id, game_object_id, depth FROM {_DOWN}", _PREFAB)
 def prefab_descendants(g):
-    return normalise.descendants(g.game_objects, normalise.prefab_roots(g.prefab_evidence, g.game_objects), cut)
+    roots = cut(normalise.prefab_roots(g.prefab_evidence, g.game_objects))
+    return normalise.descendants(g.game_objects, roots, cut)
 
 
 _PLACED = "(SELECT *, CASE WHEN regexp_matches(split_part(container_path, '/', -1), '^level[0-9]+$') THEN container_path END AS level FROM placed_objects)"
@@ -76,8 +77,8 @@ _PLACED = "(SELECT *, CASE WHEN regexp_matches(split_part(container_path, '/', -
  FROM {_PLACED} o LEFT JOIN (SELECT game_object_id, min(evidence_id) AS prefab, count(*) AS n FROM {_DOWN} WHERE evidence_id IN (SELECT r.evidence_id FROM {_ROOTS} r JOIN {_PLACED} l ON l.game_object_id = r.root_id AND l.level IS NULL) GROUP BY 1) c
  ON c.game_object_id = o.game_object_id""", _PREFAB + " placed_objects")
 def document_assignment(g):
-    roots = normalise.prefab_roots(g.prefab_evidence, g.game_objects)
-    return normalise.assign_documents(g.placed_objects, roots, normalise.descendants(g.game_objects, roots, cut))
+    roots = cut(normalise.prefab_roots(g.prefab_evidence, g.game_objects))
+    return normalise.assign_documents(g.placed_objects, roots, normalise.reached(g.game_objects, roots, cut))
 
 
 @query("""SELECT script_id, status, CASE WHEN status = 'Resolved' THEN symbol_id END AS symbol_id FROM (SELECT script_id, s.symbol_id, CASE WHEN assembly_name <> 'Game' OR trim(script_namespace) = '' THEN 'UnresolvedText' WHEN i.index_id IS NULL THEN 'NotIndexed'

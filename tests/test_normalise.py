@@ -96,3 +96,22 @@ def test_limits():
     assert lookup.bounded(900) == 500
     with pytest.raises(ValueError):
         lookup.bounded(0)
+
+
+def test_proofs_of_one_root_descend_once(spark):
+    """Eighty proofs of one root with a thousand objects below it: rows of a round are those of the root, not of its proofs."""
+    o = spark.createDataFrame([("r", None, "a.assets")] + [(f"o{i}", "r" if i < 10 else f"o{i % 10}", "a.assets") for i in range(1000)], "game_object_id string, parent_id string, container_path string")
+    roots = spark.createDataFrame([(f"e{i:02}", "r", 1) for i in range(80)] + [("x", "o3", 1), ("none", None, 0)], "evidence_id string, root_id string, roots long")
+    written = []
+
+    def put(rows):
+        out = cut(rows)
+        written.append(out.count())
+        return out
+
+    down = normalise.descendants(o, roots, put)
+    assert sum(written) == 1001 + 100 and written[-1] == 0
+    rows = {(r.evidence_id, r.game_object_id): r.depth for r in down.collect()}
+    assert len(rows) == 80 * 1001 + 100 and rows["e07", "o3"] == 1 and rows["e79", "o13"] == 2 and rows["x", "o13"] == 1
+    a, b = (sorted(map(tuple, normalise.assign_documents(o, roots, m).collect())) for m in (down, normalise.reached(o, roots, cut)))
+    assert a == b and ("o13", "Prefab", "e00", 81) in a and ("o4", "Prefab", "e00", 80) in a
